@@ -309,3 +309,11 @@ def export_safe(text: Column) -> Column:
 
 def same_folded(a: Column, b: Column) -> Column:
     return fold_case(a) == fold_case(b)
+
+
+def sets_equal(left: DataFrame, right: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """keys, same: whether both sides hold the same members; no set is gathered."""
+    sides = left.select(*keys, member, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(*keys, member, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    pairs = sides.groupBy(*keys, member).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    return pairs.groupBy(*keys).agg(F.bool_and(F.col("l") == F.col("r")).alias("same"))
