@@ -10,6 +10,7 @@ from foliarc import vocab
 from foliarc.functions.numbers import iso_date, lab_date, parse_result
 from foliarc.functions.text import (SPACE, contains_command, fold_case, let, lines_keeping_breaks, non_blank, span_text,
                                     strip, words)
+from foliarc.session import by_key
 
 
 def cells(line: Column) -> Column:
@@ -26,6 +27,12 @@ def is_header(parts: Column, names: list[list[str]]) -> Column:
     return F.coalesce(check, F.lit(False))
 
 
+def date_role(label: Column) -> Column:
+    """RESULT, SPECIMEN or STUDY of a folded date label; NULL for any other."""
+    roles = F.create_map(*[F.lit(v) for pair in vocab.DATE_LABELS.items() for v in pair])
+    return F.try_element_at(roles, label)
+
+
 def labelled_fields(line: Column) -> Column:
     """[name, result, unit, reference] of ``name: result unit; reference ...; flag``; else NULL."""
     body = strip(F.regexp_extract(line, vocab.LAB_LABELLED, 2))
@@ -59,7 +66,7 @@ def annotated_lines(docs: DataFrame) -> DataFrame:
     lines of no interest are dropped. One exchange on the document serves every window.
     """
     reports = docs.filter(is_lab_report(F.col("pages"))).select("document_id", "pages")
-    lines = source_lines(reports).repartition("document_id")
+    lines = by_key(source_lines(reports), "document_id")
     page = W.partitionBy("document_id", "page_index").orderBy("line_no")
     before = page.rowsBetween(W.unboundedPreceding, -1)
     lines = (
@@ -74,11 +81,8 @@ def annotated_lines(docs: DataFrame) -> DataFrame:
     rule = F.coalesce(F.forall("parts", lambda c: c.rlike(r"^:?-+:?\z")), F.lit(False))
     lines = lines.filter((F.col("bare") != "") & ~F.col("bare").rlike(vocab.LAB_TITLE) & ~F.col("header") & ~rule)
     label = F.when(F.contains("bare", F.lit(":")), fold_case(F.substring_index("bare", ":", 1)))
-    role = F.lit(None).cast("string")
-    for text, name in vocab.DATE_LABELS.items():
-        role = F.when(label == text, F.lit(name)).otherwise(role)
     value = F.substring(F.col("bare"), F.locate(":", F.col("bare")) + 1, F.length("bare"))
-    lines = lines.withColumn("role", role).withColumn("date", F.when(F.col("role").isNotNull(), lab_date(value)))
+    lines = lines.withColumn("role", date_role(label)).withColumn("date", F.when(F.col("role").isNotNull(), lab_date(value)))
     subject = fold_case(F.col("bare")).isin(vocab.SUBJECT_LINES)
     plain_row = F.col("bare").rlike(r"(?iu);\s*референс" + vocab.NOT_BEFORE_WORD)
     candidate = F.col("role").isNull() & ~subject & (F.col("in_table") | plain_row)
@@ -196,10 +200,7 @@ def validate_lab(rows: DataFrame, dates: DataFrame, subjects: DataFrame, issues:
         ("ROW_LIMIT", F.col("row_index") <= vocab.ROW_LIMIT)]
     codes = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(code)) for code, ok in rules]))
     row_codes = located.select("document_id", "row_index", F.explode(codes).alias("code"))
-    role = F.lit(None).cast("string")
-    label = fold_case(F.substring_index(strip(F.col("found")), ":", 1))
-    for key, name in vocab.DATE_LABELS.items():
-        role = F.when(label == key, F.lit(name)).otherwise(role)
+    role = date_role(fold_case(F.substring_index(strip(F.col("found")), ":", 1)))
     dated = dates.join(pages, "document_id").withColumn(
         "found", span_text(at_page, F.col("start_byte"), F.col("end_byte")))
     good_date = (role == F.col("role")) & F.contains("found", F.col("raw")) & (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliarc.operators import lab, proposals, statements
 from foliarc.plans.registry import Tables, query
+from foliarc.session import durable
 
 BIG = "bigint"
 
@@ -68,7 +69,7 @@ def lab_rows(t: Tables):
 WITH {LAB} SELECT document_id, row_index, name, CASE WHEN l_returnflag = 'A' THEN l_quantity END AS value_number, unit,
   CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d') END AS event_date FROM lab""")
 def lab_facts(t: Tables):
-    lines = lab.annotated_lines(reports(t))
+    lines = durable(lab.annotated_lines(reports(t)))
     facts = lab.project_lab_facts(lab.lab_rows(lines), lab.lab_dates(lines), lab.lab_issues(lines))
     return facts.select("document_id", F.col("row_index").cast(BIG).alias("row_index"), "name", "value_number", "unit",
                         F.col("event_date").cast("string").alias("event_date"))
@@ -100,7 +101,7 @@ UNION ALL SELECT document_id, row_index, 'PROJECTION' FROM lab WHERE reference =
 def validate_lab(t: Tables):
     """Stored rows of supplier 7 carry a wrong name, which the stored facts do not share."""
     docs = reports(t)
-    lines = lab.annotated_lines(docs)
+    lines = durable(lab.annotated_lines(docs))
     rows, dates, issues = lab.lab_rows(lines), lab.lab_dates(lines), lab.lab_issues(lines)
     facts = lab.project_lab_facts(rows, dates, issues)
     wrong = rows.withColumn("name", F.when(F.col("reference") == "0-7", F.lit("Other test")).otherwise(F.col("name")))

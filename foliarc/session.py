@@ -58,3 +58,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition on ``keys`` with the session's full partition count.
+
+    A stated count is not coalesced by size, which suits work that is heavier than its bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
