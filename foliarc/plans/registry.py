@@ -47,4 +47,4 @@ def load_all() -> None:
         import_module(f"foliarc.plans.{module}")
 
 
-MODULES = ["retrieval", "catalogue", "texts", "annotations", "scores"]
+MODULES = ["retrieval", "catalogue", "texts", "annotations", "scores", "lifecycle"]
