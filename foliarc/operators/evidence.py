@@ -16,6 +16,7 @@ from foliarc.functions.text import complete_excerpt, non_blank, strip, verified_
 from foliarc.operators.chunks import pack_batches
 from foliarc.operators.redact import apply_identifier_spans, redact
 from foliarc.operators.retrieve import hybrid_retrieve, visible_chunks
+from foliarc.session import durable
 
 
 # ---- corrective retrieval ----------------------------------------------------------------
@@ -147,11 +148,12 @@ def select_evidence(questions: DataFrame, catalogue: DataFrame, chunks: DataFram
         ["question_id"], ["_date", "document_id", "position", "chunk_id"], F.length("text").cast("bigint"),
         vocab.ARCHIVE_BATCH_CHUNKS, vocab.ARCHIVE_BATCH_CHARS)
     place = W.partitionBy("question_id", "batch").orderBy("_date", "document_id", "position", "chunk_id")
-    batched = batched.withColumn("number", F.row_number().over(place))
+    # Ranking is the costly part and every later step reads its result: write it once.
+    batched = durable(batched.withColumn("number", F.row_number().over(place)))
     docs = eligible.groupBy("scope").agg(
         F.count(F.lit(1)).alias("eligible_documents"), F.count_if(F.col("_indexed").isNull()).alias("missing_indexed"))
     counts = candidates.groupBy("scope").agg(F.count(F.lit(1)).alias("eligible_chunks"))
-    scanned = selected.groupBy("question_id").agg(F.count(F.lit(1)).alias("scanned_chunks"),
+    scanned = batched.groupBy("question_id").agg(F.count(F.lit(1)).alias("scanned_chunks"),
                                                   F.countDistinct("document_id").alias("scanned_documents"))
     undated = known.agg(F.count_if(F.col("document_date").isNull()).alias("undated")).withColumn("_one", F.lit(1))
     coverage = (

@@ -160,8 +160,8 @@ def modes(t: Tables):
 
 
 @query("tag_rename_delete", ctes("docs") + """
-SELECT tag, count(*) AS documents FROM (SELECT unnest(list_filter(list_transform(tags, x -> CASE WHEN x = '1-urgent' THEN 'urgent'
-  ELSE x END), x -> x <> '5-low')) AS tag FROM docs) GROUP BY 1""")
+SELECT CASE WHEN u = '1-urgent' THEN 'urgent' ELSE u END AS tag, count(*) AS documents
+FROM (SELECT unnest(tags) AS u FROM docs) WHERE u <> '5-low' GROUP BY 1""")
 def tags(t: Tables):
     changed = cat.delete_tag(cat.rename_tag(x.docs(t), "1-urgent", "urgent"), "5-low")
     return changed.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("documents"))
@@ -517,17 +517,18 @@ def identifier_spans(t: Tables):
 
 @query("win_12_placeholder_lettering", """
 WITH r AS (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation)
-SELECT n_nationkey, '[PERSON_' || chr(CAST(65 + i + CASE WHEN n_regionkey = 0 THEN 1 ELSE 0 END AS INT)) || ']' AS label FROM r""")
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, '[PERSON_' || chr(CAST(65 + i + CASE WHEN n_regionkey = 0 THEN 1 ELSE 0 END AS INT)) || ']' AS label FROM r""")
 def lettering(t: Tables):
-    packages = t.nation.groupBy(F.col("n_regionkey").alias("package_id")).agg(F.concat(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("n_nationkey", F.concat(F.lit("Name"), F.lower("n_name")).alias("n")))), lambda r: r["n"]), " and "),
-        F.when(F.col("package_id") == 0, F.lit(" [PERSON_A]")).otherwise(F.lit(""))).alias("text")).select(
-        "package_id", F.array("text").alias("texts"))
-    spans = t.nation.select(F.col("n_regionkey").alias("package_id"), F.col("n_nationkey").alias("ord"),
-                            F.concat(F.lit("Name"), F.lower("n_name")).alias("text"), F.lit("PERSON").alias("category"))
-    judged = redact.judge_spans(packages, spans.withColumn("text", F.split("text", " ")[0]))
+    name = F.concat(F.lit("Name"), F.translate(F.lower("n_name"), "0123456789_ ", "abcdefghij"))
+    rows = t.nation.select(F.col("n_regionkey").alias("package_id"), F.col("n_nationkey").alias("ord"), name.alias("text"),
+                           F.lit("PERSON").alias("category"))
+    packages = rows.groupBy("package_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda r: r["text"]), " and ").alias("names")).select(
+        "package_id", F.array(F.concat("names", F.when(F.col("package_id") == 0, F.lit(" [PERSON_A]")).otherwise(F.lit(""))))
+        .alias("texts"))
+    judged = redact.judge_spans(packages, rows)
     labels = redact.span_labels(packages, judged).join(judged.select("package_id", "text", "ord"), ["package_id", "text"])
-    return labels.select(F.col("ord").alias("n_nationkey"), "label")
+    return labels.select(F.col("ord").cast(BIG).alias("n_nationkey"), "label")
 
 
 # ---- evidence ----------------------------------------------------------------------------
