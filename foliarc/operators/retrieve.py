@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from foliarc import vocab
 from foliarc.functions import ranking
 from foliarc.functions.text import fold_case, let, tokens
-from foliarc.session import BROADCAST_BYTES, fits_broadcast
+from foliarc.session import BROADCAST_BYTES, durable, fits_broadcast
 
 VECTOR_BUCKETS = 32
 SCORE_DIGITS = 8
@@ -37,8 +37,8 @@ def hashed_vector(text: Column) -> Column:
     found = F.regexp_extract_all(fold_case(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
     slots = F.transform(
         found,
-        lambda word: F.pmod(F.conv(F.substring(F.sha2(word, 256), 1, 8), 16, 10).cast("bigint"),
-                            F.lit(VECTOR_BUCKETS)).cast("int"))
+        # The leading 32 bits modulo 32 are the low five bits of their last two hex digits.
+        lambda word: F.pmod(F.conv(F.substring(F.sha2(word, 256), 7, 2), 16, 10).cast("int"), F.lit(VECTOR_BUCKETS)))
     return let(slots, lambda bound: F.transform(
         F.sequence(F.lit(0), F.lit(VECTOR_BUCKETS - 1)),
         lambda slot: F.size(F.filter(bound, lambda s: s == slot)).cast("float")))
@@ -48,18 +48,28 @@ def _with_scope(df: DataFrame) -> DataFrame:
     return df if "scope" in df.columns else df.withColumn("scope", F.lit(0))
 
 
+def _word_counts(chunks: DataFrame) -> DataFrame:
+    """scope, token, df, size in one pass: the row without a token holds the chunk count and total length."""
+    words = _with_scope(chunks).select("scope", tokens(F.col("text")).alias("words"))
+    entry = F.concat(
+        F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("token"), F.lit(0).alias("size"))),
+        F.array(F.struct(F.lit(None).cast("string").alias("token"), F.size("words").alias("size"))))
+    return words.select("scope", F.explode(entry).alias("e")).groupBy("scope", F.col("e.token").alias("token")).agg(
+        F.count(F.lit(1)).alias("df"), F.sum("e.size").alias("size"))
+
+
 def vocabulary(chunks: DataFrame) -> DataFrame:
     """scope, token, df: the number of chunks holding each token (combined before the shuffle)."""
-    words = _with_scope(chunks).select("scope", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    return words.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"))
+    return _word_counts(chunks).filter(F.col("token").isNotNull()).select("scope", "token", "df")
 
 
-def corpus_statistics(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+def corpus_statistics(chunks: DataFrame) -> DataFrame:
     """scope, n, avgdl, mean_idf; the mean is over all terms, before negative ones are replaced."""
-    sizes = _with_scope(chunks).groupBy("scope").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
-    means = terms.join(F.broadcast(sizes), "scope").groupBy("scope").agg(
-        F.avg(ranking.raw_idf(F.col("n"), F.col("df"))).alias("mean_idf"))
+    counts = _word_counts(chunks)
+    sizes = counts.filter(F.col("token").isNull()).select(
+        "scope", F.col("df").alias("n"), (F.col("size") / F.col("df")).alias("avgdl"))
+    means = counts.filter(F.col("token").isNotNull()).select("scope", "df").join(F.broadcast(sizes), "scope").groupBy(
+        "scope").agg(F.avg(ranking.raw_idf(F.col("n"), F.col("df"))).alias("mean_idf"))
     return sizes.join(means, "scope")
 
 
@@ -69,68 +79,61 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return words.groupBy("scope", "question_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def sparse_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """question_id, scope, chunk_id, score for every chunk sharing a word with the question."""
+def _term_parts(questions: DataFrame, chunks: DataFrame, stats: DataFrame) -> DataFrame:
+    """question_id, chunk_id, part: what each shared word adds to a chunk's score."""
     chunks = _with_scope(chunks)
     wanted = query_terms(questions)
-    terms = vocabulary(chunks)
-    stats = corpus_statistics(chunks, terms)
+    small = fits_broadcast(wanted, 96)
     needed = wanted.select("scope", "token").distinct()
+    # Only postings of question words survive the first join; a chunk's words are combined in place.
+    postings = (
+        chunks.select("scope", "chunk_id", tokens(F.col("text")).alias("words"))
+        .select("scope", "chunk_id", F.size("words").alias("dl"), F.explode("words").alias("token"))
+        .join(F.broadcast(needed) if small else needed, ["scope", "token"], "left_semi")
+        .groupBy("scope", "chunk_id", "dl", "token").agg(F.count(F.lit(1)).alias("f")))
     idf = (
-        terms.join(needed, ["scope", "token"], "left_semi").join(F.broadcast(stats), "scope")
+        postings.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), "scope")
         .withColumn("raw", ranking.raw_idf(F.col("n"), F.col("df")))
         .select("scope", "token", "avgdl",
                 F.when(F.col("raw") < 0, F.lit(ranking.EPSILON) * F.col("mean_idf"))
                 .otherwise(F.col("raw")).alias("idf")))
     weighted = wanted.join(idf, ["scope", "token"])
-    if fits_broadcast(wanted, 96):
-        weighted = F.broadcast(weighted)
-        needed = F.broadcast(needed)
-    # Only postings of question words survive the first join; a chunk's words are combined in place.
-    postings = (
-        chunks.select("scope", "chunk_id", tokens(F.col("text")).alias("words"))
-        .select("scope", "chunk_id", F.size("words").alias("dl"), F.explode("words").alias("token"))
-        .join(needed, ["scope", "token"], "left_semi")
-        .groupBy("scope", "chunk_id", "dl", "token").agg(F.count(F.lit(1)).alias("f")))
     return (
-        postings.join(weighted, ["scope", "token"])
-        .withColumn("part", F.col("qtf") * ranking.bm25_term(
-            F.col("idf"), F.col("f"), F.col("dl"), F.col("avgdl")))
-        .groupBy("question_id", "scope", "chunk_id")
-        .agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score")))
+        postings.join(F.broadcast(weighted) if small else weighted, ["scope", "token"])
+        .select("question_id", "chunk_id", (F.col("qtf") * ranking.bm25_term(
+            F.col("idf"), F.col("f"), F.col("dl"), F.col("avgdl"))).alias("part")))
+
+
+def sparse_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question_id, chunk_id, score for every chunk sharing a word with the question."""
+    parts = _term_parts(questions, chunks, corpus_statistics(chunks))
+    return parts.groupBy("question_id", "chunk_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
 
 
 def sparse_ranks(questions: DataFrame, chunks: DataFrame, depth: int) -> DataFrame:
-    """question_id, chunk_id, score, sparse_rank: best ``depth`` chunks, unmatched ones scoring 0."""
+    """question_id, chunk_id, score, sparse_rank: best ``depth`` chunks, unmatched ones scoring 0.
+
+    Matches and fillers are ranked together. The 2 * depth smallest ids of a scope always hold
+    enough fillers; only where the mean idf is negative can a match score below zero, and then
+    every chunk of the scope is a filler.
+    """
     chunks = _with_scope(chunks)
-    asked = _with_scope(questions).select("question_id", "scope")
-    scored = sparse_scores(questions, chunks)
-    best = W.partitionBy("question_id").orderBy(F.desc("score"), F.asc("chunk_id"))
-    # Words held by exactly half of the chunks weigh 0: such matches rank among the unmatched.
-    top = (scored.filter("score > 0").withColumn("r", F.row_number().over(best))
-           .filter(F.col("r") <= depth).drop("r"))
-    # Questions with fewer positive matches are filled with zero-score chunks in id order. The
-    # 2 * depth smallest ids suffice; only where the mean idf is negative can matches score below
-    # zero, and then every chunk of the scope competes.
-    short = asked.join(
-        top.groupBy("question_id").agg(F.count(F.lit(1)).alias("found")), "question_id", "left"
-    ).filter(F.coalesce("found", F.lit(0)) < depth).select("question_id", "scope")
+    # One row per scope, read by several branches below: computed once.
+    stats = durable(corpus_statistics(chunks))
     first = W.partitionBy("scope").orderBy("chunk_id")
     smallest = (chunks.select("scope", "chunk_id").withColumn("r", F.row_number().over(first))
                 .filter(F.col("r") <= 2 * depth).select("scope", "chunk_id"))
-    terms = vocabulary(chunks)
-    negative = corpus_statistics(chunks, terms).filter("mean_idf < 0").select("scope")
-    pool = smallest.union(chunks.join(F.broadcast(negative), "scope", "left_semi")
-                          .select("scope", "chunk_id")).distinct()
-    filled = (
-        short.join(pool, "scope")
-        .join(scored.select("question_id", "chunk_id", "score"), ["question_id", "chunk_id"], "left")
-        .filter(F.coalesce("score", F.lit(0.0)) <= 0)
-        .select("question_id", "scope", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score")))
+    negative = stats.filter("mean_idf < 0").select("scope")
+    pool = smallest.union(chunks.join(F.broadcast(negative), "scope", "left_semi").select("scope", "chunk_id"))
+    fillers = _with_scope(questions).select("question_id", "scope").join(pool, "scope").select(
+        "question_id", "chunk_id", F.lit(None).cast("double").alias("part"))
+    best = W.partitionBy("question_id").orderBy(F.desc("score"), F.asc("chunk_id"))
+    # sum() ignores the fillers' NULL, so a filler never replaces a match, not even a negative one.
     return (
-        top.unionByName(filled).withColumn("sparse_rank", F.row_number().over(best))
-        .filter(F.col("sparse_rank") <= depth)
-        .select("question_id", "chunk_id", "score", F.col("sparse_rank").cast("bigint").alias("sparse_rank")))
+        _term_parts(questions, chunks, stats).unionByName(fillers).groupBy("question_id", "chunk_id")
+        .agg(F.round(F.coalesce(F.sum("part"), F.lit(0.0)), SCORE_DIGITS).alias("score"))
+        .withColumn("sparse_rank", F.row_number().over(best).cast("bigint"))
+        .filter(F.col("sparse_rank") <= depth))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

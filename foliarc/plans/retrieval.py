@@ -99,7 +99,7 @@ SELECT CAST(n AS BIGINT) AS n, round(avgdl, 6) AS avgdl, round(m, 6) AS mean_idf
 def statistics(t: Tables):
     terms = retrieve.vocabulary(chunks(t))
     sizes = terms.groupBy("scope").agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("df").alias("postings"))
-    return retrieve.corpus_statistics(chunks(t), terms).join(sizes, "scope").select(
+    return retrieve.corpus_statistics(chunks(t)).join(sizes, "scope").select(
         "n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"), "vocabulary", "postings")
 
 
