@@ -93,7 +93,7 @@ def _ir_hash() -> Column:
 
 def block_rows(ir: DataFrame) -> DataFrame:
     """One row per block with its exact source text."""
-    rows = ir.select("document_id", "pages", F.posexplode("blocks").alias("block_order", "b"))
+    rows = ir.select("document_id", "pages", F.posexplode_outer("blocks").alias("block_order", "b")).filter("b IS NOT NULL")
     page = F.get(F.col("pages"), F.col("b.source.pageIndex"))["text"]
     return rows.select(
         "document_id", "block_order", F.col("b.blockId").alias("block_id"), F.col("b.kind").alias("kind"),

@@ -164,7 +164,7 @@ def document_chunks(docs: DataFrame, corrections: DataFrame | None = None, size:
             lambda c: F.struct(F.concat(F.lit(marker), c).alias("text"), F.lit(0).alias("page_number"),
                                F.lit(True).alias("user_correction")))))
     rows = body.select(*ids, "title", "version", "index_hash",
-                       F.posexplode(F.concat(from_pages, from_notes)).alias("at", "chunk"))
+                       F.posexplode_outer(F.concat(from_pages, from_notes)).alias("at", "chunk")).filter("chunk IS NOT NULL")
     position = (F.col("at") + 1).alias("position")
     return rows.select(
         chunk_id(F.col("document_id"), F.col("index_hash"), F.col("at") + 1).alias("chunk_id"), *ids,

@@ -47,7 +47,8 @@ def source_lines(docs: DataFrame) -> DataFrame:
     """document_id, page_index, page_number, line_no, raw for every physical line."""
     pages = docs.select("document_id", F.posexplode("pages").alias("page_index", "page"))
     return pages.select("document_id", "page_index", F.col("page.page_number").alias("page_number"),
-                        F.posexplode(lines_keeping_breaks(F.col("page.text"))).alias("line_no", "raw"))
+                        F.posexplode_outer(lines_keeping_breaks(F.col("page.text"))).alias("line_no", "raw")).filter(
+        "raw IS NOT NULL")
 
 
 def first_line(pages: Column) -> Column:

@@ -21,6 +21,8 @@ from foliarc.functions import ranking
 from foliarc.functions.text import fold_case, let, tokens
 from foliarc.session import BROADCAST_BYTES, durable, fits_broadcast
 
+# Computed arrays are exploded with explode_outer: under an inner explode the optimizer adds
+# size and not-NULL filters, which would compute the array again.
 VECTOR_BUCKETS = 32
 SCORE_DIGITS = 8
 
@@ -54,7 +56,7 @@ def _word_counts(chunks: DataFrame) -> DataFrame:
     entry = F.concat(
         F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("token"), F.lit(0).alias("size"))),
         F.array(F.struct(F.lit(None).cast("string").alias("token"), F.size("words").alias("size"))))
-    return words.select("scope", F.explode(entry).alias("e")).groupBy("scope", F.col("e.token").alias("token")).agg(
+    return words.select("scope", F.explode_outer(entry).alias("e")).filter("e IS NOT NULL").groupBy("scope", F.col("e.token").alias("token")).agg(
         F.count(F.lit(1)).alias("df"), F.sum("e.size").alias("size"))
 
 
@@ -75,7 +77,7 @@ def corpus_statistics(chunks: DataFrame) -> DataFrame:
 
 def query_terms(questions: DataFrame) -> DataFrame:
     """scope, question_id, token, qtf: repeated question words count with their repetition."""
-    words = _with_scope(questions).select("scope", "question_id", F.explode(tokens(F.col("text"))).alias("token"))
+    words = _with_scope(questions).select("scope", "question_id", F.explode_outer(tokens(F.col("text"))).alias("token"))
     return words.groupBy("scope", "question_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
 
 
@@ -88,7 +90,7 @@ def _term_parts(questions: DataFrame, chunks: DataFrame, stats: DataFrame) -> Da
     # Only postings of question words survive the first join; a chunk's words are combined in place.
     postings = (
         chunks.select("scope", "chunk_id", tokens(F.col("text")).alias("words"))
-        .select("scope", "chunk_id", F.size("words").alias("dl"), F.explode("words").alias("token"))
+        .select("scope", "chunk_id", F.size("words").alias("dl"), F.explode_outer("words").alias("token"))
         .join(F.broadcast(needed) if small else needed, ["scope", "token"], "left_semi")
         .groupBy("scope", "chunk_id", "dl", "token").agg(F.count(F.lit(1)).alias("f")))
     idf = (

@@ -159,7 +159,7 @@ def strategies(t: Tables):
 WITH {sql_vector('documents', 'doc_id', 'dv')[1:]}
 SELECT id AS doc_id, CAST(slot AS BIGINT) AS slot, v AS weight FROM dv_b""")
 def vectors(t: Tables):
-    return (spread(t.documents, "doc_id").select("doc_id", F.posexplode(retrieve.hashed_vector(F.col("text"))).alias("slot", "weight"))
+    return (spread(t.documents, "doc_id").select("doc_id", F.posexplode_outer(retrieve.hashed_vector(F.col("text"))).alias("slot", "weight"))
             .filter("weight > 0").select("doc_id", F.col("slot").cast("bigint").alias("slot"),
                                          F.col("weight").cast("double").alias("weight")))
 

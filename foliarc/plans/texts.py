@@ -170,7 +170,7 @@ def chunk_cover(t: Tables):
 @query("split_chunks")
 def split(t: Tables):
     cut = spread(t.documents, "doc_id").select("doc_id", chunks.split_chunks(F.col("text")).alias("c"))
-    return cut.select("doc_id", F.posexplode("c").alias("at", "chunk")).select(
+    return cut.select("doc_id", F.posexplode_outer("c").alias("at", "chunk")).filter("chunk IS NOT NULL").select(
         "doc_id", (F.col("at") + 1).alias("position"), F.length("chunk").alias("size"),
         F.sha2("chunk", 256).alias("chunk_hash"))
 
