@@ -95,13 +95,15 @@ def annotated_lines(docs: DataFrame) -> DataFrame:
     accepted = F.col("result").isNotNull()
     order = W.partitionBy("document_id").orderBy("page_index", "line_no").rowsBetween(W.unboundedPreceding, 0)
     lines = lines.withColumn("row_number", F.when(accepted, F.sum(accepted.cast("int")).over(order)).cast("int"))
+    whole = W.partitionBy("document_id")
+    lines = lines.withColumn("patient", F.max(subject).over(whole))
     kind = (
         F.when(F.col("date").isNotNull(), F.lit("DATE")).when(F.col("role").isNotNull(), F.lit("INVALID_DATE"))
         .when(subject, F.lit("SUBJECT")).when(F.col("row_number") > vocab.ROW_LIMIT, F.lit("ROW_LIMIT"))
         .when(accepted, F.lit("ROW")).when(F.col("candidate"), F.lit("UNSUPPORTED_ROW"))
         .otherwise(F.lit("UNSUPPORTED_CONTENT")))
     return lines.select("document_id", "page_index", "page_number", "line_no", "start_byte", "end_byte", "text",
-                        kind.alias("kind"), "candidate", "role", "date", "fields", "result", "row_number")
+                        kind.alias("kind"), "candidate", "role", "date", "fields", "result", "row_number", "patient")
 
 
 def lab_dates(lines: DataFrame) -> DataFrame:
@@ -115,13 +117,12 @@ def lab_subjects(lines: DataFrame) -> DataFrame:
 
 def lab_rows(lines: DataFrame) -> DataFrame:
     """Accepted rows; a subject line anywhere in the report makes them the patient's."""
-    patients = lab_subjects(lines).select("document_id").distinct().withColumn("subject", F.lit("PATIENT"))
-    rows = lines.filter("kind = 'ROW'").select(
+    return lines.filter("kind = 'ROW'").select(
         "document_id", F.col("row_number").alias("row_index"), F.get("fields", F.lit(0)).alias("name"), "result.*",
         F.nullif(F.get("fields", F.lit(2)), F.lit("")).alias("unit"),
         F.nullif(F.get("fields", F.lit(3)), F.lit("")).alias("reference"), "page_index", "page_number", "start_byte",
-        "end_byte", F.col("text").alias("source_text"))
-    return rows.join(patients, "document_id", "left").withColumn("subject", F.coalesce("subject", F.lit("UNKNOWN")))
+        "end_byte", F.col("text").alias("source_text"),
+        F.when(F.col("patient"), F.lit("PATIENT")).otherwise(F.lit("UNKNOWN")).alias("subject"))
 
 
 def lab_issues(lines: DataFrame) -> DataFrame:

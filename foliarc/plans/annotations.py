@@ -36,15 +36,15 @@ def reports(t: Tables):
 
 
 LAB = """
-li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n,
-  replace(CAST(l_quantity AS VARCHAR), '.', ',') AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+li AS (SELECT *, replace(CAST(l_quantity AS VARCHAR), '.', ',') AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 ln AS (SELECT *, CASE WHEN l_discount >= 0.09 THEN 'n/a' WHEN l_returnflag = 'N' THEN '<' || q WHEN l_returnflag = 'A' THEN q
     ELSE 'Positive' END AS raw, CASE WHEN l_tax < 0.04 THEN 'mg/L' END AS unit,
   strlen('Laboratory report' || chr(10) || 'Result date: ' || CASE WHEN o_orderstatus = 'P' THEN '02.1997' ELSE '1997-01-01' END
     || chr(10) || CASE WHEN o_orderstatus = 'O' THEN 'Result date: 11.11.2011' || chr(10) ELSE '' END
     || CASE WHEN o_orderpriority = '1-URGENT' THEN 'Subject: patient' || chr(10) ELSE '' END
     || 'Test | Result | Unit | Reference' || chr(10)) AS head FROM li),
-tx AS (SELECT *, 'Part ' || l_partkey || ' | ' || raw || ' | ' || coalesce(unit, '') || ' | 0-' || l_suppkey AS line FROM ln),
+t0 AS (SELECT *, 'Part ' || l_partkey || ' | ' || raw || ' | ' || coalesce(unit, '') || ' | 0-' || l_suppkey AS line FROM ln),
+tx AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, line) AS n FROM t0),
 ps AS (SELECT *, head + coalesce(sum(strlen(line) + 1) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN
   UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM tx),
 lab AS (SELECT l_orderkey AS document_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS row_index,
