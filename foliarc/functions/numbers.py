@@ -16,7 +16,9 @@ def decimal_text(number: Column) -> Column:
     sign = F.regexp_extract(number, r"^([+-]?)", 1)
     whole = F.regexp_extract(number, r"^[+-]?(\d+)", 1)
     fraction = F.regexp_extract(number, r"\.(\d+)", 1)
-    exponent = F.coalesce(F.regexp_extract(number, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
+    # A failing try_cast costs an exception, so texts without a number never reach it.
+    exponent = F.when(number.rlike("[eE]"), F.coalesce(
+        F.regexp_extract(number, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))).otherwise(F.lit(0))
     bare = F.ltrim(F.concat(whole, fraction), F.lit("0"))
     parts = F.struct(
         F.when(bare == "", F.lit("0")).otherwise(bare).alias("digits"),
@@ -48,8 +50,8 @@ def parse_result(raw: Column) -> Column:
         pattern = "^" + vocab.RESULT + r"\z"
         sign = F.regexp_extract(text, pattern, 1)
         number = F.translate(F.regexp_extract(text, pattern, 2), ",−", ".-")
-        value = number.try_cast("double")
-        finite = text.rlike(pattern) & value.isNotNull() & (F.abs(value) < float("inf"))
+        value = F.when(text.rlike(pattern), number.try_cast("double"))
+        finite = value.isNotNull() & (F.abs(value) < float("inf"))
         comparator = (F.when(sign == "≤", F.lit("<=")).when(sign == "≥", F.lit(">="))
                       .when(sign == "", F.lit("=")).otherwise(sign))
         numeric = F.struct(text.alias("raw"), F.lit("NUMERIC").alias("kind"), comparator.alias("comparator"),
@@ -97,7 +99,8 @@ def resolve_period(question: Column, start: Column, end: Column, today: Column)
     """{date_from, date_to, violation}: explicit dates win, else a period named in the question."""
     none = F.lit(None).cast("date")
     year = F.year(today)
-    named = F.regexp_extract(question, vocab.PERIOD_NAMED_YEAR, 1).try_cast("int")
+    named = F.when(question.rlike(vocab.PERIOD_NAMED_YEAR),
+                   F.regexp_extract(question, vocab.PERIOD_NAMED_YEAR, 1).cast("int"))
     explicit = start.isNotNull() | end.isNotNull()
     previous = question.rlike(vocab.PERIOD_PREVIOUS_YEAR)
     recent = question.rlike(vocab.PERIOD_LAST_YEAR)

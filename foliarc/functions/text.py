@@ -12,6 +12,8 @@ from foliarc import vocab
 # Unicode whitespace written out: Java's \s is ASCII only.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NON_SPACE = r"[^\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE_CHARS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+               "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 LINE_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
 # A Unicode noncharacter marks cut positions while a text is being split.
 CUT = "\ufdd0"
@@ -39,11 +41,15 @@ def fold_case(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def strip_right(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+\\z", "")
+    return F.rtrim(text, F.lit(SPACE_CHARS))
+
+
+def strip_left(text: Column) -> Column:
+    return F.ltrim(text, F.lit(SPACE_CHARS))
 
 
 def collapse(text: Column) -> Column:
@@ -69,7 +75,7 @@ def tokens(text: Column) -> Column:
 
 
 def non_blank(text: Column) -> Column:
-    return text.rlike(NON_SPACE)
+    return strip(text) != ""
 
 
 def lines_keeping_breaks(text: Column) -> Column:
@@ -136,7 +142,7 @@ def _whole_line_span(proposed: Column, source: Column) -> Column:
     def step(want: Column):
         def visit(state: Column, raw: Column) -> Column:
             hit = (state["k"] < F.size(want)) & (strip(raw) == F.get(want, state["k"]))
-            lead = F.length(raw) - F.length(F.regexp_replace(raw, f"^{SPACE}+", ""))
+            lead = F.length(raw) - F.length(strip_left(raw))
             return F.struct(
                 (state["k"] + hit.cast("int")).alias("k"),
                 F.when(hit & (state["k"] == 0), state["at"] + lead).otherwise(state["first"]).alias("first"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliarc import vocab
 from foliarc.functions.hashing import canonical_json, chunk_id
-from foliarc.functions.text import CUT, NON_SPACE, SPACE, let, lines_keeping_breaks, strip
+from foliarc.functions.text import CUT, NON_SPACE, SPACE, let, lines_keeping_breaks, strip, strip_left, strip_right
 from foliarc.operators.catalogue import correction_eligible
 
 _ABBREVIATED = vocab.NOT_AFTER_WORD + "(?:" + "|".join(vocab.ABBREVIATIONS) + r")\."
@@ -34,8 +34,8 @@ def _by_words(text: Column, size: int) -> Column:
 
 def _bounded(piece: Column, size: int) -> Column:
     # _by_words trims, so the outer whitespace is put back to keep the pieces gapless.
-    lead = F.regexp_extract(piece, f"^({SPACE}*)", 1)
-    tail = F.regexp_extract(piece, f"({SPACE}*)\\z", 1)
+    lead = F.substring(piece, F.lit(1), F.length(piece) - F.length(strip_left(piece)))
+    tail = F.substring(piece, F.length(strip_right(piece)) + 1, F.length(piece))
     return F.when(F.length(strip(piece)) <= size, F.array(piece)).otherwise(
         F.concat(F.array(lead), _by_words(piece, size), F.array(tail)))
 
@@ -61,8 +61,8 @@ def _paragraph_pieces(paragraph: Column, size: int) -> Column:
         return (F.when(F.length(strip(block)) <= size, F.array(block))
                 .when(_is_row(F.get(lines_keeping_breaks(block), F.lit(0))), _bounded(block, size)).otherwise(sentences))
     # Leading whitespace is not part of the paragraph: it must not hide a first-line bullet.
-    lead = F.regexp_extract(paragraph, f"^({SPACE}*)", 1)
-    body = F.regexp_replace(paragraph, f"^{SPACE}+", "")
+    body = strip_left(paragraph)
+    lead = F.substring(paragraph, F.lit(1), F.length(paragraph) - F.length(body))
     long_pieces = F.concat(F.array(lead), F.flatten(F.transform(_line_blocks(body), of_block)))
     return F.when(F.length(strip(paragraph)) <= size, F.array(paragraph)).otherwise(long_pieces)
 
@@ -74,7 +74,7 @@ def unit_spans(text: Column, size: int) -> Column:
     empty = F.array().cast(_SPANS)
 
     def step(state: Column, piece: Column) -> Column:
-        lead = F.length(piece) - F.length(F.regexp_replace(piece, f"^{SPACE}+", ""))
+        lead = F.length(piece) - F.length(strip_left(piece))
         kept = F.length(strip(piece))
         unit = F.struct((state["at"] + lead).cast("int").alias("s"), (state["at"] + lead + kept).cast("int").alias("e"))
         return F.struct((state["at"] + F.length(piece)).cast("int").alias("at"),

@@ -84,7 +84,7 @@ def annotated_lines(docs: DataFrame) -> DataFrame:
     label = F.when(F.contains("bare", F.lit(":")), fold_case(F.substring_index("bare", ":", 1)))
     value = F.substring(F.col("bare"), F.locate(":", F.col("bare")) + 1, F.length("bare"))
     lines = lines.withColumn("role", date_role(label)).withColumn("date", F.when(F.col("role").isNotNull(), lab_date(value)))
-    subject = fold_case(F.col("bare")).isin(vocab.SUBJECT_LINES)
+    subject = (F.length("bare") <= 32) & fold_case(F.col("bare")).isin(vocab.SUBJECT_LINES)
     plain_row = F.col("bare").rlike(r"(?iu);\s*референс" + vocab.NOT_BEFORE_WORD)
     candidate = F.col("role").isNull() & ~subject & (F.col("in_table") | plain_row)
     fields = F.when(~candidate | contains_command(F.col("text")), F.lit(None)).when(
