@@ -251,7 +251,7 @@ def public_packages(responses: DataFrame, spans: DataFrame, model_warnings: Data
     texts = F.transform("sources", lambda s: s["text"])
     fields = F.when(F.col("insufficient"), F.array(F.lit(vocab.ABSTAIN))).otherwise(
         F.concat(F.transform("parts", lambda p: p["text"]), texts))
-    marked = responses.withColumn("_valid", F.coalesce(valid, F.lit(False)))
+    marked = durable(responses.withColumn("_valid", F.coalesce(valid, F.lit(False))))
     packages = marked.filter("_valid").select(F.col("response_id").alias("package_id"), fields.alias("fields"),
                                               F.array_join(texts, "\n").alias("identifier_context"))
     checked = apply_identifier_spans(redact(packages), spans, strict=True, model_warnings=model_warnings)

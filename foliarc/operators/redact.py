@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foliarc import vocab
 from foliarc.functions import redaction as r
 from foliarc.functions.text import fold_case, letters, span_pattern, strip
+from foliarc.session import durable
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -80,6 +81,8 @@ def apply_identifier_spans(packages: DataFrame, spans: DataFrame, strict: bool =
     ``packages``: the result of :func:`redact`; ``spans``: package_id, ord, text, category. Strict mode
     blocks a package on any span that cannot be applied; lenient mode leaves it and warns.
     """
+    # Four branches read the redacted texts; the rules run once.
+    packages = durable(packages)
     clean = packages.filter(F.col("code").isNull())
     judged = judge_spans(clean, spans)
     labels = span_labels(clean, judged).groupBy("package_id").agg(
