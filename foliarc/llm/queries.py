@@ -82,3 +82,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from foliarc.llm.byte_bpe import encode_documents
 
     return encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from foliarc.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, folder, "documents"))
