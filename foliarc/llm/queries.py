@@ -89,3 +89,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from foliarc.llm.suffix_dedup import remove_repeats
 
     return remove_repeats(table(spark, folder, "documents"))
+
+
+@query("op4_simhash_components")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from foliarc.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
