@@ -96,3 +96,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     from foliarc.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op7_importance_resampling")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from foliarc.llm.quality import resample
+
+    return resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
