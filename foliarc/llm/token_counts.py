@@ -42,9 +42,9 @@ def lengths_of(path: str, words: list[str]) -> list[int]:
 
 
 def frequent_lengths(docs: DataFrame, path: str, words: int = TABLE_WORDS, sample_rows: int = SAMPLE_ROWS) -> dict[str, int]:
-    """Lengths of the commonest pre-tokens of ``sample_rows`` rows: only a cache, so a sample is enough.
+    """Lengths of the commonest pre-tokens of about ``sample_rows`` rows: only a cache, so a sample is enough.
 
-    Tasks count their part; the driver receives at most ``words`` rows.
+    Tasks count their part of the sample; the driver receives at most ``words`` rows.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,7 +54,9 @@ def frequent_lengths(docs: DataFrame, path: str, words: int = TABLE_WORDS, sampl
                 seen.update(w for w in text.split() if len(w) <= LONGEST_CACHED)
         yield pd.DataFrame(seen.most_common(words), columns=["word", "n"])
 
-    sample = docs.select(text_or_empty().alias("text")).limit(sample_rows)
+    rows = docs.count()
+    texts = docs.select(text_or_empty().alias("text"))
+    sample = texts.sample(fraction=sample_rows / rows, seed=1) if rows > sample_rows else texts
     top = sample.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     common = [r[0] for r in top.orderBy(F.desc("n"), "word").limit(words).collect()]
     return dict(zip(common, lengths_of(path, common)))
