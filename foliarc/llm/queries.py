@@ -103,3 +103,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     from foliarc.llm.quality import resample
 
     return resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_chunked_media")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from foliarc.llm.media import media_features
+
+    return media_features(table(spark, folder, "documents"))
