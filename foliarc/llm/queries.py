@@ -110,3 +110,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     from foliarc.llm.media import media_features
 
     return media_features(table(spark, folder, "documents"))
+
+
+@query("op3_kmeans_tree_search")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from foliarc.llm.ann import search
+
+    return search(table(spark, folder, "embeddings"))
