@@ -117,3 +117,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     from foliarc.llm.ann import search
 
     return search(table(spark, folder, "embeddings"))
+
+
+@query("op10_chat_repair")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from foliarc.llm.chat import format_chats
+
+    return format_chats(table(spark, folder, "conversations"))
