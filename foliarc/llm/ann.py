@@ -142,7 +142,7 @@ def grow(vectors: DataFrame, rows: int, dims: int) -> KMeansTree:
     picked = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, rows // SAMPLE))) == 0).limit(SAMPLE)
     sample = stack(picked.toPandas().sort_values("vec_id")["embedding"]) if rows else np.zeros((0, dims))
     leaf_size = max(LEAST_SAMPLE, int(np.ceil(LEAF_ROWS * len(sample) / max(1, rows))))
-    return KMeansTree(sample.reshape(-1, dims), leaf_size)
+    return KMeansTree(sample.reshape(len(sample), dims), leaf_size)
 
 
 def calibrated_visits(tree: KMeansTree, index: DataFrame, known: pd.DataFrame, k: int, target: float) -> int:
