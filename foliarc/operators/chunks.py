@@ -122,18 +122,20 @@ def correction_text(name: Column, value_text: Column, value_number: Column, unit
                     fact_id.cast("string"), F.lit(")"))
 
 
-def document_chunks(docs: DataFrame, corrections: DataFrame | None = None, size: int = vocab.CHUNK_SIZE,
+def _pages() -> Column:
+    """The pages of a document; one without pages is a single page without number."""
+    return F.when(F.size(F.coalesce("pages", F.array().cast("array<struct<page_number:int,text:string>>"))) > 0,
+                  F.col("pages")).otherwise(
+        F.array(F.struct(F.lit(None).cast("int").alias("page_number"), F.col("text").alias("text"))))
+
+
+def with_index_hash(docs: DataFrame, corrections: DataFrame | None = None, size: int = vocab.CHUNK_SIZE,
                     overlap: int = vocab.CHUNK_OVERLAP, embedding_model: str = "hashed-words",
                     revision: bool = False) -> DataFrame:
-    """Chunks of every document: pages in order, then reviewed corrections.
+    """``docs`` with ``notes`` and ``index_hash``: a digest of all that decides a document's chunks.
 
-    ``docs``: document_id, title, version, text, pages (array of page_number, text; may be empty
-    or NULL) and, with ``revision``, revision_id.
+    It needs no chunking, so unchanged documents are told apart before the costly part.
     """
-    ids = ["document_id", "revision_id"] if revision else ["document_id"]
-    pages = F.when(F.size(F.coalesce("pages", F.array().cast("array<struct<page_number:int,text:string>>"))) > 0,
-                   F.col("pages")).otherwise(
-        F.array(F.struct(F.lit(None).cast("int").alias("page_number"), F.col("text").alias("text"))))
     empty = F.array().cast("array<struct<fact_id:string,name:string,value_text:string,value_number:double,"
                            "unit:string,review_status:string>>")
     if corrections is not None:
@@ -149,8 +151,21 @@ def document_chunks(docs: DataFrame, corrections: DataFrame | None = None, size:
         (F.col("revision_id") if revision else F.lit(None).cast("string")).alias("revision_id"),
         F.lit(vocab.SPLITTER_VERSION).alias("splitter"), F.col("text").alias("text"), F.col("title").alias("title"),
         F.col("version").alias("version"))
-    body = docs.select(*ids, "title", "version", F.sha2(canonical_json(described), 256).alias("index_hash"),
-                       pages.alias("pages"), "notes")
+    return docs.withColumn("index_hash", F.sha2(canonical_json(described), 256))
+
+
+def document_chunks(docs: DataFrame, corrections: DataFrame | None = None, size: int = vocab.CHUNK_SIZE,
+                    overlap: int = vocab.CHUNK_OVERLAP, embedding_model: str = "hashed-words",
+                    revision: bool = False) -> DataFrame:
+    """Chunks of every document: pages in order, then reviewed corrections.
+
+    ``docs``: document_id, title, version, text, pages (array of page_number, text; may be empty
+    or NULL) and, with ``revision``, revision_id.
+    """
+    ids = ["document_id", "revision_id"] if revision else ["document_id"]
+    hashed = with_index_hash(docs, corrections, size, overlap, embedding_model, revision)
+    pages = _pages()
+    body = hashed.select(*ids, "title", "version", "index_hash", pages.alias("pages"), "notes")
     from_pages = F.flatten(F.transform(
         "pages", lambda p: F.transform(split_chunks(p["text"], size, overlap), lambda c: F.struct(
             c.alias("text"), F.coalesce(p["page_number"], F.lit(0)).alias("page_number"),
@@ -175,7 +190,7 @@ def document_chunks(docs: DataFrame, corrections: DataFrame | None = None, size:
 def plan_index(docs: DataFrame, stored: DataFrame) -> DataFrame:
     """Documents whose index hash is new: the costly chunking is skipped for the others.
 
-    Both sides carry document_id and index_hash.
+    ``docs`` comes from :func:`with_index_hash`; both sides carry document_id and index_hash.
     """
     return docs.join(stored.select("document_id", "index_hash"), ["document_id", "index_hash"], "left_anti")
 

@@ -20,12 +20,15 @@ def budget_prefix(rows: DataFrame, keys: list[str], order: list[str], size: Colu
 
 
 def prepare_consultations(requests: DataFrame, docs: DataFrame, texts: DataFrame, facts: DataFrame,
-                          snippets: DataFrame) -> DataFrame:
-    """consultation_id, content, content_hash, status, code, source_refs.
+                          snippets: DataFrame, text_chars: int | None = None, budget: int | None = None,
+                          max_documents: int | None = None) -> DataFrame:
+    """consultation_id, content, content_hash, status, code, source_refs, warnings.
 
     ``requests``: consultation_id, question, document_ids (ordered); ``snippets``: consultation_id,
-    document_id, ord, text (cited excerpts; without any the text itself is used). At most eight
-    READY live documents; contexts are added within the budget; the package is redacted as a whole.
+    document_id, ord, text (cited excerpts; without any that is not blank the text itself is used).
+    READY live documents only; the package is redacted as a whole. Nothing is cut unless
+    ``text_chars`` (of one document), ``budget`` (of all contexts) or ``max_documents`` is given,
+    and ``warnings`` then lists each cut: DOCUMENT_TRUNCATED:<id> or DOCUMENT_OMITTED:<id>.
     """
     chosen = requests.select("consultation_id", "question", F.posexplode(F.array_distinct("document_ids")).alias(
         "place", "document_id"))
@@ -42,16 +45,23 @@ def prepare_consultations(requests: DataFrame, docs: DataFrame, texts: DataFrame
                                  lambda r: r["line"]), "\n").alias("reviewed"))
     joined = chosen.join(current, "document_id", "left").join(cited, ["consultation_id", "document_id"], "left").join(
         reviewed, "document_id", "left")
-    text = F.coalesce("cited", "content")
+    text = F.when(F.coalesce(non_blank(F.col("cited")), F.lit(False)), F.col("cited")).otherwise(F.col("content"))
+    shown = text if text_chars is None else F.substring(text, 1, text_chars)
     date = F.concat(F.lit("Medical date: "), F.coalesce(F.col("document_date").cast("string"), F.lit("unknown")))
-    parts = F.filter(F.array(date, F.substring(text, 1, vocab.CONSULTATION_TEXT_CHARS), F.col("reviewed")),
+    parts = F.filter(F.array(date, shown, F.col("reviewed")),
                      lambda p: p.isNotNull() & (p != ""))
     contexts = joined.withColumn("context", F.array_join(parts, "\n")).withColumn(
-        "_bad", F.col("title").isNull() | ~F.coalesce(non_blank(text), F.lit(False)))
+        "_bad", F.col("title").isNull() | ~F.coalesce(non_blank(text), F.lit(False))).withColumn(
+        "_cut", F.coalesce(F.length(text) > F.length(shown), F.lit(False)))
     checks = contexts.groupBy("consultation_id").agg(
         F.bool_or("_bad").alias("bad"), F.count(F.lit(1)).alias("n"),
         F.sort_array(F.collect_list(F.struct("place", "document_id", "title", "text_version", "generation"))).alias("source_refs"))
-    kept = budget_prefix(contexts, ["consultation_id"], ["place"], F.length("context"), vocab.CONSULTATION_BUDGET)
+    kept = contexts if budget is None else budget_prefix(contexts, ["consultation_id"], ["place"], F.length("context"), budget)
+    left_out = contexts.join(kept.select("consultation_id", "place", F.lit(True).alias("_kept")), ["consultation_id", "place"], "left")
+    note = F.when(F.col("_kept").isNull(), F.concat(F.lit("DOCUMENT_OMITTED:"), F.col("document_id").cast("string"))).when(
+        F.col("_cut"), F.concat(F.lit("DOCUMENT_TRUNCATED:"), F.col("document_id").cast("string")))
+    notes = left_out.select("consultation_id", "place", note.alias("note")).filter("note IS NOT NULL").groupBy("consultation_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("place", "note"))), lambda n: n["note"]).alias("warnings"))
     bodies = kept.groupBy("consultation_id").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("place", "context"))), lambda r: r["context"]), "\n\n---\n\n").alias("body"))
     packages = requests.select("consultation_id", "question").join(bodies, "consultation_id", "left").select(
@@ -60,14 +70,17 @@ def prepare_consultations(requests: DataFrame, docs: DataFrame, texts: DataFrame
             F.coalesce("body", F.lit("")))).alias("fields"), F.lit("").alias("identifier_context"))
     clean = redact(packages).select(F.col("package_id").alias("consultation_id"), F.get("texts", F.lit(0)).alias("text"),
                                     F.col("code").alias("privacy_code"))
-    done = requests.select("consultation_id").join(checks, "consultation_id", "left").join(clean, "consultation_id", "left")
+    done = requests.select("consultation_id").join(checks, "consultation_id", "left").join(clean, "consultation_id", "left").join(
+        notes, "consultation_id", "left")
+    over = F.lit(False) if max_documents is None else F.col("n") > max_documents
     code = (F.when(F.coalesce("n", F.lit(0)) == 0, F.lit("INSUFFICIENT_CONTEXT"))
-            .when(F.col("n") > vocab.CONSULTATION_DOCUMENTS, F.lit("CONTEXT_LIMIT"))
+            .when(over, F.lit("CONTEXT_LIMIT"))
             .when(F.col("bad"), F.lit("SOURCE_UNAVAILABLE")).otherwise(F.col("privacy_code")))
     return done.withColumn("code", code).withColumn(
         "content", F.when(F.col("code").isNull(), cat.export_safe(F.col("text")))).select(
         "consultation_id", "content", content_hash(F.col("content")).alias("content_hash"),
-        F.when(F.col("code").isNull(), F.lit("NEEDS_REVIEW")).alias("status"), "code", "source_refs")
+        F.when(F.col("code").isNull(), F.lit("NEEDS_REVIEW")).alias("status"), "code", "source_refs",
+        F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
 
 
 def edit_drafts(drafts: DataFrame, edits: DataFrame) -> DataFrame:

@@ -22,8 +22,10 @@ from foliarc.session import durable
 # ---- corrective retrieval ----------------------------------------------------------------
 def grade_and_route(retrieved: DataFrame, grades: DataFrame, chunks: DataFrame,
                     min_relevant: int = vocab.MIN_RELEVANT_CHUNKS,
-                    retries: int = vocab.CORRECTIVE_RETRIES) -> tuple[DataFrame, DataFrame]:
-    """(routes, relevant).
+                    retries: int = vocab.CORRECTIVE_RETRIES,
+                    questions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(routes, relevant). With ``questions`` (question_id), one for which nothing was retrieved gets its
+    route too: insufficient after the last retry.
 
     ``retrieved``: question_id, pass (0..retries), rank, chunk_id; ``grades``: question_id, pass,
     chunk_id, relevant, evidence. A grade counts only when its evidence verifies in the chunk. The
@@ -39,6 +41,11 @@ def grade_and_route(retrieved: DataFrame, grades: DataFrame, chunks: DataFrame,
     routes = passes.groupBy("question_id").agg(
         F.coalesce(F.min(F.when(enough, F.col("pass"))), F.max("pass")).alias("pass"),
         F.bool_or(enough).alias("sufficient")).withColumn("retry_count", F.col("pass"))
+    if questions is not None:
+        routes = questions.select("question_id").distinct().join(routes, "question_id", "left").select(
+            "question_id", F.coalesce("pass", F.lit(retries)).cast(routes.schema["pass"].dataType).alias("pass"),
+            F.coalesce("sufficient", F.lit(False)).alias("sufficient"),
+            F.coalesce("retry_count", F.lit(retries)).cast(routes.schema["retry_count"].dataType).alias("retry_count"))
     kept = judged.filter("accepted").join(routes.filter("sufficient").select("question_id", "pass"), ["question_id", "pass"])
     order = W.partitionBy("question_id").orderBy("rank")
     relevant = kept.withColumn("citation", F.row_number().over(order)).select("question_id", "citation", "chunk_id")

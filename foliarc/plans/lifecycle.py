@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliarc import vocab
 from foliarc.operators import catalogue as cat
 from foliarc.operators import chunks as ch
 from foliarc.operators import consult, evidence, lifecycle, redact, retrieve, scoring
@@ -354,19 +355,21 @@ def seed_guard(t: Tables):
 @query("prepare_consultations")
 def prepare(t: Tables):
     c = consultations(t).withColumn("document_ids", F.transform("source_refs", lambda r: r["document_id"]))
-    snippets = x.facts(t).filter("document_id < 0").select(
-        F.lit(0).cast(BIG).alias("consultation_id"), "document_id", F.lit(0).alias("ord"), F.lit("").alias("text"))
-    done = consult.prepare_consultations(c.select("consultation_id", "question", "document_ids"), x.docs(t), x.texts(t),
-                                         x.facts(t), snippets)
+    asked = c.select("consultation_id", "question", "document_ids")
+    # Every fifth document is cited, every tenth by a blank excerpt that falls back to the text.
+    cited = asked.select("consultation_id", F.explode("document_ids").alias("document_id")).filter("document_id % 5 = 0")
+    snippets = cited.select("consultation_id", "document_id", F.lit(0).alias("ord"), F.when(
+        F.col("document_id") % 10 == 0, F.lit(" ")).otherwise(F.concat(F.lit("Excerpt of "), F.col("document_id").cast("string"))).alias("text"))
+    done = consult.prepare_consultations(asked, x.docs(t), x.texts(t), x.facts(t), snippets, max_documents=vocab.CONSULTATION_DOCUMENTS)
     return done.select("consultation_id", "code", "status", "content_hash")
 
 
 @query("prepare_consultation_codes", ctes("docs") + """
 , c AS (SELECT o_custkey AS consultation_id, count(*) AS n, bool_or(d.deleted_at IS NOT NULL OR d.status <> 'READY') AS bad
   FROM orders JOIN docs d ON d.document_id = o_orderkey GROUP BY 1)
-SELECT consultation_id, CASE WHEN n > 8 THEN 'CONTEXT_LIMIT' ELSE 'SOURCE_UNAVAILABLE' END AS code FROM c WHERE n > 8 OR bad""")
+SELECT consultation_id, CASE WHEN n > 8 THEN 'CONTEXT_LIMIT' WHEN bad THEN 'SOURCE_UNAVAILABLE' END AS code FROM c""")
 def prepare_codes(t: Tables):
-    return prepare(t).filter(F.col("code").isin("CONTEXT_LIMIT", "SOURCE_UNAVAILABLE")).select("consultation_id", "code")
+    return prepare(t).select("consultation_id", "code")
 
 
 def drafts(t: Tables):
@@ -380,11 +383,10 @@ def drafts(t: Tables):
 
 
 @query("snk_6_gated_export", """
-SELECT doc_id AS consultation_id, CASE WHEN lang IN ('de', 'fr') THEN 'REVIEW_REQUIRED' ELSE 'PRIVACY_CHECK_FAILED' END AS code
-FROM documents WHERE lang IN ('de', 'fr', 'es')""")
+SELECT doc_id AS consultation_id, CASE WHEN lang IN ('de', 'fr') THEN 'REVIEW_REQUIRED' WHEN lang = 'es' THEN 'PRIVACY_CHECK_FAILED' END AS code,
+  CASE WHEN lang = 'en' THEN sha256(text) END AS passed FROM documents""")
 def export(t: Tables):
-    gated = consult.export_gate(drafts(t)).join(drafts(t).select("consultation_id", "lang"), "consultation_id")
-    return gated.filter("lang <> 'en'").select("consultation_id", "code")
+    return consult.export_gate(drafts(t)).select("consultation_id", "code", F.sha2("content", 256).alias("passed"))
 
 
 @query("review_export_gate", """
@@ -497,22 +499,43 @@ def collision(t: Tables):
 
 
 def _packages(t: Tables):
+    """A turn and a note full of identifiers per package; the last turns have a missing field, an id that is also a count, or no fields."""
+    number = F.concat_ws("-", F.lit("A"), F.lpad(F.col("conv_id").cast("string"), 7, "0"))
+    note = F.concat(F.lit("Alina Petrova wrote from user"), F.col("conv_id").cast("string"), F.lit("@mail.org, patient id: "), number,
+                    F.lit(", took 5 mg of it; kept in scans/page"), F.col("turn").cast("string"), F.lit(".pdf, again "), number, F.lit("."))
+    twice = F.concat(F.lit("MRN: 77"), F.col("conv_id").cast("string"), F.lit(", count 77"), F.col("conv_id").cast("string"), F.lit(" cells"))
+    fields = F.when(F.col("turn") == 7, F.array(F.col("text"), F.lit(None).cast("string"))).when(
+        F.col("turn") == 6, F.array(F.col("text"), twice)).when(F.col("turn") == 5, F.lit(None).cast("array<string>")).otherwise(F.array(F.col("text"), note))
     return spread(t.conversations, "conv_id").select(
-        F.concat_ws("-", "conv_id", "turn").alias("package_id"), F.array("text").alias("fields"),
+        F.concat_ws("-", "conv_id", "turn").alias("package_id"), fields.alias("fields"),
         F.concat(F.lit("Patient: Alina Petrova, role "), "role").alias("identifier_context"))
 
 
-@query("redact_packages")
+NOTE_SQL = """'[PERSON_A] wrote from [EMAIL], [IDENTIFIER], took 5 mg of it; kept in [LOCAL_PATH], again [IDENTIFIER].'"""
+
+
+@query("redact_packages", f"""
+SELECT conv_id || '-' || turn AS package_id, CASE WHEN turn < 5 THEN text END AS first, CASE WHEN turn < 5 THEN {NOTE_SQL} END AS second,
+  CASE WHEN turn IN (5, 7) THEN 'PRIVACY_CHECK_FAILED' WHEN turn = 6 THEN 'CLINICAL_CONTENT_CHANGED' END AS code FROM conversations""")
 def redact_packages(t: Tables):
-    return redact.redact(_packages(t)).select("package_id", F.sha2(F.get("texts", F.lit(0)), 256).alias("h"), "code")
+    return redact.redact(_packages(t)).select("package_id", F.get("texts", F.lit(0)).alias("first"), F.get("texts", F.lit(1)).alias("second"), "code")
 
 
-@query("apply_identifier_spans")
+@query("apply_identifier_spans", f"""
+SELECT conv_id || '-' || turn AS package_id, CASE WHEN turn IN (1, 2, 4) THEN text END AS first,
+  CASE WHEN turn IN (1, 4) THEN {NOTE_SQL} WHEN turn = 2 THEN replace({NOTE_SQL}, 'wrote', '[CLINIC_A]') END AS second,
+  CASE WHEN turn IN (0, 3, 5, 7) THEN 'PRIVACY_CHECK_FAILED' WHEN turn = 6 THEN 'CLINICAL_CONTENT_CHANGED' END AS code,
+  CASE WHEN turn = 1 THEN 'SPAN_NOT_REPLACEABLE' WHEN turn = 4 THEN 'SPAN_WITH_NUMBERS_OR_NEGATION' ELSE '' END AS warnings FROM conversations""")
 def identifier_spans(t: Tables):
-    spans = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("package_id"), F.lit(0).alias("ord"),
-                                   F.regexp_extract("text", r"^(\p{L}+)", 1).alias("text"), F.lit("CLINIC").alias("category"))
-    done = redact.apply_identifier_spans(redact.redact(_packages(t)), spans.filter("text <> ''"))
-    return done.select("package_id", F.sha2(F.get("texts", F.lit(0)), 256).alias("h"), "code", F.array_join("warnings", ",").alias("warnings"))
+    # By turn: an unlisted category, part of a word, a word, a NULL text, a quantity.
+    span = F.when(F.col("turn") == 1, F.lit("wro")).when(F.col("turn") == 3, F.lit(None).cast("string")).when(
+        F.col("turn") == 4, F.lit("5 mg")).otherwise(F.lit("wrote"))
+    spans = t.conversations.filter("turn < 5").select(
+        F.concat_ws("-", "conv_id", "turn").alias("package_id"), F.lit(0).alias("ord"), span.alias("text"),
+        F.when(F.col("turn") == 0, F.lit("SECRET")).otherwise(F.lit("CLINIC")).alias("category"))
+    done = redact.apply_identifier_spans(redact.redact(_packages(t)), spans)
+    return done.select("package_id", F.get("texts", F.lit(0)).alias("first"), F.get("texts", F.lit(1)).alias("second"), "code",
+                       F.array_join("warnings", ",").alias("warnings"))
 
 
 @query("win_12_placeholder_lettering", """
@@ -553,10 +576,12 @@ r AS (SELECT question_id, coalesce(min(pass) FILTER (found >= 1), max(pass)) AS
 
 
 @query("grade_and_route", f"""
-WITH {ROUTE} SELECT question_id, CAST(pass AS BIGINT) AS retry_count, sufficient FROM r""")
+WITH {ROUTE} SELECT q.question_id, CAST(coalesce(pass, 1) AS BIGINT) AS retry_count, coalesce(sufficient, false) AS sufficient
+FROM (SELECT DISTINCT conv_id AS question_id FROM conversations) q LEFT JOIN r USING (question_id)""")
 def grade(t: Tables):
     chunks, retrieved, grades = _rag(t)
-    routes, _ = evidence.grade_and_route(retrieved, grades, chunks)
+    asked = t.conversations.select(F.col("conv_id").alias("question_id"))
+    routes, _ = evidence.grade_and_route(retrieved, grades, chunks, questions=asked)
     return routes.select("question_id", F.col("retry_count").cast(BIG).alias("retry_count"), "sufficient")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +35,15 @@ def build_session(app: str = "foliarc", cores: str = "*", **conf: str) -> SparkS
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage in the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used; a temporary one is set only where
-    neither the setting nor the context has a folder (single-machine tests).
+    The folder named by ``spark.checkpoint.dir`` is used. A cluster session without it is refused,
+    since executors could not read each other's files; only a local session gets a temporary one.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 

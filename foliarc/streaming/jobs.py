@@ -14,8 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from foliarc import vocab
-from foliarc.operators.chunks import document_chunks
+from foliarc.operators.chunks import document_chunks, with_index_hash
 from foliarc.operators.lifecycle import generation_fence
+from foliarc.session import durable
+
+# Folder of the document state inside the output; readers of the output skip names with an underscore.
+STATE = "_documents"
 
 
 def document_events(spark: SparkSession, folder: str, schema: StructType | str, files_per_batch: int = 64) -> DataFrame:
@@ -39,39 +43,49 @@ def ingest_documents(events: DataFrame, output: str, checkpoint: str, size: int
                      overlap: int = vocab.CHUNK_OVERLAP) -> StreamingQuery:
     """Chunk new or changed documents of every micro-batch.
 
-    ``events``: document_id, title, version, text, pages. A document whose text and settings were
-    already indexed is skipped. The batch folder is overwritten on replay; chunks of earlier batches
-    stay and are superseded by a higher batch id (see :func:`current_chunks`).
+    ``events``: document_id, title, version, text, pages. Versions only go up: one below the stored
+    version is refused. A document whose text and settings were already indexed is skipped before it
+    is chunked. Each batch writes one state row per document it indexed, also for one that became
+    empty, and the chunks; both folders carry the batch id and are overwritten on replay.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = batch.groupBy("document_id").agg(F.max_by(F.struct("title", "version", "text", "pages"), "version").alias("d")).select(
             "document_id", "d.*")
-        chunks = document_chunks(newest, size=size, overlap=overlap)
+        hashed = with_index_hash(newest, size=size, overlap=overlap)
         seen = _earlier(spark, output, batch_id)
         if seen is not None:
-            # The newest stored hash decides: going back to an older text is a change again.
-            stored = seen.groupBy("document_id").agg(F.max_by("index_hash", "batch").alias("index_hash"))
-            chunks = chunks.join(stored, ["document_id", "index_hash"], "left_anti")
-        chunks.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+            # Only the state of documents in this batch is gathered.
+            mine = seen.join(newest.select("document_id"), "document_id", "left_semi").groupBy("document_id").agg(
+                F.max("version").alias("stored_version"), F.max_by("index_hash", "batch").alias("stored_hash"))
+            hashed = hashed.join(mine, "document_id", "left").filter(
+                (F.col("stored_version").isNull() | (F.col("version") >= F.col("stored_version")))
+                & ~F.col("index_hash").eqNullSafe(F.col("stored_hash"))).drop("stored_version", "stored_hash")
+        hashed = durable(hashed)
+        hashed.select("document_id", "version", "index_hash").write.mode("overwrite").parquet(f"{output}/{STATE}/batch={batch_id}")
+        document_chunks(hashed.drop("index_hash"), size=size, overlap=overlap).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _earlier(spark: SparkSession, output: str, batch_id: int) -> DataFrame | None:
     try:
-        return spark.read.parquet(output).filter(F.col("batch") < batch_id)
+        return document_state(spark, output).filter(F.col("batch") < batch_id)
     except Exception as exc:  # no batch has been written yet
         if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
             return None
         raise
 
 
+def document_state(spark: SparkSession, output: str) -> DataFrame:
+    """document_id, version, index_hash, batch: what each batch indexed."""
+    return spark.read.option("basePath", f"{output}/{STATE}").parquet(f"{output}/{STATE}")
+
+
 def current_chunks(spark: SparkSession, output: str) -> DataFrame:
-    """Chunks of every document's newest batch."""
-    rows = spark.read.parquet(output)
-    newest = rows.groupBy("document_id").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["document_id", "batch"], "left_semi")
+    """Chunks of every document's newest batch; a document whose newest version is empty has none."""
+    newest = document_state(spark, output).groupBy("document_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(output).join(newest, ["document_id", "batch"], "left_semi")
 
 
 def fence_generations(events: DataFrame, documents: Callable[[], DataFrame], output: str, checkpoint: str) -> StreamingQuery:

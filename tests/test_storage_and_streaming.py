@@ -79,6 +79,22 @@ def test_ingest_skips_unchanged_and_replaces_changed(spark):
     assert spark.read.parquet(output).filter("document_id = 'a'").count() == 1
 
 
+def test_ingest_refuses_old_versions_and_drops_emptied_documents(spark):
+    source, output, checkpoint = folder(), folder() + "/out", folder()
+    schema = "document_id string, title string, version int, text string, pages array<struct<page_number:int,text:string>>"
+
+    def arrive(*rows):
+        spark.createDataFrame([(*r, None) for r in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.ingest_documents(jobs.document_events(spark, source, schema), output, checkpoint).awaitTermination()
+        return {r.document_id: r.text for r in jobs.current_chunks(spark, output).collect()}
+
+    assert arrive(("a", "A", 2, "newer"), ("b", "B", 1, "kept")) == {"a": "newer", "b": "kept"}
+    assert arrive(("a", "A", 1, "older")) == {"a": "newer", "b": "kept"}
+    assert arrive(("a", "A", 3, ""), ("b", "B", 1, "kept")) == {"b": "kept"}
+    assert arrive(("a", "A", 4, "back")) == {"a": "back", "b": "kept"}
+    assert jobs.document_state(spark, output).filter("document_id = 'b'").count() == 1
+
+
 def test_fencing_and_rollup(spark):
     source = folder()
     events = spark.sql("""SELECT * FROM VALUES ('a', 'PROCESS', 2, timestamp'2024-01-01 00:00:00', 'h1'),
