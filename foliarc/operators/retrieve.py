@@ -9,9 +9,11 @@ read never change its scores.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from foliarc.session import BROADCAST_BYTES, durable, fits_broadcast
 # size and not-NULL filters, which would compute the array again.
 VECTOR_BUCKETS = 32
 SCORE_DIGITS = 8
+MATRIX_CELLS = 1 << 21  # of one in-task score matrix
 
 
 def visible_chunks(chunks: DataFrame, active: DataFrame) -> DataFrame:
@@ -67,10 +70,13 @@ def vocabulary(chunks: DataFrame) -> DataFrame:
 
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
     """scope, n, avgdl, mean_idf; the mean is over all terms, before negative ones are replaced."""
-    counts = _word_counts(chunks)
+    return _statistics(_word_counts(chunks))
+
+
+def _statistics(counts: DataFrame) -> DataFrame:
     sizes = counts.filter(F.col("token").isNull()).select(
         "scope", F.col("df").alias("n"), (F.col("size") / F.col("df")).alias("avgdl"))
-    means = counts.filter(F.col("token").isNotNull()).select("scope", "df").join(F.broadcast(sizes), "scope").groupBy(
+    means = counts.filter(F.col("token").isNotNull()).select("scope", "df").join(sizes, "scope").groupBy(
         "scope").agg(F.avg(ranking.raw_idf(F.col("n"), F.col("df"))).alias("mean_idf"))
     return sizes.join(means, "scope")
 
@@ -112,30 +118,112 @@ def sparse_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return parts.groupBy("question_id", "chunk_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
 
 
-def sparse_ranks(questions: DataFrame, chunks: DataFrame, depth: int) -> DataFrame:
-    """question_id, chunk_id, score, sparse_rank: best ``depth`` chunks, unmatched ones scoring 0.
-
-    Matches and fillers are ranked together. The 2 * depth smallest ids of a scope always hold
-    enough fillers; only where the mean idf is negative can a match score below zero, and then
-    every chunk of the scope is a filler.
+def _term_weights(questions: DataFrame, counts: DataFrame) -> DataFrame:
+    """scope, question_id, token, qtf, idf, avgdl; a question without known words keeps one row without a token."""
+    known = counts.filter(F.col("token").isNotNull()).select("scope", "token", "df")
+    found = query_terms(questions).filter(F.col("token").isNotNull()).join(known, ["scope", "token"]).join(_statistics(counts), "scope")
+    raw = ranking.raw_idf(F.col("n"), F.col("df"))
+    idf = F.when(raw < 0, F.lit(ranking.EPSILON) * F.col("mean_idf")).otherwise(raw)
+    terms = found.select("scope", "question_id", "token", "qtf", idf.alias("idf"), "avgdl")
+    return _with_scope(questions).select("scope", "question_id").join(terms, ["scope", "question_id"], "left")
+
+
+def _sparse_models(rows: pa.Table) -> dict:
+    """Per scope: question ids, distinct terms, idf of each, mean length and the term-by-question counts."""
+    frame = rows.to_pandas()
+    models = {}
+    for scope, mine in frame.groupby("scope"):
+        ids = mine["question_id"].drop_duplicates().to_list()
+        words = mine.dropna(subset=["token"])
+        terms = words["token"].drop_duplicates().to_list()
+        at_term, at_question = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(ids)}
+        idf, counts = np.zeros(len(terms)), np.zeros((len(terms), len(ids)))
+        for question, token, qtf, weight in zip(words["question_id"], words["token"], words["qtf"], words["idf"]):
+            idf[at_term[token]] = weight
+            counts[at_term[token], at_question[question]] = qtf
+        models[scope] = (ids, pa.array(terms, pa.string()), idf, float(words["avgdl"].iloc[0]) if len(words) else 1.0, counts)
+    return models
+
+
+def _bm25_block(model: tuple, words: pa.ListArray) -> np.ndarray:
+    """Rounded BM25 scores of a few chunks (rows) for every question of a scope."""
+    _, terms, idf, mean, counts = model
+    lengths = np.diff(words.offsets.to_numpy())
+    found = pc.index_in(words.flatten(), value_set=terms).to_numpy(zero_copy_only=False)
+    hit = ~np.isnan(found.astype("float64"))
+    place = np.repeat(np.arange(len(lengths)), lengths)[hit] * max(1, len(terms)) + found[hit].astype(np.int64)
+    cell, frequency = np.unique(place, return_counts=True)
+    row, term = np.divmod(cell, max(1, len(terms)))
+    weights = np.zeros((len(lengths), len(terms)))
+    weights[row, term] = idf[term] * frequency * (ranking.K1 + 1) / (
+        frequency + ranking.K1 * (1 - ranking.B + ranking.B * lengths[row] / mean))
+    return np.round(weights @ counts, SCORE_DIGITS)
+
+
+def sparse_ranks(questions: DataFrame, chunks: DataFrame, depth: int, block_questions: int = 4096) -> DataFrame:
+    """question_id, chunk_id, score, sparse_rank: best ``depth`` chunks, those without a shared word scoring 0.
+
+    One pass counts the vocabulary. A second scores each chunk against all questions inside its
+    task, as a product with the question-word matrix, and a task passes on at most ``depth`` rows per
+    question: no posting or pair is exchanged. Questions go in blocks of bounded size.
     """
     chunks = _with_scope(chunks)
-    # One row per scope, read by several branches below: computed once.
-    stats = durable(corpus_statistics(chunks))
-    first = W.partitionBy("scope").orderBy("chunk_id")
-    smallest = (chunks.select("scope", "chunk_id").withColumn("r", F.row_number().over(first))
-                .filter(F.col("r") <= 2 * depth).select("scope", "chunk_id"))
-    negative = stats.filter("mean_idf < 0").select("scope")
-    pool = smallest.union(chunks.join(F.broadcast(negative), "scope", "left_semi").select("scope", "chunk_id"))
-    fillers = _with_scope(questions).select("question_id", "scope").join(pool, "scope").select(
-        "question_id", "chunk_id", F.lit(None).cast("double").alias("part"))
-    best = W.partitionBy("question_id").orderBy(F.desc("score"), F.asc("chunk_id"))
-    # sum() ignores the fillers' NULL, so a filler never replaces a match, not even a negative one.
-    return (
-        _term_parts(questions, chunks, stats).unionByName(fillers).groupBy("question_id", "chunk_id")
-        .agg(F.round(F.coalesce(F.sum("part"), F.lit(0.0)), SCORE_DIGITS).alias("score"))
-        .withColumn("sparse_rank", F.row_number().over(best).cast("bigint"))
-        .filter(F.col("sparse_rank") <= depth))
+    weights = durable(_term_weights(questions, durable(_word_counts(chunks))))
+    total = weights.select("question_id").distinct().count()
+    blocks = max(1, -(-total // block_questions))
+    types = {f.name: f.dataType.simpleString() for f in [*questions.schema, *chunks.schema]}
+    schema = f"question_id {types['question_id']}, chunk_id {types['chunk_id']}, score double"
+    arrow_schema = _arrow_schema(chunks, questions, "score")
+    words = F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))
+    rows = chunks.select("scope", "chunk_id", words.alias("words"))
+    parts = []
+    for block in range(blocks):
+        some = weights if blocks == 1 else weights.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block)
+        shared = chunks.sparkSession.sparkContext.broadcast(_sparse_models(some.toArrow()))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            models, best = shared.value, {}
+            for scope, ids, mine in _scope_slices(batches, models, lambda m: max(m[4].shape), "words"):
+                best[scope] = merge_top(best.get(scope), -_bm25_block(models[scope], mine), ids, depth)
+            yield from _top_rows(best, lambda scope: models[scope][0], arrow_schema, -1)
+
+        parts.append(rows.mapInArrow(score, schema))
+    order = W.partitionBy("question_id").orderBy(F.desc("score"), F.asc("chunk_id"))
+    found = reduce(DataFrame.unionByName, parts)
+    return found.withColumn("sparse_rank", F.row_number().over(order).cast("bigint")).filter(F.col("sparse_rank") <= depth)
+
+
+def _scope_slices(batches: Iterator[pa.RecordBatch], models: dict, width, column: str) -> Iterator[tuple]:
+    """(scope, ids, values) of few enough rows that a matrix of them with the scope's model stays small; ids ascend."""
+    for batch in batches:
+        scopes = np.array(batch["scope"].to_pylist(), dtype=object)
+        ids = np.array(batch["chunk_id"].to_pylist())
+        for scope in dict.fromkeys(scopes.tolist()):
+            if scope not in models:
+                continue
+            rows = np.flatnonzero(scopes == scope)
+            rows = rows[np.argsort(ids[rows], kind="stable")]
+            step = max(64, MATRIX_CELLS // max(1, width(models[scope])))
+            for at in range(0, len(rows), step):
+                some = rows[at:at + step]
+                yield scope, ids[some], batch[column].take(pa.array(some))
+
+
+def merge_top(best: tuple | None, scores: np.ndarray, ids: np.ndarray, depth: int) -> tuple:
+    """The ``depth`` lowest scores per column, ids breaking ties, of what was best and new rows with ascending ids."""
+    order = np.argsort(scores, axis=0, kind="stable")[:depth]
+    new = (np.take_along_axis(scores, order, axis=0), ids[order])
+    if best is None:
+        return new
+    scores, ids = (np.concatenate(pair) for pair in zip(best, new))
+    order = np.lexsort((ids, scores), axis=0)[:depth]
+    return np.take_along_axis(scores, order, axis=0), np.take_along_axis(ids, order, axis=0)
+
+
+def _top_rows(best: dict, questions, schema: pa.Schema, sign: int) -> Iterator[pa.RecordBatch]:
+    for scope, (scores, ids) in best.items():
+        columns = (np.tile(np.array(questions(scope), dtype=object), len(scores)), ids.ravel(), sign * scores.ravel() + 0.0)
+        yield pa.RecordBatch.from_arrays([pa.array(c.tolist(), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -149,27 +237,19 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _closest(distance: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
-    """Row positions of the ``depth`` smallest distances, ids breaking ties."""
-    if len(distance) > depth:
-        edge = np.partition(distance, depth - 1)[depth - 1]
-        near = np.nonzero(distance <= edge)[0]
-    else:
-        near = np.arange(len(distance))
-    return near[np.lexsort((ids[near], distance[near]))[:depth]]
+def _dense_models(rows: pa.Table) -> dict:
+    """Per scope: question ids and their unit vectors as columns."""
+    scopes = np.array(rows["scope"].to_pylist(), dtype=object)
+    ids, unit = rows["question_id"].to_pylist(), _unit(_matrix(rows["embedding"])) if rows.num_rows else np.zeros((0, 1))
+    return {scope: ([ids[i] for i in np.flatnonzero(scopes == scope)], unit[scopes == scope].T) for scope in dict.fromkeys(scopes.tolist())}
 
 
-def _block_top(q_ids, q_scope, q_unit, c_ids, c_scope, c_unit, depth: int) -> dict[str, list]:
-    """Best ``depth`` chunks of one block for every question of one block."""
-    distance = np.round(1.0 - c_unit @ q_unit.T, SCORE_DIGITS)
-    out: dict[str, list] = {"question_id": [], "chunk_id": [], "distance": []}
-    for j in range(len(q_ids)):
-        rows = np.nonzero(c_scope == q_scope[j])[0]
-        for i in rows[_closest(distance[rows, j], c_ids[rows], depth)]:
-            out["question_id"].append(q_ids[j])
-            out["chunk_id"].append(c_ids[i])
-            out["distance"].append(float(distance[i, j]))
-    return out
+def _closest(models: dict, batches: Iterator[pa.RecordBatch], depth: int) -> dict:
+    best: dict = {}
+    for scope, ids, vectors in _scope_slices(batches, models, lambda m: max(m[1].shape), "embedding"):
+        distance = np.round(1.0 - _unit(_matrix(vectors)) @ models[scope][1], SCORE_DIGITS)
+        best[scope] = merge_top(best.get(scope), distance, ids, depth)
+    return best
 
 
 def dense_ranks(questions: DataFrame, chunks: DataFrame, depth: int,
@@ -194,31 +274,22 @@ def dense_ranks(questions: DataFrame, chunks: DataFrame, depth: int,
 
 
 def _dense_broadcast(questions: DataFrame, chunks: DataFrame, depth: int, schema: str) -> DataFrame:
-    side = questions.toArrow()
-    q_ids = np.array(side["question_id"].to_pylist(), dtype=object)
-    q_scope = np.array(side["scope"].to_pylist(), dtype=object)
-    q_unit = _unit(_matrix(side["embedding"])) if len(q_ids) else np.zeros((0, 1))
-    shared = chunks.sparkSession.sparkContext.broadcast((q_ids, q_scope, q_unit))
+    shared = chunks.sparkSession.sparkContext.broadcast(_dense_models(questions.toArrow()))
+    arrow_schema = _arrow_schema(chunks, questions, "distance")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, scope, unit = shared.value
-        for batch in batches:
-            if batch.num_rows and len(ids):
-                found = _block_top(
-                    ids, scope, unit, np.array(batch["chunk_id"].to_pylist(), dtype=object),
-                    np.array(batch["scope"].to_pylist(), dtype=object), _unit(_matrix(batch["embedding"])), depth)
-                yield pa.RecordBatch.from_pydict(found, schema=arrow_schema)
-
-    arrow_schema = _arrow_schema(chunks, questions)
+        models = shared.value
+        yield from _top_rows(_closest(models, batches, depth), lambda scope: models[scope][0], arrow_schema, 1)
+
     return chunks.mapInArrow(score, schema)
 
 
-def _arrow_schema(chunks: DataFrame, questions: DataFrame) -> pa.Schema:
+def _arrow_schema(chunks: DataFrame, questions: DataFrame, value: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return pa.schema([("question_id", to_arrow_type(questions.schema["question_id"].dataType)),
                       ("chunk_id", to_arrow_type(chunks.schema["chunk_id"].dataType)),
-                      ("distance", pa.float64())])
+                      (value, pa.float64())])
 
 
 def _dense_blocks(questions: DataFrame, chunks: DataFrame, depth: int, schema: str,
@@ -230,17 +301,12 @@ def _dense_blocks(questions: DataFrame, chunks: DataFrame, depth: int, schema: s
         "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     cut = chunks.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    arrow_schema = _arrow_schema(chunks, questions)
+    arrow_schema = _arrow_schema(chunks, questions, "distance")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return arrow_schema.empty_table()
-        found = _block_top(
-            np.array(left["question_id"].to_pylist(), dtype=object),
-            np.array(left["scope"].to_pylist(), dtype=object), _unit(_matrix(left["embedding"])),
-            np.array(right["chunk_id"].to_pylist(), dtype=object),
-            np.array(right["scope"].to_pylist(), dtype=object), _unit(_matrix(right["embedding"])), depth)
-        return pa.Table.from_pydict(found, schema=arrow_schema)
+        models = _dense_models(left)
+        found = _closest(models, iter(right.combine_chunks().to_batches()), depth)
+        return pa.Table.from_batches(_top_rows(found, lambda scope: models[scope][0], arrow_schema, 1), arrow_schema)
 
     return (spread.groupBy("block", "slice").cogroup(cut.groupBy("block", "slice"))
             .applyInArrow(score, schema))
