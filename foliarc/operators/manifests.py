@@ -11,26 +11,33 @@ def row_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def table_fingerprint(df: DataFrame, buckets: int = 4096) -> DataFrame:
+# Leading hex digits of the groups of each level; a group of the first holds a table's share of 16**7.
+LEVELS = (7, 5, 3)
+
+
+def table_fingerprint(df: DataFrame) -> DataFrame:
     """rows, sha256 of a table's content, independent of row order and partitioning.
 
-    Row hashes are sorted and hashed per bucket of their own leading digits, then the bucket
-    hashes are: no task sees more than its share of the rows, equal rows are counted first.
+    Equal rows are counted first. Row hashes are then sorted and hashed within groups of their
+    leading digits, those hashes within wider groups, and at last at most 4096 of them together:
+    the first level has as many groups as the table needs, so no task gathers a share that grows with it.
     """
     hashed = df.select(row_hash(df.columns).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    keyed = hashed.withColumn("b", F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") % buckets)
-    per_bucket = keyed.groupBy("b").agg(
-        F.sum("n").alias("n"),
-        F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "h", "n"))), "\n"), 256).alias("h"))
-    return per_bucket.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda e: e["h"]), "\n"), 256)
-        .alias("sha256"))
+    level = hashed.select(F.col("h").alias("key"), F.concat_ws(":", "h", "n").alias("item"), "n")
+    for digits in LEVELS:
+        group = F.substring("key", 1, digits)
+        level = level.groupBy(group.alias("key")).agg(_joined("item").alias("h"), F.sum("n").alias("n")).select(
+            "key", F.concat_ws(":", "key", "h").alias("item"), "n")
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), _joined("item").alias("sha256"))
+
+
+def _joined(item: str) -> Column:
+    return F.sha2(F.array_join(F.sort_array(F.collect_list(item)), "\n"), 256)
 
 
-def file_set_fingerprint(files: DataFrame, buckets: int = 4096) -> DataFrame:
+def file_set_fingerprint(files: DataFrame) -> DataFrame:
     """sha256 of a path -> sha256 map."""
-    return table_fingerprint(files.select("path", "sha256"), buckets)
+    return table_fingerprint(files.select("path", "sha256"))
 
 
 def compare_files(expected: DataFrame, actual: DataFrame) -> DataFrame:

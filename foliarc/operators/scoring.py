@@ -392,30 +392,36 @@ def failure_reasons(results: DataFrame, group: list[str]) -> DataFrame:
 
 
 def percentiles(values: DataFrame, group: list[str], column: str, quantiles: dict[str, float],
-                buckets: int = 4096) -> DataFrame:
+                buckets: int = 256, levels: int = 2, ordered: int = 65_536) -> DataFrame:
     """group, n, total and nearest-rank percentiles with half-even ranks.
 
-    Two levels: counts per value bucket locate the bucket of each rank, then only that bucket's
-    distinct values are ordered. No key's rows are gathered in one task.
+    Values are counted first; a group with up to ``ordered`` distinct ones is put in order. At each
+    level the distinct values of a larger group are parted at their approximate quantiles, so
+    buckets are even whatever the outliers, and the counts per bucket tell which one holds the
+    rank. Only the last bucket's values are put in order.
     """
     rows = values.filter(F.col(column).isNotNull()).select(*group, F.col(column).alias("v"))
-    stats = rows.groupBy(*group).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"),
-                                     F.sum("v").alias("total"))
-    distinct = rows.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("copies")).join(stats, group)
-    width = F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low"))
-    placed = distinct.withColumn("b", F.coalesce(F.floor(width * (buckets - 1)), F.lit(0)))
-    before = W.partitionBy(*group).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    per_bucket = placed.groupBy(*group, "b").agg(F.sum("copies").alias("size"), F.first("n").alias("n")).withColumn(
-        "before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    distinct = rows.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("copies"))
+    stats = distinct.groupBy(*group).agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("d"), F.sum(F.col("v") * F.col("copies")).alias("total"))
     ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.bround(F.lit(q) * (F.col("n") - 1)).cast("bigint").alias("rank"))
                       for name, q in quantiles.items()])
-    targets = per_bucket.withColumn("t", F.explode(ranks)).filter(
-        (F.col("before") <= F.col("t.rank")) & (F.col("t.rank") < F.col("before") + F.col("size"))).select(
-        *group, "b", "before", "t.name", "t.rank")
-    inside = W.partitionBy(*group, "b", "name").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    reached = placed.join(targets, [*group, "b"]).withColumn("upto", F.col("before") + F.sum("copies").over(inside))
-    picked = reached.filter(F.col("upto") > F.col("rank")).groupBy(*group).agg(*[
-        F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in quantiles])
+    asked = stats.select(*group, "d", F.explode(ranks).alias("t")).select(*group, "d", "t.name", "t.rank")
+    few = distinct.join(asked.filter(F.col("d") <= ordered), group)
+    open_values = distinct.join(asked.filter(F.col("d") > ordered), group)
+    key = [*group, "name"]
+    points = [i / buckets for i in range(1, buckets)]
+    before = W.partitionBy(*key).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    for _ in range(levels):
+        bounds = open_values.groupBy(*key).agg(F.percentile_approx("v", points, 40 * buckets).alias("bounds"))
+        placed = open_values.join(bounds, key).withColumn(
+            "b", F.size(F.filter(F.array_distinct("bounds"), lambda x: x < F.col("v")))).drop("bounds")
+        sizes = placed.groupBy(*key, "b").agg(F.sum("copies").alias("size"), F.first("rank").alias("rank")).withColumn(
+            "before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+        chosen = sizes.filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("size"))).select(*key, "b", "before")
+        open_values = placed.join(chosen, [*key, "b"]).withColumn("rank", F.col("rank") - F.col("before")).drop("b", "before")
+    inside = W.partitionBy(*key).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    reached = few.unionByName(open_values.select(*few.columns)).withColumn("upto", F.sum("copies").over(inside)).filter(F.col("upto") > F.col("rank"))
+    picked = reached.groupBy(*group).agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in quantiles])
     return stats.select(*group, "n", "total").join(picked, group)
 
 

@@ -367,10 +367,10 @@ def srt_1(t: Tables):
 
 @query("srt_2_timeline_order", ctes("timeline") + """
 SELECT document_id, fact_id, strftime(event_date, '%Y-%m-%d') AS event_date FROM timeline
-ORDER BY timeline.event_date DESC NULLS LAST, document_id, fact_id NULLS FIRST LIMIT 60""")
+ORDER BY timeline.event_date DESC NULLS LAST, document_id, fact_id NULLS FIRST""")
 def srt_2(t: Tables):
     events = tl.rebuild_timeline(x.docs(t), x.facts(t))
-    return events.orderBy(*tl.timeline_order()).limit(60).select("document_id", "fact_id", day("event_date"))
+    return events.orderBy(*tl.timeline_order()).select("document_id", "fact_id", day("event_date"))
 
 
 @query("srt_3_recent_documents", ctes("docs") + """

@@ -195,13 +195,12 @@ def jn_11(t: Tables):
 @query("jn_12_quote_containment", """
 WITH c AS (SELECT conv_id, turn, role, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM conversations)
 SELECT a.conv_id, a.turn AS gold, b.turn AS found FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.role = b.role
-AND a.turn < b.turn AND (contains(a.q, left(b.q, 30)) OR contains(left(b.q, 30), a.q))
-UNION ALL SELECT conv_id, turn, turn FROM c""")
+AND (contains(a.q, b.q) OR contains(b.q, a.q))""")
 def jn_12(t: Tables):
     from foliarc.functions.text import norm
     c = t.conversations.select("conv_id", "turn", "role", norm(F.col("text")).alias("q"))
-    b = c.select("conv_id", "role", F.col("turn").alias("found"), F.substring("q", 1, 30).alias("r"), F.col("q").alias("w"))
-    fit = (F.col("turn") <= F.col("found")) & (F.contains("q", F.col("r")) | F.contains("r", F.col("q")))
+    b = c.select("conv_id", "role", F.col("turn").alias("found"), F.col("q").alias("r"))
+    fit = F.contains("q", F.col("r")) | F.contains("r", F.col("q"))
     return c.join(b, ["conv_id", "role"]).filter(fit).select("conv_id", F.col("turn").alias("gold"), "found")
 
 
@@ -569,9 +568,10 @@ def agg_26(t: Tables):
 @query("agg_34_dataset_fingerprint", """
 WITH h AS (SELECT url AS path, sha256(html) AS sha256 FROM pages),
 r AS (SELECT sha256('{"path":"' || path || '","sha256":"' || sha256 || '"}') AS h, count(*) AS n FROM h GROUP BY path, sha256),
-b AS (SELECT CAST('0x' || substr(h, 1, 8) AS UBIGINT) % 4096 AS b, sum(n) AS n,
-  sha256(string_agg(h || ':' || n, chr(10) ORDER BY h || ':' || n)) AS h FROM r GROUP BY 1)
-SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h, chr(10) ORDER BY b)) AS sha256 FROM b""")
+a AS (SELECT substr(h, 1, 7) AS k, sum(n) AS n, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h || ':' || n)) AS h FROM r GROUP BY 1),
+b AS (SELECT substr(k, 1, 5) AS k, sum(n) AS n, sha256(string_agg(k || ':' || h, chr(10) ORDER BY k || ':' || h)) AS h FROM a GROUP BY 1),
+c AS (SELECT substr(k, 1, 3) AS k, sum(n) AS n, sha256(string_agg(k || ':' || h, chr(10) ORDER BY k || ':' || h)) AS h FROM b GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(k || ':' || h, chr(10) ORDER BY k || ':' || h)) AS sha256 FROM c""")
 def agg_34(t: Tables):
     return manifests.file_set_fingerprint(t.pages.select(F.col("url").alias("path"), F.sha2("html", 256).alias("sha256")))
 

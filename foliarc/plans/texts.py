@@ -123,11 +123,10 @@ def src_5(t: Tables):
 
 
 @query("src_1_text_decoding", """
-SELECT doc_id AS path, strlen(text) AS bytes, sha256(text) AS sha256, sha256(text) AS text_hash FROM documents
-WHERE strlen(text) <= 20000""")
+SELECT doc_id AS path, strlen(text) AS bytes, sha256(text) AS sha256, sha256(text) AS text_hash FROM documents""")
 def src_1(t: Tables):
     files = t.documents.select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    texts, _ = corpus.decode_texts(files.withColumn("bytes", F.octet_length("content")), 20000)
+    texts, _ = corpus.decode_texts(files.withColumn("bytes", F.octet_length("content")))
     return texts.select("path", F.col("bytes").cast(BIG).alias("bytes"), "sha256",
                         F.sha2("text", 256).alias("text_hash"))
 

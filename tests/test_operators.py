@@ -9,6 +9,8 @@ import re
 from pyspark.sql import functions as F
 
 from foliarc.operators import blocks, chunks, lab, lifecycle, redact, retrieve, scoring, statements
+import pytest
+
 from foliarc.session import durable
 
 
@@ -218,11 +220,12 @@ def test_family_promoted_to_patient_is_critical(spark):
     assert classes[("d", "subject", "FAMILY")] == (0, 0, 1) and classes[("d", "subject", "PATIENT")] == (0, 1, 0)
 
 
-def test_percentiles_equal_brute_force(spark):
+@pytest.mark.parametrize("few", [4, 65_536])
+def test_percentiles_equal_brute_force(spark, few):
     rng = random.Random(19)
     values = [(g, float(rng.randint(0, 50)) ** 3) for g in "ab" for _ in range(rng.randint(1, 40))]
     frame = spark.createDataFrame(values, "g string, v double")
-    got = {r.g: (r.p50, r.p95) for r in scoring.percentiles(frame, ["g"], "v", {"p50": 0.5, "p95": 0.95}, buckets=8).collect()}
+    got = {r.g: (r.p50, r.p95) for r in scoring.percentiles(frame, ["g"], "v", {"p50": 0.5, "p95": 0.95}, buckets=8, ordered=few).collect()}
     for g in "ab":
         ordered = sorted(v for k, v in values if k == g)
         assert got[g] == tuple(ordered[round(q * (len(ordered) - 1))] for q in (0.5, 0.95))
