@@ -135,7 +135,7 @@ def contains_command(text: Column) -> Column:
     return text.rlike(vocab.COMMAND)
 
 
-def _whole_line_span(proposed: Column, source: Column) -> Column:
+def _whole_line_span(proposed: Column, source: Column, max_chars: int | None) -> Column:
     """Source span from the first to the last proposed line, all lines found whole and in order."""
     wanted = F.filter(F.transform(lines_keeping_breaks(proposed), strip), lambda line: line != "")
 
@@ -158,14 +158,14 @@ def _whole_line_span(proposed: Column, source: Column) -> Column:
                         step(want)),
             lambda end: F.when(
                 (F.size(want) >= 2) & (end["k"] == F.size(want))
-                & (end["last"] - end["first"] <= vocab.EXCERPT_CHARS),
+                & (F.lit(True) if max_chars is None else end["last"] - end["first"] <= max_chars),
                 F.substring(source, end["first"] + 1, end["last"] - end["first"])))
 
     return let(wanted, walk)
 
 
-def verified_excerpt(proposed: Column, source: Column) -> Column:
-    """Contiguous source text behind a proposed quote, or NULL.
+def verified_excerpt(proposed: Column, source: Column, max_chars: int | None = None) -> Column:
+    """Contiguous source text behind a proposed quote, or NULL; ``max_chars`` bounds a span of whole lines.
 
     Exact containment first, then the same words with other whitespace, then whole source
     lines in order. Fragments are never joined.
@@ -178,22 +178,22 @@ def verified_excerpt(proposed: Column, source: Column) -> Column:
             F.when(F.length(quote) == 0, F.lit(None).cast("string"))
             .when(F.contains(source, quote), quote)
             .when(F.contains(collapse(source), collapse(quote)), regex_extract(source, spaced))
-            .otherwise(_whole_line_span(quote, source)))
+            .otherwise(_whole_line_span(quote, source, max_chars)))
 
     return let(joined, decide)
 
 
-def complete_excerpt(proposed: Column, source: Column) -> Column:
+def complete_excerpt(proposed: Column, source: Column, max_chars: int | None = None) -> Column:
     """Verified quote widened to whole source lines; the first letter's case may be restored."""
-    exact = F.coalesce(verified_excerpt(proposed, source),
-                       verified_excerpt(swap_first_case(strip(proposed)), source))
+    exact = F.coalesce(verified_excerpt(proposed, source, max_chars),
+                       verified_excerpt(swap_first_case(strip(proposed)), source, max_chars))
 
     def widen(quote: Column) -> Column:
         at = F.call_function("locate", quote, source)
         head = F.substring_index(F.substring(source, F.lit(1), at - 1), "\n", -1)
         tail = F.substring_index(F.substring(source, at + F.length(quote), F.length(source)), "\n", 1)
         return let(F.concat(head, quote, tail),
-                   lambda full: F.when(F.length(full) <= vocab.EXCERPT_CHARS, full))
+                   lambda full: full if max_chars is None else F.when(F.length(full) <= max_chars, full))
 
     return let(exact, widen)
 

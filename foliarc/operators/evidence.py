@@ -239,7 +239,8 @@ def archive_answers(selection: dict[str, DataFrame], quotes: DataFrame, errors:
 
 
 # ---- public boundary ---------------------------------------------------------------------
-def public_packages(responses: DataFrame, spans: DataFrame, model_warnings: DataFrame | None = None) -> DataFrame:
+def public_packages(responses: DataFrame, spans: DataFrame, model_warnings: DataFrame | None = None,
+                    max_parts: int | None = None, max_sources: int | None = None) -> DataFrame:
     """response_id, answer, sources, code, warnings: aliased and redacted answers.
 
     ``responses``: response_id, answer, insufficient, parts (array of citation, text), sources (array of
@@ -251,10 +252,12 @@ def public_packages(responses: DataFrame, spans: DataFrame, model_warnings: Data
     def source_text(citation: Column) -> Column:
         return F.get(F.filter("sources", lambda s: s["citation"] == citation), F.lit(0))["text"]
 
-    parts_ok = F.size("parts").between(1, vocab.PUBLIC_PARTS) & F.forall("parts", lambda p: F.coalesce(
+    few = (F.lit(True) if max_parts is None else F.size("parts") <= max_parts) & (
+        F.lit(True) if max_sources is None else F.size("sources") <= max_sources)
+    parts_ok = (F.size("parts") >= 1) & F.forall("parts", lambda p: F.coalesce(
         verified_excerpt(p["text"], source_text(p["citation"])) == strip(p["text"]), F.lit(False)))
     empty_ok = (F.size("sources") == 0) & (F.size("parts") == 0)
-    valid = (F.size("sources") <= vocab.PUBLIC_SOURCES) & F.when(F.col("insufficient"), empty_ok).otherwise(unique & parts_ok)
+    valid = few & F.when(F.col("insufficient"), empty_ok).otherwise(unique & parts_ok)
     texts = F.transform("sources", lambda s: s["text"])
     fields = F.when(F.col("insufficient"), F.array(F.lit(vocab.ABSTAIN))).otherwise(
         F.concat(F.transform("parts", lambda p: p["text"]), texts))

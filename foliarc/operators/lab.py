@@ -60,8 +60,8 @@ def is_lab_report(pages: Column) -> Column:
     return F.coalesce(first_line(pages).rlike(vocab.LAB_TITLE), F.lit(False))
 
 
-def annotated_lines(docs: DataFrame) -> DataFrame:
-    """Every classified line of the laboratory reports.
+def annotated_lines(docs: DataFrame, row_limit: int | None = None) -> DataFrame:
+    """Every classified line of the laboratory reports; rows beyond ``row_limit``, if given, are marked so.
 
     ``kind`` is ROW, DATE, SUBJECT, INVALID_DATE, UNSUPPORTED_ROW, UNSUPPORTED_CONTENT or ROW_LIMIT;
     lines of no interest are dropped. One exchange on the document serves every window.
@@ -97,9 +97,10 @@ def annotated_lines(docs: DataFrame) -> DataFrame:
     lines = lines.withColumn("row_number", F.when(accepted, F.sum(accepted.cast("int")).over(order)).cast("int"))
     whole = W.partitionBy("document_id")
     lines = lines.withColumn("patient", F.max(subject).over(whole))
+    over = F.lit(False) if row_limit is None else F.col("row_number") > row_limit
     kind = (
         F.when(F.col("date").isNotNull(), F.lit("DATE")).when(F.col("role").isNotNull(), F.lit("INVALID_DATE"))
-        .when(subject, F.lit("SUBJECT")).when(F.col("row_number") > vocab.ROW_LIMIT, F.lit("ROW_LIMIT"))
+        .when(subject, F.lit("SUBJECT")).when(over, F.lit("ROW_LIMIT"))
         .when(accepted, F.lit("ROW")).when(F.col("candidate"), F.lit("UNSUPPORTED_ROW"))
         .otherwise(F.lit("UNSUPPORTED_CONTENT")))
     return lines.select("document_id", "page_index", "page_number", "line_no", "start_byte", "end_byte", "text",
@@ -170,7 +171,7 @@ def project_lab_facts(rows: DataFrame, dates: DataFrame, issues: DataFrame) -> D
 
 
 def validate_lab(rows: DataFrame, dates: DataFrame, subjects: DataFrame, issues: DataFrame, facts: DataFrame,
-                 docs: DataFrame) -> DataFrame:
+                 docs: DataFrame, row_limit: int | None = None) -> DataFrame:
     """document_id, row_index, code for every broken rule of a stored laboratory artifact."""
     pages = docs.select("document_id", "pages")
     at_page = F.get("pages", F.col("page_index"))["text"]
@@ -199,7 +200,7 @@ def validate_lab(rows: DataFrame, dates: DataFrame, subjects: DataFrame, issues:
         ("SUBJECT", F.col("subject").isin("PATIENT", "UNKNOWN")
          & ((F.col("subject") != "PATIENT") | F.coalesce("has_subject", F.lit(False)))),
         ("DUPLICATE_SPAN", F.col("copies") == 1), ("PROJECTION", F.col("stored") == F.col("expected")),
-        ("ROW_LIMIT", F.col("row_index") <= vocab.ROW_LIMIT)]
+        ("ROW_LIMIT", F.lit(True) if row_limit is None else F.col("row_index") <= row_limit)]
     codes = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(code)) for code, ok in rules]))
     row_codes = located.select("document_id", "row_index", F.explode(codes).alias("code"))
     role = date_role(fold_case(F.substring_index(strip(F.col("found")), ":", 1)))
@@ -279,20 +280,22 @@ def audit_totals(checks: DataFrame) -> DataFrame:
                       F.count_if(status == "REVIEW").alias("review"), F.count_if(status == "ERROR").alias("error"))
 
 
-def supports_visit(pages: Column) -> Column:
-    """A visit cue near the start of the first paragraph."""
+def supports_visit(pages: Column, cue_chars: int | None = None) -> Column:
+    """A visit cue in the first paragraph, or in its first ``cue_chars`` characters."""
     first = F.get(F.filter(F.flatten(F.transform(
         pages, lambda p: F.split(p["text"], r"\n[ \t]*\n"))), non_blank), F.lit(0))
-    head = F.substring(F.regexp_replace(first, f"{SPACE}+", " "), 1, vocab.VISIT_CUE_CHARS)
+    head = F.regexp_replace(first, f"{SPACE}+", " ")
+    if cue_chars is not None:
+        head = F.substring(head, 1, cue_chars)
     return F.coalesce(head.rlike(vocab.VISIT_CUE), F.lit(False))
 
 
-def route_document(pages: Column, profile: str = "clinical-v1") -> Column:
+def route_document(pages: Column, profile: str = "clinical-v1", cue_chars: int | None = None) -> Column:
     """Extraction method of a document under a profile: lab, visit, visit-review or legacy."""
     method = F.lit("legacy")
     if profile in ("clinical-v1", "clinical-reviewed-v1"):
         name = "visit" if profile == "clinical-v1" else "visit-review"
-        method = F.when(supports_visit(pages), F.lit(name)).otherwise(method)
+        method = F.when(supports_visit(pages, cue_chars), F.lit(name)).otherwise(method)
     if profile != "legacy":
         method = F.when(is_lab_report(pages), F.lit("lab")).otherwise(method)
     return let(method, lambda m: m)

@@ -57,20 +57,21 @@ def verify_fact_proposals(facts: DataFrame, pages: DataFrame,
     return accepted, rejected.unionByName(full)
 
 
-def reconcile_batches(batches: DataFrame) -> DataFrame:
+def reconcile_batches(batches: DataFrame, max_tags: int | None = None) -> DataFrame:
     """document_id, document_date, date_conflict, summary, tags of a document's batch outputs.
 
     ``batches``: document_id, batch, document_date, summary, tags. One distinct date survives;
-    summaries and tags keep their first-seen order, at most 30 tags.
+    summaries and tags keep their first-seen order, all or the first ``max_tags`` of them.
     """
     rows = batches.groupBy("document_id").agg(
         F.min("document_date").alias("low"), F.max("document_date").alias("high"),
         F.sort_array(F.collect_list(F.struct("batch", "summary", "tags"))).alias("rows"))
+    tags = F.array_distinct(F.flatten(F.transform("rows", lambda r: r["tags"])))
     return rows.select(
         "document_id", F.when(F.col("low") == F.col("high"), F.col("low")).alias("document_date"),
         F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("date_conflict"),
         F.array_join(F.array_distinct(F.transform("rows", lambda r: r["summary"])), "\n").alias("summary"),
-        F.slice(F.array_distinct(F.flatten(F.transform("rows", lambda r: r["tags"]))), 1, 30).alias("tags"))
+        (tags if max_tags is None else F.slice(tags, 1, max_tags)).alias("tags"))
 
 
 def fact_rules(text: Column, has_page: Column) -> list[tuple[str, Column]]:

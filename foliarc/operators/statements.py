@@ -14,16 +14,24 @@ FIELDS = ["kind", "subject", "assertion", "medication_state", "temporality"]
 KEY = ["block_id", "name", "source_text", *FIELDS]
 
 
-def plan_blocks(blocks: DataFrame) -> DataFrame:
-    """Paragraph blocks with reading order, eligibility, batch number and preceding context."""
+def plan_blocks(blocks: DataFrame, block_limit: int | None = None, block_chars: int | None = None) -> DataFrame:
+    """Paragraph blocks with reading order, eligibility, batch number and preceding context.
+
+    Every paragraph takes part, however many or long, unless a limit is given; :func:`block_issues`
+    lists those that a limit leaves out.
+    """
+    within = F.lit(True)
+    if block_limit is not None:
+        within &= F.col("paragraph") <= block_limit
+    if block_chars is not None:
+        within &= F.length("text") <= block_chars
     order = W.partitionBy("document_id").orderBy("block_order")
     paragraphs = blocks.filter("kind = 'paragraph'").select(
         "document_id", "block_order", "block_id", "page_index", "start_byte", "end_byte", "text").withColumn(
         "paragraph", F.row_number().over(order)).withColumn(
         "previous", F.right(F.lag("text", 1, "").over(order), F.lit(vocab.PREVIOUS_CONTEXT_CHARS)))
     checked = paragraphs.withColumn(
-        "eligible", (F.col("paragraph") <= vocab.BLOCK_LIMIT) & (F.length("text") <= vocab.BLOCK_CHARS)
-        & ~contains_command(F.col("text")))
+        "eligible", within & ~contains_command(F.col("text")))
     batched = pack_batches(checked.filter("eligible").select("document_id", "block_order", F.length("text").alias("n")),
                            ["document_id"], ["block_order"], F.col("n").cast("bigint"), vocab.BLOCKS_PER_BATCH,
                            vocab.BLOCK_CHARS).select("document_id", "block_order", "batch")
@@ -32,13 +40,15 @@ def plan_blocks(blocks: DataFrame) -> DataFrame:
     return joined.withColumn("context_before", F.when(F.col("eligible"), F.first("previous").over(first))).drop("previous")
 
 
-def block_issues(planned: DataFrame) -> DataFrame:
-    """UNSUPPORTED_BLOCK for skipped paragraphs and BLOCK_LIMIT for documents with too many."""
-    skipped = planned.filter(~F.col("eligible") & (F.col("paragraph") <= vocab.BLOCK_LIMIT)).select(
-        "document_id", F.lit("UNSUPPORTED_BLOCK").alias("code"), "block_id")
-    over = planned.filter(F.col("paragraph") == vocab.BLOCK_LIMIT + 1).select(
-        "document_id", F.lit("BLOCK_LIMIT").alias("code"), F.lit(None).cast("string").alias("block_id"))
-    return skipped.unionByName(over)
+def block_issues(planned: DataFrame, block_limit: int | None = None) -> DataFrame:
+    """UNSUPPORTED_BLOCK for skipped paragraphs and BLOCK_LIMIT for each one beyond ``block_limit``."""
+    over = F.lit(False) if block_limit is None else F.col("paragraph") > block_limit
+    code = F.when(over, F.lit("BLOCK_LIMIT")).otherwise(F.lit("UNSUPPORTED_BLOCK"))
+    return planned.filter(~F.col("eligible")).select("document_id", code.alias("code"), "block_id")
+
+
+def _beyond(place: Column, limit: int | None) -> Column:
+    return F.lit(False) if limit is None else place > limit
 
 
 def _fields_valid() -> Column:
@@ -80,8 +90,9 @@ def _with_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.join(side, ["document_id", "block_id"], "left")
 
 
-def bind_statements(candidates: DataFrame, planned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(statements, issues).
+def bind_statements(candidates: DataFrame, planned: DataFrame, statement_limit: int | None = None,
+                    block_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(statements, issues). Statements beyond ``statement_limit``, if one is given, become issues.
 
     ``candidates``: document_id, ord, block_id, name, the five fields, source_text, optional batch.
     ``planned``: :func:`plan_blocks`. A candidate is kept when its quote occurs once in its block,
@@ -98,7 +109,7 @@ def bind_statements(candidates: DataFrame, planned: DataFrame) -> tuple[DataFram
     fresh = F.col("bound") & (F.col("copy") == 1)
     ranked = ranked.withColumn("place", F.sum(fresh.cast("int")).over(document))
     verdict = (F.when(~F.col("bound"), F.lit("REJECTED_CANDIDATE")).when(F.col("copy") > 1, F.lit("DUPLICATE"))
-               .when(F.col("place") > vocab.STATEMENT_LIMIT, F.lit("STATEMENT_LIMIT")))
+               .when(_beyond(F.col("place"), statement_limit), F.lit("STATEMENT_LIMIT")))
     ranked = ranked.withColumn("code", verdict)
     statements = ranked.filter(F.col("code").isNull()).select(
         "document_id", (F.col("place") - 1).cast("int").alias("statement_index"), "block_id", "name", *FIELDS,
@@ -113,7 +124,7 @@ def bind_statements(candidates: DataFrame, planned: DataFrame) -> tuple[DataFram
             F.min_by("block_id", "block_order").alias("block_id"))
         issues = issues.unionByName(full.join(first, ["document_id", "batch"]).select(
             "document_id", F.lit("OUTPUT_LIMIT").alias("code"), "block_id"))
-    return statements, issues.unionByName(block_issues(planned))
+    return statements, issues.unionByName(block_issues(planned, block_limit))
 
 
 def projected_status() -> Column:
@@ -182,7 +193,7 @@ def review_statements(statements: DataFrame, second: DataFrame, planned: DataFra
 
 
 def validate_statements(statements: DataFrame, planned: DataFrame, docs: DataFrame, facts: DataFrame,
-                        verifications: DataFrame | None = None) -> DataFrame:
+                        verifications: DataFrame | None = None, statement_limit: int | None = None) -> DataFrame:
     """document_id, statement_index, code for every broken rule of stored statements."""
     joined = _with_block(statements.withColumnRenamed("start_byte", "stored_start").withColumnRenamed(
         "end_byte", "stored_end"), planned).join(docs.select("document_id", "pages"), "document_id")
@@ -202,7 +213,7 @@ def validate_statements(statements: DataFrame, planned: DataFrame, docs: DataFra
          & (F.col("context_end") == F.col("block_end"))),
         ("SPAN", (F.col("stored_start") == F.col("start_byte")) & (F.col("stored_end") == F.col("end_byte"))
          & (span_text(page, F.col("stored_start"), F.col("stored_end")) == F.col("source_text"))),
-        ("DUPLICATE", F.col("copies") == 1), ("LIMIT", F.col("statement_index") < vocab.STATEMENT_LIMIT),
+        ("DUPLICATE", F.col("copies") == 1), ("LIMIT", ~_beyond(F.col("statement_index") + 1, statement_limit)),
         ("PROJECTION", F.col("stored") == F.col("expected"))]
     codes = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(code)) for code, ok in rules]))
     found = located.select("document_id", "statement_index", F.explode(codes).alias("code"))

@@ -205,7 +205,7 @@ def candidates(t: Tables):
 CAND = """
 c AS (SELECT conv_id AS document_id, turn, role, text, regexp_extract(text, '^([^.]*\\.)', 1) AS s,
   regexp_extract(regexp_extract(text, '^([^.]*\\.)', 1), '^([\\p{L}]+)', 1) AS w FROM conversations),
-k AS (SELECT *, length(s) > 0 AND length(w) > 0 AND length(w) <= 200 AND length(s) <= 3000 AND length(text) <= 6000
+k AS (SELECT *, length(s) > 0 AND length(w) > 0 AND length(w) <= 200 AND length(s) <= 3000
   AND (length(text) - length(replace(text, s, ''))) / length(s) = 1
   AND (contains(w, 'ß') OR contains(s, upper(w)) OR len(regexp_extract_all(lower(s), lower(w))) = 1) AS ok FROM c)"""
 
@@ -250,9 +250,9 @@ def projected(t: Tables):
 
 
 @query("jn_20_block_lookup", """
-SELECT conv_id AS document_id, turn AS ord, length(text) <= 6000 AS eligible FROM conversations""")
+SELECT conv_id AS document_id, turn AS ord, length(text) <= 400 AS eligible FROM conversations""")
 def block_lookup(t: Tables):
-    planned = statements.plan_blocks(turn_blocks(t))
+    planned = statements.plan_blocks(turn_blocks(t), block_chars=400)
     return candidates(t).join(planned.select("document_id", "block_id", "eligible"), ["document_id", "block_id"]).select(
         "document_id", F.col("ord").cast(BIG).alias("ord"), "eligible")
 

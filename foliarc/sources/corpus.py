@@ -32,11 +32,12 @@ def split_supported(listing: DataFrame, extensions: list[str] | None = None) ->
     return listing.filter(ok), skipped
 
 
-def decode_texts(files: DataFrame, max_bytes: int = vocab.MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
+def decode_texts(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts, errors): strict UTF-8 without its byte-order mark; oversized or undecodable files are errors."""
     has_mark = F.substring(F.hex(F.substring("content", 1, 3)), 1, 6) == "EFBBBF"
     body = F.when(has_mark, F.call_function("substring", F.col("content"), F.lit(4))).otherwise(F.col("content"))
-    code = (F.when(F.col("bytes") > max_bytes, F.lit("FILE_TOO_LARGE"))
+    too_large = F.lit(False) if max_bytes is None else F.col("bytes") > max_bytes
+    code = (F.when(too_large, F.lit("FILE_TOO_LARGE"))
             .when(~F.is_valid_utf8(F.col("content").cast("string")), F.lit("INVALID_ENCODING")))
     coded = files.withColumn("code", code)
     texts = coded.filter(F.col("code").isNull()).select(

@@ -17,11 +17,25 @@ def test_replace_documents_rewrites_only_their_rows(spark):
     stored = spark.createDataFrame([(i, "r1", f"c{i}") for i in range(20)], "document_id int, revision_id string, chunk_id string")
     sinks.write_index(stored, path, buckets=4)
     fresh = spark.createDataFrame([(3, "r1", "new-a"), (3, "r1", "new-b")], stored.schema)
-    sinks.replace_documents(path, fresh, ["document_id", "revision_id"], buckets=4)
+    sinks.replace_documents(path, fresh, ["document_id", "revision_id"])
     got = sorted(r.chunk_id for r in sinks.read_index(spark, path).collect())
     assert got == sorted([f"c{i}" for i in range(20) if i != 3] + ["new-a", "new-b"])
 
 
+def test_prune_and_remove_rewrite_the_stored_index(spark):
+    path = folder() + "/index"
+    stored = spark.createDataFrame([(i, r, f"c{i}{r}") for i in range(12) for r in ("r1", "r2")], "document_id int, revision_id string, chunk_id string")
+    sinks.write_index(stored, path)
+    assert sinks.index_buckets(spark, path) == 1
+    sinks.write_index(stored, path, buckets=5)
+    sinks.prune_index(path, spark.createDataFrame([(1, "r2"), (2, "r1")], "document_id int, keep_revision_id string"))
+    left = {(i, r) for i in range(12) for r in ("r1", "r2")} - {(1, "r1"), (2, "r2")}
+    assert {(r.document_id, r.revision_id) for r in sinks.read_index(spark, path).collect()} == left
+    # All documents but one go, so most buckets become empty and must not keep their files.
+    sinks.remove_from_index(path, spark.createDataFrame([(i,) for i in range(12) if i != 3], "document_id int"))
+    assert {(r.document_id, r.revision_id) for r in sinks.read_index(spark, path).collect()} == {(3, "r1"), (3, "r2")}
+
+
 def test_append_absent_and_audit(spark):
     path = folder() + "/ir"
     rows = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
