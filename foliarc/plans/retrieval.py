@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliarc.functions import ranking
 from foliarc.functions.text import tokens
+from foliarc.operators import chunks as ch
 from foliarc.operators import retrieve
 from foliarc.plans.registry import Tables, query
 from foliarc.session import spread
@@ -147,12 +151,39 @@ def hybrid_top20(t: Tables):
 WITH {BM25_CTES}, {DENSE_CTES}, {FUSED_CTES.format(depth=24)}
 SELECT 'bm2512' AS strategy, question_id, chunk_id, sparse_rank AS rank FROM sparse WHERE sparse_rank <= 12
 UNION ALL SELECT 'dense12', question_id, chunk_id, dense_rank FROM dense WHERE dense_rank <= 12
-UNION ALL SELECT 'hybrid12', question_id, chunk_id, rank FROM ranked WHERE rank <= 12""")
+UNION ALL SELECT s, question_id, chunk_id, rank FROM ranked, (SELECT unnest(['hybrid12', 'scan']) AS s) WHERE rank <= 12""")
 def strategies(t: Tables):
     q, c = questions(t), chunks(t)
     frames = [retrieve.retrieve_strategy(name, q, c).withColumn("strategy", F.lit(name))
-              for name in ("bm2512", "dense12", "hybrid12")]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+              for name in ("bm2512", "dense12", "hybrid12", "scan")]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def indexed_chunks(t: Tables):
+    """Chunks of two revisions of every document; the second is active, and none where the id ends in 9."""
+    d = spread(t.documents, "doc_id")
+    revisions = d.select(F.col("doc_id").alias("document_id"), F.col("source").alias("title"), F.explode(F.array(
+        F.struct(F.lit("r1").alias("id"), F.lit(1).alias("version"), F.concat(F.lit("Superseded. "), "text").alias("text")),
+        F.struct(F.lit("r2").alias("id"), F.lit(2).alias("version"), F.col("text").alias("text")))).alias("r")).select(
+        "document_id", "title", F.col("r.version").alias("version"), F.col("r.id").alias("revision_id"), F.col("r.text").alias("text"),
+        F.array().cast("array<struct<page_number:int,text:string>>").alias("pages"))
+    active = t.documents.filter("doc_id % 10 <> 9").select(F.col("doc_id").alias("document_id"), F.lit("r2").alias("active_revision_id"))
+    return retrieve.visible_chunks(ch.document_chunks(revisions, revision=True), active)
+
+
+@query("index_and_retrieve")
+def index_and_retrieve(t: Tables):
+    """Split, index, restrict to active revisions and rank the chunks for every question."""
+    visible = indexed_chunks(t).withColumn("embedding", retrieve.hashed_vector(F.col("text")))
+    return retrieve.hybrid_retrieve(questions(t), visible).join(
+        visible.select("chunk_id", "document_id", "position"), "chunk_id").select(
+        "question_id", "rank", "document_id", "position", "sparse_rank", "dense_rank", F.round("rrf", 6).alias("rrf"))
+
+
+@query("index_visible_documents", """
+SELECT doc_id AS document_id, 'r2' AS revision_id, 1::BIGINT AS first_position FROM documents WHERE doc_id % 10 <> 9 AND regexp_matches(text, '\S')""")
+def index_visible_documents(t: Tables):
+    return indexed_chunks(t).groupBy("document_id", "revision_id").agg(F.min("position").cast("bigint").alias("first_position"))
 
 
 @query("func_26_hashed_vector", f"""
