@@ -13,6 +13,7 @@ from foliarc import vocab
 from foliarc.functions.hashing import canonical_hash, canonical_json, content_hash
 from foliarc.functions.text import collapse, fold_case, span_text, strip
 from foliarc.operators import catalogue as cat
+from foliarc.operators.timeline import rebuild_timeline
 
 
 # ---- registration ------------------------------------------------------------------------
@@ -70,12 +71,15 @@ def suppressed_by_review(incoming: DataFrame, preserved: DataFrame) -> DataFrame
 
 
 def activate_revisions(prepared: DataFrame, facts: DataFrame, docs: DataFrame, revisions: DataFrame,
-                       extractions: DataFrame) -> dict[str, DataFrame]:
-    """documents, facts, revisions after the prepared revisions became active.
+                       extractions: DataFrame, manifests: DataFrame | None = None) -> dict[str, DataFrame]:
+    """documents, facts, revisions, timeline, tags and audit after the prepared revisions became active.
 
     ``prepared``: document_id, revision_id. ``facts`` carry revision_id, active, review_status.
     ``extractions``: revision_id, document_type, document_date, summary, tags, content. Reviewed
     facts stay; unreviewed active ones retire; incoming duplicates of reviewed facts stay inactive.
+    ``timeline`` replaces the events of the switched documents, ``tags`` names the tags they need, and
+    ``audit`` has one row per switched document. ``manifests`` (revision_id, index_manifest as
+    struct with document_chunks) is kept on the active revision.
     """
     switching = prepared.select("document_id", F.col("revision_id").alias("_new"))
     tagged = facts.join(switching, "document_id", "left")
@@ -90,6 +94,10 @@ def activate_revisions(prepared: DataFrame, facts: DataFrame, docs: DataFrame, r
     next_revisions = revisions.join(switching, "document_id", "left").withColumn("status", F.when(
         F.col("revision_id").eqNullSafe(F.col("_new")) & F.col("_new").isNotNull(), F.lit("ACTIVE")).when(
         F.col("_new").isNotNull() & (F.col("status") == "ACTIVE"), F.lit("SUPERSEDED")).otherwise(F.col("status"))).drop("_new")
+    chunks = F.lit(None).cast("bigint")
+    if manifests is not None:
+        next_revisions = next_revisions.drop("index_manifest").join(manifests.select("revision_id", "index_manifest"), "revision_id", "left")
+        chunks = F.col("index_manifest.document_chunks").cast("bigint")
     found = extractions.select(
         F.col("revision_id").alias("_new"), F.col("document_type").alias("x_type"), F.col("document_date").alias("x_date"),
         F.col("summary").alias("x_summary"), F.col("tags").alias("x_tags"), F.col("content").alias("x_content"))
@@ -107,7 +115,19 @@ def activate_revisions(prepared: DataFrame, facts: DataFrame, docs: DataFrame, r
         .otherwise(F.col("search_text")).alias("search_text"),
         F.when(changed, F.col("_new")).otherwise(F.col("active_revision_id")).alias("active_revision_id"),
         F.when(changed, F.lit("READY")).otherwise(F.col("status")).alias("status"))
-    return {"documents": next_docs, "facts": next_facts, "revisions": next_revisions}
+    switched = switching.select("document_id")
+    own_docs = next_docs.join(switched, "document_id", "left_semi")
+    timeline = rebuild_timeline(own_docs, next_facts.join(switched, "document_id", "left_semi"))
+    tags = own_docs.select(F.explode("tags").alias("name")).distinct()
+    counted = incoming.join(visible, "fact_id", "left").groupBy("document_id").agg(F.count_if(F.coalesce("_visible", F.lit(False))).alias("facts"))
+    noted = switching.withColumnRenamed("_new", "revision_id")
+    if manifests is not None:
+        noted = noted.join(manifests.select("revision_id", "index_manifest"), "revision_id", "left")
+    audit = noted.join(counted, "document_id", "left").select(
+        "document_id", F.lit("DOCUMENT").alias("entity_type"), F.col("document_id").alias("entity_id"),
+        F.lit("PROCESSING_REVISION_ACTIVATED").alias("action"),
+        F.struct("revision_id", F.coalesce("facts", F.lit(0)).alias("facts"), chunks.alias("chunks")).alias("after"))
+    return {"documents": next_docs, "facts": next_facts, "revisions": next_revisions, "timeline": timeline, "tags": tags, "audit": audit}
 
 
 # ---- edits -------------------------------------------------------------------------------

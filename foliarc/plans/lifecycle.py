@@ -71,6 +71,39 @@ def activate(t: Tables):
     return out["facts"].groupBy("document_id").agg(F.count_if("active").alias("active_facts"))
 
 
+def _activated(t: Tables):
+    d = x.docs(t)
+    prepared = d.filter("status = 'READY'").select("document_id", F.concat(F.lit("next-"), "document_id").alias("revision_id"))
+    found = prepared.select("revision_id", F.lit("VISIT").alias("document_type"), F.lit(None).cast("date").alias("document_date"),
+                            F.lit("new summary").alias("summary"), F.array(F.lit("new")).alias("tags"), F.lit("text").alias("content"))
+    manifests = prepared.select("revision_id", F.struct((F.col("document_id") % 7).alias("document_chunks")).alias("index_manifest"))
+    return lifecycle.activate_revisions(prepared, _facts(t), d, x.revisions(t), found, manifests)
+
+
+@query("activation_audit", ctes("docs", "facts") + "," + INCOMING + """
+SELECT d.document_id, 'PROCESSING_REVISION_ACTIVATED' AS action, 'next-' || d.document_id AS revision_id,
+  count(v.fact_id) AS facts, CAST(d.document_id % 7 AS BIGINT) AS chunks
+FROM docs d LEFT JOIN fx f ON f.document_id = d.document_id AND f.inc LEFT JOIN vis v ON v.fact_id = f.fact_id
+WHERE d.status = 'READY' GROUP BY d.document_id""")
+def activation_audit(t: Tables):
+    return _activated(t)["audit"].select("document_id", "action", "after.revision_id", "after.facts", "after.chunks")
+
+
+@query("activated_timeline", ctes("docs", "facts") + "," + INCOMING + """
+, live AS (SELECT f.document_id, f.fact_id, f.event_date FROM fx f LEFT JOIN vis v USING (fact_id) JOIN docs d ON d.document_id = f.document_id
+  WHERE d.status = 'READY' AND (inc OR f.review_status <> 'REJECTED') AND CASE WHEN inc THEN v.fact_id IS NOT NULL ELSE f.active AND f.review_status <> 'UNREVIEWED' END)
+SELECT document_id, NULL AS fact_id, strftime(document_date, '%Y-%m-%d') AS event_date FROM docs WHERE status = 'READY'
+UNION ALL SELECT document_id, fact_id, strftime(event_date, '%Y-%m-%d') FROM live""")
+def activated_timeline(t: Tables):
+    return _activated(t)["timeline"].select("document_id", "fact_id", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"))
+
+
+@query("activated_tags", ctes("docs") + """
+SELECT DISTINCT name FROM (SELECT unnest(tags) AS name FROM docs WHERE status = 'READY' UNION ALL SELECT 'new')""")
+def activated_tags(t: Tables):
+    return _activated(t)["tags"]
+
+
 @query("activated_documents", ctes("docs") + """
 SELECT document_id, CASE WHEN status = 'READY' AND document_type <> 'NOTE' THEN 'VISIT' ELSE document_type END AS document_type,
   CASE WHEN status = 'READY' THEN 'next-' || document_id ELSE active_revision_id END AS active_revision_id,
