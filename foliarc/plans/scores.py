@@ -576,9 +576,17 @@ def agg_34(t: Tables):
     return manifests.file_set_fingerprint(t.pages.select(F.col("url").alias("path"), F.sha2("html", 256).alias("sha256")))
 
 
-@query("agg_35_vector_fingerprint")
+@query("agg_35_vector_fingerprint", """
+WITH r AS (SELECT sha256('{"vec_id":' || vec_id || ',"millionths":[' || array_to_string(list_transform(embedding,
+  lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000.0) AS BIGINT)), ',') || ']}') AS h, 1 AS n FROM embeddings),
+a AS (SELECT substr(h, 1, 7) AS k, sum(n) AS n, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h || ':' || n)) AS h FROM r GROUP BY 1),
+b AS (SELECT substr(k, 1, 5) AS k, sum(n) AS n, sha256(string_agg(k || ':' || h, chr(10) ORDER BY k || ':' || h)) AS h FROM a GROUP BY 1),
+c AS (SELECT substr(k, 1, 3) AS k, sum(n) AS n, sha256(string_agg(k || ':' || h, chr(10) ORDER BY k || ':' || h)) AS h FROM b GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(k || ':' || h, chr(10) ORDER BY k || ':' || h)) AS sha256 FROM c""")
 def agg_35(t: Tables):
-    return manifests.table_fingerprint(t.embeddings.select("vec_id", "embedding"))
+    # Components in millionths: the digits of a float's text differ between engines.
+    whole = F.transform("embedding", lambda v: F.round(v.cast("double") * 1000000.0).cast("bigint"))
+    return manifests.table_fingerprint(t.embeddings.select("vec_id", whole.alias("millionths")))
 
 
 def _files(t: Tables):
