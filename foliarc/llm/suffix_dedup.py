@@ -130,8 +130,20 @@ def cut_now(held: list[tuple[int, int, int, bytes]], width: int) -> pd.DataFrame
     owner, start, size, gram, digest = fragments(data, bounds, width)
     ids, ties, base = (np.array([h[j] for h in held], np.int64) for j in range(3))
     begins = np.concatenate([[0], bounds[:-1]])
-    return pd.DataFrame({"gram": gram.view(np.int64), "digest": digest.view(np.int64), "id": ids[owner], "tie": ties[owner],
-                         "start": start - begins[owner] + base[owner], "strings": size.astype(np.int32)})
+    return combined(gram.view(np.int64), digest.view(np.int64), ids[owner], ties[owner], start - begins[owner] + base[owner], size)
+
+
+def combined(gram, digest, ids, ties, start, size) -> pd.DataFrame:
+    """Map-side combine: of equal fragments at hand all but the first are repeats already.
+
+    Those keep no gram to meet at; they get a spread one and a negative size, and are only passed on.
+    """
+    by = np.lexsort((start, ties, ids, size, digest, gram))
+    gram, digest, ids, ties, start, size = (c[by] for c in (gram, digest, ids, ties, start, size))
+    known = np.append(False, (gram[1:] == gram[:-1]) & (digest[1:] == digest[:-1]) & (size[1:] == size[:-1]))
+    spread = mixed((start + ids).astype(np.uint64)).view(np.int64)
+    return pd.DataFrame({"gram": np.where(known, spread, gram), "digest": np.where(known, 0, digest), "id": ids, "tie": ties,
+                         "start": start, "strings": np.where(known, -size, size).astype(np.int32)})
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -162,6 +174,11 @@ def merge_equal(width: int):
         last: tuple | None = None
         waiting: pd.DataFrame | None = None  # first fragment of the gram read last, while it is the only one
         for batch in batches:
+            known = batch["strings"] < 0
+            if known.any():
+                done = batch.loc[known, ["id", "tie", "start"]]
+                yield done.assign(gram=0, stop=done["start"] - batch.loc[known, "strings"] + width - 1, sort=False)
+                batch = batch[~known]
             if not len(batch):
                 continue
             gram, digest, strings = (batch[c].to_numpy() for c in ("gram", "digest", "strings"))
