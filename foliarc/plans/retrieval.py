@@ -181,7 +181,7 @@ def index_and_retrieve(t: Tables):
 
 
 @query("index_visible_documents", """
-SELECT doc_id AS document_id, 'r2' AS revision_id, 1::BIGINT AS first_position FROM documents WHERE doc_id % 10 <> 9 AND regexp_matches(text, '\S')""")
+SELECT doc_id AS document_id, 'r2' AS revision_id, 1::BIGINT AS first_position FROM documents WHERE doc_id % 10 <> 9 AND regexp_matches(text, '\\S')""")
 def index_visible_documents(t: Tables):
     return indexed_chunks(t).groupBy("document_id", "revision_id").agg(F.min("position").cast("bigint").alias("first_position"))
 
