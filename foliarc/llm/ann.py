@@ -110,9 +110,12 @@ def stack(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(np.float64) if len(series) else np.zeros((0, 0))
 
 
-def nearest(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+def nearest(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int,
+            leaf: np.ndarray | None = None, visited: np.ndarray | None = None) -> pd.DataFrame:
     """The k nearest of ``rows`` to each query, exactly, without the query's own id; ties to smaller ids.
 
+    With ``leaf`` of each row and ``visited`` (query by leaf), a query sees only rows of leaves it visits.
+
     Products screen the rows; all that could be among the k nearest within rounding are then
     measured by differences in double precision.
     """
@@ -124,6 +127,8 @@ def nearest(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: n
         size = (some * some).sum(axis=1)
         rough = norms[None, :] + size[:, None] - 2 * (some @ rows.T)
         rough[own[:, None] == ids[None, :]] = np.inf
+        if visited is not None:
+            rough[~visited[at:at + step][:, leaf]] = np.inf
         edge = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(some), np.inf)
         slack = 1e-9 * (size + norms.max(initial=0))
         for i in range(len(some)):
@@ -177,8 +182,9 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, target: float = TA
     ``vectors`` has vec_id and embedding. Null, zero and non-finite vectors, null ids, and vectors of
     another length than most take no part. Equal distances go to the smaller vec_id; rows that repeat a
     vec_id are candidates each, but none for its own query, which asks with the least of its vectors. Fewer candidates than ``k`` give all of
-    them; other columns are ignored; an empty table gives an empty result. Leaves with many rows or
-    many queries are cut into blocks, so no task holds a leaf.
+    them; other columns are ignored; an empty table gives an empty result. Small leaves are compared
+    together, so a query gets one short list from them; bins with many rows or many queries are cut
+    into blocks, so no task holds a large leaf.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
@@ -200,43 +206,62 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, target: float = TA
     sizes = np.zeros(tree.value.leaves, np.int64)
     for leaf, many in index.groupBy("leaf").count().collect():
         sizes[leaf] = many
+    bin_of = packed(sizes)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for query, vector in zip(batch["vec_id"], batch["embedding"]):
-                held = 0
+                held, by_bin = 0, {}
                 for n, leaf in enumerate(tree.value.best_bins(np.asarray(vector, np.float64))):
                     if n >= visits and held > k:
                         break
                     held += int(sizes[leaf])
-                    out.append((query, vector, leaf))
-            yield pd.DataFrame(out, columns=["query_id", "query", "leaf"])
-
-    walked = staged(asked.select("vec_id", "embedding").mapInPandas(walk, "query_id long, query array<double>, leaf long"), "visits")
-    callers = np.zeros(tree.value.leaves, np.int64)
-    for leaf, many in walked.groupBy("leaf").count().collect():
-        callers[leaf] = many
-    parts = [F.array(*[F.lit(int(max(1, -(-n // size)))) for n in counts]) for counts, size in ((sizes, BLOCK_ROWS), (callers, BLOCK_QUERIES))]
-    leaf = F.col("leaf").cast("int")
+                    by_bin.setdefault(int(bin_of[leaf]), []).append(leaf)
+                out += [(query, vector, at, leaves) for at, leaves in by_bin.items()]
+            yield pd.DataFrame(out, columns=["query_id", "query", "bin", "leaves"])
+
+    walked = staged(asked.select("vec_id", "embedding").mapInPandas(walk, "query_id long, query array<double>, bin int, leaves array<long>"), "visits")
+    bins = int(bin_of.max(initial=-1)) + 1
+    callers = np.zeros(bins, np.int64)
+    for at, many in walked.groupBy("bin").count().collect():
+        callers[at] = many
+    counts = (np.bincount(bin_of, weights=sizes, minlength=bins).astype(np.int64), callers)
+    parts = [F.array(*[F.lit(int(max(1, -(-n // size)))) for n in many]) if bins else F.array(F.lit(1))
+             for many, size in zip(counts, (BLOCK_ROWS, BLOCK_QUERIES))]
+    bin_column = F.get(F.array(*[F.lit(int(b)) for b in bin_of]), F.col("leaf").cast("int")) if bins else F.lit(0)
 
     def cell(own: int, key: str) -> tuple[Column, Column]:
         """Own block by hash, and a copy for each block of the other side."""
-        mine = F.pmod(F.xxhash64(key), F.get(parts[own], leaf)).cast("int")
-        others = F.explode(F.sequence(F.lit(0), F.get(parts[1 - own], leaf) - 1))
+        mine = F.pmod(F.xxhash64(key), F.get(parts[own], F.col("bin"))).cast("int")
+        others = F.explode(F.sequence(F.lit(0), F.get(parts[1 - own], F.col("bin")) - 1))
         return mine, others
 
     mine, others = cell(0, "vec_id")
-    held = index.select("leaf", mine.alias("row_block"), others.alias("query_block"), "vec_id", "embedding")
+    held = index.withColumn("bin", bin_column).select("bin", mine.alias("row_block"), others.alias("query_block"), "vec_id", "embedding", "leaf")
     mine, others = cell(1, "query_id")
-    calls = walked.select("leaf", mine.alias("query_block"), others.alias("row_block"), "query_id", "query")
-    keys = ["leaf", "row_block", "query_block"]
+    calls = walked.select("bin", mine.alias("query_block"), others.alias("row_block"), "query_id", "query", "leaves")
+    keys = ["bin", "row_block", "query_block"]
 
     def compare(stored: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(stored) or not len(asking):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return nearest(stored["vec_id"].to_numpy(), stack(stored["embedding"]), asking["query_id"].to_numpy(), stack(asking["query"]), k)[["query_id", "vec_id", "score"]]
+        names, leaf = np.unique(stored["leaf"].to_numpy(), return_inverse=True)
+        visited = np.array([np.isin(names, leaves) for leaves in asking["leaves"]])
+        return nearest(stored["vec_id"].to_numpy(), stack(stored["embedding"]), asking["query_id"].to_numpy(), stack(asking["query"]), k,
+                       leaf, visited)[["query_id", "vec_id", "score"]]
 
     found = held.groupBy(*keys).cogroup(calls.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def packed(sizes: np.ndarray) -> np.ndarray:
+    """A bin for each leaf: neighbouring leaves share one up to ``BLOCK_ROWS`` rows, a larger leaf has its own."""
+    out, at, held = np.zeros(len(sizes), np.int64), 0, 0
+    for leaf, size in enumerate(sizes.tolist()):
+        if held and held + size > BLOCK_ROWS:
+            at, held = at + 1, 0
+        out[leaf] = at
+        held += size
+    return out
