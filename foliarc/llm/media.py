@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ WINDOW = 32
 DIGEST = 16
 MAX_BITS = 1 << 26
 BITS_A_DIGEST = 16
+PROBES = 4
 SENT_AT_MOST = 100_000
 
 _GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -108,8 +110,8 @@ def described(media: bytes, digest: bytes) -> tuple:
     return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), feature(payload)
 
 
-def shared_table(texts: DataFrame) -> tuple[int, np.ndarray]:
-    """Bit table of the digests that occur more than once, and its size in bits."""
+def shared_table(texts: DataFrame) -> tuple[int, array]:
+    """Bit table of the digests that occur more than once, ``PROBES`` bits each, and its size in bits."""
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -121,13 +123,26 @@ def shared_table(texts: DataFrame) -> tuple[int, np.ndarray]:
     wanted = min(MAX_BITS, BITS_A_DIGEST * shared.count())
     while bits < wanted:
         bits *= 2
-    at = shared.select(F.crc32("digest").bitwiseAND(F.lit(bits - 1)).alias("at"))
+    first, step = F.crc32("digest"), F.crc32(F.substring("digest", DIGEST // 2 + 1, DIGEST // 2)).bitwiseOR(F.lit(1))
+    at = shared.select(F.explode(F.array(*[(first + step * i).bitwiseAND(F.lit(bits - 1)) for i in range(PROBES)])).alias("at"))
     words = at.groupBy(F.expr("shiftright(at, 5)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 31)))").alias("bits")).toPandas()
-    table = np.zeros(bits // 32, np.uint32)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    table = array("I", bytes(bits // 8))
+    for word, found in zip(words["word"].tolist(), words["bits"].tolist()):
+        table[word] = found
     return bits, table
 
 
+def listed(digest: bytes, bits: int, table: array) -> bool:
+    """Whether all probes of a digest are set in the table."""
+    at, step = zlib.crc32(digest), zlib.crc32(digest[DIGEST // 2:]) | 1
+    for _ in range(PROBES):
+        place = at & (bits - 1)
+        if not table[place >> 5] >> (place & 31) & 1:
+            return False
+        at += step
+    return True
+
+
 STORED = ("shared boolean, doc_id long, n_bytes long, media_bytes long, media_sha256 binary, "
           "recipe binary, outside int, bytes binary")
 
@@ -151,8 +166,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 media = encode_media(payload_of(text))
                 recipe, inline, outside = [], [], 0
                 for digest, piece in chunks_of(media):
-                    at = zlib.crc32(digest) & (bits - 1)
-                    if known.value[at >> 5] >> np.uint32(at & 31) & np.uint32(1):
+                    if listed(digest, bits, known.value):
                         outside += 1
                         recipe.append(digest + bytes(4))
                         if digest not in sent:
