@@ -23,9 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith(("local[", "local-")) and spark.sparkContext.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    named = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
