@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliarc import vocab
 from foliarc.functions.hashing import content_hash
 from foliarc.functions.text import non_blank
 from foliarc.operators import catalogue as cat
