@@ -30,6 +30,7 @@ ODD = re.compile(f"[{SEPARATOR_CONTROLS}]")
 LONGEST_CACHED = 64
 CACHE_UNITS = 400_000
 MISSES_AT_ONCE = 20_000
+TEXTS_AT_ONCE = 128
 
 
 def byte_characters() -> list[str]:
@@ -81,25 +82,24 @@ class ByteBpe:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of every text, in order. The library encodes the units the cache lacks, many at a time."""
-        cut = [[t] if ODD.search(t) else UNIT.findall(t) for t in texts]
-        for start in range(0, len(cut), 256):
-            part = cut[start:start + 256]
+        """Ids of every text, in order. The library encodes the units the cache lacks, many at a time.
+
+        Only the units of a few texts are held at once.
+        """
+        for start in range(0, len(texts), TEXTS_AT_ONCE):
+            part = [[t] if ODD.search(t) else UNIT.findall(t) for t in texts[start:start + TEXTS_AT_ONCE]]
             missing = list({u for units in part for u in units if u not in self.cache})
             if len(self.cache) + len(missing) > CACHE_UNITS:
                 self.cache.clear()
                 missing = list({u for units in part for u in units})
-            long: dict[str, bytes] = {}
+            now: dict[str, bytes] = {}
             for at in range(0, len(missing), MISSES_AT_ONCE):
                 some = missing[at:at + MISSES_AT_ONCE]
-                for unit, ids in zip(some, self.encode_now(some)):
-                    (self.cache if len(unit) <= LONGEST_CACHED else long)[unit] = ids
-            cache = {**self.cache, **long} if long and len(long) > 8 else self.cache
+                now.update(zip(some, self.encode_now(some)))
+            self.cache.update((u, ids) for u, ids in now.items() if len(u) <= LONGEST_CACHED)
+            cache = self.cache
             for units in part:
-                if cache is self.cache and long:
-                    yield b"".join([cache[u] if u in cache else long[u] for u in units])
-                else:
-                    yield b"".join([cache[u] for u in units])
+                yield b"".join([cache[u] if u in cache else now[u] for u in units])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
