@@ -28,7 +28,7 @@ from foliarc.llm.common import SEPARATOR_CONTROLS, text_or_empty
 UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile(f"[{SEPARATOR_CONTROLS}]")
 LONGEST_CACHED = 64
-CACHE_UNITS = 400_000
+CACHE_UNITS = 200_000
 MISSES_AT_ONCE = 20_000
 TEXTS_AT_ONCE = 128
 

@@ -9,8 +9,8 @@ the number of documents whose weight passes a threshold calibrated on labelled r
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -25,26 +25,13 @@ BUCKETS = 1 << 15
 LABELLED = 20_000  # labelled rows used at most, chosen by a hash of doc_id
 CLEAN_RECALL = 0.995  # share of labelled good rows that the threshold keeps at least
 SEED = 42
-CACHE_TOKENS = 400_000
 BINS = 4096
 RANKED_AT_ONCE = 50_000
 
-_TOKENS: dict[str, int] = {}
-
-
-def token_hash(token: str) -> int:
-    found = _TOKENS.get(token)
-    if found is None:
-        if len(_TOKENS) >= CACHE_TOKENS:
-            _TOKENS.clear()
-        found = _TOKENS[token] = zlib.crc32(token.encode("utf-8", "surrogatepass"))
-    return found
-
-
 def grams(text: str) -> np.ndarray:
     """Buckets of the words and word pairs of the whole text; a word followed by itself is one pair for all words."""
     words = TOKEN.findall(text)
-    one = np.fromiter(map(token_hash, words), np.uint64, len(words))
+    one = np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
     two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (one[1:] + np.uint64(0x632BE59BD9B4E019))
     two[one[:-1] == one[1:]] = np.uint64(1)
     both = np.concatenate([one, two])

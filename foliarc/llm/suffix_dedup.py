@@ -25,7 +25,7 @@ from foliarc.llm.suffix_array import ranges, suffix_arrays
 WIDTH = 100
 GRAM = 32
 SLICE = 1 << 19  # bytes hashed at once; longer texts go in overlapping slices
-SORT_AT_ONCE = 1 << 20
+SORT_AT_ONCE = 1 << 19
 LONG_STRING = 1 << 14  # longer strings of one gram are cut down before they are sorted
 COMMON = 20_000  # fragments of one gram that one task sorts
 NO_ID = (1 << 63) - 1
