@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from foliarc.llm.common import SEPARATOR_CONTROLS, text_or_empty
+from foliarc.llm.common import SEPARATOR_CONTROLS, release_memory, text_or_empty
 
 # Units that are encoded apart: a word with at most one space before it, or white space.
 UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile(f"[{SEPARATOR_CONTROLS}]")
 LONGEST_CACHED = 64
-CACHE_UNITS = 200_000
+CACHE_UNITS = 120_000
 MISSES_AT_ONCE = 20_000
 TEXTS_AT_ONCE = 128
 
@@ -154,6 +154,7 @@ def digests_column(text: Column, ranks_path: str, pattern: str) -> Column:
                 ids = np.frombuffer(packed, dtype="<u4").tolist()
                 rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=ENCODED.names)
+        release_memory()
 
     return digest(F.coalesce(text, F.lit("")))
 

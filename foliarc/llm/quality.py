@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from foliarc.llm.common import staged, text_or_empty
+from foliarc.llm.common import release_memory, staged, text_or_empty
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 15
@@ -52,6 +52,7 @@ def model_counts(docs: DataFrame, good: set[int]) -> tuple[np.ndarray, np.ndarra
                 if doc_id in chosen.value:
                     target += found
         yield pd.DataFrame({"bucket": np.arange(BUCKETS), "raw": raw, "target": target})
+        release_memory()
 
     part = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), text_or_empty().alias("text"))
     sums = part.mapInPandas(count, "bucket int, raw long, target long").groupBy("bucket").agg(
@@ -71,6 +72,7 @@ def log_weight(text: Column, ratio) -> Column:
     def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([float(ratio.value[grams(t)].sum()) for t in batch], dtype="float64")
+        release_memory()
 
     return weigh(text)
 

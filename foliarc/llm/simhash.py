@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from foliarc.llm.common import partitions, staged, text_or_empty
+from foliarc.llm.common import partitions, release_memory, staged, text_or_empty
 from foliarc.llm.suffix_dedup import whole_groups
 
 RADIUS = 4
@@ -59,6 +59,7 @@ def fingerprint_column(text: Column) -> Column:
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([fingerprint(t) for t in batch], dtype="int64")
+        release_memory()
 
     return prints(text)
 

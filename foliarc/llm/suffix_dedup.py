@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from foliarc.llm.common import partitions, staged, text_or_empty
+from foliarc.llm.common import partitions, release_memory, staged, text_or_empty
 from foliarc.llm.suffix_array import ranges, suffix_arrays
 
 WIDTH = 100
@@ -120,6 +120,7 @@ def cut(width: int):
                         held, weight = [], 0
             if held:
                 yield cut_now(held, width)
+        release_memory()
 
     return run
 
@@ -307,6 +308,7 @@ def sort_groups(width: int):
                 held, weight, at = [], 0, until
         if held:
             yield repeats_of(pd.concat(held, ignore_index=True), width)[["gram", "id", "tie", "start", "stop"]]
+        release_memory()
 
     return run
 
