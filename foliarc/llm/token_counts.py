@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from foliarc.llm.common import SEPARATOR_CONTROLS, text_or_empty
+from foliarc.llm.common import SEPARATOR_CONTROLS, release_memory, staged, text_or_empty
 
 ODD = re.compile(f"[{SEPARATOR_CONTROLS}]")
 LONGEST_CACHED = 64
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 TABLE_WORDS = 32_768
 SAMPLE_ROWS = 4_000
 
@@ -44,7 +44,8 @@ def lengths_of(path: str, words: list[str]) -> list[int]:
 def frequent_lengths(docs: DataFrame, path: str, words: int = TABLE_WORDS, sample_rows: int = SAMPLE_ROWS) -> dict[str, int]:
     """Lengths of the commonest pre-tokens of about ``sample_rows`` rows: only a cache, so a sample is enough.
 
-    Tasks count their part of the sample; the driver receives at most ``words`` rows.
+    Tasks count their part of the sample. Only words with at least a ``words``-th of all counts come to
+    the driver, so there can be no more than ``words`` of them.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,7 +59,9 @@ def frequent_lengths(docs: DataFrame, path: str, words: int = TABLE_WORDS, sampl
     texts = docs.select(text_or_empty().alias("text"))
     sample = texts.sample(fraction=sample_rows / rows, seed=1) if rows > sample_rows else texts
     top = sample.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    common = [r[0] for r in top.orderBy(F.desc("n"), "word").limit(words).collect()]
+    counted = staged(top, "pre-tokens")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = sorted(r[0] for r in counted.filter(F.col("n") * words >= total).select("word").collect())
     return dict(zip(common, lengths_of(path, common)))
 
 
@@ -102,6 +105,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int) -> DataFrame:
         cache = _CACHE.setdefault(path, {})
         for batch in batches:
             yield pd.Series([count_text(t, table.value, cache, path) for t in batch], dtype="int64")
+        release_memory()
 
     text = text_or_empty()
     counted = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), tokens(text).alias("n_tokens"))
