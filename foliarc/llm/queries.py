@@ -124,3 +124,49 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from foliarc.llm.chat import format_chats
 
     return format_chats(table(spark, folder, "conversations"))
+
+
+@query("op11_block_matrix_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from foliarc.llm.whitening import whiten
+
+    return whiten(table(spark, folder, "embeddings"))
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+counts AS MATERIALIZED (SELECT lang, k, phrase, count(*)::BIGINT AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k >= 2 AND a >= 30),
+split AS MATERIALIZED (
+  SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS first, array_to_string(w[cut + 1:k], ' ') AS rest
+  FROM candidates, (SELECT unnest([1, 2, 3]) AS cut) WHERE cut < k),
+firsts AS MATERIALIZED (SELECT s.*, c.a AS l FROM split s JOIN counts c ON c.lang = s.lang AND c.phrase = s.first),
+cuts AS MATERIALIZED (
+  SELECT s.lang, s.phrase, s.a, s.cut, s.l, c.a AS r, (s.a::HUGEINT * 2000000) // (s.l::HUGEINT + c.a) AS score
+  FROM firsts s JOIN counts c ON c.lang = s.lang AND c.phrase = s.rest),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+parts AS (
+  SELECT lang, a, m, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM candidates, (SELECT unnest([2, 3]) AS m) WHERE m < k),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM parts GROUP BY ALL),
+left_over AS (
+  SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, score::BIGINT AS score
+FROM left_over o JOIN totals t ON t.lang = o.lang
+QUALIFY row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+@query("op13_collocations", PHRASE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from foliarc.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents"))
