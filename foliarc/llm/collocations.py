@@ -29,9 +29,9 @@ TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
 ID_BITS = 31
 TILE_BITS = 8
 DENSE_FROM = 1 << 13  # pairs of one buffer in one tile from which it is counted densely
-DENSE_TILES = 128
-BUFFER = 1 << 20
-HELD_WORDS = 300_000
+DENSE_TILES = 64
+BUFFER = 1 << 19
+HELD_WORDS = 200_000
 SLICE = 1 << 22
 CHARS_AT_ONCE = 1 << 20
 GAP = -1
@@ -66,7 +66,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         def out() -> Iterator[pd.DataFrame]:
             for lang, seen in held.items():
-                yield pd.DataFrame({"lang": lang, "word": [w.decode("utf-8", "replace") for w in seen], "n": list(seen.values())})
+                if seen:
+                    yield pd.DataFrame({"lang": lang, "word": [w.decode("utf-8", "replace") for w in seen], "n": list(seen.values())})
             held.clear()
 
         for batch in batches:

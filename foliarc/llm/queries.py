@@ -133,6 +133,13 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"))
 
 
+@query("op12_word_first_language_id")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from foliarc.llm.language_id import predict
+
+    return predict(table(spark, folder, "documents"))
+
+
 PHRASE_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
