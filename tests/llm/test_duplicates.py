@@ -78,10 +78,6 @@ def test_fingerprints_and_components(spark):
     assert found[2] == found[3] == found[8] == [("0" * 16, 2)]
     assert found[1] == found[7] and found[7][0][1] == 1 and len(found[5]) == 2 and len(found[None]) == 2
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "4", "5", "None", "None"])
-    assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
 def test_long_chain_is_one_component(spark):
