@@ -1,13 +1,20 @@
 """Structure-aware chunking and the chunk index.
 
-Splitting is a column expression: the text is cut at paragraph breaks, rows, list items,
-sentences and, for over-long units, words; a fold packs the units greedily. No row of text
-leaves its task and no shuffle is needed.
+Splitting is a column expression: the text is cut at paragraph breaks, rows, list items, sentences and,
+for over-long units, words. Which neighbouring pieces make a chunk is decided on their lengths alone,
+by prefix sums and the next start of each chunk, so a text of many megabytes takes linear time. No row
+of text leaves its task and no shuffle is needed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliarc import vocab
@@ -17,7 +24,6 @@ from foliarc.operators.catalogue import correction_eligible
 
 _ABBREVIATED = vocab.NOT_AFTER_WORD + "(?:" + "|".join(vocab.ABBREVIATIONS) + r")\."
 _SENTENCE_CUT = r"((?iu)[.!?]+[\"'»”)]*)(?<!" + _ABBREVIATED + f")(?={SPACE}|\\z)"
-_SPANS = "array<struct<s:int,e:int>>"
 
 
 def _pieces(text: Column, pattern: str, replacement: str) -> Column:
@@ -67,53 +73,68 @@ def _paragraph_pieces(paragraph: Column, size: int) -> Column:
     return F.when(F.length(strip(paragraph)) <= size, F.array(paragraph)).otherwise(long_pieces)
 
 
-def unit_spans(text: Column, size: int) -> Column:
-    """Character spans of the units that packing keeps whole."""
+def text_pieces(text: Column, size: int) -> Column:
+    """Pieces that join back to the text; packing keeps each of them whole."""
     paragraphs = _pieces(text, f"({vocab.PARAGRAPH_BREAK})", "$1" + CUT)
-    pieces = F.flatten(F.transform(paragraphs, lambda p: _paragraph_pieces(p, size)))
-    empty = F.array().cast(_SPANS)
-
-    def step(state: Column, piece: Column) -> Column:
-        lead = F.length(piece) - F.length(strip_left(piece))
-        kept = F.length(strip(piece))
-        unit = F.struct((state["at"] + lead).cast("int").alias("s"), (state["at"] + lead + kept).cast("int").alias("e"))
-        return F.struct((state["at"] + F.length(piece)).cast("int").alias("at"),
-                        F.when(kept > 0, F.concat(state["units"], F.array(unit))).otherwise(state["units"])
-                        .alias("units"))
-
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("units")), step, lambda s: s["units"])
-
-
-def pack_spans(units: Column, size: int, overlap: int) -> Column:
-    """Greedy packing: a chunk closes when the next unit would exceed ``size``; whole trailing
-    units within ``overlap`` are repeated."""
-    empty = F.array().cast(_SPANS)
-
-    def closed(current: Column) -> Column:
-        return F.struct(F.get(current, F.lit(0))["s"].alias("s"), F.element_at(current, -1)["e"].alias("e"))
-
-    def step(state: Column, unit: Column) -> Column:
-        current = state["current"]
-        full = (F.size(current) > 0) & (unit["e"] - F.get(current, F.lit(0))["s"] > size)
-        carried = F.filter(current, lambda u: (F.element_at(current, -1)["e"] - u["s"] <= overlap)
-                           & (unit["e"] - u["s"] <= size))
-        return F.struct(
-            F.when(full, F.concat(state["chunks"], F.array(closed(current)))).otherwise(state["chunks"])
-            .alias("chunks"),
-            F.concat(F.when(full, carried).otherwise(current), F.array(unit)).alias("current"))
-
-    return F.aggregate(
-        units, F.struct(empty.alias("chunks"), empty.alias("current")), step,
-        lambda s: F.when(F.size(s["current"]) > 0, F.concat(s["chunks"], F.array(closed(s["current"]))))
-        .otherwise(s["chunks"]))
-
-
-def split_chunks(text: Column, size: int = vocab.CHUNK_SIZE, overlap: int = vocab.CHUNK_OVERLAP) -> Column:
-    """Array of chunk texts, each an exact substring of ``text``."""
+    return F.flatten(F.transform(paragraphs, lambda p: _paragraph_pieces(p, size)))
+
+
+def cut_points(lead: np.ndarray, kept: np.ndarray, length: np.ndarray, size: int, overlap: int) -> np.ndarray:
+    """First and last piece of each chunk, one after the other.
+
+    ``lead``: blanks before a piece's text; ``kept``: length of that text, 0 for a blank piece. A chunk
+    closes when the next text would exceed ``size``; whole trailing texts within ``overlap`` are repeated.
+    """
+    units = np.flatnonzero(kept > 0)
+    start = (np.cumsum(length) - length + lead)[units]
+    end = start + kept[units]
+    out, first, after = [], 0, 1
+    while len(units):
+        after = max(after, int(np.searchsorted(end, start[first] + size, "right")))
+        out += [units[first], units[after - 1]]
+        if after == len(units):
+            break
+        repeated = int(np.searchsorted(start, max(end[after - 1] - overlap, end[after] - size), "left"))
+        first, after = min(max(first, repeated), after), after + 1
+    return np.array(out, np.int32)
+
+
+def _cuts(lead: Column, kept: Column, length: Column, sizes: Column, overlaps: Column) -> Column:
+    """``cut_points`` of every text of an array; only lengths travel."""
+
+    @F.pandas_udf("array<array<int>>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if row[0] is None else [
+                np.zeros(0, np.int32) if part[0] is None else cut_points(*(np.asarray(p, np.int64) for p in part[:3]), *part[3:])
+                for part in zip(*row)] for row in zip(*batch)], dtype=object)
+
+    # Marked so that the optimizer keeps it in a column of its own, never inside a lambda or a derived filter.
+    return run.asNondeterministic()(lead, kept, length, sizes, overlaps)
+
+
+def _with_cuts(rows: DataFrame) -> DataFrame:
+    """``rows`` (pieces: array of the pieces of each text; sizes; overlaps) with ``cuts``."""
+    def each(measure) -> Column:
+        return F.transform("pieces", lambda own: F.transform(own, measure))
+    return rows.withColumn("cuts", _cuts(
+        each(lambda p: F.length(p) - F.length(strip_left(p))), each(lambda p: F.length(strip(p))), each(F.length),
+        F.col("sizes"), F.col("overlaps")))
+
+
+def _chunk_texts(pieces: Column, cuts: Column) -> Column:
+    """The chunks of one text: neighbouring pieces joined, without the blanks around them."""
+    places = F.sequence(F.lit(1), F.size(cuts), F.lit(2))
+    return F.when(F.size(cuts) > 0, F.transform(places, lambda i: strip(F.array_join(
+        F.slice(pieces, F.get(cuts, i - 1) + 1, F.get(cuts, i) - F.get(cuts, i - 1) + 1), "")))).otherwise(F.array().cast("array<string>"))
+
+
+def split_chunks(rows: DataFrame, text: str, name: str = "chunks", size: int = vocab.CHUNK_SIZE, overlap: int = vocab.CHUNK_OVERLAP) -> DataFrame:
+    """``rows`` with the array ``name`` of chunk texts, each an exact substring of the column ``text``; NULL for a NULL text."""
     if size < 1 or not 0 <= overlap < size:
         raise ValueError("INVALID_CHUNK_SETTINGS")
-    return let(pack_spans(unit_spans(text, size), size, overlap),
-               lambda spans: F.transform(spans, lambda c: F.substring(text, c["s"] + 1, c["e"] - c["s"])))
+    cut = _with_cuts(rows.withColumns({"pieces": F.array(text_pieces(F.col(text), size)), "sizes": F.array(F.lit(size)), "overlaps": F.array(F.lit(overlap))}))
+    return cut.select(*rows.columns, F.when(F.col(text).isNotNull(), _chunk_texts(F.get("pieces", F.lit(0)), F.get("cuts", F.lit(0)))).alias(name))
 
 
 def correction_text(name: Column, value_text: Column, value_number: Column, unit: Column, fact_id: Column) -> Column:
@@ -162,24 +183,31 @@ def document_chunks(docs: DataFrame, corrections: DataFrame | None = None, size:
     ``docs``: document_id, title, version, text, pages (array of page_number, text; may be empty
     or NULL) and, with ``revision``, revision_id.
     """
+    if size <= len(vocab.CORRECTION_MARKER) or not 0 <= overlap < size:
+        raise ValueError("INVALID_CHUNK_SETTINGS")
     ids = ["document_id", "revision_id"] if revision else ["document_id"]
     hashed = with_index_hash(docs, corrections, size, overlap, embedding_model, revision)
     pages = _pages()
     body = hashed.select(*ids, "title", "version", "index_hash", pages.alias("pages"), "notes")
-    from_pages = F.flatten(F.transform(
-        "pages", lambda p: F.transform(split_chunks(p["text"], size, overlap), lambda c: F.struct(
-            c.alias("text"), F.coalesce(p["page_number"], F.lit(0)).alias("page_number"),
-            F.lit(False).alias("user_correction")))))
     marker = vocab.CORRECTION_MARKER
-    from_notes = F.flatten(F.transform(
-        F.filter("notes", lambda n: correction_eligible(n["review_status"])),
-        lambda n: F.transform(
-            split_chunks(correction_text(n["name"], n["value_text"], n["value_number"], n["unit"], n["fact_id"]),
-                         size - len(marker), 0),
-            lambda c: F.struct(F.concat(F.lit(marker), c).alias("text"), F.lit(0).alias("page_number"),
-                               F.lit(True).alias("user_correction")))))
-    rows = body.select(*ids, "title", "version", "index_hash",
-                       F.posexplode_outer(F.concat(from_pages, from_notes)).alias("at", "chunk")).filter("chunk IS NOT NULL")
+    notes_used = F.filter("notes", lambda n: correction_eligible(n["review_status"]))
+    said = F.transform(notes_used, lambda n: correction_text(n["name"], n["value_text"], n["value_number"], n["unit"], n["fact_id"]))
+    parts = body.select(*ids, "title", "version", "index_hash", "pages", F.size("pages").alias("n_pages"), said.alias("said"))
+    parts = parts.select("*", F.concat(F.transform("pages", lambda p: text_pieces(p["text"], size)),
+                                       F.transform("said", lambda t: text_pieces(t, size - len(marker)))).alias("pieces"),
+                         *[F.concat(F.array_repeat(F.lit(a), F.size("pages")), F.array_repeat(F.lit(b), F.size("said"))).alias(name)
+                           for name, a, b in (("sizes", size, size - len(marker)), ("overlaps", overlap, 0))])
+
+    def of_part(own: Column, i: Column) -> Column:
+        corrected = i >= F.col("n_pages")
+        return F.transform(_chunk_texts(own, F.get("cuts", i)), lambda c: F.struct(
+            F.when(corrected, F.concat(F.lit(marker), c)).otherwise(c).alias("text"),
+            F.when(corrected, F.lit(0)).otherwise(F.coalesce(F.get("pages", i)["page_number"], F.lit(0))).alias("page_number"),
+            corrected.alias("user_correction")))
+
+    rows = _with_cuts(parts).select(
+        *ids, "title", "version", "index_hash",
+        F.posexplode_outer(F.flatten(F.transform("pieces", of_part))).alias("at", "chunk")).filter("chunk IS NOT NULL")
     position = (F.col("at") + 1).alias("position")
     return rows.select(
         chunk_id(F.col("document_id"), F.col("index_hash"), F.col("at") + 1).alias("chunk_id"), *ids,
@@ -215,27 +243,48 @@ def source_of(chunks: DataFrame, demo: bool = False) -> DataFrame:
     return chunks.select(*fields, *([] if demo else ["document_id"]))
 
 
-def pack_batches(items: DataFrame, keys: list[str], order: list[str], size: Column, max_items: int,
-                 max_size: int) -> DataFrame:
-    """Number the batches of each key: a new batch starts when a count or size limit would be hit.
+def batch_numbers(first: np.ndarray, size: np.ndarray, max_items: int, max_size: int, state: tuple[int, int, int]) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """Batch of each row and the state (batch, items, size) after the last; ``first`` marks where a key begins.
 
-    The fold runs over the sizes of one key only; the key must be bounded (a question's selected
-    chunks, a document's blocks).
+    Each batch's end is looked up in the prefix sums of the sizes, so the work is linear in the rows.
     """
-    row = F.struct(*order, size.alias("_size"), F.struct(*items.columns).alias("row"))
-    gathered = items.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    out, upto = np.zeros(len(size), np.int32), np.concatenate([[0], np.cumsum(size)])
+    edges = np.unique(np.concatenate([[0], np.flatnonzero(first), [len(size)]]))
+    for low, high in zip(edges[:-1], edges[1:]):
+        if first[low]:
+            state = (0, 0, 0)
+        at = low
+        while at < high:
+            batch, items, held = state
+            end = int(np.searchsorted(upto, upto[at] + max_size - held, "right")) - 1 if held <= max_size else at
+            end = min(max(end, at), at + max_items - items, high)
+            if end == at and items:
+                state = (batch + 1, 0, 0)
+                continue
+            end = max(end, at + 1)
+            out[at:end] = batch
+            state = (batch, items + end - at, held + int(upto[end] - upto[at]))
+            at = end
+    return out, state
 
-    def step(state: Column, item: Column) -> Column:
-        full = (state["n"] > 0) & ((state["n"] >= max_items) | (state["size"] + item["_size"] > max_size))
-        batch = state["batch"] + full.cast("int")
-        return F.struct(batch.alias("batch"), (F.when(full, 0).otherwise(state["n"]) + 1).alias("n"),
-                        (F.when(full, F.lit(0).cast("bigint")).otherwise(state["size"]) + item["_size"]).alias("size"),
-                        F.concat(state["out"], F.array(batch)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("size"),
-                     F.array().cast("array<int>").alias("out"))
-    numbered = gathered.withColumn("batches", F.aggregate("rows", start, step, lambda s: s["out"]))
-    return numbered.select(F.explode(F.arrays_zip("rows", "batches")).alias("z")).select(
-        "z.rows.row.*", F.col("z.batches").alias("batch"))
 
+def pack_batches(items: DataFrame, keys: list[str], order: list[str], size: Column, max_items: int,
+                 max_size: int) -> DataFrame:
+    """Number the batches of each key: a new batch starts when a count or size limit would be hit.
 
+    A key's rows come in order, sorted by Spark, and only the open batch's count and size are carried
+    from row to row: a key of any length takes linear time and no memory. A NULL size counts as 0.
+    """
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    rows = items.select("*", (place == 1).alias("__first"), F.coalesce(size.cast("bigint"), F.lit(0)).alias("__size"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema if f.name != "batch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = (0, 0, 0)
+        for batch in batches:
+            first, sizes = (batch[c].to_numpy(zero_copy_only=False) for c in ("__first", "__size"))
+            numbers, state = batch_numbers(first.astype(bool), sizes, max_items, max_size, state)
+            kept = [c for c in batch.schema.names if c not in ("__first", "__size", "batch")]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(numbers)], names=[*kept, "batch"])
+
+    return rows.mapInArrow(run, kinds + ", batch int")

@@ -6,6 +6,8 @@ against the chunk it cites before it can appear in an answer.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +17,8 @@ from foliarc.functions.numbers import resolve_period
 from foliarc.functions.text import complete_excerpt, non_blank, strip, verified_excerpt
 from foliarc.operators.chunks import pack_batches
 from foliarc.operators.redact import apply_identifier_spans, redact
-from foliarc.operators.retrieve import hybrid_retrieve, visible_chunks
-from foliarc.session import durable
+from foliarc.operators.retrieve import ranked_chunks, visible_chunks
+from foliarc.session import durable, fits_broadcast
 
 
 # ---- corrective retrieval ----------------------------------------------------------------
@@ -97,26 +99,57 @@ def question_periods(questions: DataFrame, today: Column) -> DataFrame:
                              F.coalesce(F.col("date_to").cast("string"), F.lit("-"))))
 
 
-def eligible_documents(scopes: DataFrame, documents: DataFrame) -> DataFrame:
-    """scope, document_id for every document inside the scope's period.
+def dyadic_cells(low: Column, high: Column) -> Column:
+    """Array of (level, cell): the disjoint blocks of 2^level days that make up [low, high]; empty if low > high."""
+
+    @F.pandas_udf("array<struct<level:int,cell:long>>")
+    def run(lows: pd.Series, highs: pd.Series) -> pd.Series:
+        out = []
+        for first, last in zip(lows.astype(int), highs.astype(int)):
+            level, cells = 0, []
+            while first <= last:
+                if first & 1:
+                    cells.append({"level": level, "cell": first})
+                    first += 1
+                if first <= last and not last & 1:
+                    cells.append({"level": level, "cell": last})
+                    last -= 1
+                first, last, level = first >> 1, last >> 1, level + 1
+            out.append(cells)
+        return pd.Series(out, dtype=object)
+
+    return run(low, high)
+
 
-    Years are the join cells of dated periods; an unbounded side stops at the catalogue's own years.
+def inside_periods(scopes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (with document_date) once for each scope (scope, date_from, date_to, distinct) whose period holds them.
+
+    A scope without a period holds every row. Other periods are cut into blocks of 2^level days; a row has
+    one block on each level in use, so a pair meets exactly once and no year or day gathers all rows.
     """
-    every = scopes.filter(F.col("date_from").isNull() & F.col("date_to").isNull()).select("scope", F.lit(1).alias("_one"))
-    whole = documents.select("document_id", F.lit(1).alias("_one")).join(F.broadcast(every), "_one").drop("_one")
-    dated = documents.filter(F.col("document_date").isNotNull()).select("document_id", "document_date")
-    reach = dated.agg(F.min(F.year("document_date")).alias("_low"), F.max(F.year("document_date")).alias("_high")).withColumn(
-        "_one", F.lit(1))
-    bounded = scopes.filter(F.col("date_from").isNotNull() | F.col("date_to").isNotNull()).select(
-        "scope", "date_from", "date_to").distinct().withColumn("_one", F.lit(1)).join(F.broadcast(reach), "_one")
-    first = F.greatest(F.coalesce(F.year("date_from"), F.col("_low")), F.col("_low"))
-    last = F.least(F.coalesce(F.year("date_to"), F.col("_high")), F.col("_high"))
-    cells = bounded.withColumn("_first", first).withColumn("_last", last).filter("_first <= _last").withColumn(
-        "_year", F.explode(F.sequence("_first", "_last")))
-    inside = (F.col("date_from").isNull() | (F.col("document_date") >= F.col("date_from"))) & (
-        F.col("date_to").isNull() | (F.col("document_date") <= F.col("date_to")))
-    matched = dated.withColumn("_year", F.year("document_date")).join(cells, "_year").filter(inside).select("scope", "document_id")
-    return whole.select("scope", "document_id").unionByName(matched)
+    day = F.unix_date("document_date")
+    every = scopes.filter(F.col("date_from").isNull() & F.col("date_to").isNull()).select("scope", F.lit(1).alias("__one")).distinct()
+    whole = rows.withColumn("__one", F.lit(1)).join(F.broadcast(every), "__one").drop("__one")  # one row at most: scopes are distinct
+    dated = rows.filter(F.col("document_date").isNotNull())
+    reach = dated.agg(F.min(day), F.max(day)).first()
+    bounded = scopes.filter(F.col("date_from").isNotNull() | F.col("date_to").isNotNull()).select("scope", "date_from", "date_to").distinct()
+    if reach[0] is None:
+        return whole.select("scope", *rows.columns)
+    low = F.greatest(F.coalesce(F.unix_date("date_from"), F.lit(reach[0])), F.lit(reach[0]))
+    high = F.least(F.coalesce(F.unix_date("date_to"), F.lit(reach[1])), F.lit(reach[1]))
+    cells = durable(bounded.select("scope", F.explode(dyadic_cells(low, high)).alias("c")).select("scope", "c.level", "c.cell"))
+    levels = [r["level"] for r in cells.select("level").distinct().orderBy("level").collect()]  # 22 at most
+    if not levels:
+        return whole.select("scope", *rows.columns)
+    placed = dated.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumn(
+        "cell", F.expr(f"shiftright(cast(unix_date(document_date) as bigint), level)"))
+    matched = placed.join(F.broadcast(cells) if fits_broadcast(cells, 64) else cells, ["level", "cell"])
+    return whole.select("scope", *rows.columns).unionByName(matched.select("scope", *rows.columns))
+
+
+def eligible_documents(scopes: DataFrame, documents: DataFrame) -> DataFrame:
+    """scope, document_id for every document inside the scope's period."""
+    return inside_periods(scopes, documents.select("document_id", "document_date")).select("scope", "document_id")
 
 
 def diversify(ranked: DataFrame, limit: int) -> DataFrame:
@@ -127,77 +160,145 @@ def diversify(ranked: DataFrame, limit: int) -> DataFrame:
         "place", F.row_number().over(place)).filter(F.col("place") <= limit).drop("_n")
 
 
-def select_evidence(questions: DataFrame, catalogue: DataFrame, chunks: DataFrame, limit: int = vocab.ARCHIVE_SCAN_CHUNKS,
+def _readable(catalogue: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks of active revisions with their document's date."""
+    return visible_chunks(chunks, catalogue, keep=("document_date",))
+
+
+def archive_coverage(questions: DataFrame, catalogue: DataFrame, chunks: DataFrame, limit: int | None = None,
+                     today: Column | None = None) -> DataFrame:
+    """What each valid question can read: counted from sums by day, without ranking anything.
+
+    question_id, question, scope, date_from, date_to, eligible_documents, missing_indexed, eligible_chunks,
+    scanned_chunks, undated, complete. With ``limit`` at most so many chunks are scanned. A row for each day
+    of the calendar in use comes to the driver.
+    """
+    periods = question_periods(questions, today if today is not None else F.current_date())
+    return _covered(periods.filter(F.col("violation").isNull()), catalogue, _readable(catalogue, chunks), limit)
+
+
+def _covered(valid: DataFrame, catalogue: DataFrame, indexed: DataFrame, limit: int | None) -> DataFrame:
+    have = indexed.groupBy("document_id").agg(F.count(F.lit(1)).alias("_chunks"))
+    daily = catalogue.select("document_id", F.unix_date("document_date").alias("day")).join(have, "document_id", "left").groupBy("day").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("_chunks").isNull()).alias("missing"), F.coalesce(F.sum("_chunks"), F.lit(0)).alias("chunks"))
+    frame = daily.toPandas()
+    dated = frame.dropna(subset=["day"]).sort_values("day")
+    counts = ["documents", "missing", "chunks"]
+    days, sums = dated["day"].to_numpy(np.int64), np.vstack([np.zeros(3, np.int64), dated[counts].to_numpy(np.int64).cumsum(axis=0)])
+    whole = frame[counts].to_numpy(np.int64).sum(axis=0)
+    undated = int(frame.loc[frame["day"].isna(), "documents"].sum())
+
+    @F.pandas_udf("documents long, missing long, chunks long")
+    def counted(low: pd.Series, high: pd.Series) -> pd.DataFrame:
+        first, last = low.fillna(-np.inf).to_numpy(float), high.fillna(np.inf).to_numpy(float)
+        inside = sums[np.searchsorted(days, last, "right")] - sums[np.searchsorted(days, first, "left")]
+        inside = np.maximum(inside, 0)
+        inside[(low.isna() & high.isna()).to_numpy()] = whole
+        return pd.DataFrame(inside, columns=counts)
+
+    rows = valid.select("question_id", "question", "scope", "date_from", "date_to",
+                        counted(F.unix_date("date_from").cast("double"), F.unix_date("date_to").cast("double")).alias("c"))
+    scanned = F.col("c.chunks") if limit is None else F.least(F.lit(limit).cast("bigint"), F.col("c.chunks"))
+    return rows.select("question_id", "question", "scope", "date_from", "date_to", F.col("c.documents").alias("eligible_documents"),
+                       F.col("c.missing").alias("missing_indexed"), F.col("c.chunks").alias("eligible_chunks"), scanned.alias("scanned_chunks"),
+                       F.lit(undated).cast("bigint").alias("undated"),
+                       ((scanned == F.col("c.chunks")) & (F.col("c.missing") == 0)).alias("complete"))
+
+
+PLACED = ["reading", "batch", "number", "chunk_id", "_date", "document_id", "position"]
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Batches of the chunks of each reading (reading, chunk_id, _date, document_id, position, size)."""
+    order = ["_date", "document_id", "position", "chunk_id"]
+    packed = pack_batches(rows, ["reading"], order, F.col("size"), vocab.ARCHIVE_BATCH_CHUNKS, vocab.ARCHIVE_BATCH_CHARS)
+    place = F.row_number().over(W.partitionBy("reading", "batch").orderBy(*order))
+    return durable(packed.withColumn("number", place).select(*PLACED))
+
+
+def select_evidence(questions: DataFrame, catalogue: DataFrame, chunks: DataFrame, limit: int | None = None,
                     today: Column | None = None) -> dict[str, DataFrame]:
-    """periods, coverage and selected (batched) chunks of archive questions.
+    """What archive questions read: periods, coverage, readings, selected, chunks and left_out.
 
     ``questions``: question_id, question, date_from, date_to, embedding; ``catalogue``: document_id,
     document_date, active_revision_id; ``chunks``: chunk_id, document_id, revision_id, position, text,
     source, user_correction, embedding.
+
+    Without ``limit`` every eligible chunk is read. Questions with the same period read the same batches, so
+    ``selected`` holds a period's chunks once (keys, no texts) and ``readings`` tells which reading a
+    question has. With a limit the best chunks of each question are read, those of different documents
+    first; ``left_out`` lists the others with the reason.
     """
     periods = question_periods(questions, today if today is not None else F.current_date())
     valid = periods.filter(F.col("violation").isNull())
-    indexed = visible_chunks(chunks, catalogue)
-    have = indexed.select("document_id").distinct().withColumn("_indexed", F.lit(True))
-    known = catalogue.select("document_id", "document_date").join(have, "document_id", "left")
+    indexed = _readable(catalogue, chunks)
     scopes = valid.select("scope", "date_from", "date_to").distinct()
-    eligible = eligible_documents(scopes, known).join(known.select("document_id", "document_date", "_indexed"), "document_id")
-    candidates = indexed.join(eligible.select("scope", "document_id", "document_date"), "document_id")
-    ranked = hybrid_retrieve(
-        valid.select("question_id", "scope", F.col("question").alias("text"), "embedding"),
-        candidates.select("chunk_id", "document_id", "scope", "text", "embedding"), min(2 * limit, 1000), archive_scan=True)
-    rows = candidates.drop("embedding").join(
-        ranked.select("question_id", "chunk_id", "rank").join(valid.select("question_id", "scope"), "question_id"),
-        ["chunk_id", "scope"])
-    selected = diversify(rows, limit).withColumn("_date", F.coalesce(F.col("document_date").cast("string"), F.lit("9999")))
-    batched = pack_batches(
-        selected.select("question_id", "chunk_id", "_date", "document_id", "position", "text", "source", "user_correction"),
-        ["question_id"], ["_date", "document_id", "position", "chunk_id"], F.length("text").cast("bigint"),
-        vocab.ARCHIVE_BATCH_CHUNKS, vocab.ARCHIVE_BATCH_CHARS)
-    place = W.partitionBy("question_id", "batch").orderBy("_date", "document_id", "position", "chunk_id")
-    # Ranking is the costly part and every later step reads its result: write it once.
-    batched = durable(batched.withColumn("number", F.row_number().over(place)))
-    docs = eligible.groupBy("scope").agg(
-        F.count(F.lit(1)).alias("eligible_documents"), F.count_if(F.col("_indexed").isNull()).alias("missing_indexed"))
-    counts = candidates.groupBy("scope").agg(F.count(F.lit(1)).alias("eligible_chunks"))
-    scanned = batched.groupBy("question_id").agg(F.count(F.lit(1)).alias("scanned_chunks"),
-                                                  F.countDistinct("document_id").alias("scanned_documents"))
-    undated = known.agg(F.count_if(F.col("document_date").isNull()).alias("undated")).withColumn("_one", F.lit(1))
-    coverage = (
-        valid.select("question_id", "question", "scope", "date_from", "date_to", F.lit(1).alias("_one"))
-        .join(docs, "scope", "left").join(counts, "scope", "left").join(scanned, "question_id", "left")
-        .join(F.broadcast(undated), "_one").drop("_one")
-        .na.fill(0, ["eligible_documents", "missing_indexed", "eligible_chunks", "scanned_chunks", "scanned_documents"])
-        .withColumn("complete", (F.col("scanned_chunks") == F.col("eligible_chunks")) & (F.col("missing_indexed") == 0)))
-    return {"periods": periods, "coverage": coverage, "selected": batched}
-
-
-def _verify_round(batches: DataFrame, quotes: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(evidence, failed) of one reading of batches: question_id, batch, number, chunk row."""
-    known = batches.select("question_id", "batch").distinct()
-    bound = quotes.join(known, ["question_id", "batch"], "left_semi").join(
-        batches, ["question_id", "batch", "number"], "left").withColumn(
-        "excerpt", complete_excerpt(F.col("quote"), F.col("text")))
-    bad = bound.groupBy("question_id", "batch").agg(F.bool_or(F.col("excerpt").isNull()).alias("bad")).filter("bad").select(
-        "question_id", "batch").unionByName(
-        errors.select("question_id", "batch").join(known, ["question_id", "batch"], "left_semi")).distinct()
-    return bound.join(bad, ["question_id", "batch"], "left_anti"), bad
+    date = F.coalesce(F.col("document_date").cast("string"), F.lit("9999")).alias("_date")
+    keys = indexed.select("chunk_id", "document_id", "document_date", "position", F.length("text").cast("bigint").alias("size"))
+    if limit is None:
+        readings = valid.select("question_id", F.col("scope").alias("reading"))
+        rows = inside_periods(scopes, keys).select(F.col("scope").alias("reading"), "chunk_id", date, "document_id", "position", "size")
+        left_out = readings.select("question_id").limit(0).withColumn("chunk_id", F.lit(None).cast(indexed.schema["chunk_id"].dataType))
+    else:
+        readings = valid.select("question_id", F.col("question_id").cast("string").alias("reading"))
+        ranked = ranked_chunks(
+            valid.select("question_id", F.col("question").alias("text"), "date_from", "date_to", "embedding"),
+            indexed.select("chunk_id", "document_date", "text", "embedding"), 2 * limit)
+        best = diversify(ranked.select("question_id", "chunk_id", "rank").join(keys, "chunk_id"), limit)
+        rows = best.select(F.col("question_id").cast("string").alias("reading"), "chunk_id", date, "document_id", "position", "size")
+    selected = _packed(rows)
+    coverage = _covered(valid, catalogue, indexed, limit)
+    documents = selected.groupBy("reading").agg(F.countDistinct("document_id").alias("scanned_documents"))
+    coverage = coverage.join(readings.join(documents, "reading", "left").select("question_id", "scanned_documents"), "question_id", "left").na.fill(
+        0, ["scanned_documents"])
+    if limit is not None:
+        asked = valid.select("question_id", "scope", F.col("question_id").cast("string").alias("reading"))
+        all_rows = inside_periods(scopes, keys.select("chunk_id", "document_date")).join(asked, "scope")
+        left_out = all_rows.join(selected.select("reading", "chunk_id"), ["reading", "chunk_id"], "left_anti").select("question_id", "chunk_id")
+    texts = indexed.select("chunk_id", "text", "source", "user_correction")
+    return {"periods": periods, "coverage": coverage, "readings": readings, "selected": selected, "chunks": texts,
+            "left_out": left_out.withColumn("reason", F.lit("BEYOND_SCAN_LIMIT"))}
+
+
+def _verify_round(quotes: DataFrame, errors: DataFrame, batches: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(evidence, failed) of one reading: one quote that does not verify, or an error, fails its batch.
+
+    ``quotes``: question_id, reading, batch, ord, number, quote; ``errors``: question_id, reading, batch. Only the
+    texts of quoted chunks are looked up.
+    """
+    known = batches.select("reading", "batch").distinct()
+    bound = quotes.join(known, ["reading", "batch"], "left_semi").join(batches, ["reading", "batch", "number"], "left").join(
+        texts, "chunk_id", "left").withColumn("excerpt", complete_excerpt(F.col("quote"), F.col("text")))
+    bad = bound.groupBy("question_id", "reading", "batch").agg(F.bool_or(F.col("excerpt").isNull()).alias("bad")).filter("bad").select(
+        "question_id", "reading", "batch").unionByName(
+        errors.select("question_id", "reading", "batch").join(known, ["reading", "batch"], "left_semi")).distinct()
+    return bound.join(bad, ["question_id", "reading", "batch"], "left_anti"), bad
+
+
+def retry_batches(selection: dict[str, DataFrame], failed: DataFrame) -> DataFrame:
+    """The chunks of failed batches (question_id, reading, batch), each a batch of its own, numbered by question."""
+    again = selection["selected"].join(failed.select("question_id", "reading", "batch"), ["reading", "batch"])
+    place = F.row_number().over(W.partitionBy("question_id").orderBy("batch", "number")) - 1
+    return again.withColumn("_again", place).select(
+        "question_id", F.col("question_id").cast("string").alias("reading"), F.col("_again").alias("batch"), F.lit(1).alias("number"),
+        "chunk_id", "_date", "document_id", "position")
 
 
 def archive_answers(selection: dict[str, DataFrame], quotes: DataFrame, errors: DataFrame) -> dict[str, DataFrame]:
     """answers and sources of an archive scan.
 
     ``quotes``: question_id, retry, batch, ord, number, quote; ``errors``: question_id, retry, batch of
-    unreadable model output. A failed batch is read once more chunk by chunk (retry 1).
+    unreadable model output. A failed batch is read once more chunk by chunk (retry 1), see ``retry_batches``.
     """
-    selected = selection["selected"]
-    columns = ["question_id", "batch", "number", "chunk_id", "_date", "document_id", "position", "text", "source", "user_correction"]
-    first, failed = _verify_round(selected.select(*columns), quotes.filter("retry = 0").drop("retry"),
-                                  errors.filter("retry = 0"))
-    single = W.partitionBy("question_id").orderBy("batch", "number")
-    again = selected.select(*columns).join(failed, ["question_id", "batch"], "left_semi").withColumn(
-        "batch", F.row_number().over(single) - 1).withColumn("number", F.lit(1))
-    second, lost = _verify_round(again, quotes.filter("retry = 1").drop("retry"), errors.filter("retry = 1"))
+    readings, texts = selection["readings"], selection["chunks"]
+    read = lambda frame, n: frame.filter(F.col("retry") == n).drop("retry")
+    own = lambda frame: frame.withColumn("reading", F.col("question_id").cast("string"))
+    first, failed = _verify_round(read(quotes, 0).join(readings, "question_id"), read(errors, 0).join(readings, "question_id"),
+                                  selection["selected"], texts)
+    # The retry is numbered by question and both rounds need the outcome: keep it.
+    failed = durable(failed)
+    again = retry_batches(selection, failed).drop("question_id")
+    second, lost = _verify_round(own(read(quotes, 1)), own(read(errors, 1)), again, texts)
     evidence = first.withColumn("retry", F.lit(0)).unionByName(second.withColumn("retry", F.lit(1)))
     correction = F.coalesce("user_correction", F.lit(False))
     when = F.struct("retry", "batch", "ord")

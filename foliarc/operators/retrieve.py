@@ -1,9 +1,10 @@
 """Hybrid retrieval: BM25 and cosine ranks over the visible chunks, fused per question.
 
-``questions``: question_id, text, embedding (dense only), optional ``scope``.
-``chunks``: chunk_id, document_id, text, embedding (dense only), optional ``scope``.
-A scope is one eligible set; BM25 statistics are taken per scope, so chunks a question may not
-read never change its scores.
+``questions``: question_id, text, embedding (dense only), optional ``scope``, ``date_from``, ``date_to``.
+``chunks``: chunk_id, document_id, text or ``words``, embedding (dense only), optional ``scope``, ``document_date``.
+A question reads the chunks of its scope and, if it has a period, those dated inside it. BM25 statistics
+are those of what it may read, so other chunks never change its scores; they come from counts by day,
+and eligibility is tested where chunks are scored, so no chunk is copied for a period.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -28,11 +30,16 @@ from foliarc.session import BROADCAST_BYTES, durable, fits_broadcast
 VECTOR_BUCKETS = 32
 SCORE_DIGITS = 8
 MATRIX_CELLS = 1 << 21  # of one in-task score matrix
+BLOCK_TERMS = 1 << 21  # question words of one broadcast model, 24 bytes each at most
+OPEN_LOW, OPEN_HIGH = -(1 << 31), (1 << 31) - 1  # days that stand for an open side of a period
 
 
-def visible_chunks(chunks: DataFrame, active: DataFrame) -> DataFrame:
-    """Chunks of each document's active revision; a NULL revision stands for unversioned chunks."""
-    pointer = active.select("document_id", F.col("active_revision_id").alias("_active"))
+def visible_chunks(chunks: DataFrame, active: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of each document's active revision; a NULL revision stands for unversioned chunks.
+
+    ``keep`` names columns of ``active`` that the chunks take over.
+    """
+    pointer = active.select("document_id", F.col("active_revision_id").alias("_active"), *keep)
     kept = chunks.join(pointer, "document_id", "inner")
     return kept.filter(F.col("revision_id").eqNullSafe(F.col("_active"))).drop("_active")
 
@@ -53,14 +60,45 @@ def _with_scope(df: DataFrame) -> DataFrame:
     return df if "scope" in df.columns else df.withColumn("scope", F.lit(0))
 
 
-def _word_counts(chunks: DataFrame) -> DataFrame:
-    """scope, token, df, size in one pass: the row without a token holds the chunk count and total length."""
-    words = _with_scope(chunks).select("scope", tokens(F.col("text")).alias("words"))
+def _with_words(chunks: DataFrame) -> DataFrame:
+    """scope, day, chunk_id, words; stored words are used where the index has them."""
+    words = F.col("words") if "words" in chunks.columns else tokens(F.col("text"))
+    day = F.unix_date("document_date") if "document_date" in chunks.columns else F.lit(None).cast("int")
+    name = ["chunk_id"] if "chunk_id" in chunks.columns else []
+    return _with_scope(chunks).select("scope", day.alias("day"), *name, F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+
+
+def _with_period(questions: DataFrame) -> DataFrame:
+    """Adds low and high, days that bound what a question may read; both NULL where it has no period."""
+    questions = _with_scope(questions)
+    sides = [F.unix_date(c) if c in questions.columns else F.lit(None).cast("int") for c in ("date_from", "date_to")]
+    bounded = sides[0].isNotNull() | sides[1].isNotNull()
+    return questions.withColumn("low", F.when(bounded, F.coalesce(sides[0], F.lit(OPEN_LOW)))).withColumn(
+        "high", F.when(bounded, F.coalesce(sides[1], F.lit(OPEN_HIGH))))
+
+
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """scope, day, token, df, size in one pass; the row without a token holds the day's chunk count and total length.
+
+    This is what an index keeps: ``merge_counts`` brings it up to date without reading the chunks again.
+    """
     entry = F.concat(
         F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("token"), F.lit(0).alias("size"))),
         F.array(F.struct(F.lit(None).cast("string").alias("token"), F.size("words").alias("size"))))
-    return words.select("scope", F.explode_outer(entry).alias("e")).filter("e IS NOT NULL").groupBy("scope", F.col("e.token").alias("token")).agg(
-        F.count(F.lit(1)).alias("df"), F.sum("e.size").alias("size"))
+    return _with_words(chunks).select("scope", "day", F.explode_outer(entry).alias("e")).filter("e IS NOT NULL").groupBy(
+        "scope", "day", F.col("e.token").alias("token")).agg(F.count(F.lit(1)).alias("df"), F.sum("e.size").alias("size"))
+
+
+def merge_counts(counts: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """Counts after chunks came (``added``) and went (``removed``), each counted by ``word_counts``."""
+    gone = removed.withColumn("df", -F.col("df")).withColumn("size", -F.col("size"))
+    return counts.unionByName(added).unionByName(gone).groupBy("scope", "day", "token").agg(
+        F.sum("df").alias("df"), F.sum("size").alias("size")).filter(F.col("df") > 0)
+
+
+def _word_counts(chunks: DataFrame) -> DataFrame:
+    """scope, token, df, size over all days."""
+    return word_counts(chunks).groupBy("scope", "token").agg(F.sum("df").alias("df"), F.sum("size").alias("size"))
 
 
 def vocabulary(chunks: DataFrame) -> DataFrame:
@@ -82,100 +120,252 @@ def _statistics(counts: DataFrame) -> DataFrame:
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
-    """scope, question_id, token, qtf: repeated question words count with their repetition."""
-    words = _with_scope(questions).select("scope", "question_id", F.explode_outer(tokens(F.col("text"))).alias("token"))
-    return words.groupBy("scope", "question_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
-
-
-def _term_parts(questions: DataFrame, chunks: DataFrame, stats: DataFrame) -> DataFrame:
-    """question_id, chunk_id, part: what each shared word adds to a chunk's score."""
-    chunks = _with_scope(chunks)
-    wanted = query_terms(questions)
-    small = fits_broadcast(wanted, 96)
-    needed = wanted.select("scope", "token").distinct()
-    # Only postings of question words survive the first join; a chunk's words are combined in place.
-    postings = (
-        chunks.select("scope", "chunk_id", tokens(F.col("text")).alias("words"))
-        .select("scope", "chunk_id", F.size("words").alias("dl"), F.explode_outer("words").alias("token"))
-        .join(F.broadcast(needed) if small else needed, ["scope", "token"], "left_semi")
-        .groupBy("scope", "chunk_id", "dl", "token").agg(F.count(F.lit(1)).alias("f")))
-    idf = (
-        postings.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), "scope")
-        .withColumn("raw", ranking.raw_idf(F.col("n"), F.col("df")))
-        .select("scope", "token", "avgdl",
-                F.when(F.col("raw") < 0, F.lit(ranking.EPSILON) * F.col("mean_idf"))
-                .otherwise(F.col("raw")).alias("idf")))
-    weighted = wanted.join(idf, ["scope", "token"])
-    return (
-        postings.join(F.broadcast(weighted) if small else weighted, ["scope", "token"])
-        .select("question_id", "chunk_id", (F.col("qtf") * ranking.bm25_term(
-            F.col("idf"), F.col("f"), F.col("dl"), F.col("avgdl"))).alias("part")))
+    """scope, question_id, low, high, token, qtf: repeated question words count with their repetition."""
+    words = _with_period(questions).select("scope", "question_id", "low", "high", F.explode_outer(tokens(F.col("text"))).alias("token"))
+    return words.groupBy("scope", "question_id", "low", "high", "token").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def sparse_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """question_id, chunk_id, score for every chunk sharing a word with the question."""
-    parts = _term_parts(questions, chunks, corpus_statistics(chunks))
-    return parts.groupBy("question_id", "chunk_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
+PERIOD = ["scope", "low", "high"]
+
+
+def _same_period(a: DataFrame, b: DataFrame) -> Column:
+    return (a["scope"] == b["scope"]) & a["low"].eqNullSafe(b["low"]) & a["high"].eqNullSafe(b["high"])
+
+
+def _period_sizes(terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """scope, low, high, n, avgdl of each distinct period: sums up to a day, subtracted.
+
+    What comes to the driver is a row for each day of the calendar in use and one for each distinct period.
+    """
+    days = counts.filter(F.col("token").isNull()).select("scope", "day", "df", "size").toPandas()
+    periods = terms.select(*PERIOD).distinct().toPandas()
+    rows = []
+    for scope, mine in periods.groupby("scope"):
+        own = days[days["scope"] == scope]
+        dated = own.dropna(subset=["day"]).sort_values("day")
+        day, sums = dated["day"].to_numpy(), np.vstack([np.zeros(2), dated[["df", "size"]].to_numpy(float).cumsum(axis=0)])
+        for low, high in zip(mine["low"], mine["high"]):
+            if low != low or low is None:
+                n, size = own["df"].sum(), own["size"].sum()
+                rows.append((scope, None, None, int(n), float(size)))
+            else:
+                n, size = sums[np.searchsorted(day, high, "right")] - sums[np.searchsorted(day, low, "left")]
+                rows.append((scope, int(low), int(high), int(n), float(size)))
+    kinds = {f.name: f.dataType.simpleString() for f in terms.schema}
+    schema = f"scope {kinds['scope']}, low int, high int, n long, size double"
+    return terms.sparkSession.createDataFrame(rows, schema).filter("n > 0").withColumn("avgdl", F.col("size") / F.col("n"))
+
+
+def _by_token(counts: DataFrame) -> DataFrame:
+    """scope, token, days, dfs: the days a token occurs on, ascending."""
+    dated = counts.filter(F.col("token").isNotNull() & F.col("day").isNotNull())
+    listed = dated.groupBy("scope", "token").agg(F.sort_array(F.collect_list(F.struct("day", "df"))).alias("d"))
+    return listed.select("scope", "token", F.col("d.day").alias("days"), F.col("d.df").alias("dfs"))
+
+
+def _document_frequencies(terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """scope, low, high, token, df of every question word inside its period."""
+    asked = terms.filter(F.col("token").isNotNull()).select(*PERIOD, "token").distinct()
+    names = asked.select("scope", "token").distinct()
+    names = F.broadcast(names) if fits_broadcast(names, 64) else names
+    own = counts.join(names, ["scope", "token"], "left_semi")
+    whole = own.groupBy("scope", "token").agg(F.sum("df").alias("df")).join(asked.filter(F.col("low").isNull()), ["scope", "token"])
+    bounded = asked.filter(F.col("low").isNotNull()).groupBy("scope", "token").agg(F.collect_list(F.struct("low", "high")).alias("p"))
+    both = _by_token(own).join(bounded, ["scope", "token"])
+    kinds = {f.name: f.dataType.simpleString() for f in terms.schema}
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                sums = np.concatenate([[0], np.cumsum(row.dfs)])
+                low, high = (np.array([p[c] for p in row.p]) for c in ("low", "high"))
+                df = sums[np.searchsorted(row.days, high, "right")] - sums[np.searchsorted(row.days, low, "left")]
+                yield pd.DataFrame({"scope": row.scope, "low": low, "high": high, "token": row.token, "df": df})[df > 0]
+
+    inside = both.mapInPandas(counted, f"scope {kinds['scope']}, low int, high int, token string, df long")
+    return whole.select(*PERIOD, "token", "df").unionByName(inside)
+
+
+def _mean_idfs(periods: DataFrame, counts: DataFrame) -> DataFrame:
+    """scope, low, high, mean_idf over all words of what each of ``periods`` (with n) holds."""
+    whole = periods.filter(F.col("low").isNull()).select("scope", "n")
+    all_days = counts.filter(F.col("token").isNotNull()).groupBy("scope", "token").agg(F.sum("df").alias("df"))
+    every = all_days.join(F.broadcast(whole) if fits_broadcast(whole, 64) else whole, "scope").groupBy("scope").agg(
+        F.avg(ranking.raw_idf(F.col("n"), F.col("df"))).alias("mean_idf"))
+    none = F.lit(None).cast("int")
+    every = every.select("scope", none.alias("low"), none.alias("high"), "mean_idf")
+    bounded = periods.filter(F.col("low").isNotNull()).select("scope", "low", "high", "n").toPandas()
+    if not len(bounded):
+        return every
+    wanted = periods.sparkSession.sparkContext.broadcast({scope: mine[["low", "high", "n"]].to_numpy() for scope, mine in bounded.groupby("scope")})
+    kinds = {f.name: f.dataType.simpleString() for f in periods.schema}
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for scope, mine in batch.groupby("scope"):
+                if scope not in wanted.value:
+                    continue
+                days, dfs = np.concatenate(mine["days"].to_list()), np.concatenate(mine["dfs"].to_list())
+                starts = np.concatenate([[0], np.cumsum(mine["days"].map(len))[:-1]]).astype(int)
+                rows = []
+                for low, high, n in wanted.value[scope]:
+                    df = np.add.reduceat(np.where((days >= low) & (days <= high), dfs, 0), starts)
+                    df = df[df > 0]
+                    rows.append((scope, int(low), int(high), float((np.log(n - df + 0.5) - np.log(df + 0.5)).sum()), len(df)))
+                yield pd.DataFrame(rows, columns=["scope", "low", "high", "sum", "many"])
+
+    parts = _by_token(counts).mapInPandas(summed, f"scope {kinds['scope']}, low int, high int, sum double, many long")
+    inside = parts.groupBy(*PERIOD).agg((F.sum("sum") / F.sum("many")).alias("mean_idf"))
+    return every.unionByName(inside)
 
 
 def _term_weights(questions: DataFrame, counts: DataFrame) -> DataFrame:
-    """scope, question_id, token, qtf, idf, avgdl; a question without known words keeps one row without a token."""
-    known = counts.filter(F.col("token").isNotNull()).select("scope", "token", "df")
-    found = query_terms(questions).filter(F.col("token").isNotNull()).join(known, ["scope", "token"]).join(_statistics(counts), "scope")
-    raw = ranking.raw_idf(F.col("n"), F.col("df"))
-    idf = F.when(raw < 0, F.lit(ranking.EPSILON) * F.col("mean_idf")).otherwise(raw)
-    terms = found.select("scope", "question_id", "token", "qtf", idf.alias("idf"), "avgdl")
-    return _with_scope(questions).select("scope", "question_id").join(terms, ["scope", "question_id"], "left")
+    """scope, question_id, low, high, token, qtf, idf, avgdl; a question without known words keeps one row without a token.
+
+    The mean that replaces negative weights is taken only for periods in which some question has one.
+    """
+    terms = query_terms(questions)
+    sizes = _period_sizes(terms, counts)
+    sizes = F.broadcast(sizes) if fits_broadcast(sizes, 48) else sizes
+    dfs = _document_frequencies(terms, counts)
+    raw = durable(dfs.join(sizes, _same_period(dfs, sizes)).select(
+        *[dfs[c] for c in PERIOD], "token", "n", "avgdl", ranking.raw_idf(F.col("n"), F.col("df")).alias("raw")))
+    negative = raw.filter("raw < 0").groupBy(*PERIOD).agg(F.first("n").alias("n"))
+    means = _mean_idfs(negative, counts) if not negative.isEmpty() else negative.select(*PERIOD, F.lit(0.0).alias("mean_idf"))
+    weighed = raw.join(means, _same_period(raw, means), "left").select(
+        *[raw[c] for c in PERIOD], "token", "avgdl",
+        F.when(F.col("raw") < 0, F.lit(ranking.EPSILON) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    found = terms.join(weighed, _same_period(terms, weighed) & (terms["token"] == weighed["token"])).select(
+        terms["scope"], "question_id", terms["token"], "qtf", "idf", "avgdl")
+    return _with_period(questions).select("scope", "question_id", "low", "high").join(found, ["scope", "question_id"], "left")
+
+
+def sparse_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question_id, chunk_id, score for every chunk sharing a word with the question: scored in tasks, one row a pair."""
+    return _scored(questions, chunks, None, None)
 
 
 def _sparse_models(rows: pa.Table) -> dict:
-    """Per scope: question ids, distinct terms, idf of each, mean length and the term-by-question counts."""
+    """Per scope: question ids, periods, distinct terms, and the question words by term (CSR) with their weights."""
     frame = rows.to_pandas()
     models = {}
     for scope, mine in frame.groupby("scope"):
-        ids = mine["question_id"].drop_duplicates().to_list()
-        words = mine.dropna(subset=["token"])
-        terms = words["token"].drop_duplicates().to_list()
-        at_term, at_question = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(ids)}
-        idf, counts = np.zeros(len(terms)), np.zeros((len(terms), len(ids)))
-        for question, token, qtf, weight in zip(words["question_id"], words["token"], words["qtf"], words["idf"]):
-            idf[at_term[token]] = weight
-            counts[at_term[token], at_question[question]] = qtf
-        models[scope] = (ids, pa.array(terms, pa.string()), idf, float(words["avgdl"].iloc[0]) if len(words) else 1.0, counts)
+        at, ids = pd.factorize(mine["question_id"])
+        first = ~pd.Series(at).duplicated().to_numpy()
+        low, high = (mine[c].to_numpy(float)[first] for c in ("low", "high"))
+        mean = np.ones(len(ids))
+        known = mine["token"].notna().to_numpy()
+        question, words = at[known], mine[known]
+        mean[question] = words["avgdl"].to_numpy(float)
+        term, terms = pd.factorize(words["token"])
+        order = np.lexsort((question, term))
+        starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))]).astype(np.int64)
+        weight = (words["qtf"].to_numpy(float) * words["idf"].to_numpy(float))[order]
+        models[scope] = {"ids": ids.to_list() if hasattr(ids, "to_list") else list(ids), "low": low, "high": high, "mean": mean,
+                         "terms": pa.array(list(terms), pa.string()), "starts": starts, "question": question[order].astype(np.int32), "weight": weight}
     return models
 
 
-def _bm25_block(model: tuple, words: pa.ListArray) -> np.ndarray:
-    """Rounded BM25 scores of a few chunks (rows) for every question of a scope."""
-    _, terms, idf, mean, counts = model
-    lengths = np.diff(words.offsets.to_numpy())
-    found = pc.index_in(words.flatten(), value_set=terms).to_numpy(zero_copy_only=False)
-    hit = ~np.isnan(found.astype("float64"))
-    place = np.repeat(np.arange(len(lengths)), lengths)[hit] * max(1, len(terms)) + found[hit].astype(np.int64)
-    cell, frequency = np.unique(place, return_counts=True)
-    row, term = np.divmod(cell, max(1, len(terms)))
-    weights = np.zeros((len(lengths), len(terms)))
-    weights[row, term] = idf[term] * frequency * (ranking.K1 + 1) / (
-        frequency + ranking.K1 * (1 - ranking.B + ranking.B * lengths[row] / mean))
-    return np.round(weights @ counts, SCORE_DIGITS)
-
-
-def sparse_ranks(questions: DataFrame, chunks: DataFrame, depth: int, block_questions: int = 4096) -> DataFrame:
-    """question_id, chunk_id, score, sparse_rank: best ``depth`` chunks, those without a shared word scoring 0.
+def _bm25_block(model: dict, words: pa.ListArray, unmatched: float = 0.0) -> np.ndarray:
+    """Rounded BM25 scores of a few chunks (rows) for every question of a scope; only shared words are multiplied.
 
-    One pass counts the vocabulary. A second scores each chunk against all questions inside its
-    task, as a product with the question-word matrix, and a task passes on at most ``depth`` rows per
-    question: no posting or pair is exchanged. Questions go in blocks of bounded size.
+    Pairs without a shared word get ``unmatched``.
     """
-    chunks = _with_scope(chunks)
-    weights = durable(_term_weights(questions, durable(_word_counts(chunks))))
-    total = weights.select("question_id").distinct().count()
-    blocks = max(1, -(-total // block_questions))
-    types = {f.name: f.dataType.simpleString() for f in [*questions.schema, *chunks.schema]}
+    lengths, many = np.diff(words.offsets.to_numpy()), len(model["ids"])
+    found = pc.index_in(words.flatten(), value_set=model["terms"]).to_numpy(zero_copy_only=False).astype("float64")
+    hit = ~np.isnan(found)
+    place = np.repeat(np.arange(len(lengths)), lengths)[hit] * max(1, len(model["terms"])) + found[hit].astype(np.int64)
+    cell, frequency = np.unique(place, return_counts=True)
+    row, term = np.divmod(cell, max(1, len(model["terms"])))
+    size = model["starts"][term + 1] - model["starts"][term]
+    out = np.zeros((len(lengths), many))
+    upto = np.concatenate([[0], np.cumsum(size)])
+    edge = np.append(np.searchsorted(row, np.arange(len(lengths))), len(row))
+    begin = 0
+    while begin < len(lengths):  # rows whose shared words fit one expansion
+        end = max(begin + 1, int(np.searchsorted(upto[edge], upto[edge[begin]] + MATRIX_CELLS, "right")) - 1)
+        end = min(end, len(lengths))
+        some = slice(edge[begin], edge[end])
+        times = size[some]
+        at = np.repeat(model["starts"][term[some]] - upto[some], times) + np.arange(upto[edge[begin]], upto[edge[end]])
+        asked, own = model["question"][at], np.repeat(row[some], times)
+        f = np.repeat(frequency[some], times)
+        part = model["weight"][at] * f * (ranking.K1 + 1) / (f + ranking.K1 * (1 - ranking.B + ranking.B * lengths[own] / model["mean"][asked]))
+        pair = (own - begin) * many + asked
+        summed = np.round(np.bincount(pair, weights=part, minlength=(end - begin) * many), SCORE_DIGITS)
+        if unmatched != 0:
+            summed[np.bincount(pair, minlength=len(summed)) == 0] = unmatched
+        out[begin:end] = summed.reshape(end - begin, many)
+        begin = end
+    return out
+
+
+def _readable(model: dict, days: np.ndarray) -> np.ndarray:
+    """Whether each question may read chunks of these days (NaN: undated)."""
+    return np.isnan(model["low"])[None, :] | ((days[:, None] >= model["low"][None, :]) & (days[:, None] <= model["high"][None, :]))
+
+
+class TopLists:
+    """The ``depth`` highest scores of each question; rows come by ascending id, so of equal scores the first stay.
+
+    A question's worst kept score is its threshold: only what passes it is held until the next clearing.
+    """
+
+    def __init__(self, questions: int, depth: int):
+        self.depth = depth
+        self.worst = np.full(questions, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = self.limit = 0
+        self.ids: list = []
+
+    def add(self, scores: np.ndarray, ids: list) -> None:
+        row, question = np.nonzero(scores > self.worst[None, :])
+        self.parts.append((question, scores[row, question], row + len(self.ids)))
+        self.ids.extend(ids)
+        self.held += len(row)
+        if self.held > max(self.limit, MATRIX_CELLS):
+            self.clear()
+
+    def clear(self) -> None:
+        question, score, at = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else (np.zeros(0, int),) * 3
+        order = np.lexsort((at, -score, question))
+        question, score, at = question[order], score[order], at[order]
+        edge = np.flatnonzero(np.append(True, question[1:] != question[:-1])) if len(question) else np.zeros(0, int)
+        size = np.diff(np.append(edge, len(question)))
+        place = np.arange(len(question)) - np.repeat(edge, size)
+        full = size >= self.depth
+        self.worst[question[edge[full]]] = score[edge[full] + self.depth - 1]
+        keep = place < self.depth
+        names, at = np.unique(at[keep], return_inverse=True)
+        self.ids = [self.ids[i] for i in names]
+        self.parts = [(question[keep], score[keep], at)]
+        self.held = int(keep.sum())
+        self.limit = 2 * self.held
+
+
+def _listed(best: dict, models: dict, schema: pa.Schema, sign: int) -> Iterator[pa.RecordBatch]:
+    for scope, top in best.items():
+        top.clear()
+        question, score, at = top.parts[0]
+        names = models[scope]["ids"]
+        for low in range(0, len(question), 1 << 16):
+            some = slice(low, low + (1 << 16))
+            columns = ([names[i] for i in question[some]], [top.ids[i] for i in at[some]], (sign * score[some] + 0.0).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _scored(questions: DataFrame, chunks: DataFrame, depth: int | None, counts: DataFrame | None) -> DataFrame:
+    """question_id, chunk_id, score: the best ``depth`` of each task, or without a depth all chunks that share a word."""
+    rows = _with_words(chunks)
+    if counts is None:
+        rows = durable(rows)  # read twice: to count and to score
+        counts = durable(word_counts(rows.withColumn("document_date", F.date_from_unix_date("day"))))
+    weights = durable(_term_weights(questions, counts))
+    blocks = max(1, -(-weights.count() // BLOCK_TERMS))
+    types = {f.name: f.dataType.simpleString() for f in [*questions.schema, *rows.schema]}
     schema = f"question_id {types['question_id']}, chunk_id {types['chunk_id']}, score double"
-    arrow_schema = _arrow_schema(chunks, questions, "score")
-    words = F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))
-    rows = chunks.select("scope", "chunk_id", words.alias("words"))
+    arrow_schema = _arrow_schema(rows, questions, "score")
+    rows = rows.sortWithinPartitions("chunk_id")
     parts = []
     for block in range(blocks):
         some = weights if blocks == 1 else weights.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block)
@@ -183,47 +373,48 @@ def sparse_ranks(questions: DataFrame, chunks: DataFrame, depth: int, block_ques
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             models, best = shared.value, {}
-            for scope, ids, mine in _scope_slices(batches, models, lambda m: max(m[4].shape), "words"):
-                best[scope] = merge_top(best.get(scope), -_bm25_block(models[scope], mine), ids, depth)
-            yield from _top_rows(best, lambda scope: models[scope][0], arrow_schema, -1)
+            for scope, ids, days, mine in _scope_slices(batches, models, "words"):
+                model = models[scope]
+                scores, readable = _bm25_block(model, mine, np.nan if depth is None else 0.0), _readable(model, days)
+                if depth is None:
+                    row, question = np.nonzero(~np.isnan(scores) & readable)
+                    columns = ([model["ids"][i] for i in question], [ids[i] for i in row], scores[row, question].tolist())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema)
+                else:
+                    best.setdefault(scope, TopLists(len(model["ids"]), depth)).add(np.where(readable, scores, -np.inf), ids)
+            yield from _listed(best, models, arrow_schema, 1)
 
         parts.append(rows.mapInArrow(score, schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def sparse_ranks(questions: DataFrame, chunks: DataFrame, depth: int, counts: DataFrame | None = None) -> DataFrame:
+    """question_id, chunk_id, score, sparse_rank: best ``depth`` chunks, those without a shared word scoring 0.
+
+    With the index's ``counts`` (``word_counts``) the chunks are read once; without, words are stored and
+    counted first. Chunks are scored against all questions inside their task by the words they share, and a
+    task passes on at most ``depth`` rows per question: no posting or pair is exchanged. Question words are
+    broadcast, ``BLOCK_TERMS`` at a time.
+    """
     order = W.partitionBy("question_id").orderBy(F.desc("score"), F.asc("chunk_id"))
-    found = reduce(DataFrame.unionByName, parts)
+    found = _scored(questions, chunks, depth, counts)
     return found.withColumn("sparse_rank", F.row_number().over(order).cast("bigint")).filter(F.col("sparse_rank") <= depth)
 
 
-def _scope_slices(batches: Iterator[pa.RecordBatch], models: dict, width, column: str) -> Iterator[tuple]:
-    """(scope, ids, values) of few enough rows that a matrix of them with the scope's model stays small; ids ascend."""
+def _scope_slices(batches: Iterator[pa.RecordBatch], models: dict, column: str) -> Iterator[tuple]:
+    """(scope, ids, days, values) of few enough rows that a matrix of them with the scope's questions stays small."""
     for batch in batches:
         scopes = np.array(batch["scope"].to_pylist(), dtype=object)
-        ids = np.array(batch["chunk_id"].to_pylist())
+        days = np.array([np.nan if d is None else d for d in batch["day"].to_pylist()], float)
+        ids = batch["chunk_id"].to_pylist()
         for scope in dict.fromkeys(scopes.tolist()):
             if scope not in models:
                 continue
             rows = np.flatnonzero(scopes == scope)
-            rows = rows[np.argsort(ids[rows], kind="stable")]
-            step = max(64, MATRIX_CELLS // max(1, width(models[scope])))
+            step = max(1, MATRIX_CELLS // max(1, len(models[scope]["ids"])))
             for at in range(0, len(rows), step):
                 some = rows[at:at + step]
-                yield scope, ids[some], batch[column].take(pa.array(some))
-
-
-def merge_top(best: tuple | None, scores: np.ndarray, ids: np.ndarray, depth: int) -> tuple:
-    """The ``depth`` lowest scores per column, ids breaking ties, of what was best and new rows with ascending ids."""
-    order = np.argsort(scores, axis=0, kind="stable")[:depth]
-    new = (np.take_along_axis(scores, order, axis=0), ids[order])
-    if best is None:
-        return new
-    scores, ids = (np.concatenate(pair) for pair in zip(best, new))
-    order = np.lexsort((ids, scores), axis=0)[:depth]
-    return np.take_along_axis(scores, order, axis=0), np.take_along_axis(ids, order, axis=0)
-
-
-def _top_rows(best: dict, questions, schema: pa.Schema, sign: int) -> Iterator[pa.RecordBatch]:
-    for scope, (scores, ids) in best.items():
-        columns = (np.tile(np.array(questions(scope), dtype=object), len(scores)), ids.ravel(), sign * scores.ravel() + 0.0)
-        yield pa.RecordBatch.from_arrays([pa.array(c.tolist(), f.type) for c, f in zip(columns, schema)], schema=schema)
+                yield scope, [ids[i] for i in some], days[some], batch[column].take(pa.array(some))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -238,17 +429,20 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _dense_models(rows: pa.Table) -> dict:
-    """Per scope: question ids and their unit vectors as columns."""
+    """Per scope: question ids, periods and their unit vectors as columns."""
     scopes = np.array(rows["scope"].to_pylist(), dtype=object)
     ids, unit = rows["question_id"].to_pylist(), _unit(_matrix(rows["embedding"])) if rows.num_rows else np.zeros((0, 1))
-    return {scope: ([ids[i] for i in np.flatnonzero(scopes == scope)], unit[scopes == scope].T) for scope in dict.fromkeys(scopes.tolist())}
+    low, high = (np.array([np.nan if d is None else d for d in rows[c].to_pylist()], float) for c in ("low", "high"))
+    return {scope: {"ids": [ids[i] for i in np.flatnonzero(scopes == scope)], "unit": unit[scopes == scope].T,
+                    "low": low[scopes == scope], "high": high[scopes == scope]} for scope in dict.fromkeys(scopes.tolist())}
 
 
 def _closest(models: dict, batches: Iterator[pa.RecordBatch], depth: int) -> dict:
     best: dict = {}
-    for scope, ids, vectors in _scope_slices(batches, models, lambda m: max(m[1].shape), "embedding"):
-        distance = np.round(1.0 - _unit(_matrix(vectors)) @ models[scope][1], SCORE_DIGITS)
-        best[scope] = merge_top(best.get(scope), distance, ids, depth)
+    for scope, ids, days, vectors in _scope_slices(batches, models, "embedding"):
+        model = models[scope]
+        near = -np.round(1.0 - _unit(_matrix(vectors)) @ model["unit"], SCORE_DIGITS)
+        best.setdefault(scope, TopLists(len(model["ids"]), depth)).add(np.where(_readable(model, days), near, -np.inf), ids)
     return best
 
 
@@ -259,8 +453,9 @@ def dense_ranks(questions: DataFrame, chunks: DataFrame, depth: int,
     Every chunk is compared with every question inside the tasks as a matrix product; a task
     passes on at most ``depth`` rows per question and block, never all pairs.
     """
-    questions = _with_scope(questions).select("question_id", "scope", "embedding")
-    chunks = _with_scope(chunks).select("chunk_id", "scope", "embedding")
+    questions = _with_period(questions).select("question_id", "scope", "low", "high", "embedding")
+    day = F.unix_date("document_date") if "document_date" in chunks.columns else F.lit(None).cast("int")
+    chunks = _with_scope(chunks).select("chunk_id", "scope", day.alias("day"), "embedding")
     types = {f.name: f.dataType.simpleString() for f in [*questions.schema, *chunks.schema]}
     out_schema = f"question_id {types['question_id']}, chunk_id {types['chunk_id']}, distance double"
     count, width = questions.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
@@ -279,9 +474,9 @@ def _dense_broadcast(questions: DataFrame, chunks: DataFrame, depth: int, schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
-        yield from _top_rows(_closest(models, batches, depth), lambda scope: models[scope][0], arrow_schema, 1)
+        yield from _listed(_closest(models, batches, depth), models, arrow_schema, -1)
 
-    return chunks.mapInArrow(score, schema)
+    return chunks.sortWithinPartitions("chunk_id").mapInArrow(score, schema)
 
 
 def _arrow_schema(chunks: DataFrame, questions: DataFrame, value: str) -> pa.Schema:
@@ -305,8 +500,8 @@ def _dense_blocks(questions: DataFrame, chunks: DataFrame, depth: int, schema: s
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         models = _dense_models(left)
-        found = _closest(models, iter(right.combine_chunks().to_batches()), depth)
-        return pa.Table.from_batches(_top_rows(found, lambda scope: models[scope][0], arrow_schema, 1), arrow_schema)
+        found = _closest(models, iter(right.sort_by("chunk_id").combine_chunks().to_batches()), depth)
+        return pa.Table.from_batches(_listed(found, models, arrow_schema, -1), arrow_schema)
 
     return (spread.groupBy("block", "slice").cogroup(cut.groupBy("block", "slice"))
             .applyInArrow(score, schema))
@@ -328,12 +523,17 @@ def check_top_k(k: int, archive_scan: bool = False) -> None:
         raise ValueError("INVALID_TOP_K")
 
 
+def ranked_chunks(questions: DataFrame, chunks: DataFrame, k: int, counts: DataFrame | None = None) -> DataFrame:
+    """question_id, chunk_id, sparse_rank, dense_rank, rrf, rank for the best ``k`` chunks, whatever ``k``."""
+    depth = max(2 * k, vocab.RETRIEVAL_K)
+    return fuse_ranks(sparse_ranks(questions, chunks, depth, counts), dense_ranks(questions, chunks, depth), k)
+
+
 def hybrid_retrieve(questions: DataFrame, chunks: DataFrame, k: int = vocab.RETRIEVAL_K,
-                    archive_scan: bool = False) -> DataFrame:
-    """question_id, chunk_id, sparse_rank, dense_rank, rrf, rank for the best ``k`` chunks."""
+                    archive_scan: bool = False, counts: DataFrame | None = None) -> DataFrame:
+    """``ranked_chunks`` within the limits of the retrieval interface: 20 chunks, or 1000 for an archive scan."""
     check_top_k(k, archive_scan)
-    depth = max(2 * k, vocab.RETRIEVAL_K)
-    return fuse_ranks(sparse_ranks(questions, chunks, depth), dense_ranks(questions, chunks, depth), k)
+    return ranked_chunks(questions, chunks, k, counts)
 
 
 def retrieve_strategy(name: str, questions: DataFrame, chunks: DataFrame, k: int = 12) -> DataFrame:

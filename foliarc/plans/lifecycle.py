@@ -697,27 +697,73 @@ WITH {ARCHIVE} SELECT item_id AS question_id, count(doc_id) AS eligible_document
   least(120, count(*) FILTER (lang <> 'fr')) AS scanned_chunks, count(*) FILTER (lang = 'fr') AS missing_indexed,
   (SELECT count(*) FROM ds WHERE d IS NULL) AS undated FROM qs LEFT JOIN el USING (item_id) GROUP BY item_id""")
 def coverage(t: Tables):
-    out = evidence.select_evidence(archive_questions(t), archive_catalogue(t), archive_chunks(t), today=F.lit("2024-02-29").cast("date"))
-    return out["coverage"].select("question_id", "eligible_documents", "eligible_chunks", "scanned_chunks", "missing_indexed", "undated")
+    """Counts of a scan of at most 120 chunks; nothing is ranked to count."""
+    out = evidence.archive_coverage(archive_questions(t), archive_catalogue(t), archive_chunks(t), vocab.ARCHIVE_SCAN_CHUNKS, F.lit("2024-02-29").cast("date"))
+    return out.select("question_id", "eligible_documents", "eligible_chunks", "scanned_chunks", "missing_indexed", "undated")
 
 
 @query("srt_6_scan_cap", f"""
-WITH {ARCHIVE}, n AS (SELECT item_id, count(*) FILTER (lang <> 'fr') AS n, count(*) FILTER (lang = 'fr') AS m FROM el GROUP BY 1)
-SELECT item_id AS question_id, n <= 120 AND m = 0 AS complete FROM n""")
+WITH {ARCHIVE}, n AS (SELECT item_id, count(doc_id) FILTER (lang <> 'fr') AS n, count(*) FILTER (lang = 'fr') AS m FROM qs LEFT JOIN el USING (item_id) GROUP BY 1)
+SELECT item_id AS question_id, least(120, n) AS scanned_chunks, greatest(0, n - 120) AS left_out, n <= 120 AND m = 0 AS complete FROM n""")
 def scan_cap(t: Tables):
-    out = evidence.select_evidence(archive_questions(t), archive_catalogue(t), archive_chunks(t), today=F.lit("2024-02-29").cast("date"))
-    return out["coverage"].filter("eligible_documents > 0").select("question_id", "complete")
-
-
-@query("archive_evidence")
+    """The best 120 chunks of each question are read, the others are listed."""
+    out = evidence.select_evidence(archive_questions(t), archive_catalogue(t), archive_chunks(t), vocab.ARCHIVE_SCAN_CHUNKS, F.lit("2024-02-29").cast("date"))
+    read = out["selected"].groupBy("reading").agg(F.count(F.lit(1)).alias("scanned_chunks")).join(out["readings"], "reading").drop("reading")
+    left = out["left_out"].groupBy("question_id").agg(F.count(F.lit(1)).alias("left_out"))
+    return out["coverage"].select("question_id", "complete").join(read, "question_id", "left").join(left, "question_id", "left").na.fill(
+        0, ["scanned_chunks", "left_out"]).select("question_id", "scanned_chunks", "left_out", "complete")
+
+
+@query("archive_evidence", f"""
+WITH RECURSIVE {ARCHIVE},
+sc AS (SELECT DISTINCT f, e FROM qs),
+k AS (SELECT f, e, doc_id, lang, length(text) AS n, coalesce(d::VARCHAR, '9999') AS day,
+    row_number() OVER (PARTITION BY f, e ORDER BY coalesce(d::VARCHAR, '9999'), doc_id) AS r
+  FROM sc JOIN ds ON (f IS NULL AND e IS NULL) OR (d IS NOT NULL AND (f IS NULL OR d >= f) AND (e IS NULL OR d <= e)) JOIN documents USING (doc_id, lang) WHERE lang <> 'fr'),
+pk AS (SELECT f, e, r, n AS size, 1 AS items, 0 AS batch FROM k WHERE r = 1
+  UNION ALL SELECT k.f, k.e, k.r, CASE WHEN p.items >= 6 OR p.size + k.n > 10000 THEN k.n ELSE p.size + k.n END,
+    CASE WHEN p.items >= 6 OR p.size + k.n > 10000 THEN 1 ELSE p.items + 1 END,
+    CASE WHEN p.items >= 6 OR p.size + k.n > 10000 THEN p.batch + 1 ELSE p.batch END
+  FROM pk p JOIN k ON k.f IS NOT DISTINCT FROM p.f AND k.e IS NOT DISTINCT FROM p.e AND k.r = p.r + 1),
+rd AS (SELECT item_id, k.doc_id, k.day, k.r, pk.batch, (pk.batch + item_id) % 5 = 0 AS failed, (k.doc_id + item_id) % 40 = 0 AS quoted
+  FROM qs JOIN k ON k.f IS NOT DISTINCT FROM qs.f AND k.e IS NOT DISTINCT FROM qs.e
+  JOIN pk ON pk.f IS NOT DISTINCT FROM k.f AND pk.e IS NOT DISTINCT FROM k.e AND pk.r = k.r),
+ev AS (SELECT *, failed AND doc_id % 3 = 0 AS lost FROM rd),
+en AS (SELECT item_id, doc_id, day, text, row_number() OVER (PARTITION BY item_id ORDER BY day, doc_id) AS cite
+  FROM ev JOIN documents USING (doc_id) WHERE quoted AND NOT lost),
+an AS (SELECT item_id, count(*) AS cited, 'По записям архива (даты документов):\n\n' ||
+    string_agg(CASE WHEN day = '9999' THEN 'Дата документа не указана' ELSE day END || ': ' ||
+      trim(text, E' \t\n\r') || ' [' || cite || ']', '\n\n' ORDER BY cite) AS answer FROM en GROUP BY item_id),
+fl AS (SELECT item_id, count(*) FILTER (lost) AS lost, count(*) AS chunks FROM ev GROUP BY item_id),
+al AS (SELECT item_id, count(doc_id) AS docs, count(*) FILTER (lang = 'fr') AS missing FROM qs LEFT JOIN el USING (item_id) GROUP BY item_id)
+SELECT q.item_id AS question_id, CASE WHEN an.item_id IS NOT NULL THEN 'EVIDENCE_FOUND' WHEN coalesce(lost, 0) > 0 THEN 'EVIDENCE_VALIDATION_FAILED'
+    WHEN al.docs = 0 THEN 'NO_DOCUMENTS_IN_PERIOD' ELSE 'NO_CONFIRMED_EVIDENCE' END AS reason,
+  an.item_id IS NULL AS insufficient, coalesce(cited, 0) AS citations, CASE WHEN an.item_id IS NOT NULL THEN md5(answer) END AS answer_md5,
+  al.docs - al.missing AS scanned_documents, coalesce(chunks, 0) AS scanned_chunks, coalesce(lost, 0) AS failed_batches,
+  al.missing = 0 AND coalesce(lost, 0) = 0 AS complete
+FROM qs q JOIN al USING (item_id) LEFT JOIN an USING (item_id) LEFT JOIN fl USING (item_id)""")
 def archive(t: Tables):
-    """Every selected chunk is quoted by its first sentence."""
+    """Every eligible chunk is read, one in forty is quoted in full. A fifth of the batches fails first: half of those
+    in an error, half by an invented quote; read again chunk by chunk, a third of their chunks fails again."""
     chosen = evidence.select_evidence(archive_questions(t), archive_catalogue(t), archive_chunks(t), today=F.lit("2024-02-29").cast("date"))
-    quotes = chosen["selected"].select("question_id", F.lit(0).alias("retry"), "batch", F.col("number").alias("ord"), "number",
-                                       F.substring("text", 1, 60).alias("quote"))
-    errors = chosen["selected"].select("question_id", F.lit(0).alias("retry"), "batch").filter("batch < 0")
-    return evidence.archive_answers(chosen, quotes, errors)["answers"].select(
-        "question_id", "reason", "insufficient", "scanned_chunks", "failed_batches", "complete")
+    pairs = chosen["readings"].join(chosen["selected"], "reading")
+    fails = (F.col("batch") + F.col("question_id")) % 5 == 0
+    broken = fails & (F.col("batch") % 2 == 0)
+    failed = pairs.filter(fails).select("question_id", "reading", "batch").distinct()
+    text = chosen["chunks"].select("chunk_id", "text")
+    cited = (F.col("document_id") + F.col("question_id")) % 40 == 0
+    said = pairs.filter(cited | (fails & ~broken)).join(text, "chunk_id").withColumn(
+        "quote", F.when(fails & ~broken, F.lit("words that no document holds")).otherwise(F.col("text")))
+    again = evidence.retry_batches(chosen, failed)
+    lost = F.col("document_id") % 3 == 0
+    repeated = again.filter(cited & ~lost).join(text, "chunk_id").withColumn("quote", F.col("text"))
+    quotes = [f.select("question_id", F.lit(n).alias("retry"), "batch", F.col("number").alias("ord"), "number", "quote") for n, f in enumerate((said, repeated))]
+    errors = [f.select("question_id", F.lit(n).alias("retry"), "batch") for n, f in enumerate((pairs.filter(broken).distinct(), again.filter(lost)))]
+    out = evidence.archive_answers(chosen, quotes[0].unionByName(quotes[1]), errors[0].unionByName(errors[1]))
+    cites = out["sources"].groupBy("question_id").agg(F.count(F.lit(1)).alias("citations"))
+    return out["answers"].join(cites, "question_id", "left").na.fill(0, ["citations"]).select(
+        "question_id", "reason", "insufficient", "citations", F.when(~F.col("insufficient"), F.md5("answer")).alias("answer_md5"),
+        "scanned_documents", "scanned_chunks", "failed_batches", "complete")
 
 
 @query("win_5_diversity", """

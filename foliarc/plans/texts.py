@@ -161,14 +161,14 @@ def src_9(t: Tables):
 @query("chunk_cover", """
 SELECT doc_id, sha256(regexp_replace(text, '\\s+', '', 'g')) AS letters, true AS within_limit FROM documents""")
 def chunk_cover(t: Tables):
-    cut = spread(t.documents, "doc_id").select("doc_id", chunks.split_chunks(F.col("text"), 900, 0).alias("c"))
+    cut = chunks.split_chunks(spread(t.documents, "doc_id").select("doc_id", "text"), "text", "c", 900, 0)
     return cut.select("doc_id", F.sha2(F.regexp_replace(F.array_join("c", ""), r"\s+", ""), 256).alias("letters"),
                       F.forall("c", lambda c: F.length(c) <= 900).alias("within_limit"))
 
 
 @query("split_chunks")
 def split(t: Tables):
-    cut = spread(t.documents, "doc_id").select("doc_id", chunks.split_chunks(F.col("text")).alias("c"))
+    cut = chunks.split_chunks(spread(t.documents, "doc_id").select("doc_id", "text"), "text", "c")
     return cut.select("doc_id", F.posexplode_outer("c").alias("at", "chunk")).filter("chunk IS NOT NULL").select(
         "doc_id", (F.col("at") + 1).alias("position"), F.length("chunk").alias("size"),
         F.sha2("chunk", 256).alias("chunk_hash"))
