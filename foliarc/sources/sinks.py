@@ -1,23 +1,18 @@
-"""Sinks: the chunk index, audit trail, reports, gated exports and reference tables.
+"""Sinks: changes of the chunk index, audit trail, reports, gated exports and reference tables.
 
-An index is a Parquet folder partitioned by document bucket; a change rewrites only the buckets
-it touches, from a checkpoint of their next content.
+The stored index itself, its buckets and snapshots, is :mod:`foliarc.sources.index_store`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliarc.session import durable
+from foliarc.sources.index_store import change_index, index_buckets, read_index, vacuum, write_index
 
-# Rows that one bucket should hold; the number of buckets follows from the first write.
-BUCKET_ROWS = 1_000_000
-LAYOUT = "_layout"
-
-
-def document_bucket(document_id: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(document_id.cast("string")), F.lit(buckets)).cast("int")
+__all__ = ["append_absent", "append_audit", "append_references", "index_buckets", "prune_index", "prune_superseded", "read_index", "reconcile_ids",
+           "remove_documents", "remove_from_index", "replace_documents", "upsert_chunks", "vacuum", "write_exports", "write_index", "write_report"]
 
 
 # ---- next content ------------------------------------------------------------------------
@@ -48,63 +43,20 @@ def reconcile_ids(wanted: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 # ---- writers -----------------------------------------------------------------------------
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def write_index(chunks: DataFrame, path: str, buckets: int | None = None) -> None:
-    """First write of an index; one file per bucket.
-
-    Without a given count there is a bucket for each ``BUCKET_ROWS`` rows; the count is stored with the index.
-    """
-    spark = chunks.sparkSession
-    buckets = buckets or max(1, -(-chunks.count() // BUCKET_ROWS))
-    bucketed = chunks.withColumn("bucket", document_bucket(F.col("document_id"), buckets))
-    bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/{LAYOUT}")
-
-
-def index_buckets(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(f"{path}/{LAYOUT}").first()["buckets"]
-
-
-def _rewrite(path: str, touched: DataFrame, change) -> None:
-    """Replace the content of the touched buckets by ``change`` of it.
-
-    A bucket that becomes empty has no rows to overwrite it with, so its folder is removed.
-    """
-    spark = touched.sparkSession
-    touched = durable(touched.distinct())
-    stored = read_index(spark, path)
-    after = durable(change(stored.join(touched, "bucket", "left_semi").select(*stored.columns)))
-    (after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(path))
-    emptied = touched.join(after.select("bucket").distinct(), "bucket", "left_anti").collect()
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for row in emptied:
-        folder = hadoop(f"{path}/bucket={row['bucket']}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def replace_documents(path: str, fresh: DataFrame, keys: list[str]) -> None:
-    """Upsert ``fresh`` into a written index, rewriting only its buckets."""
-    buckets = index_buckets(fresh.sparkSession, path)
-    incoming = durable(fresh.withColumn("bucket", document_bucket(F.col("document_id"), buckets)))
-    _rewrite(path, incoming.select("bucket"), lambda stored: upsert_chunks(stored.select(*incoming.columns), incoming, keys))
+    """Upsert ``fresh`` into a written index: only its buckets are written anew, in one snapshot."""
+    incoming = durable(fresh)
+    change_index(fresh.sparkSession, path, incoming, lambda stored: upsert_chunks(stored, incoming.select(*stored.columns), keys), incoming)
 
 
 def prune_index(path: str, keep: DataFrame) -> None:
-    """Drop superseded chunks (:func:`prune_superseded`) from a written index, rewriting only their buckets."""
-    buckets = index_buckets(keep.sparkSession, path)
-    touched = keep.select(document_bucket(F.col("document_id"), buckets).alias("bucket"))
-    _rewrite(path, touched, lambda stored: prune_superseded(stored, keep))
+    """Drop superseded chunks (:func:`prune_superseded`) from a written index."""
+    change_index(keep.sparkSession, path, keep, lambda stored: prune_superseded(stored, keep))
 
 
 def remove_from_index(path: str, ids: DataFrame) -> None:
-    """Remove documents from a written index, rewriting only their buckets."""
-    buckets = index_buckets(ids.sparkSession, path)
-    touched = ids.select(document_bucket(F.col("document_id"), buckets).alias("bucket"))
-    _rewrite(path, touched, lambda stored: remove_documents(stored, ids))
+    """Remove documents from a written index."""
+    change_index(ids.sparkSession, path, ids, lambda stored: remove_documents(stored, ids))
 
 
 def append_audit(events: DataFrame, path: str) -> None:
