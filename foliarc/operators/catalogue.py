@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliarc import vocab
 from foliarc.functions import numbers
 from foliarc.functions.text import fold_case, non_blank, strip, tokens
+from foliarc.session import durable
 
 FACT_VALUE_FIELDS = ["type", "name", "value_text", "value_number", "unit", "event_date", "assertion_status"]
 SORT_KEYS = {"created_at", "document_date", "title", "status"}
@@ -25,10 +26,12 @@ def contains_literal(text: Column, needle: str) -> Column:
 def search_condition(text: Column, query: str, normalise: Callable[[Column], Column] | None = None) -> Column:
     """Web-style search: words are ANDed, ``or`` separates alternatives, ``-`` excludes, quotes keep phrases.
 
-    ``normalise`` is applied to every token of both sides (a stem lookup, for instance).
+    ``normalise`` is applied to every token of both sides (:func:`stem_lookup`, for instance); a token that
+    becomes empty is a stop word and counts on neither side.
     """
     fix = normalise or (lambda word: word)
-    found = F.transform(tokens(text), fix)
+    used = (lambda words: F.filter(F.transform(words, fix), lambda w: w != "")) if normalise else (lambda words: words)
+    found = used(tokens(text))
     alternatives: list[list[tuple[bool, str]]] = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
         if word.lower() == "or" and not minus:
@@ -39,10 +42,11 @@ def search_condition(text: Column, query: str, normalise: Callable[[Column], Col
     for terms in alternatives:
         checks = []
         for negative, term in terms:
-            wanted = F.transform(tokens(F.lit(term)), fix)
+            wanted = used(tokens(F.lit(term)))
             joined = F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))
             hit = F.contains(joined, F.concat(F.lit(" "), F.array_join(wanted, " "), F.lit(" ")))
-            checks.append(~hit if negative else hit)
+            stopped = F.size(wanted) == 0  # nothing but stop words: says nothing
+            checks.append(stopped | (~hit if negative else hit) if normalise else ~hit if negative else hit)
         if checks:
             condition = checks[0]
             for check in checks[1:]:
@@ -56,10 +60,26 @@ def search_condition(text: Column, query: str, normalise: Callable[[Column], Col
     return result
 
 
+def stem_lookup(stems: DataFrame, query: str) -> Callable[[Column], Column]:
+    """``normalise`` for :func:`search_condition` from a dictionary table ``stems`` (word, stem; an empty stem: stop word).
+
+    Only the forms that share a stem with a word of the query matter, and the stop words: that small part of
+    the dictionary becomes a literal map, so texts are searched where they lie. Other words stand for themselves.
+    """
+    spark = stems.sparkSession
+    asked = spark.range(1).select(F.explode_outer(tokens(F.lit(query))).alias("word")).distinct()
+    wanted = stems.join(F.broadcast(asked), "word", "left_semi").select("stem").distinct()
+    forms = stems.join(F.broadcast(wanted), "stem", "left_semi").unionByName(stems.filter("stem = ''")).select("word", "stem").distinct().orderBy("word").collect()
+    if not forms:
+        return lambda word: word
+    known = F.create_map(*[F.lit(v) for r in forms for v in (r["word"], r["stem"])])
+    return lambda word: F.coalesce(F.try_element_at(known, word), word)
+
+
 def documents_query(docs: DataFrame, *, q: str | None = None, type: str | None = None, tag: str | None = None,
                     status: str | None = None, date_from: str | None = None, date_to: str | None = None,
-                    deleted: str = "false") -> DataFrame:
-    """Catalogue filter; ``deleted`` is 'false', 'true' or 'all'."""
+                    deleted: str = "false", stems: DataFrame | None = None) -> DataFrame:
+    """Catalogue filter; ``deleted`` is 'false', 'true' or 'all'; ``stems`` lets a search find inflected forms."""
     if date_from and date_to and date_from > date_to:
         raise ValueError("INVALID_PERIOD")
     if deleted == "true":
@@ -67,7 +87,7 @@ def documents_query(docs: DataFrame, *, q: str | None = None, type: str | None =
     elif deleted != "all":
         docs = docs.filter(F.col("deleted_at").isNull())
     if q and q.strip():
-        docs = docs.filter(search_condition(F.col("search_text"), q) | contains_literal(F.col("title"), q))
+        docs = docs.filter(search_condition(F.col("search_text"), q, stem_lookup(stems, q) if stems is not None else None) | contains_literal(F.col("title"), q))
     if type:
         docs = docs.filter(F.col("document_type") == type)
     if tag:
@@ -81,17 +101,78 @@ def documents_query(docs: DataFrame, *, q: str | None = None, type: str | None =
     return docs
 
 
-def sort_documents(docs: DataFrame, key: str = "created_at", ascending: bool = False) -> DataFrame:
+Order = list[tuple[str, bool]]  # columns, each with whether it ascends; NULLs come last either way
+
+
+def document_order(key: str = "created_at", ascending: bool = False) -> Order:
+    """The user's sort key, ties by document_id."""
     if key not in SORT_KEYS:
         raise ValueError("INVALID_SORT")
-    return docs.orderBy(F.asc_nulls_last(key) if ascending else F.desc_nulls_last(key), F.asc("document_id"))
+    return [(key, ascending), ("document_id", True)]
+
+
+def ordering(order: Order) -> list[Column]:
+    return [F.asc_nulls_last(name) if up else F.desc_nulls_last(name) for name, up in order]
+
+
+def sort_documents(docs: DataFrame, key: str = "created_at", ascending: bool = False) -> DataFrame:
+    return docs.orderBy(*ordering(document_order(key, ascending)))
+
+
+def rows_after(rows: DataFrame, order: Order, last: tuple | None) -> DataFrame:
+    """The rows that follow ``last``, the sort values of a row: the filter of a page token."""
+    if last is None:
+        return rows
+    beyond, same = F.lit(False), F.lit(True)
+    for (name, up), value in zip(order, last):
+        column = F.col(name)
+        if value is not None:
+            further = column > F.lit(value) if up else column < F.lit(value)
+            beyond = beyond | (same & (F.coalesce(further, F.lit(False)) | column.isNull()))
+        same = same & column.eqNullSafe(F.lit(value))
+    return rows.filter(beyond)
 
 
-def page_of(ordered: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
-    """One page of an ordered result (a top-k plan, no full sort is written)."""
+def next_page(rows: DataFrame, order: Order, last: tuple | None = None, page_size: int = 20) -> DataFrame:
+    """The page after the row with the sort values ``last`` (the first page without): a heap of one page's rows.
+
+    The last column of ``order`` names a row; the values of a page's last row are the token of the next page.
+    """
+    if not 1 <= page_size <= 100:
+        raise ValueError("INVALID_PAGE")
+    return rows_after(rows, order, last).orderBy(*ordering(order)).limit(page_size)
+
+
+def token_before(rows: DataFrame, order: Order, page: int, page_size: int = 20) -> tuple | None:
+    """The token of a page that is jumped to: sort values of the row before it; None before the first page.
+
+    Keys are sorted in ranges and counted, and the one range that holds the row is read; no task holds the
+    rows that are skipped. Past the end it is the last row's token.
+    """
+    if page < 1:
+        raise ValueError("INVALID_PAGE")
+    skipped = (page - 1) * page_size
+    if not skipped:
+        return None
+    names, columns = [name for name, _ in order], ordering(order)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.select(*names).repartitionByRange(partitions, *columns).sortWithinPartitions(*columns)
+    placed = durable(ranged.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    counts = placed.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row for each range
+    for r in counts:
+        if skipped <= r["count"] or r is counts[-1]:
+            at = (r["part"] << 33) + min(skipped, r["count"]) - 1
+            return tuple(placed.filter(F.col("__at") == at).select(*names).first())
+        skipped -= r["count"]
+    return None
+
+
+def page_of(rows: DataFrame, order: Order, page: int = 1, page_size: int = 20) -> DataFrame:
+    """A numbered page: its token, then :func:`next_page`."""
     if page < 1 or not 1 <= page_size <= 100:
         raise ValueError("INVALID_PAGE")
-    return ordered.offset((page - 1) * page_size).limit(page_size)
+    return next_page(rows, order, token_before(rows, order, page, page_size), page_size)
 
 
 def in_period(date: Column, date_from: Column, date_to: Column) -> Column:

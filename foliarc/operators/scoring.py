@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from foliarc import vocab
 from foliarc.functions.numbers import ratio
 from foliarc.functions.text import fold_case, norm, occurrences, plain, span_text
-from foliarc.session import by_key
+from foliarc.session import by_key, durable, fits_broadcast
 
 SEMANTIC_CLASSES = {
     "kind": vocab.STATEMENT_KINDS, "subject": vocab.SUBJECTS, "assertion": vocab.ASSERTIONS,
@@ -139,6 +139,77 @@ def quotes_overlap(a: Column, b: Column) -> Column:
     return (plain(a) != "") & (F.contains(plain(b), plain(a)) | F.contains(plain(a), plain(b)))
 
 
+GRAM = 8  # characters by which quotations meet
+GRAM_SAMPLE = 4096
+COMMON_GRAMS = 1 << 16
+
+
+def _common_grams(quotes: DataFrame) -> DataFrame:
+    """The grams that a bounded sample of quotations repeats, with their counts: they only steer which gram is taken."""
+    rows = quotes.count()
+    some = quotes.sample(fraction=min(1.0, GRAM_SAMPLE / max(1, rows)), seed=5)
+    return some.select(F.explode_outer(F.array_distinct(_grams(F.col("_q")))).alias("gram")).groupBy("gram").count().filter(
+        "count > 1").orderBy(F.desc("count"), "gram").limit(COMMON_GRAMS)
+
+
+def _grams(text: Column) -> Column:
+    """All substrings of ``GRAM`` characters; a shorter text is its own only one."""
+    return F.when(F.length(text) <= GRAM, F.array(text)).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM))))
+
+
+def containing_pairs(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, gold_idx, pred_idx of rows whose normalised quotations contain one another, within equal keys.
+
+    Both sides: keys, idx, quote. The contained quotation is looked up by one gram of its own, the one that a
+    sample finds least often, among all grams of the others; then the pair is checked. Quotations that share
+    keys but no such gram never meet, so a key may hold a third of the rows. Those shorter than a gram
+    meet by their whole length. A NULL quotation pairs with nothing, an empty one with all of its keys.
+    """
+    def side(df: DataFrame) -> DataFrame:
+        rows = df.select(*keys, "idx", norm(F.col("quote")).alias("_q")).filter(F.col("quote").isNotNull())
+        return durable(rows.withColumn("_row", F.monotonically_increasing_id()))
+
+    g, p = side(gold), side(predicted)
+    common = g.sparkSession.sparkContext.broadcast({r["gram"]: r["count"] for r in _common_grams(g.select("_q").unionByName(p.select("_q"))).collect()})
+
+    @F.pandas_udf("string")
+    def rarest(texts: pd.Series) -> pd.Series:
+        known = common.value
+
+        def pick(text: str) -> str:
+            grams = [text[i:i + GRAM] for i in range(max(1, len(text) - GRAM + 1))]
+            return min(grams, key=lambda v: (known.get(v, 0), v))
+        return texts.map(pick)
+
+    def inside(short: DataFrame, long: DataFrame) -> DataFrame:
+        """_short, _long: rows whose gram meets; texts follow only for these."""
+        anchored = short.select(*keys, F.col("_row").alias("_short"), rarest("_q").alias("_gram"))
+        lengths = [r[0] for r in anchored.select(F.length("_gram")).distinct().orderBy(F.length("_gram")).collect()]  # 0 to GRAM
+        windows = F.array_distinct(F.flatten(F.array(*[_windows(F.col("_q"), n) for n in lengths]))) if lengths else F.array().cast("array<string>")
+        wanted = anchored.select(F.col("_gram").alias("_w")).distinct()
+        wanted = F.broadcast(wanted) if fits_broadcast(wanted, 64) else wanted
+        placed = long.select(*keys, F.col("_row").alias("_long"), F.explode_outer(windows).alias("_gram")).join(
+            wanted, F.col("_gram") == F.col("_w"), "left_semi")
+        met = anchored.join(placed, [*keys, "_gram"]).select("_short", "_long")
+        one, two = (df.select(F.col("_row").alias(f"_{name}"), F.col("_q").alias(f"_{name}_q")) for df, name in ((short, "short"), (long, "long")))
+        return met.join(one, "_short").join(two, "_long").filter(F.contains("_long_q", F.col("_short_q"))).select("_short", "_long")
+
+    rows = inside(p, g).select(F.col("_long").alias("_g"), F.col("_short").alias("_p")).unionByName(
+        inside(g, p).select(F.col("_short").alias("_g"), F.col("_long").alias("_p"))).distinct()
+    left = g.select(*keys, F.col("_row").alias("_g"), F.col("idx").alias("gold_idx"))
+    right = p.select(F.col("_row").alias("_p"), F.col("idx").alias("pred_idx"))
+    return rows.join(left, "_g").join(right, "_p").select(*keys, "gold_idx", "pred_idx")
+
+
+def _windows(text: Column, n: int) -> Column:
+    """All substrings of ``n`` characters, none of a shorter text."""
+    if n == 0:
+        return F.array(F.lit(""))
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def legacy_coverage(gold: DataFrame, facts: DataFrame) -> DataFrame:
     """document_id, expected, matched: partial-gold coverage by quote containment, one fact per gold row.
 

@@ -52,6 +52,9 @@ def timeline_order() -> list[Column]:
     return [F.desc_nulls_last("event_date"), F.asc("document_id"), F.asc_nulls_first("fact_id")]
 
 
+HISTORY_ORDER = [("created_at", False), ("audit_id", False)]
+
+
 def history(audit: DataFrame, document_id=None) -> DataFrame:
     """Audit events, newest first."""
     rows = audit if document_id is None else audit.filter(F.col("document_id") == document_id)

@@ -45,6 +45,21 @@ def fil_2(t: Tables):
     return t.documents.filter(cat.search_condition(F.col("text"), 'the and -clown "of the" or QUE')).select("doc_id")
 
 
+STEMS = [("the", ""), ("and", ""), ("ing", "ing"), ("inging", "ing"), ("inged", "ing"), ("re", "re"), ("res", "re"), ("rere", "re")]
+
+
+@query("fil_2_stemmed_search", """
+WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(replace(lower(text),'ß','ss'),'ς','σ'), '[\\p{L}\\p{N}_]+'),
+  lambda v: CASE WHEN v IN ('the', 'and') THEN '' WHEN v IN ('ing', 'inging', 'inged') THEN 'ing' WHEN v IN ('re', 'res', 'rere') THEN 're' ELSE v END),
+  lambda v: v <> '') AS w FROM documents)
+SELECT doc_id FROM w WHERE (list_contains(w, 'ing') AND NOT list_contains(w, 'que')) OR contains(' ' || array_to_string(w, ' ') || ' ', ' of re ')""")
+def fil_2_stems(t: Tables):
+    """Inflected forms and stop words of a dictionary table; the query names other forms than the texts."""
+    stems = t.documents.sparkSession.createDataFrame(STEMS, "word string, stem string")
+    asked = 'inged the -que or "of and res"'
+    return t.documents.filter(cat.search_condition(F.col("text"), asked, cat.stem_lookup(stems, asked))).select("doc_id")
+
+
 @query("fil_3_escaped_substring", "SELECT doc_id FROM documents WHERE contains(lower(text), '%%%')")
 def fil_3(t: Tables):
     return t.documents.filter(cat.contains_literal(F.col("text"), "%%%")).select("doc_id")
@@ -345,7 +360,7 @@ SELECT document_id, title, (SELECT count(*) FROM docs WHERE deleted_at IS NULL)
 WHERE deleted_at IS NULL ORDER BY title DESC NULLS LAST, document_id LIMIT 20 OFFSET 40""")
 def win_16(t: Tables):
     d = cat.documents_query(x.docs(t))
-    page = cat.page_of(cat.sort_documents(d, "title"), 3, 20).select("document_id", "title", F.lit(1).alias("one"))
+    page = cat.page_of(d, cat.document_order("title"), 3, 20).select("document_id", "title", F.lit(1).alias("one"))
     total = d.agg(F.count(F.lit(1)).alias("total")).withColumn("one", F.lit(1))
     return page.join(F.broadcast(total), "one").drop("one")
 
@@ -361,8 +376,7 @@ def win_17(t: Tables):
 SELECT document_id, strftime(document_date, '%Y-%m-%d') AS document_date FROM docs WHERE deleted_at IS NULL
 ORDER BY docs.document_date ASC NULLS LAST, document_id LIMIT 50 OFFSET 50""")
 def srt_1(t: Tables):
-    ordered = cat.sort_documents(tl.live(x.docs(t)), "document_date", ascending=True)
-    return cat.page_of(ordered, 2, 50).select("document_id", day("document_date"))
+    return cat.page_of(tl.live(x.docs(t)), cat.document_order("document_date", ascending=True), 2, 50).select("document_id", day("document_date"))
 
 
 @query("srt_2_timeline_order", ctes("timeline") + """
@@ -387,7 +401,7 @@ def srt_3_changes(t: Tables):
 @query("srt_7_audit_history", """
 SELECT event_id AS audit_id, user_id AS document_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100 OFFSET 100""")
 def srt_7(t: Tables):
-    return cat.page_of(tl.history(x.audit(t)), 2, 100).select("audit_id", "document_id")
+    return cat.page_of(x.audit(t), tl.HISTORY_ORDER, 2, 100).select("audit_id", "document_id")
 
 
 @query("srt_10_tag_catalogue", ctes("docs") + "SELECT DISTINCT unnest(tags) AS name FROM docs")

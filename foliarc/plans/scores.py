@@ -197,11 +197,9 @@ WITH c AS (SELECT conv_id, turn, role, lower(trim(regexp_replace(text, '\\s+', '
 SELECT a.conv_id, a.turn AS gold, b.turn AS found FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.role = b.role
 AND (contains(a.q, b.q) OR contains(b.q, a.q))""")
 def jn_12(t: Tables):
-    from foliarc.functions.text import norm
-    c = t.conversations.select("conv_id", "turn", "role", norm(F.col("text")).alias("q"))
-    b = c.select("conv_id", "role", F.col("turn").alias("found"), F.col("q").alias("r"))
-    fit = F.contains("q", F.col("r")) | F.contains("r", F.col("q"))
-    return c.join(b, ["conv_id", "role"]).filter(fit).select("conv_id", F.col("turn").alias("gold"), "found")
+    c = t.conversations.select("conv_id", "role", F.col("turn").alias("idx"), F.col("text").alias("quote"))
+    pairs = scoring.containing_pairs(c, c, ["conv_id", "role"])
+    return pairs.select("conv_id", F.col("gold_idx").alias("gold"), F.col("pred_idx").alias("found"))
 
 
 @query("jn_17_exact_assignment", """
@@ -217,7 +215,17 @@ def jn_17(t: Tables):
     return scoring.exact_pairs(side("O", "gold_idx"), side("F", "pred_idx"), ["case"], ["kind"])
 
 
-@query("jn_17_greedy_assignment")
+@query("jn_17_greedy_assignment", """
+WITH RECURSIVE side AS (SELECT l_orderkey AS "case", concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS idx, l_linestatus, l_returnflag, l_linenumber, l_suppkey FROM lineitem),
+e AS (SELECT g."case", g.idx AS gold_idx, p.idx AS pred_idx, (g.l_returnflag = p.l_returnflag)::INT + (g.l_linenumber = p.l_linenumber)::INT + (g.l_suppkey = p.l_suppkey)::INT AS score
+  FROM side g JOIN side p ON g."case" = p."case" AND g.l_linestatus = 'O' AND p.l_linestatus = 'F'),
+prefs AS (SELECT "case", gold_idx, list(pred_idx ORDER BY score DESC, pred_idx) AS wanted, row_number() OVER (PARTITION BY "case" ORDER BY gold_idx) AS r
+  FROM e WHERE score > 0 GROUP BY "case", gold_idx),
+walk AS (SELECT "case", gold_idx, r, wanted[1] AS pred_idx, [wanted[1]] AS used FROM prefs WHERE r = 1
+  UNION ALL SELECT p."case", p.gold_idx, p.r, list_filter(p.wanted, lambda v: NOT list_contains(w.used, v))[1],
+    list_append(w.used, list_filter(p.wanted, lambda v: NOT list_contains(w.used, v))[1])
+  FROM walk w JOIN prefs p ON p."case" = w."case" AND p.r = w.r + 1)
+SELECT "case", gold_idx, pred_idx FROM walk WHERE pred_idx IS NOT NULL""")
 def jn_17_greedy(t: Tables):
     def side(status: str, name: str, prefix: str):
         return t.lineitem.filter(F.col("l_linestatus") == status).select(

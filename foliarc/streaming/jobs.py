@@ -6,17 +6,21 @@ storage. Micro-batches are written under their batch id, so a replay overwrites
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from foliarc import vocab
 from foliarc.operators.chunks import document_chunks, with_index_hash
 from foliarc.operators.lifecycle import generation_fence
 from foliarc.session import durable
+from foliarc.sources.index_store import change_index
+from foliarc.sources.sinks import remove_documents
 
 # Folder of the document state inside the output; readers of the output skip names with an underscore.
 STATE = "_documents"
@@ -39,42 +43,66 @@ def latest_generation(events: DataFrame) -> DataFrame:
         "document_id", "latest.*")
 
 
+def changed_documents(events: DataFrame, size: int = vocab.CHUNK_SIZE, overlap: int = vocab.CHUNK_OVERLAP) -> DataFrame:
+    """Stream of the documents to chunk, ``pages`` as JSON: keyed state holds each document's version and index hash.
+
+    A version below the stored one is refused, and a document whose text and settings are stored already is
+    left out. A micro-batch reads and writes the state of its own documents only, whatever came before; with
+    RocksDB as the session's state store provider that state lives on local disk instead of in memory.
+    """
+    hashed = with_index_hash(events.select("document_id", "title", F.coalesce("version", F.lit(0)).alias("version"), "text", "pages"), size=size, overlap=overlap)
+    rows = hashed.select("document_id", "title", "version", "text", F.to_json("pages").alias("pages"), "index_hash")
+
+    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest = None
+        for frame in frames:
+            best = frame.loc[[frame["version"].idxmax()]]
+            if newest is None or best["version"].iloc[0] > newest["version"].iloc[0]:
+                newest = best
+        version, digest = int(newest["version"].iloc[0]), newest["index_hash"].iloc[0]
+        stored = state.get if state.exists else None
+        if stored is None or (version >= stored[0] and digest != stored[1]):
+            state.update((version, digest))
+            yield newest
+
+    return rows.groupBy("document_id").applyInPandasWithState(
+        decide, rows.schema, "version long, index_hash string", "append", GroupStateTimeout.NoTimeout)
+
+
 def ingest_documents(events: DataFrame, output: str, checkpoint: str, size: int = vocab.CHUNK_SIZE,
                      overlap: int = vocab.CHUNK_OVERLAP) -> StreamingQuery:
-    """Chunk new or changed documents of every micro-batch.
+    """Chunk new or changed documents of every micro-batch (:func:`changed_documents`).
 
-    ``events``: document_id, title, version, text, pages. Versions only go up: one below the stored
-    version is refused. A document whose text and settings were already indexed is skipped before it
-    is chunked. Each batch writes one state row per document it indexed, also for one that became
-    empty, and the chunks; both folders carry the batch id and are overwritten on replay.
+    ``events``: document_id, title, version, text, pages. Each batch writes one row per document it indexed,
+    also for one that became empty, and the chunks; both folders carry the batch id and are overwritten on
+    replay, when Spark hands out the state as it was before the batch.
     """
+    pages = events.schema["pages"].dataType
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.groupBy("document_id").agg(F.max_by(F.struct("title", "version", "text", "pages"), "version").alias("d")).select(
-            "document_id", "d.*")
-        hashed = with_index_hash(newest, size=size, overlap=overlap)
-        seen = _earlier(spark, output, batch_id)
-        if seen is not None:
-            # Only the state of documents in this batch is gathered.
-            mine = seen.join(newest.select("document_id"), "document_id", "left_semi").groupBy("document_id").agg(
-                F.max("version").alias("stored_version"), F.max_by("index_hash", "batch").alias("stored_hash"))
-            hashed = hashed.join(mine, "document_id", "left").filter(
-                (F.col("stored_version").isNull() | (F.col("version") >= F.col("stored_version")))
-                & ~F.col("index_hash").eqNullSafe(F.col("stored_hash"))).drop("stored_version", "stored_hash")
-        hashed = durable(hashed)
-        hashed.select("document_id", "version", "index_hash").write.mode("overwrite").parquet(f"{output}/{STATE}/batch={batch_id}")
-        document_chunks(hashed.drop("index_hash"), size=size, overlap=overlap).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        changed = durable(batch.withColumn("pages", F.from_json("pages", pages)))
+        changed.select("document_id", "version", "index_hash").write.mode("overwrite").parquet(f"{output}/{STATE}/batch={batch_id}")
+        document_chunks(changed.drop("index_hash"), size=size, overlap=overlap).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changed_documents(events, size, overlap).writeStream.outputMode("append").foreachBatch(write).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _earlier(spark: SparkSession, output: str, batch_id: int) -> DataFrame | None:
-    try:
-        return document_state(spark, output).filter(F.col("batch") < batch_id)
-    except Exception as exc:  # no batch has been written yet
-        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return None
-        raise
+def ingest_into_index(events: DataFrame, path: str, checkpoint: str, size: int = vocab.CHUNK_SIZE,
+                      overlap: int = vocab.CHUNK_OVERLAP) -> StreamingQuery:
+    """As :func:`ingest_documents`, into a stored index: only the buckets of changed documents are written, one
+    snapshot a batch. A replayed batch replaces its own rows. The index must have been written before."""
+    pages = events.schema["pages"].dataType
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        changed = durable(batch.withColumn("pages", F.from_json("pages", pages)))
+        fresh = durable(document_chunks(changed.drop("index_hash"), size=size, overlap=overlap))
+        gone = changed.select("document_id")
+        change_index(batch.sparkSession, path, gone, lambda stored: remove_documents(stored, gone).unionByName(fresh.select(*stored.columns)),
+                     gone.unionByName(fresh.select("document_id")))
+
+    return changed_documents(events, size, overlap).writeStream.outputMode("append").foreachBatch(write).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def document_state(spark: SparkSession, output: str) -> DataFrame:
