@@ -55,11 +55,12 @@ def prepare_consultations(requests: DataFrame, docs: DataFrame, texts: DataFrame
     checks = contexts.groupBy("consultation_id").agg(
         F.bool_or("_bad").alias("bad"), F.count(F.lit(1)).alias("n"),
         F.sort_array(F.collect_list(F.struct("place", "document_id", "title", "text_version", "generation"))).alias("source_refs"))
-    kept = contexts if budget is None else budget_prefix(contexts, ["consultation_id"], ["place"], F.length("context"), budget)
-    left_out = contexts.join(kept.select("consultation_id", "place", F.lit(True).alias("_kept")), ["consultation_id", "place"], "left")
-    note = F.when(F.col("_kept").isNull(), F.concat(F.lit("DOCUMENT_OMITTED:"), F.col("document_id").cast("string"))).when(
+    upto = F.sum(F.length("context")).over(W.partitionBy("consultation_id").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    contexts = contexts.withColumn("_kept", F.lit(True) if budget is None else upto <= budget)
+    kept = contexts.filter("_kept")
+    note = F.when(~F.col("_kept"), F.concat(F.lit("DOCUMENT_OMITTED:"), F.col("document_id").cast("string"))).when(
         F.col("_cut"), F.concat(F.lit("DOCUMENT_TRUNCATED:"), F.col("document_id").cast("string")))
-    notes = left_out.select("consultation_id", "place", note.alias("note")).filter("note IS NOT NULL").groupBy("consultation_id").agg(
+    notes = contexts.select("consultation_id", "place", note.alias("note")).filter("note IS NOT NULL").groupBy("consultation_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("place", "note"))), lambda n: n["note"]).alias("warnings"))
     bodies = kept.groupBy("consultation_id").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("place", "context"))), lambda r: r["context"]), "\n\n---\n\n").alias("body"))

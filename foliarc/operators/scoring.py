@@ -472,13 +472,26 @@ def percentiles(values: DataFrame, group: list[str], column: str, quantiles: dic
     rank. Only the last bucket's values are put in order.
     """
     rows = values.filter(F.col(column).isNotNull()).select(*group, F.col(column).alias("v"))
-    distinct = rows.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("copies"))
+    distinct = durable(rows.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("copies")))
+    at = {name: F.bround(F.lit(q) * (F.col("n") - 1)).cast("bigint") for name, q in quantiles.items()}
     stats = distinct.groupBy(*group).agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("d"), F.sum(F.col("v") * F.col("copies")).alias("total"))
-    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.bround(F.lit(q) * (F.col("n") - 1)).cast("bigint").alias("rank"))
-                      for name, q in quantiles.items()])
-    asked = stats.select(*group, "d", F.explode(ranks).alias("t")).select(*group, "d", "t.name", "t.rank")
-    few = distinct.join(asked.filter(F.col("d") <= ordered), group)
-    open_values = distinct.join(asked.filter(F.col("d") > ordered), group)
+    stats = durable(stats.select("*", *[rank.alias(f"_{name}") for name, rank in at.items()]))
+    # Ranks stand beside a group's values: no row for each value and quantile.
+    small = stats.filter(F.col("d") <= ordered).select(*group, *[f"_{name}" for name in quantiles])
+    upto = F.sum("copies").over(W.partitionBy(*group).orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    reached = distinct.join(small, group).withColumn("_upto", upto)
+    picked = reached.groupBy(*group).agg(*[F.min(F.when(F.col("_upto") > F.col(f"_{name}"), F.col("v"))).alias(name) for name in quantiles])
+    large = stats.filter(F.col("d") > ordered)
+    if not large.isEmpty():
+        picked = picked.unionByName(_percentiles_by_buckets(distinct, large, group, quantiles, buckets, levels))
+    return stats.select(*group, "n", "total").join(picked, group)
+
+
+def _percentiles_by_buckets(distinct: DataFrame, large: DataFrame, group: list[str], quantiles: dict[str, float], buckets: int, levels: int) -> DataFrame:
+    """group and a column for each quantile: the buckets of :func:`percentiles` for groups with many distinct values."""
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"_{name}").alias("rank")) for name in quantiles])
+    asked = large.select(*group, F.explode(ranks).alias("t")).select(*group, "t.name", "t.rank")
+    open_values = distinct.join(asked, group)
     key = [*group, "name"]
     points = [i / buckets for i in range(1, buckets)]
     before = W.partitionBy(*key).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
@@ -491,9 +504,8 @@ def percentiles(values: DataFrame, group: list[str], column: str, quantiles: dic
         chosen = sizes.filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("size"))).select(*key, "b", "before")
         open_values = placed.join(chosen, [*key, "b"]).withColumn("rank", F.col("rank") - F.col("before")).drop("b", "before")
     inside = W.partitionBy(*key).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    reached = few.unionByName(open_values.select(*few.columns)).withColumn("upto", F.sum("copies").over(inside)).filter(F.col("upto") > F.col("rank"))
-    picked = reached.groupBy(*group).agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in quantiles])
-    return stats.select(*group, "n", "total").join(picked, group)
+    reached = open_values.withColumn("upto", F.sum("copies").over(inside)).filter(F.col("upto") > F.col("rank"))
+    return reached.groupBy(*group).agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in quantiles])
 
 
 def overlapping_spans(left: DataFrame, right: DataFrame, keys: list[str], width: int = 4096) -> DataFrame:

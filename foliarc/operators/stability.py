@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliarc.session import fits_broadcast
+
 CRITERIA = ["text_present", "sources_cited", "abstention_correct", "privacy_passed"]
 
 
@@ -46,7 +48,8 @@ def case_stability(plan: DataFrame, results: DataFrame, cases: DataFrame) -> Dat
         F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("observed"),
         *[F.count_if(c).alias(c) for c in CRITERIA if c in results.columns])
     listed = cases.select("case", F.lit(1).alias("one"))
-    grid = scheduled.withColumn("one", F.lit(1)).join(F.broadcast(listed), "one").drop("one")
+    listed = F.broadcast(listed) if fits_broadcast(listed, 64) else listed
+    grid = scheduled.withColumn("one", F.lit(1)).join(listed, "one").drop("one")
     rows = grid.join(seen, ["group", "case"], "left").na.fill(0)
     status = (F.when(F.col("observed") < F.col("scheduled"), F.lit("missing"))
               .when(F.col("passed") == F.col("scheduled"), F.lit("always-pass"))

@@ -14,7 +14,8 @@ FIELDS = ["kind", "subject", "assertion", "medication_state", "temporality"]
 KEY = ["block_id", "name", "source_text", *FIELDS]
 
 
-def plan_blocks(blocks: DataFrame, block_limit: int | None = None, block_chars: int | None = None) -> DataFrame:
+def plan_blocks(blocks: DataFrame, block_limit: int | None = None, block_chars: int | None = None,
+                context_chars: int | None = None) -> DataFrame:
     """Paragraph blocks with reading order, eligibility, batch number and preceding context.
 
     Every paragraph takes part, however many or long, unless a limit is given; :func:`block_issues`
@@ -26,10 +27,9 @@ def plan_blocks(blocks: DataFrame, block_limit: int | None = None, block_chars:
     if block_chars is not None:
         within &= F.length("text") <= block_chars
     order = W.partitionBy("document_id").orderBy("block_order")
-    paragraphs = blocks.filter("kind = 'paragraph'").select(
-        "document_id", "block_order", "block_id", "page_index", "start_byte", "end_byte", "text").withColumn(
-        "paragraph", F.row_number().over(order)).withColumn(
-        "previous", F.right(F.lag("text", 1, "").over(order), F.lit(vocab.PREVIOUS_CONTEXT_CHARS)))
+    paragraphs = with_previous(blocks.filter("kind = 'paragraph'"), ["document_id"], "block_order", context_chars).select(
+        "document_id", "block_order", "block_id", "page_index", "start_byte", "end_byte", "text", "previous", "previous_cut").withColumn(
+        "paragraph", F.row_number().over(order))
     checked = paragraphs.withColumn(
         "eligible", within & ~contains_command(F.col("text")))
     batched = pack_batches(checked.filter("eligible").select("document_id", "block_order", F.length("text").alias("n")),
@@ -37,7 +37,19 @@ def plan_blocks(blocks: DataFrame, block_limit: int | None = None, block_chars:
                            vocab.BLOCK_CHARS).select("document_id", "block_order", "batch")
     joined = checked.join(batched, ["document_id", "block_order"], "left")
     first = W.partitionBy("document_id", "batch").orderBy("block_order")
-    return joined.withColumn("context_before", F.when(F.col("eligible"), F.first("previous").over(first))).drop("previous")
+    return joined.withColumn("context_before", F.when(F.col("eligible"), F.first("previous").over(first))).withColumn(
+        "context_cut", F.when(F.col("eligible"), F.first("previous_cut").over(first))).drop("previous", "previous_cut")
+
+
+def with_previous(rows: DataFrame, keys: list[str], order: str, chars: int | None = None) -> DataFrame:
+    """Adds ``previous``, the text of the row before ('' at the first), and ``previous_cut``.
+
+    Without ``chars`` it is whole; with it the last so many characters are kept and ``previous_cut`` tells
+    where some were left out.
+    """
+    before = F.lag("text", 1, "").over(W.partitionBy(*keys).orderBy(order))
+    cut = F.lit(False) if chars is None else F.coalesce(F.length(before) > chars, F.lit(False))
+    return rows.withColumn("previous", before if chars is None else F.right(before, F.lit(chars))).withColumn("previous_cut", cut)
 
 
 def block_issues(planned: DataFrame, block_limit: int | None = None) -> DataFrame:

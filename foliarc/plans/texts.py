@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliarc import vocab
 from foliarc.functions import numbers
 from foliarc.functions import text as tx
 from foliarc.functions.hashing import chunk_id, content_hash
@@ -248,12 +249,14 @@ def win_13(t: Tables):
 
 
 @query("win_10_previous_context", """
-SELECT conv_id, turn, right(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), 100) AS before
-FROM conversations""")
+WITH p AS (SELECT conv_id, turn, lag(text, 1, '') OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)
+SELECT conv_id, turn, right(p, 1000) AS before, coalesce(length(p) > 1000, false) AS previous_cut, length(p) AS whole FROM p""")
 def win_10(t: Tables):
-    from pyspark.sql import Window as W
-    order = W.partitionBy("conv_id").orderBy("turn")
-    return t.conversations.select("conv_id", "turn", F.right(F.lag("text", 1, "").over(order), F.lit(100)).alias("before"))
+    from foliarc.operators import statements
+    rows = t.conversations.select("conv_id", "turn", "text")
+    whole = statements.with_previous(rows, ["conv_id"], "turn").select("conv_id", "turn", "text", F.length("previous").cast(BIG).alias("whole"))
+    cut = statements.with_previous(whole, ["conv_id"], "turn", vocab.PREVIOUS_CONTEXT_CHARS)
+    return cut.select("conv_id", "turn", F.col("previous").alias("before"), "previous_cut", "whole")
 
 
 # ---- functions ---------------------------------------------------------------------------
