@@ -642,12 +642,16 @@ def _answered(t: Tables):
 
 
 @query("assemble_answers", f"""
-WITH {ROUTE}, n AS (SELECT question_id, count(*) AS n FROM a JOIN r USING (question_id, pass) WHERE ok GROUP BY 1)
-SELECT conv_id AS question_id, n IS NULL AS insufficient, coalesce(n, 0) AS citations FROM conversations LEFT JOIN n ON n.question_id = conv_id WHERE turn = 0""")
+WITH {ROUTE}, c AS (SELECT a.question_id, t.text, row_number() OVER (PARTITION BY a.question_id ORDER BY a.turn) AS n
+  FROM a JOIN r USING (question_id, pass) JOIN conversations t ON t.conv_id = a.question_id AND t.turn = a.turn WHERE ok),
+p AS (SELECT question_id, count(*) AS n, string_agg(trim(left(text, 40), E' \\t\\n\\r') || ' [' || n || ']', E'\\n\\n' ORDER BY n) AS body FROM c GROUP BY 1)
+SELECT q.conv_id AS question_id, n IS NULL AS insufficient, coalesce(n, 0) AS citations, md5(CASE WHEN n IS NULL THEN '{vocab.ABSTAIN}' ELSE
+  CASE WHEN regexp_matches(q.text, '[А-Яа-яЁё]') THEN '{vocab.INTRO_RU}' ELSE '{vocab.INTRO_EN}' END || E'\\n\\n' || body END) AS answer_md5
+FROM conversations q LEFT JOIN p ON p.question_id = q.conv_id WHERE q.turn = 0""")
 def assemble(t: Tables):
     answers, _ = _answered(t)
     return answers.select("question_id", "insufficient", F.when(F.col("citations").isNull(), F.lit(0)).otherwise(
-        F.size("citations")).cast(BIG).alias("citations"))
+        F.size("citations")).cast(BIG).alias("citations"), F.md5("answer").alias("answer_md5"))
 
 
 @query("win_11_citation_numbering", f"""
