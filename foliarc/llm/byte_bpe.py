@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from foliarc.llm.common import SEPARATOR_CONTROLS, release_memory, text_or_empty
+from foliarc.llm.common import SEPARATOR_CONTROLS, Remembered, release_memory, text_or_empty
 
 # Units that are encoded apart: a word with at most one space before it, or white space.
 UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile(f"[{SEPARATOR_CONTROLS}]")
 LONGEST_CACHED = 64
-CACHE_UNITS = 120_000
+CACHE_UNITS = 600_000
 MISSES_AT_ONCE = 20_000
 TEXTS_AT_ONCE = 128
 
@@ -74,7 +74,7 @@ class ByteBpe:
         ])
         byte_of = {sign: b for b, sign in enumerate(signs)}
         self.token_bytes = {ranks[t]: bytes(byte_of[c] for c in spell(t)) for t in ordered}
-        self.cache: dict[str, bytes] = {}
+        self.cache = Remembered(CACHE_UNITS)
 
     def encode_now(self, units: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit strings, straight from the library."""
@@ -88,18 +88,23 @@ class ByteBpe:
         """
         for start in range(0, len(texts), TEXTS_AT_ONCE):
             part = [[t] if ODD.search(t) else UNIT.findall(t) for t in texts[start:start + TEXTS_AT_ONCE]]
-            missing = list({u for units in part for u in units if u not in self.cache})
-            if len(self.cache) + len(missing) > CACHE_UNITS:
-                self.cache.clear()
-                missing = list({u for units in part for u in units})
-            now: dict[str, bytes] = {}
+            now: dict[str, bytes] = dict.fromkeys(u for units in part for u in units)
+            recall = self.cache.get
+            missing = []
+            for unit in now:
+                known = recall(unit) if len(unit) <= LONGEST_CACHED else None
+                if known is None:
+                    missing.append(unit)
+                else:
+                    now[unit] = known
             for at in range(0, len(missing), MISSES_AT_ONCE):
                 some = missing[at:at + MISSES_AT_ONCE]
-                now.update(zip(some, self.encode_now(some)))
-            self.cache.update((u, ids) for u, ids in now.items() if len(u) <= LONGEST_CACHED)
-            cache = self.cache
+                for unit, ids in zip(some, self.encode_now(some)):
+                    now[unit] = ids
+                    if len(unit) <= LONGEST_CACHED:
+                        self.cache.put(unit, ids)
             for units in part:
-                yield b"".join([cache[u] if u in cache else now[u] for u in units])
+                yield b"".join(map(now.__getitem__, units))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))

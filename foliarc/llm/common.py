@@ -47,6 +47,28 @@ def release_memory() -> None:
         pass
 
 
+class Remembered:
+    """A bounded dictionary in two generations: units used since the last change of generation survive it."""
+
+    def __init__(self, most: int):
+        self.half = max(1, most // 2)
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, unit):
+        value = self.young.get(unit)
+        if value is None:
+            value = self.old.get(unit)
+            if value is not None:
+                self.put(unit, value)
+        return value
+
+    def put(self, unit, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[unit] = value
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
