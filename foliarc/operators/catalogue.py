@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliarc import vocab
@@ -175,6 +176,50 @@ def page_of(rows: DataFrame, order: Order, page: int = 1, page_size: int = 20) -
     return next_page(rows, order, token_before(rows, order, page, page_size), page_size)
 
 
+# ---- sets and keys -----------------------------------------------------------------------
+def restrict_to(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is listed in ``ids``, each once however often it is listed."""
+    return rows.join(ids.select(key), key, "left_semi")
+
+
+def union_ids(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """The distinct ids of two tables with the column ``key``."""
+    return first.select(key).union(second.select(key)).distinct()
+
+
+def missing_ids(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """Distinct wanted ids that are not present; NULL counts as an id."""
+    return wanted.select(key).subtract(present.select(key))
+
+
+def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of equal ``keys`` by ``order``, with ``copies``: combined before the exchange, so a hot key costs one row a task."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(first, F.count(F.lit(1)).alias("copies")).select("_row.*", "copies")
+
+
+def capped(rows: DataFrame, keys: list[str], order: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, overflow): the first ``limit`` rows of each key, and for the others a row of keys and ``overflow``, their number.
+
+    The window's limit reaches the map side; the counts are a combined aggregate.
+    """
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    kept = rows.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
+    over = rows.groupBy(*keys).agg((F.count(F.lit(1)) - limit).alias("overflow")).filter("overflow > 0")
+    return kept, over
+
+
+def running_offset(rows: DataFrame, keys: list[str], order: list[str], size: Column, name: str) -> DataFrame:
+    """Adds ``name``: what the sizes of a key's earlier rows sum to."""
+    before = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn(name, F.coalesce(F.sum(size).over(before), F.lit(0)))
+
+
+def chronological(rows: DataFrame, keys: list[str], date: str, ties: list[str], name: str = "place") -> DataFrame:
+    """Adds ``name``: the place by date within ``keys``, undated rows last."""
+    return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(F.asc_nulls_last(date), *ties)))
+
+
 def in_period(date: Column, date_from: Column, date_to: Column) -> Column:
     """With a bound set, undated rows are out; without one every row is in."""
     open_ended = date_from.isNull() & date_to.isNull()

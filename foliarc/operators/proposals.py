@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliarc import vocab
 from foliarc.functions.numbers import is_valid_date_or_null
 from foliarc.functions.text import collapse, contains_command, non_blank
-from foliarc.operators.catalogue import violations
+from foliarc.operators.catalogue import keep_first, violations
 from foliarc.operators.chunks import pack_batches
 
 PART_CHARS = 14000
@@ -47,9 +46,8 @@ def verify_fact_proposals(facts: DataFrame, pages: DataFrame,
     checked = quote_on_page(facts, pages).withColumn(
         "code", F.when(~F.col("on_page"), F.lit("QUOTE_REJECTED"))
         .when(contains_command(F.col("source_text")), F.lit("COMMAND_REJECTED")))
-    first = W.partitionBy("document_id", "type", "name", "page", "source_text").orderBy("batch", "ord")
-    accepted = checked.filter(F.col("code").isNull()).withColumn("copy", F.row_number().over(first)).filter(
-        "copy = 1").drop("copy", "code", "on_page")
+    accepted = keep_first(checked.filter(F.col("code").isNull()), ["document_id", "type", "name", "page", "source_text"], ["batch", "ord"]).drop(
+        "copies", "code", "on_page")
     rejected = checked.filter(F.col("code").isNotNull()).groupBy("document_id", "batch", "code").agg(
         F.count(F.lit(1)).alias("facts"))
     full = facts.groupBy("document_id", "batch").agg(F.count(F.lit(1)).alias("facts")).filter(

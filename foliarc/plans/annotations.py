@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliarc.operators import catalogue as cat
 from foliarc.operators import lab, proposals, statements
 from foliarc.plans.registry import Tables, query
 from foliarc.session import durable
@@ -360,20 +361,16 @@ def validity(t: Tables):
 @query("win_6_keep_first", """
 SELECT min(doc_id) AS doc_id, source, count(*) AS copies FROM documents GROUP BY source, text""")
 def keep_first(t: Tables):
-    # The kept row of a hot key comes from a combined aggregate, not from sorting the key.
-    return t.documents.groupBy("source", F.xxhash64("text").alias("h"), "text").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "source", "copies")
+    return cat.keep_first(t.documents.select("doc_id", "source", "text"), ["source", "text"], ["doc_id"]).select("doc_id", "source", "copies")
 
 
 @query("win_7_row_cap", """
 SELECT user_id, CAST(least(count(*), 50) AS BIGINT) AS kept, CAST(greatest(count(*) - 50, 0) AS BIGINT) AS overflow
 FROM events GROUP BY user_id""")
 def row_cap(t: Tables):
-    from pyspark.sql import Window as W
-    place = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    kept = t.events.withColumn("place", place).filter("place <= 50").groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
-    total = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return total.join(kept, "user_id").select("user_id", "kept", (F.col("n") - F.col("kept")).alias("overflow"))
+    rows, over = cat.capped(t.events, ["user_id"], ["ts", "event_id"], 50)
+    kept = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
+    return kept.join(over, "user_id", "left").select("user_id", "kept", F.coalesce("overflow", F.lit(0)).cast("bigint").alias("overflow"))
 
 
 @query("extraction_batches", """

@@ -228,7 +228,7 @@ def jn_4(t: Tables):
 @query("jn_5_in_list", ctes("docs", "facts") + """
 SELECT fact_id FROM facts WHERE document_id IN (SELECT document_id FROM docs WHERE status = 'READY')""")
 def jn_5(t: Tables):
-    return x.facts(t).join(x.docs(t).filter("status = 'READY'"), "document_id", "left_semi").select("fact_id")
+    return cat.restrict_to(x.facts(t), x.docs(t).filter("status = 'READY'"), "document_id").select("fact_id")
 
 
 @query("jn_21_latest_text", ctes("docs", "texts") + """
@@ -413,14 +413,14 @@ def srt_10(t: Tables):
 @query("set_2_union_of_ids", """
 SELECT o_orderkey AS id FROM orders UNION SELECT l_partkey FROM lineitem""")
 def set_2(t: Tables):
-    return t.orders.select(F.col("o_orderkey").alias("id")).union(t.lineitem.select("l_partkey")).distinct()
+    return cat.union_ids(t.orders.select(F.col("o_orderkey").alias("id")), t.lineitem.select(F.col("l_partkey").alias("id")), "id")
 
 
 @query("set_3_missing_indexed", """
 SELECT p_partkey AS missing FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 49""")
 def set_3(t: Tables):
-    indexed = t.lineitem.filter("l_quantity >= 49").select("l_partkey")
-    return t.part.select(F.col("p_partkey").alias("missing")).subtract(indexed)
+    indexed = t.lineitem.filter("l_quantity >= 49").select(F.col("l_partkey").alias("missing"))
+    return cat.missing_ids(t.part.select(F.col("p_partkey").alias("missing")), indexed, "missing")
 
 
 @query("set_4_confirmed_equals_linked", """

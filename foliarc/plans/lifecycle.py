@@ -795,10 +795,8 @@ def visibility(t: Tables):
 SELECT document_id, place FROM (SELECT o_orderkey AS document_id, row_number() OVER (PARTITION BY o_custkey ORDER BY
   CASE WHEN o_totalprice >= 50000 THEN o_orderdate END ASC NULLS LAST, o_orderkey) AS place FROM orders)""")
 def chronological(t: Tables):
-    from pyspark.sql import Window as W
-    date = F.when(F.col("o_totalprice") >= 50000, F.col("o_orderdate"))
-    place = F.row_number().over(W.partitionBy("o_custkey").orderBy(date.asc_nulls_last(), "o_orderkey"))
-    return t.orders.select(F.col("o_orderkey").alias("document_id"), place.cast(BIG).alias("place"))
+    rows = t.orders.select("o_custkey", F.col("o_orderkey").alias("document_id"), F.when(F.col("o_totalprice") >= 50000, F.col("o_orderdate")).alias("date"))
+    return cat.chronological(rows, ["o_custkey"], "date", ["document_id"]).select("document_id", F.col("place").cast(BIG).alias("place"))
 
 
 @query("public_packages", f"""

@@ -9,7 +9,7 @@ from foliarc.functions import numbers
 from foliarc.functions import text as tx
 from foliarc.functions.hashing import chunk_id, content_hash
 from foliarc.operators import blocks, chunks, lab
-from foliarc.operators.catalogue import export_safe
+from foliarc.operators.catalogue import export_safe, running_offset
 from foliarc.plans.registry import Tables, query
 from foliarc.session import spread
 from foliarc.sources import corpus
@@ -61,10 +61,7 @@ def verify_blocks(t: Tables):
 SELECT conv_id, turn, coalesce(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_byte FROM conversations""")
 def win_9(t: Tables):
-    from pyspark.sql import Window as W
-    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    return t.conversations.select("conv_id", "turn", F.coalesce(
-        F.sum(F.octet_length("text")).over(before), F.lit(0)).alias("start_byte"))
+    return running_offset(t.conversations, ["conv_id"], ["turn"], F.octet_length("text"), "start_byte").select("conv_id", "turn", "start_byte")
 
 
 @query("src_2_page_assembly", """
