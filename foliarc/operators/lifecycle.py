@@ -54,20 +54,27 @@ def _identity(type_: Column, name: Column, date: Column) -> Column:
     return F.struct(type_.alias("type"), fold_case(collapse(name)).alias("name"), date.alias("date"))
 
 
+def _known_to_review(preserved: DataFrame) -> DataFrame:
+    """Both identities of every preserved fact, each once: _doc, _type, _name, _date, _known."""
+    return preserved.select("document_id", F.explode(F.array(
+        _identity(F.col("type"), F.col("name"), F.col("event_date")),
+        _identity(F.col("original.type"), F.col("original.name"), F.col("original.event_date")))).alias("_i")).select(
+        F.col("document_id").alias("_doc"), F.col("_i.type").alias("_type"), F.col("_i.name").alias("_name"),
+        F.col("_i.date").alias("_date")).distinct().withColumn("_known", F.lit(True))
+
+
+def _same_finding() -> Column:
+    name = fold_case(collapse(F.col("name")))
+    return ((F.col("document_id") == F.col("_doc")) & (F.col("type") == F.col("_type")) & (name == F.col("_name"))
+            & F.col("event_date").eqNullSafe(F.col("_date")))
+
+
 def suppressed_by_review(incoming: DataFrame, preserved: DataFrame) -> DataFrame:
     """Incoming facts that no preserved fact matches by its current or original type, name and date.
 
     Both identities of a preserved fact are exploded, so the disjunction is one equi-join.
     """
-    known = preserved.select("document_id", F.explode(F.array(
-        _identity(F.col("type"), F.col("name"), F.col("event_date")),
-        _identity(F.col("original.type"), F.col("original.name"), F.col("original.event_date")))).alias("_i")).select(
-        F.col("document_id").alias("_doc"), F.col("_i.type").alias("_type"), F.col("_i.name").alias("_name"),
-        F.col("_i.date").alias("_date")).distinct()
-    name = fold_case(collapse(F.col("name")))
-    match = ((F.col("document_id") == F.col("_doc")) & (F.col("type") == F.col("_type")) & (name == F.col("_name"))
-             & F.col("event_date").eqNullSafe(F.col("_date")))
-    return incoming.join(known, match, "left_anti")
+    return incoming.join(_known_to_review(preserved), _same_finding(), "left_anti")
 
 
 def activate_revisions(prepared: DataFrame, facts: DataFrame, docs: DataFrame, revisions: DataFrame,
@@ -83,14 +90,16 @@ def activate_revisions(prepared: DataFrame, facts: DataFrame, docs: DataFrame, r
     """
     switching = prepared.select("document_id", F.col("revision_id").alias("_new"))
     tagged = facts.join(switching, "document_id", "left")
-    incoming = tagged.filter(F.col("revision_id").eqNullSafe(F.col("_new")) & F.col("_new").isNotNull())
+    arrives = F.col("revision_id").eqNullSafe(F.col("_new")) & F.col("_new").isNotNull()
     preserved = tagged.filter(F.col("_new").isNotNull() & F.col("active") & (F.col("review_status") != "UNREVIEWED"))
-    visible = suppressed_by_review(incoming, preserved).select("fact_id", F.lit(True).alias("_visible"))
+    # An incoming fact meets what review knows where it stands; nothing is joined back by fact.
+    marked = tagged.join(_known_to_review(preserved), _same_finding() & arrives, "left").withColumn(
+        "_visible", arrives & F.col("_known").isNull()).select(*tagged.columns, "_visible")
     next_active = (F.when(F.col("_new").isNull(), F.col("active"))
-                   .when(F.coalesce("_visible", F.lit(False)), F.lit(True))
+                   .when(F.col("_visible"), F.lit(True))
                    .when(F.col("active") & (F.col("review_status") == "UNREVIEWED"), F.lit(False))
                    .otherwise(F.col("active")))
-    next_facts = tagged.join(visible, "fact_id", "left").withColumn("active", next_active).drop("_new", "_visible")
+    next_facts = marked.withColumn("active", next_active).drop("_new", "_visible")
     next_revisions = revisions.join(switching, "document_id", "left").withColumn("status", F.when(
         F.col("revision_id").eqNullSafe(F.col("_new")) & F.col("_new").isNotNull(), F.lit("ACTIVE")).when(
         F.col("_new").isNotNull() & (F.col("status") == "ACTIVE"), F.lit("SUPERSEDED")).otherwise(F.col("status"))).drop("_new")
@@ -119,7 +128,7 @@ def activate_revisions(prepared: DataFrame, facts: DataFrame, docs: DataFrame, r
     own_docs = next_docs.join(switched, "document_id", "left_semi")
     timeline = rebuild_timeline(own_docs, next_facts.join(switched, "document_id", "left_semi"))
     tags = own_docs.select(F.explode("tags").alias("name")).distinct()
-    counted = incoming.join(visible, "fact_id", "left").groupBy("document_id").agg(F.count_if(F.coalesce("_visible", F.lit(False))).alias("facts"))
+    counted = marked.filter(arrives).groupBy("document_id").agg(F.count_if("_visible").alias("facts"))
     noted = switching.withColumnRenamed("_new", "revision_id")
     if manifests is not None:
         noted = noted.join(manifests.select("revision_id", "index_manifest"), "revision_id", "left")
