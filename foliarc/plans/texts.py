@@ -367,10 +367,9 @@ LINE = "(string_split(text, chr(10)))[2]"
 
 @query("func_12_verified_excerpt", f"""
 SELECT doc_id, CASE WHEN length({LINE}) > 0 THEN trim(regexp_replace({LINE}, '\\s+', ' ', 'g')) END AS excerpt
-FROM documents WHERE NOT regexp_matches(coalesce({LINE}, ''), '\\d[.,]\\s+\\d')""")
+FROM documents""")
 def func_12(t: Tables):
-    plain = quoted_lines(t).filter(~F.coalesce(F.col("quote"), F.lit("")).rlike(r"\d[.,]\s+\d"))
-    return plain.select("doc_id", tx.collapse(tx.verified_excerpt(F.col("quote"), F.col("text"))).alias("excerpt"))
+    return quoted_lines(t).select("doc_id", tx.collapse(tx.verified_excerpt(F.col("quote"), F.col("text"))).alias("excerpt"))
 
 
 @query("func_13_complete_excerpt")
