@@ -3,13 +3,13 @@
 A pre-token is a run without white space: the tokenizer drops white space before it splits, so
 the count of a text is the sum over its pre-tokens. Tier one is a broadcast table of the lengths
 of frequent pre-tokens, of bounded size; tier two is a worker's own bounded cache, filled by the
-library. No pre-token is ever shuffled.
+library. No pre-token is ever shuffled: the table is drawn from lists that a bounded sample of texts
+sends straight to the driver.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from foliarc.llm.common import SEPARATOR_CONTROLS, release_memory, staged, text_or_empty
+from foliarc.llm.common import SEPARATOR_CONTROLS, Remembered, release_memory, text_or_empty
 
 ODD = re.compile(f"[{SEPARATOR_CONTROLS}]")
 LONGEST_CACHED = 64
-CACHE_WORDS = 250_000
+CACHE_WORDS = 800_000
 TABLE_WORDS = 32_768
 SAMPLE_ROWS = 4_000
+WORDS_A_TEXT = 256
+TEXTS_AT_ONCE = 64
 
 
 @lru_cache(maxsize=2)
@@ -42,53 +44,46 @@ def lengths_of(path: str, words: list[str]) -> list[int]:
 
 
 def frequent_lengths(docs: DataFrame, path: str, words: int = TABLE_WORDS, sample_rows: int = SAMPLE_ROWS) -> dict[str, int]:
-    """Lengths of the commonest pre-tokens of about ``sample_rows`` rows: only a cache, so a sample is enough.
+    """Lengths of the pre-tokens that most texts of a sample hold: only a cache, so a sample is enough.
 
-    Tasks count their part of the sample. Only words with at least a ``words``-th of all counts come to
-    the driver, so there can be no more than ``words`` of them.
+    Each of about ``sample_rows`` texts lists at most ``WORDS_A_TEXT`` of its words, so what reaches the
+    driver is bounded at every size; at most ``words`` of them make the table.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text in batch["text"]:
-                seen.update(w for w in text.split() if len(w) <= LONGEST_CACHED)
-        yield pd.DataFrame(seen.most_common(words), columns=["word", "n"])
+                distinct = dict.fromkeys(w for w in text.split() if len(w) <= LONGEST_CACHED)
+                yield pd.DataFrame({"word": list(distinct)[:WORDS_A_TEXT]}, dtype=object)
 
     rows = docs.count()
     texts = docs.select(text_or_empty().alias("text"))
     sample = texts.sample(fraction=sample_rows / rows, seed=1) if rows > sample_rows else texts
-    top = sample.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = staged(top, "pre-tokens")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    common = sorted(r[0] for r in counted.filter(F.col("n") * words >= total).select("word").collect())
+    seen = sample.mapInPandas(listed, "word string").toPandas()["word"].value_counts()
+    common = sorted(seen[seen > 1].index[:words])
     return dict(zip(common, lengths_of(path, common)))
 
 
-_CACHE: dict[str, dict[str, int]] = {}
+_CACHE: dict[str, Remembered] = {}
 
 
-def count_text(text: str, table: dict[str, int], cache: dict[str, int], path: str) -> int:
-    if ODD.search(text):
-        return lengths_of(path, [text])[0]
-    words = text.split()
-    total, left = 0, []
-    for word in words:
+def count_texts(texts: list[str], table: dict[str, int], cache: Remembered, path: str) -> list[int]:
+    """Counts of a few texts; the library is called once for all words that both tiers lack."""
+    split = [None if ODD.search(t) else t.split() for t in texts]
+    now: dict[str, int] = dict.fromkeys(w for own in split if own is not None for w in own)
+    missing = []
+    for word in now:
         n = table.get(word)
         if n is None:
-            n = cache.get(word)
+            n = cache.get(word) if len(word) <= LONGEST_CACHED else None
             if n is None:
-                left.append(word)
-                continue
-        total += n
-    if left:
-        new = list(dict.fromkeys(left))
-        found = dict(zip(new, lengths_of(path, new)))
-        total += sum(found[w] for w in left)
-        if len(cache) + len(found) > CACHE_WORDS:
-            cache.clear()
-        cache.update((w, n) for w, n in found.items() if len(w) <= LONGEST_CACHED)
-    return total
+                missing.append(word)
+        now[word] = n
+    for word, n in zip(missing, lengths_of(path, missing)):
+        now[word] = n
+        if len(word) <= LONGEST_CACHED:
+            cache.put(word, n)
+    return [lengths_of(path, [text])[0] if own is None else sum(map(now.__getitem__, own)) for text, own in zip(texts, split)]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int) -> DataFrame:
@@ -102,9 +97,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int) -> DataFrame:
 
     @F.pandas_udf(LongType())
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache = _CACHE.setdefault(path, {})
+        cache = _CACHE.setdefault(path, Remembered(CACHE_WORDS))
         for batch in batches:
-            yield pd.Series([count_text(t, table.value, cache, path) for t in batch], dtype="int64")
+            texts = batch.tolist()
+            parts = (texts[at:at + TEXTS_AT_ONCE] for at in range(0, len(texts), TEXTS_AT_ONCE))
+            yield pd.Series([n for part in parts for n in count_texts(part, table.value, cache, path)], dtype="int64")
         release_memory()
 
     text = text_or_empty()
