@@ -132,8 +132,8 @@ def _same_period(a: DataFrame, b: DataFrame) -> Column:
     return (a["scope"] == b["scope"]) & a["low"].eqNullSafe(b["low"]) & a["high"].eqNullSafe(b["high"])
 
 
-def _period_sizes(terms: DataFrame, counts: DataFrame) -> DataFrame:
-    """scope, low, high, n, avgdl of each distinct period: sums up to a day, subtracted.
+def _period_sizes(terms: DataFrame, counts: DataFrame) -> tuple[DataFrame, bool]:
+    """scope, low, high, n, avgdl of each distinct period, by sums up to a day, and whether any is bounded.
 
     What comes to the driver is a row for each day of the calendar in use and one for each distinct period.
     """
@@ -153,7 +153,8 @@ def _period_sizes(terms: DataFrame, counts: DataFrame) -> DataFrame:
                 rows.append((scope, int(low), int(high), int(n), float(size)))
     kinds = {f.name: f.dataType.simpleString() for f in terms.schema}
     schema = f"scope {kinds['scope']}, low int, high int, n long, size double"
-    return terms.sparkSession.createDataFrame(rows, schema).filter("n > 0").withColumn("avgdl", F.col("size") / F.col("n"))
+    sizes = terms.sparkSession.createDataFrame([r for r in rows if r[3] > 0], schema).withColumn("avgdl", F.col("size") / F.col("n"))
+    return (F.broadcast(sizes) if len(rows) * 48 <= BROADCAST_BYTES else sizes), any(r[1] is not None for r in rows)
 
 
 def _by_token(counts: DataFrame) -> DataFrame:
@@ -163,13 +164,15 @@ def _by_token(counts: DataFrame) -> DataFrame:
     return listed.select("scope", "token", F.col("d.day").alias("days"), F.col("d.df").alias("dfs"))
 
 
-def _document_frequencies(terms: DataFrame, counts: DataFrame) -> DataFrame:
-    """scope, low, high, token, df of every question word inside its period."""
+def _document_frequencies(terms: DataFrame, counts: DataFrame, bounded_periods: bool) -> DataFrame:
+    """scope, low, high, token, df of every question word inside its period; days are looked at only if some period is bounded."""
     asked = terms.filter(F.col("token").isNotNull()).select(*PERIOD, "token").distinct()
     names = asked.select("scope", "token").distinct()
     names = F.broadcast(names) if fits_broadcast(names, 64) else names
     own = counts.join(names, ["scope", "token"], "left_semi")
     whole = own.groupBy("scope", "token").agg(F.sum("df").alias("df")).join(asked.filter(F.col("low").isNull()), ["scope", "token"])
+    if not bounded_periods:
+        return whole.select(*PERIOD, "token", "df")
     bounded = asked.filter(F.col("low").isNotNull()).groupBy("scope", "token").agg(F.collect_list(F.struct("low", "high")).alias("p"))
     both = _by_token(own).join(bounded, ["scope", "token"])
     kinds = {f.name: f.dataType.simpleString() for f in terms.schema}
@@ -224,10 +227,9 @@ def _term_weights(questions: DataFrame, counts: DataFrame) -> DataFrame:
 
     The mean that replaces negative weights is taken only for periods in which some question has one.
     """
-    terms = query_terms(questions)
-    sizes = _period_sizes(terms, counts)
-    sizes = F.broadcast(sizes) if fits_broadcast(sizes, 48) else sizes
-    dfs = _document_frequencies(terms, counts)
+    terms = durable(query_terms(questions))
+    sizes, bounded_periods = _period_sizes(terms, counts)
+    dfs = _document_frequencies(terms, counts, bounded_periods)
     raw = durable(dfs.join(sizes, _same_period(dfs, sizes)).select(
         *[dfs[c] for c in PERIOD], "token", "n", "avgdl", ranking.raw_idf(F.col("n"), F.col("df")).alias("raw")))
     negative = raw.filter("raw < 0").groupBy(*PERIOD).agg(F.first("n").alias("n"))
