@@ -26,7 +26,8 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5  # characters of an n-gram; words carry a blank at both ends
 KNOWN = 2  # training occurrences that make a unit known
 UNIT = 1 << 20
-TABLE_BYTES = 48 * 1024 * 1024
+TABLE_BYTES = 32 * 1024 * 1024
+SLICES = 8  # in which a table comes to the driver
 HELD_UNITS = 300_000
 CHARS_AT_ONCE = 1 << 20
 UNKNOWN = "und"
@@ -125,13 +126,19 @@ class Model:
         rest, top = None, table
         if table.count() > most:
             order = [F.desc("total"), F.asc("unit")]
-            top = table.orderBy(*order).limit(most)
+            top = staged(table.orderBy(*order).limit(most), "frequent-units")
             edge = top.orderBy(F.asc("total"), F.desc("unit")).first()
             total, unit = (edge["total"], edge["unit"]) if edge else (1 << 62, "")
             rest = table.filter((F.col("total") < total) | ((F.col("total") == total) & (F.col("unit") > F.lit(unit))))
-        got = top.select("key", *[F.col("vector")[i].alias(f"v{i}") for i in range(len(self.langs))]).toPandas()
-        got = got.sort_values("key", kind="stable")
-        return (got["key"].to_numpy(np.int64), got.drop(columns="key").to_numpy(np.int32)), rest
+        columns, keys, vectors = [f"v{i}" for i in range(len(self.langs))], [], []
+        packed = top.select("key", *[F.col("vector")[i].alias(c) for i, c in enumerate(columns)])
+        for part in range(SLICES):
+            some = packed.filter(F.pmod("key", F.lit(SLICES)) == part).toArrow()
+            keys.append(some["key"].to_numpy())
+            vectors.append(np.stack([some[c].to_numpy() for c in columns], axis=1) if columns else np.zeros((len(some), 0), np.int32))
+        key, vector = np.concatenate(keys).astype(np.int64), np.concatenate(vectors).astype(np.int32)
+        order = np.argsort(key, kind="stable")
+        return (key[order], vector[order]), rest
 
 
 def keys_of(units) -> np.ndarray:
