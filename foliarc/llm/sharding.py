@@ -85,14 +85,16 @@ def gapless_slots(rows: DataFrame, group: str, order: list[str], out: str = "slo
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row of ``docs`` (doc_id, text).
 
-    Law ``key``: doc_id and the shard count decide. ``size`` is the text's UTF-8 bytes plus 16
+    Law ``key``: doc_id and the shard count decide. The tree is laid out for up to 40 shards in equal racks; a
+    ``grown_shard`` is a region of its own beside that tree, whatever ``shards`` is. ``size`` is the text's UTF-8 bytes plus 16
     (null text: 16, checksum of no bytes). A null doc_id is one key of its own. Repeated rows keep one
     slot each; other columns are ignored; an empty table gives an empty result.
     """
     text = text_or_empty()
     rows = docs.select("doc_id", (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
-    placed = descend(rows.withColumn("law", F.lit("key")), key, tree_of(shards), "shard")
-    placed = descend(placed, key, tree_of(shards + 1), "grown_shard")
+    base = min(shards, 40)
+    placed = descend(rows.withColumn("law", F.lit("key")), key, tree_of(shards, base), "shard")
+    placed = descend(placed, key, tree_of(shards + 1, base), "grown_shard")
     slots = gapless_slots(placed, "shard", ["doc_id", "text_crc32", "size"])
     return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
