@@ -3,48 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliarc.session import durable
+
 # Code points at which Python ends a word but the tokenizer libraries do not.
 SEPARATOR_CONTROLS = "\x1c\x1d\x1e\x1f"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only a local session without the setting (tests) gets a temporary folder; a cluster without
-    it is refused, since executors could not read each other's files.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith(("local[", "local-")) and spark.sparkContext.master != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The shuffle files of the write are removed when it ends; what reads the table needs none of them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/foliarc-{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+staged = durable
 
 
 def discard(*tables: DataFrame) -> None:

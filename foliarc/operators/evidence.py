@@ -18,7 +18,7 @@ from foliarc.functions.text import complete_excerpt, non_blank, strip, verified_
 from foliarc.operators.chunks import pack_batches
 from foliarc.operators.redact import apply_identifier_spans, redact
 from foliarc.operators.retrieve import ranked_chunks, visible_chunks
-from foliarc.session import durable, fits_broadcast
+from foliarc.session import by_key, durable, fits_broadcast
 
 
 # ---- corrective retrieval ----------------------------------------------------------------
@@ -260,19 +260,39 @@ def select_evidence(questions: DataFrame, catalogue: DataFrame, chunks: DataFram
             "left_out": left_out.withColumn("reason", F.lit("BEYOND_SCAN_LIMIT"))}
 
 
-def _verify_round(quotes: DataFrame, errors: DataFrame, batches: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(evidence, failed) of one reading: one quote that does not verify, or an error, fails its batch.
+def _verify_quotes(quotes: DataFrame, batches: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bound, checked) of one reading: quotes with their chunk and ``digest`` instead of words, and what each proved.
+
+    ``checked``: chunk_id, digest, excerpt, excerpt_digest, source, user_correction. Questions that share a reading quote the same
+    chunks, so equal quotes of a chunk are verified once and only digests are carried per question.
+    """
+    placed = quotes.join(batches, ["reading", "batch", "number"], "left")
+    words = placed.select("chunk_id", "quote").filter("chunk_id IS NOT NULL AND quote IS NOT NULL").distinct()
+    proved = by_key(words, "chunk_id").join(texts, "chunk_id").select(
+        "chunk_id", _digest("quote").alias("digest"), complete_excerpt(F.col("quote"), F.col("text")).alias("excerpt"),
+        "source", "user_correction")
+    checked = durable(proved.withColumn("excerpt_digest", _digest("excerpt")), "excerpts")
+    facts = checked.drop("excerpt")
+    bound = placed.withColumn("digest", _digest("quote")).drop("quote").join(facts, ["chunk_id", "digest"], "left")
+    return durable(bound, "quotes"), checked
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _verify_round(quotes: DataFrame, errors: DataFrame, batches: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(evidence, failed, checked) of one reading: one quote that does not verify, or an error, fails its batch.
 
     ``quotes``: question_id, reading, batch, ord, number, quote; ``errors``: question_id, reading, batch. Only the
     texts of quoted chunks are looked up.
     """
     known = batches.select("reading", "batch").distinct()
-    bound = quotes.join(known, ["reading", "batch"], "left_semi").join(batches, ["reading", "batch", "number"], "left").join(
-        texts, "chunk_id", "left").withColumn("excerpt", complete_excerpt(F.col("quote"), F.col("text")))
-    bad = bound.groupBy("question_id", "reading", "batch").agg(F.bool_or(F.col("excerpt").isNull()).alias("bad")).filter("bad").select(
+    bound, checked = _verify_quotes(quotes.join(known, ["reading", "batch"], "left_semi"), batches, texts)
+    bad = bound.groupBy("question_id", "reading", "batch").agg(F.bool_or(F.col("excerpt_digest").isNull()).alias("bad")).filter("bad").select(
         "question_id", "reading", "batch").unionByName(
         errors.select("question_id", "reading", "batch").join(known, ["reading", "batch"], "left_semi")).distinct()
-    return bound.join(bad, ["question_id", "reading", "batch"], "left_anti"), bad
+    return bound.join(bad, ["question_id", "reading", "batch"], "left_anti"), bad, checked
 
 
 def retry_batches(selection: dict[str, DataFrame], failed: DataFrame) -> DataFrame:
@@ -293,27 +313,29 @@ def archive_answers(selection: dict[str, DataFrame], quotes: DataFrame, errors:
     readings, texts = selection["readings"], selection["chunks"]
     read = lambda frame, n: frame.filter(F.col("retry") == n).drop("retry")
     own = lambda frame: frame.withColumn("reading", F.col("question_id").cast("string"))
-    first, failed = _verify_round(read(quotes, 0).join(readings, "question_id"), read(errors, 0).join(readings, "question_id"),
-                                  selection["selected"], texts)
+    first, failed, proved = _verify_round(read(quotes, 0).join(readings, "question_id"), read(errors, 0).join(readings, "question_id"),
+                                          selection["selected"], texts)
     # The retry is numbered by question and both rounds need the outcome: keep it.
     failed = durable(failed)
-    again = retry_batches(selection, failed).drop("question_id")
-    second, lost = _verify_round(own(read(quotes, 1)), own(read(errors, 1)), again, texts)
+    again = durable(retry_batches(selection, failed).drop("question_id"))
+    second, lost, proved_again = _verify_round(own(read(quotes, 1)), own(read(errors, 1)), again, texts)
     evidence = first.withColumn("retry", F.lit(0)).unionByName(second.withColumn("retry", F.lit(1)))
+    excerpts = proved.unionByName(proved_again).filter("excerpt IS NOT NULL").groupBy(F.col("excerpt_digest").alias("excerpt")).agg(
+        F.first("excerpt").alias("words"))
     correction = F.coalesce("user_correction", F.lit(False))
     when = F.struct("retry", "batch", "ord")
-    entries = evidence.groupBy("question_id", "document_id", "excerpt", correction.alias("corrected")).agg(
+    entries = evidence.groupBy("question_id", "document_id", F.col("excerpt_digest").alias("excerpt"), correction.alias("corrected")).agg(
         F.min(when).alias("seen"), F.min_by(F.struct("chunk_id", "_date", "position", "source"), when).alias("c")).select(
         "question_id", "document_id", "excerpt", "corrected", "seen", "c.*")
     order = W.partitionBy("question_id").orderBy("_date", "document_id", "position", "seen")
-    placed = entries.withColumn("place", F.row_number().over(order))
+    placed = durable(entries.withColumn("place", F.row_number().over(order)), "entries")
     firsts = placed.groupBy("question_id", "chunk_id").agg(F.min("place").alias("first_place"),
                                                           F.min_by(F.struct("document_id", "_date", "source", "position"), "place").alias("s"))
     numbers = firsts.withColumn("citation", F.row_number().over(W.partitionBy("question_id").orderBy("first_place")))
-    cited = placed.join(numbers.select("question_id", "chunk_id", "citation"), ["question_id", "chunk_id"])
+    cited = placed.join(numbers.select("question_id", "chunk_id", "citation"), ["question_id", "chunk_id"]).join(excerpts, "excerpt")
     date = F.when(F.col("_date") == "9999", F.lit(vocab.NO_DATE)).otherwise(F.col("_date"))
     paragraph = F.concat(date, F.when(F.col("corrected"), F.lit(vocab.CORRECTION_NOTE)).otherwise(F.lit("")), F.lit(": "),
-                         F.col("excerpt"), F.lit(" ["), F.col("citation").cast("string"), F.lit("]"))
+                         F.col("words"), F.lit(" ["), F.col("citation").cast("string"), F.lit("]"))
     texts = cited.select("question_id", "place", paragraph.alias("p")).groupBy("question_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "p"))), lambda r: r["p"]), "\n\n").alias("body"))
     failures = lost.groupBy("question_id").agg(F.count(F.lit(1)).alias("failed_batches"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliarc.operators import chunks, evidence, retrieve
+from foliarc.session import durable
 from tests.test_operators import brute_bm25
 
 DAY = datetime.date
@@ -199,3 +200,27 @@ def test_twenty_megabytes_split_in_linear_time(spark):
     assert row.most <= 900 and row.n > 20_000 and math.isclose(row.n, len(text) / 790, rel_tol=0.2)
     first = got.limit(2).collect()
     assert text.startswith(first[0].c) and re.search(r"Sentence number \d+ of a long report\.$", first[0].c) and first[1].c in text
+
+
+def test_equal_quotes_of_a_chunk_are_verified_once(spark):
+    documents = [(f"d{d}", DAY(2025, 9, d), f"text of day {d}") for d in (1, 2)]
+    chosen = evidence.select_evidence(*archive(spark, documents, [(n, "overview", None, None) for n in range(1, 6)]), today=F.lit(TODAY).cast("date"))
+    text = chosen["chunks"].orderBy("chunk_id").first()["text"]
+    rows = chosen["selected"].select("reading", "batch", "number", "chunk_id").orderBy("chunk_id").first()
+    said = [(n, 0, rows["batch"], 1, rows["number"], text if n < 5 else "invented words") for n in range(1, 6)]
+    quotes = spark.createDataFrame(said, QUOTE).join(chosen["readings"], "question_id").drop("retry")
+    bound, checked = evidence._verify_quotes(quotes, chosen["selected"], chosen["chunks"])
+    assert bound.count() == 5 and bound.filter("excerpt_digest IS NULL").count() == 1
+    assert sorted(r["excerpt"] is None for r in checked.collect()) == [False, True]
+
+
+def test_durable_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    kept = durable(spark.range(100).mapInPandas(counting, "id long"))
+    assert kept.count() == 100 and seen.value == 100
