@@ -1,10 +1,12 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles.
-
-Two sets that share ``least`` of their union share a shingle among the first n - ceil(least * n) + 1 of each,
-in any order common to all sets. Sets meet by these heads, pairs that size and position rule out are
-dropped, and the rest are compared shingle by shingle, so no similar pair is missed and none is linked
-by chance. The order puts frequent shingles last. How frequent a shingle is comes from every third text and a
-table of fixed size, so a shingle of a head is held by few texts at any size; both shape the work, not the result.
+"""Near duplicates: SimHash fingerprints meet in vantage-point trees, exact word-shingle similarity decides.
+
+Texts first meet by the SimHash of their shingle set, through the trees of ``simhash``. Fingerprints alone miss most
+pairs near ``least`` and may link others, so two exact steps follow. Every pair is compared shingle by shingle, and
+pairs the fingerprints leave apart meet by heads: two sets that share ``least`` of their union share a shingle among
+the first n - ceil(least * n) + 1 of each, in any order common to all sets. Pairs that size, position or a parity
+sketch rule out are dropped, so no similar pair is missed and none is linked by chance. The order puts frequent
+shingles last; how frequent a shingle is comes from every third text and a table of fixed size, which shapes the
+work, not the result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliarc.llm.common import discard, partitions, release_memory, staged, text_or_empty
-from foliarc.llm.simhash import PAIRS_AT_ONCE, SEED, components
+from foliarc.llm.simhash import PAIRS_AT_ONCE, SEED, components, grouped_prints, merge_labels
 from foliarc.llm.suffix_dedup import whole_groups
 from foliarc.session import fits_broadcast
 
@@ -26,6 +28,7 @@ SHARE = 3  # one text in so many tells which shingles are frequent
 FREQUENT = 3
 CELL_BITS = 22
 ROWS_AT_ONCE = 512
+SKETCH_WORDS = 4  # 256 bits of parity
 # Slack of the filters against rounding; the comparison itself has none.
 SLACK = 1e-6
 MULTIPLIER, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -58,6 +61,24 @@ def head(shingles: np.ndarray, levels: np.ndarray, least: float) -> np.ndarray:
     return shingles[np.lexsort((shingles, level))][:n - int(np.ceil(least * n - SLACK)) + 1]
 
 
+def simhash(shingles: np.ndarray) -> int:
+    """Signed fingerprint: a bit is set if over half of the shingles set it; 0 for the empty set."""
+    if not len(shingles):
+        return 0
+    bits = np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(shingles), bitorder="little").view("<i8")[0])
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 64 * SKETCH_WORDS cells.
+
+    Each shingle that only one of two sets holds flips one bit, so their sketches differ in no more bits than the
+    sets in shingles.
+    """
+    cells = np.bincount((shingles & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS)
+    return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def mark() -> Column:
     """Names a text without moving it."""
     return F.xxhash64(text_or_empty())
@@ -87,15 +108,16 @@ def frequent(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def headed(text: Column, width: int, least: float, order) -> Column:
-    """Structs (key, n, head) of texts."""
+    """Structs (key, n, fp, sketch, head) of texts."""
 
-    @F.pandas_udf("key long, n long, head array<long>")
+    @F.pandas_udf("key long, n long, fp long, sketch array<long>, head array<long>")
     def heads(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         levels = order.value
         for batch in batches:
             for at in range(0, len(batch), ROWS_AT_ONCE):
                 sets = [shingle_set(t, width) for t in batch.iloc[at:at + ROWS_AT_ONCE]]
                 yield pd.DataFrame({"key": [set_key(s) for s in sets], "n": [len(s) for s in sets],
+                                    "fp": [simhash(s) for s in sets], "sketch": [sketch(s) for s in sets],
                                     "head": [head(s, levels, least).view(np.int64) for s in sets]})
         release_memory()
 
@@ -143,7 +165,7 @@ def pairs_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-MET = "pair boolean, a long, b long, token long, n long, at long"
+MET = "a long, token long, n long, at long"
 PLACE_BITS = 32  # a row carries size and place of its shingle in one number
 
 
@@ -151,48 +173,79 @@ def split_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place >> PLACE_BITS, place & ((1 << PLACE_BITS) - 1)
 
 
-def neighbours(least: float):
-    """Pairs of sets next to each other under one shingle, and the rows of shingles with three sets or more."""
+def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of sets that follow each other in one group of fingerprints; rows come by group."""
+    for batch in batches:
+        root, key = batch["root"].to_numpy(), batch["key"].to_numpy()
+        one = np.flatnonzero((root[1:] == root[:-1]) & (key[1:] != key[:-1]))
+        if len(one):
+            a, b = pairs_of(key[one], key[one + 1])
+            yield pd.DataFrame({"a": a, "b": b})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in whole_groups(batches, "token"):
-            token, key, place = (batch[c].to_numpy() for c in ("token", "key", "place"))
-            first = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))  # equal sets of different texts
-            token, key, (n, at) = token[first], key[first], split_place(place[first])
-            one = np.flatnonzero(token[1:] == token[:-1])
-            one = one[possible(n[one], at[one], n[one + 1], at[one + 1], least)]
-            if len(one):
-                a, b = pairs_of(key[one], key[one + 1])
-                yield pd.DataFrame({"pair": True, "a": a, "b": b, "token": 0, "n": 0, "at": 0})
-            edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            size = np.diff(np.append(edge, len(token)))
-            many = np.repeat(size >= 3, size)
-            if many.any():
-                yield pd.DataFrame({"pair": False, "a": key[many], "b": 0, "token": token[many], "n": n[many], "at": at[many]})
 
-    return run
+def fingerprint_pairs(heads: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints the vantage-point trees put into one component, each with the next one of it.
 
+    A component is laid out by range, so one of any size is spread over the tasks.
+    """
+    order = ["root", "fp", "n", "key"]
+    named = heads.select("key", "n", "fp").distinct().join(grouped_prints(heads.select("fp")), "fp").select(*order)
+    laid = named.repartitionByRange(partitions(heads.sparkSession), *order).sortWithinPartitions(*order)
+    return laid.mapInPandas(chained, "a long, b long").distinct()
+
+
+def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of shingles that two sets or more have in their heads."""
+    for batch in whole_groups(batches, "token"):
+        token, key, place = (batch[c].to_numpy() for c in ("token", "key", "place"))
+        first = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))  # equal sets of different texts
+        token, key, (n, at) = token[first], key[first], split_place(place[first])
+        size = np.diff(np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)))
+        many = np.repeat(size >= 2, size)
+        if many.any():
+            yield pd.DataFrame({"a": key[many], "token": token[many], "n": n[many], "at": at[many]})
+
+
+def crossing(least: float, nearest: bool):
+    """Possible pairs under one shingle whose sets are not joined yet; rows come by shingle and size.
 
-def crossing(least: float):
-    """Possible pairs under one shingle whose sets are not joined yet; rows come by shingle and size."""
+    With ``nearest`` each set gets only the one with the nearest sketch, and what such a pair would join
+    gets no further pair from the same batch: few pairs that join most of what is similar.
+    """
+    share = (1 - least) / (1 + least)  # of both sizes, at most so much is in one set only
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in whole_groups(batches, "token"):
-            token, key, n, at, root = (batch[c].to_numpy() for c in ("token", "a", "n", "at", "root"))
+            token, key, n, at = (batch[c].to_numpy() for c in ("token", "a", "n", "at"))
+            bits = np.stack([batch[f"s{k}"].to_numpy() for k in range(SKETCH_WORDS)]).view(np.uint64)
+            names, root = np.unique(batch["root"].to_numpy(), return_inverse=True)
+            labels = np.arange(len(names))
             edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             stop = np.append(edge[1:], len(token))
-            apart = np.minimum.reduceat(root, edge) != np.maximum.reduceat(root, edge)
             one, two, held = [], [], 0
-            for first, last in zip(edge[apart], stop[apart]):
+            for first, last in zip(edge, stop):
+                own = labels[root[first:last]]
+                if (own == own[0]).all():
+                    continue
                 lows = first + np.searchsorted(n[first:last], least * n[first:last] - SLACK)
                 row = first
                 while row < last:
                     low = lows[row - first]
                     span = int(row - low)
-                    until = min(last, row + max(1, int(((span * span + 4 * PAIRS_AT_ONCE) ** 0.5 - span) / 2)))
+                    until = min(last, row + max(1, int(((span * span + PAIRS_AT_ONCE) ** 0.5 - span) / 2)))
                     i, j = np.arange(row, until)[:, None], np.arange(low, until)[None, :]
-                    hit = (j < i) & (root[i] != root[j]) & possible(n[i], at[i], n[j], at[j], least)
+                    hit = (j < i) & (labels[root[i]] != labels[root[j]]) & possible(n[i], at[i], n[j], at[j], least)
                     x, y = np.nonzero(hit)
+                    apart = np.zeros(len(x), np.int64)
+                    for word in bits:
+                        apart += np.bitwise_count(word[row + x] ^ word[low + y])
+                    near = apart <= share * (n[row + x] + n[low + y]) + SLACK
+                    x, y, apart = x[near], y[near], apart[near]
+                    if nearest and len(x):
+                        by = np.lexsort((y, apart, x))
+                        by = by[np.append(True, x[by][1:] != x[by][:-1])]
+                        x, y = x[by], y[by]
+                        labels = merge_labels(labels, root[row + x], root[low + y])
                     one.append(key[row + x])
                     two.append(key[low + y])
                     held += len(x)
@@ -204,10 +257,20 @@ def crossing(least: float):
             if held:
                 a, b = pairs_of(np.concatenate(one), np.concatenate(two))
                 yield pd.DataFrame({"a": a, "b": b})
+        release_memory()
 
     return run
 
 
+def crossing_pairs(met: DataFrame, sketches: DataFrame, links: DataFrame, least: float, nearest: bool) -> DataFrame:
+    """(a, b): possible pairs of ``met`` whose sets ``links`` leave apart."""
+    roots = components(links)
+    named = sketches.join(roots, F.col("key") == F.col("node"), "left").select(
+        F.col("key").alias("a"), F.coalesce("root", "key").alias("root"), *[f"s{k}" for k in range(SKETCH_WORDS)])
+    rows = met.join(named, "a").repartition(partitions(met.sparkSession), "token").sortWithinPartitions("token", "n", "a")
+    return rows.mapInPandas(crossing(least, nearest), "a long, b long").distinct()
+
+
 def similar(docs: DataFrame, pairs: DataFrame, holders: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) of set keys whose Jaccard similarity is at least ``least``; only their texts are read again."""
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
@@ -222,9 +285,10 @@ def one_of_each_similar(docs: DataFrame, width: int, least: float) -> DataFrame:
     """The row of ``docs`` with the smallest doc_id of each component, all columns; of equal rows one.
 
     Texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of at least ``least``;
-    wordless and null texts are linked with each other. Null ids come last. Sets next to each other under a
-    shingle are compared first; other pairs only where those links leave them apart. Tables written on the
-    way are deleted as soon as the next one is.
+    wordless and null texts are linked with each other. Null ids come last. Sets whose fingerprints meet are
+    compared first, then for each set the one with the nearest sketch among those that share a shingle of its
+    head, then every possible pair that those links leave apart. Large tables written on the way are deleted
+    once read.
     """
     own, spark = docs.columns, docs.sparkSession
     order = spark.sparkContext.broadcast(frequent(docs, width))
@@ -238,21 +302,18 @@ def one_of_each_similar(docs: DataFrame, width: int, least: float) -> DataFrame:
     discard(texts)
     place = F.shiftleft("n", PLACE_BITS).bitwiseOR(F.col("at"))
     tokens = heads.select("key", "n", F.posexplode("head").alias("at", "token")).select("token", place.alias("place"), "key")
-    # By size and key: the sets of a group stand in one order under all their shingles, so few pairs are neighbours.
+    sketches = staged(heads.groupBy("key").agg(F.first("sketch").alias("sketch")).select(
+        "key", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_WORDS)]), "sketches")
     ordered = tokens.repartition(partitions(spark), "token").sortWithinPartitions("token", F.shiftright("place", PLACE_BITS), "key")
-    met = staged(ordered.mapInPandas(neighbours(least), MET), "met")
+    met = staged(ordered.mapInPandas(shared, MET), "met")
+    tried = staged(fingerprint_pairs(heads), "near")
     discard(heads)
-    near = staged(met.filter("pair").select("a", "b").distinct(), "near")
-    links = staged(similar(docs, near, holders, width, least), "links")
-    rest = met.filter("not pair").select("token", "n", "a", "at")
-    if not rest.isEmpty():
-        roots = components(links)
-        rest = rest.join(roots, F.col("a") == F.col("node"), "left").select("token", "n", "a", "at", F.coalesce("root", "a").alias("root"))
-        rest = rest.repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "a")
-        far = staged(rest.mapInPandas(crossing(least), "a long, b long").distinct().join(near, ["a", "b"], "left_anti"), "far")
-        links = links.unionByName(staged(similar(docs, far, holders, width, least), "links"))
-        discard(far)
-    discard(met, near)
+    links = staged(similar(docs, tried, holders, width, least), "links")
+    for nearest in (True, False):
+        found = staged(crossing_pairs(met, sketches, links, least, nearest).join(tried, ["a", "b"], "left_anti"), "far")
+        tried = tried.unionByName(found)
+        links = links.unionByName(staged(similar(docs, found, holders, width, least), "links"))
+    discard(met, sketches)
     roots = components(links)
     named = holders.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
     chosen = staged(named.groupBy("root").agg(F.min(ranked).alias("best")).select("best.doc_id", "best.mark", F.col("best.many").alias("__many")), "chosen")

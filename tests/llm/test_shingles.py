@@ -91,3 +91,49 @@ def test_first_shingles_of_similar_sets_meet():
         levels = draw.integers(0, 4, 1 << shingles.CELL_BITS).astype(np.uint8)
         if similarity(set(a.tolist()), set(b.tolist())) >= 0.8:
             assert np.intersect1d(shingles.head(a, levels, 0.8), shingles.head(b, levels, 0.8)).size
+
+
+def test_sketches_rule_out_no_similar_pair():
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    for _ in range(300):
+        pool = draw.integers(0, 1 << 62, draw.integers(2, 600)).astype(np.uint64)
+        a, b = (np.unique(draw.permutation(pool)[:max(1, int(len(pool) * draw.uniform(0.5, 1)))]) for _ in "ab")
+        differ = int(np.bitwise_count((shingles.sketch(a) ^ shingles.sketch(b)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b))
+
+
+def met_rows(sets):
+    """Rows of sets that all share shingle 7, as ``crossing`` reads them."""
+    import numpy as np
+    import pandas as pd
+
+    words = np.stack([shingles.sketch(s) for s in sets])
+    rows = pd.DataFrame({"token": 7, "a": np.arange(len(sets)), "n": [len(s) for s in sets], "at": 0, "root": np.arange(len(sets))})
+    return rows.assign(**{f"s{k}": words[:, k] for k in range(shingles.SKETCH_WORDS)}).sort_values(["n", "a"])
+
+
+def test_texts_with_one_common_shingle_make_no_pairs():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    rows = met_rows([np.unique(np.append(draw.integers(0, 1 << 62, 200), 7).astype(np.uint64)) for _ in range(300)])
+    assert not sum(len(f) for f in shingles.crossing(0.8, False)(iter([rows])))
+
+
+def test_nearest_pairs_of_a_large_group_grow_with_its_rows():
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    base = draw.integers(0, 1 << 62, 200).astype(np.uint64)
+    rows = met_rows([np.unique(np.append(base[:195], draw.integers(0, 1 << 62, 5).astype(np.uint64))) for _ in range(300)])
+    assert 0 < sum(len(f) for f in shingles.crossing(0.8, True)(iter([rows]))) < 300
+
+
+def test_fingerprints_meet_in_the_trees(spark, monkeypatch):
+    seen = []
+    real = shingles.grouped_prints
+    monkeypatch.setattr(shingles, "grouped_prints", lambda prints: seen.append(1) or real(prints))
+    docs = documents(spark, [(1, " ".join(f"w{i}" for i in range(300)), "en", "a", 3), (2, " ".join(f"w{i}" for i in range(299)), "en", "a", 3)])
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [1] and seen
