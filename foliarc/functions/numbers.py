@@ -13,11 +13,15 @@ RESULT_TYPE = "struct<raw:string,kind:string,comparator:string,numeric_value:str
 
 def decimal_text(number: Column) -> Column:
     """Exact decimal string of a printed number: digits kept, exponent applied where short."""
+    return let(number, _decimal_text)
+
+
+def _decimal_text(number: Column) -> Column:
     sign = F.regexp_extract(number, r"^([+-]?)", 1)
     whole = F.regexp_extract(number, r"^[+-]?(\d+)", 1)
     fraction = F.regexp_extract(number, r"\.(\d+)", 1)
     # A failing try_cast costs an exception, so texts without a number never reach it.
-    exponent = F.when(number.rlike("[eE]"), F.coalesce(
+    exponent = F.when(F.contains(number, F.lit("e")) | F.contains(number, F.lit("E")), F.coalesce(
         F.regexp_extract(number, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))).otherwise(F.lit(0))
     bare = F.ltrim(F.concat(whole, fraction), F.lit("0"))
     parts = F.struct(
@@ -46,12 +50,17 @@ def decimal_text(number: Column) -> Column:
 def parse_result(raw: Column) -> Column:
     """Printed result as {raw, kind, comparator, numeric_value}; NULL when not understood."""
 
-    def decide(text: Column) -> Column:
-        pattern = "^" + vocab.RESULT + r"\z"
-        sign = F.regexp_extract(text, pattern, 1)
-        number = F.translate(F.regexp_extract(text, pattern, 2), ",−", ".-")
-        value = F.when(text.rlike(pattern), number.try_cast("double"))
-        finite = value.isNotNull() & (F.abs(value) < float("inf"))
+    pattern = "^" + vocab.RESULT + r"\z"
+
+    def read(text: Column) -> Column:
+        """Text, sign and number, each matched once; a text that is no number has the number NULL."""
+        number = F.nullif(F.regexp_extract(text, pattern, 2), F.lit(""))
+        return F.struct(text.alias("text"), F.regexp_extract(text, pattern, 1).alias("sign"),
+                        F.translate(number, ",−", ".-").alias("number"))
+
+    def decide(seen: Column) -> Column:
+        text, sign, number = seen["text"], seen["sign"], seen["number"]
+        finite = number.isNotNull() & F.coalesce(F.abs(number.try_cast("double")) < float("inf"), F.lit(False))
         comparator = (F.when(sign == "≤", F.lit("<=")).when(sign == "≥", F.lit(">="))
                       .when(sign == "", F.lit("=")).otherwise(sign))
         numeric = F.struct(text.alias("raw"), F.lit("NUMERIC").alias("kind"), comparator.alias("comparator"),
@@ -62,7 +71,7 @@ def parse_result(raw: Column) -> Column:
         return (F.when(finite, numeric.cast(RESULT_TYPE))
                 .when(fold_case(text).isin(vocab.QUALITATIVE), word.cast(RESULT_TYPE)))
 
-    return let(strip(raw), decide)
+    return let(let(strip(raw), read), decide)
 
 
 def decimal_value(text: Column) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliarc import vocab
 from foliarc.functions.numbers import iso_date, lab_date, parse_result
-from foliarc.functions.text import (SPACE, contains_command, fold_case, let, lines_keeping_breaks, non_blank, span_text,
-                                    strip, words)
+from foliarc.functions.text import (LINE_BREAK, SPACE, contains_command, fold_case, let, lines_keeping_breaks, non_blank,
+                                    span_text, strip, strip_left, words)
 from foliarc.session import by_key
 
 
@@ -52,8 +54,9 @@ def source_lines(docs: DataFrame) -> DataFrame:
 
 
 def first_line(pages: Column) -> Column:
-    lines = F.flatten(F.transform(pages, lambda p: lines_keeping_breaks(p["text"])))
-    return strip(F.get(F.filter(lines, non_blank), F.lit(0)))
+    """First line with visible text: breaks are blanks too, so what follows the leading blanks begins it."""
+    texts = F.filter(F.transform(pages, lambda p: strip_left(p["text"])), lambda t: t != "")
+    return strip(F.regexp_extract(F.get(texts, F.lit(0)), f"^(?:(?!{LINE_BREAK})(?s:.))*", 0))
 
 
 def is_lab_report(pages: Column) -> Column:
@@ -64,14 +67,15 @@ def annotated_lines(docs: DataFrame, row_limit: int | None = None) -> DataFrame:
     """Every classified line of the laboratory reports; rows beyond ``row_limit``, if given, are marked so.
 
     ``kind`` is ROW, DATE, SUBJECT, INVALID_DATE, UNSUPPORTED_ROW, UNSUPPORTED_CONTENT or ROW_LIMIT;
-    lines of no interest are dropped. One exchange on the document serves every window.
+    lines of no interest are dropped. Documents are exchanged before they are cut into lines, and the bare
+    lines are sorted before anything is derived from them: that one order serves every window.
     """
-    reports = docs.filter(is_lab_report(F.col("pages"))).select("document_id", "pages")
-    lines = by_key(source_lines(reports), "document_id")
+    reports = by_key(docs.select("document_id", "pages"), "document_id").filter(is_lab_report(F.col("pages")))
+    lines = source_lines(reports).sortWithinPartitions("document_id", "page_index", "line_no")
     page = W.partitionBy("document_id", "page_index").orderBy("line_no")
     before = page.rowsBetween(W.unboundedPreceding, -1)
     lines = (
-        lines.withColumn("text", F.regexp_replace("raw", r"[\r\n]+\z", ""))
+        lines.withColumn("text", F.rtrim(F.col("raw"), F.lit("\r\n")))
         .withColumn("bare", strip(F.col("text"))).withColumn("parts", cells(F.col("text")))
         .withColumn("start_byte", F.coalesce(F.sum(F.octet_length("raw")).over(before), F.lit(0)).cast("int"))
         .withColumn("end_byte", (F.col("start_byte") + F.octet_length("text")).cast("int"))
@@ -116,14 +120,31 @@ def lab_subjects(lines: DataFrame) -> DataFrame:
     return lines.filter("kind = 'SUBJECT'").select("document_id", "page_index", "start_byte", "end_byte")
 
 
-def lab_rows(lines: DataFrame) -> DataFrame:
+def lab_rows(lines: DataFrame, *keep: str) -> DataFrame:
     """Accepted rows; a subject line anywhere in the report makes them the patient's."""
     return lines.filter("kind = 'ROW'").select(
         "document_id", F.col("row_number").alias("row_index"), F.get("fields", F.lit(0)).alias("name"), "result.*",
         F.nullif(F.get("fields", F.lit(2)), F.lit("")).alias("unit"),
         F.nullif(F.get("fields", F.lit(3)), F.lit("")).alias("reference"), "page_index", "page_number", "start_byte",
         "end_byte", F.col("text").alias("source_text"),
-        F.when(F.col("patient"), F.lit("PATIENT")).otherwise(F.lit("UNKNOWN")).alias("subject"))
+        F.when(F.col("patient"), F.lit("PATIENT")).otherwise(F.lit("UNKNOWN")).alias("subject"), *keep)
+
+
+def dated_rows(lines: DataFrame) -> DataFrame:
+    """``lab_rows`` with the event_date of ``event_dates``, decided inside the order the lines already have."""
+    whole = W.partitionBy("document_id")
+
+    def of(role: str) -> Column:
+        return F.when((F.col("kind") == "DATE") & (F.col("role") == role), F.col("date.iso"))
+
+    def only(role: str) -> Column:
+        return F.when(F.min(of(role)).over(whole) == F.max(of(role)).over(whole), F.min(of(role)).over(whole))
+
+    roles = sorted(set(vocab.DATE_LABELS.values()))
+    conflict = reduce(lambda a, b: a | b, [F.coalesce(F.min(of(r)).over(whole) != F.max(of(r)).over(whole), F.lit(False)) for r in roles])
+    bad = F.coalesce(F.max(F.col("kind") == "INVALID_DATE").over(whole), F.lit(False)) | conflict
+    date = F.when(~bad, F.when(F.max(of("RESULT")).over(whole).isNotNull(), only("RESULT")).otherwise(only("STUDY")))
+    return lab_rows(lines.withColumn("event_date", date), "event_date")
 
 
 def lab_issues(lines: DataFrame) -> DataFrame:
@@ -140,11 +161,12 @@ def lab_issues(lines: DataFrame) -> DataFrame:
 
 def lab_summary(lines: DataFrame) -> DataFrame:
     """document_id, candidate_rows, accepted_rows, unresolved (unsupported content not counted)."""
-    counts = lines.groupBy("document_id").agg(
-        F.count_if("candidate").alias("candidate_rows"), F.count_if(F.col("kind") == "ROW").alias("accepted_rows"))
-    unresolved = lab_issues(lines).groupBy("document_id").agg(
-        F.count_if(F.col("code") != "UNSUPPORTED_CONTENT").alias("unresolved"))
-    return counts.join(unresolved, "document_id", "left").withColumn("unresolved", F.coalesce("unresolved", F.lit(0)))
+    iso = [F.when((F.col("kind") == "DATE") & (F.col("role") == role), F.col("date.iso")) for role in sorted(set(vocab.DATE_LABELS.values()))]
+    conflict = reduce(lambda a, b: a | b, [F.coalesce(F.min(day) != F.max(day), F.lit(False)) for day in iso])
+    broken = F.count_if(F.col("kind").isin("INVALID_DATE", "UNSUPPORTED_ROW", "ROW_LIMIT"))
+    return lines.groupBy("document_id").agg(
+        F.count_if("candidate").alias("candidate_rows"), F.count_if(F.col("kind") == "ROW").alias("accepted_rows"),
+        (broken + conflict.cast("bigint")).alias("unresolved"))
 
 
 def event_dates(dates: DataFrame, issues: DataFrame) -> DataFrame:
@@ -160,14 +182,17 @@ def event_dates(dates: DataFrame, issues: DataFrame) -> DataFrame:
         "document_id", F.when(F.col("has_result"), F.col("r")).otherwise(F.col("s")).alias("event_date"))
 
 
-def project_lab_facts(rows: DataFrame, dates: DataFrame, issues: DataFrame) -> DataFrame:
-    """One LAB_RESULT fact per row; a bounded result never becomes a scalar."""
-    return rows.join(event_dates(dates, issues), "document_id", "left").select(
-        "document_id", "row_index", F.lit("LAB_RESULT").alias("type"), "name",
-        F.col("source_text").alias("value_text"),
-        F.when(F.col("comparator") == "=", F.col("numeric_value").cast("double")).alias("value_number"), "unit",
-        F.col("event_date").cast("date").alias("event_date"), F.lit("CONFIRMED").alias("assertion_status"),
-        F.lit(None).cast("double").alias("confidence"), F.col("page_number").alias("page"), "source_text")
+def project_lab_facts(rows: DataFrame, dates: DataFrame | None = None, issues: DataFrame | None = None) -> DataFrame:
+    """One LAB_RESULT fact per row; a bounded result never becomes a scalar. ``dated_rows`` need no dates and issues."""
+    dated = rows if "event_date" in rows.columns else rows.join(event_dates(dates, issues), "document_id", "left")
+    return dated.select("document_id", "row_index", *[c.alias(name) for name, c in _fact_fields().items()])
+
+
+def _fact_fields() -> dict[str, Column]:
+    return {"type": F.lit("LAB_RESULT"), "name": F.col("name"), "value_text": F.col("source_text"),
+            "value_number": F.when(F.col("comparator") == "=", F.col("numeric_value").cast("double")), "unit": F.col("unit"),
+            "event_date": F.col("event_date").cast("date"), "assertion_status": F.lit("CONFIRMED"),
+            "confidence": F.lit(None).cast("double"), "page": F.col("page_number"), "source_text": F.col("source_text")}
 
 
 def validate_lab(rows: DataFrame, dates: DataFrame, subjects: DataFrame, issues: DataFrame, facts: DataFrame,
@@ -180,13 +205,11 @@ def validate_lab(rows: DataFrame, dates: DataFrame, subjects: DataFrame, issues:
     owned = subjects.select("document_id").distinct().withColumn("has_subject", F.lit(True))
     located = located.join(owned, "document_id", "left")
     again = parse_result(F.col("raw"))
-    expected = project_lab_facts(rows, dates, issues).select(
-        "document_id", "row_index", F.struct("type", "name", "value_text", "value_number", "unit", "event_date",
-                                             "assertion_status", "page", "source_text").alias("expected"))
-    stored = facts.select("document_id", "row_index", F.struct(
-        "type", "name", "value_text", "value_number", "unit", "event_date", "assertion_status", "page",
-        "source_text").alias("stored"))
-    located = located.join(expected, ["document_id", "row_index"], "left").join(
+    fact = ["type", "name", "value_text", "value_number", "unit", "event_date", "assertion_status", "page", "source_text"]
+    stored = facts.select("document_id", "row_index", F.struct(*fact).alias("stored"))
+    # What a row should be stored as is written beside it: only its date comes from elsewhere.
+    expected = F.struct(*[c.alias(name) for name, c in _fact_fields().items() if name in fact])
+    located = located.drop("event_date").join(event_dates(dates, issues), "document_id", "left").withColumn("expected", expected).join(
         stored, ["document_id", "row_index"], "left")
     same_span = W.partitionBy("document_id", "page_index", "start_byte", "end_byte")
     located = located.withColumn("copies", F.count(F.lit(1)).over(same_span))

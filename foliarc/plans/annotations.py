@@ -70,8 +70,7 @@ def lab_rows(t: Tables):
 WITH {LAB} SELECT document_id, row_index, name, CASE WHEN l_returnflag = 'A' THEN l_quantity END AS value_number, unit,
   CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d') END AS event_date FROM lab""")
 def lab_facts(t: Tables):
-    lines = durable(lab.annotated_lines(reports(t)))
-    facts = lab.project_lab_facts(lab.lab_rows(lines), lab.lab_dates(lines), lab.lab_issues(lines))
+    facts = lab.project_lab_facts(lab.dated_rows(lab.annotated_lines(reports(t))))
     return facts.select("document_id", F.col("row_index").cast(BIG).alias("row_index"), "name", "value_number", "unit",
                         F.col("event_date").cast("string").alias("event_date"))
 
@@ -85,7 +84,9 @@ i AS (SELECT document_id, 'UNSUPPORTED_ROW' AS code, bad AS n FROM li WHERE bad
     WHERE o_orderstatus = 'O' AND o_orderdate::DATE <> DATE '2011-11-11')
 SELECT document_id, code, CAST(n AS BIGINT) AS issues FROM i""")
 def issue_counts(t: Tables):
-    return lab.lab_issues(lab.annotated_lines(reports(t))).groupBy("document_id", "code").agg(
+    lines = durable(lab.annotated_lines(reports(t)).filter("kind NOT IN ('ROW', 'SUBJECT')").select(
+        "document_id", "kind", "role", "date", "page_index", "start_byte", "end_byte"))
+    return lab.lab_issues(lines).groupBy("document_id", "code").agg(
         F.count(F.lit(1)).alias("issues"))
 
 
@@ -101,7 +102,7 @@ WITH {LAB} SELECT document_id, row_index, 'NAME' AS code FROM lab WHERE referenc
 UNION ALL SELECT document_id, row_index, 'PROJECTION' FROM lab WHERE reference = '0-7'""")
 def validate_lab(t: Tables):
     """Stored rows of supplier 7 carry a wrong name, which the stored facts do not share."""
-    docs = reports(t)
+    docs = durable(reports(t))
     lines = durable(lab.annotated_lines(docs))
     rows, dates, issues = lab.lab_rows(lines), lab.lab_dates(lines), lab.lab_issues(lines)
     facts = lab.project_lab_facts(rows, dates, issues)
