@@ -12,7 +12,7 @@ from foliarc.functions.text import tokens
 from foliarc.operators import chunks as ch
 from foliarc.operators import retrieve
 from foliarc.plans.registry import Tables, query
-from foliarc.session import spread
+from foliarc.session import durable, spread
 
 FOLD = "replace(replace(lower({0}),'ß','ss'),'ς','σ')"
 
@@ -153,8 +153,9 @@ SELECT 'bm2512' AS strategy, question_id, chunk_id, sparse_rank AS rank FROM spa
 UNION ALL SELECT 'dense12', question_id, chunk_id, dense_rank FROM dense WHERE dense_rank <= 12
 UNION ALL SELECT s, question_id, chunk_id, rank FROM ranked, (SELECT unnest(['hybrid12', 'scan']) AS s) WHERE rank <= 12""")
 def strategies(t: Tables):
-    q, c = questions(t), chunks(t)
-    frames = [retrieve.retrieve_strategy(name, q, c).withColumn("strategy", F.lit(name))
+    q, c = questions(t), retrieve.stored_chunks(chunks(t))
+    counts = durable(retrieve.word_counts(c))
+    frames = [retrieve.retrieve_strategy(name, q, c, counts=counts).withColumn("strategy", F.lit(name))
               for name in ("bm2512", "dense12", "hybrid12", "scan")]
     return reduce(DataFrame.unionByName, frames)
 
@@ -174,8 +175,8 @@ def indexed_chunks(t: Tables):
 @query("index_and_retrieve")
 def index_and_retrieve(t: Tables):
     """Split, index, restrict to active revisions and rank the chunks for every question."""
-    visible = indexed_chunks(t).withColumn("embedding", retrieve.hashed_vector(F.col("text")))
-    return retrieve.hybrid_retrieve(questions(t), visible).join(
+    visible = retrieve.stored_chunks(indexed_chunks(t).withColumn("embedding", retrieve.hashed_vector(F.col("text"))))
+    return retrieve.hybrid_retrieve(questions(t), visible, counts=durable(retrieve.word_counts(visible))).join(
         visible.select("chunk_id", "document_id", "position"), "chunk_id").select(
         "question_id", "rank", "document_id", "position", "sparse_rank", "dense_rank", F.round("rrf", 6).alias("rrf"))
 
