@@ -99,13 +99,14 @@ def exact_pairs(gold: DataFrame, predicted: DataFrame, group: list[str], key: li
     return left.join(right, same).select(*group, "gold_idx", "pred_idx")
 
 
-def greedy_pairs(candidates: DataFrame, group: list[str]) -> DataFrame:
+def greedy_pairs(candidates: DataFrame, group: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Greedy one-to-one pairing in gold order, best score first, earliest prediction on ties.
 
-    ``candidates``: group, gold_idx, pred_idx, score. The rows are sorted inside partitions of the
-    group key and read as a stream: a task keeps only the current group's taken predictions.
+    ``candidates``: group, gold_idx, pred_idx, score; the columns of ``carry`` stay with their pair. The rows are
+    sorted inside partitions of the group key and read as a stream: a task keeps only the current group's taken
+    predictions.
     """
-    names = [*group, "gold_idx", "pred_idx"]
+    names = [*group, "gold_idx", "pred_idx", *carry]
     ordered = by_key(candidates.select(*names, "score"), *group).sortWithinPartitions(
         *group, "gold_idx", F.desc("score"), "pred_idx").drop("score")
 
@@ -263,28 +264,42 @@ def _score(gold: DataFrame, predicted: DataFrame, name: str, checks: dict[str, C
     p = predicted.select("case", norm(F.col(name)).alias("_key"), F.col("idx").alias("pred_idx"),
                          F.struct(*predicted.columns).alias("p"))
     shared = [c for c in gold.columns if c in predicted.columns and c not in ("case", "idx")]
-    edges = g.join(p, ["case", "_key"]).select(
-        "case", "_key", "gold_idx", "pred_idx", shared_fields(shared).alias("score"), "g", "p",
-        reduce(lambda a, b: a & b, checks.values()).alias("all_ok"), extra.alias("alike"))
-    pairs = greedy_pairs(edges.filter("alike"), ["case", "_key"]).drop("_key")
-    strict = greedy_pairs(edges.filter("all_ok").withColumn("score", F.lit(0)), ["case", "_key"])
-    tp = strict.groupBy("case").agg(F.count(F.lit(1)).alias("tp"))
-    sizes = gold.select("case", F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(
-        predicted.select("case", F.lit(0).alias("g"), F.lit(1).alias("p"))).groupBy("case").agg(
-        F.sum("g").alias("gold"), F.sum("p").alias("predicted"))
+    alone = F.count(F.lit(1)).over(W.partitionBy("case", "_key")) == 1
+    # Every candidate is judged once; what follows reads flags, not texts.
+    edges = durable(g.join(p, ["case", "_key"]).select(
+        "case", "_key", "gold_idx", "pred_idx", shared_fields(shared).alias("score"), extra.alias("alike"), critical.alias("critical"),
+        F.array(*[F.coalesce(ok, F.lit(False)) for ok in checks.values()]).alias("oks")).withColumn("alone", alone), "edges")
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        """A candidate alone under its key is its own pairing; only the others are walked."""
+        kept = ["case", "gold_idx", "pred_idx", "critical", "oks"]
+        walked = greedy_pairs(rows.filter("NOT alone"), ["case", "_key"], ("critical", "oks"))
+        return rows.filter("alone").select(*kept).unionByName(walked.select(*kept))
+
+    judged = chosen(edges.filter("alike"))
+    pairs = judged.select("case", "gold_idx", "pred_idx")
+    strict = chosen(edges.filter(F.forall("oks", lambda ok: ok)).withColumn("score", F.lit(0)))
+    parts = ("gold", "predicted", "tp", "critical")
+
+    def counted(rows: DataFrame, **given: Column) -> DataFrame:
+        return rows.select("case", *[given.get(c, F.lit(0)).cast("bigint").alias(c) for c in parts])
+
+    one = F.lit(1)
+    sizes = counted(gold, gold=one).unionByName(counted(predicted, predicted=one))
+    tallies = sizes.unionByName(counted(strict, tp=one)).unionByName(
+        counted(judged, critical=F.coalesce("critical", F.lit(0)))).groupBy("case").agg(*[F.sum(c).alias(c) for c in parts])
+    sizes = sizes.groupBy("case").agg(F.sum("gold").alias("gold"), F.sum("predicted").alias("predicted"))
     paired = pairs.join(g.drop("_key"), ["case", "gold_idx"]).join(p.drop("_key"), ["case", "pred_idx"])
-    field_rows = paired.select("case", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("field"), F.coalesce(ok, F.lit(False)).alias("ok")) for f, ok in checks.items()]))
+    field_rows = judged.select("case", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.get("oks", F.lit(i)).alias("ok")) for i, f in enumerate(checks)]))
         .alias("e")).groupBy("case", F.col("e.field").alias("field")).agg(F.count_if("e.ok").alias("tp"))
     every = sizes.select("case", "gold", "predicted", F.explode(F.array(*[F.lit(f) for f in checks])).alias("field"))
     fields = every.join(field_rows, ["case", "field"], "left").select(
         "case", "field", F.coalesce("tp", F.lit(0)).alias("tp"),
         (F.col("predicted") - F.coalesce("tp", F.lit(0))).alias("fp"),
         (F.col("gold") - F.coalesce("tp", F.lit(0))).alias("fn"))
-    errors = paired.groupBy("case").agg(F.sum(critical).alias("critical"))
-    totals = sizes.join(tp, "case", "left").join(errors, "case", "left").select(
-        "case", F.coalesce("tp", F.lit(0)).alias("tp"), (F.col("predicted") - F.coalesce("tp", F.lit(0))).alias("fp"),
-        (F.col("gold") - F.coalesce("tp", F.lit(0))).alias("fn"), F.coalesce("critical", F.lit(0)).alias("critical"))
+    totals = tallies.select("case", "tp", (F.col("predicted") - F.col("tp")).alias("fp"),
+                            (F.col("gold") - F.col("tp")).alias("fn"), "critical")
     return {"totals": totals, "fields": fields, "pairs": pairs, "paired": paired}
 
 
