@@ -42,3 +42,31 @@ def test_lab_candidates_are_judged_in_one_join(spark):
 
 def joins(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_refused_consultations_are_not_redacted(spark, monkeypatch):
+    from foliarc.operators import consult
+
+    docs = spark.createDataFrame([(1, "One", None, "READY", 1), (2, "Two", None, "FAILED", 1), (3, "Three", None, "READY", 1)],
+                                 "document_id long, title string, deleted_at timestamp, status string, text_version int").selectExpr(
+        "*", "DATE'2024-01-02' AS document_date", "1 AS generation")
+    texts = spark.createDataFrame([(d, 1, f"t{d}", f"Text {d}, mail a{d}@b.org") for d in (1, 2, 3)],
+                                  "document_id long, version int, text_revision_id string, content string")
+    facts = spark.createDataFrame([(1, "f1", True, "CONFIRMED", "iron", "low", 2.0, "mg", 5), (3, "f2", True, "UNREVIEWED", "zinc", "x", None, None, 5)],
+                                  "document_id long, fact_id string, active boolean, review_status string, name string, value_text string, value_number double, "
+                                  "unit string, created_at long")
+    asked = spark.createDataFrame([("ok", "q", [3, 1]), ("bad", "q", [1, 2]), ("many", "q", [1, 2, 3]), ("none", "q", []), ("null", "q", None)],
+                                  "consultation_id string, question string, document_ids array<long>")
+    cited = spark.createDataFrame([("ok", 3, 0, "  ")], "consultation_id string, document_id long, ord int, text string")
+    seen = []
+    plain = consult.redact
+    monkeypatch.setattr(consult, "redact", lambda p, *a, **k: (seen.extend(r[0] for r in p.select("package_id").collect()), plain(p, *a, **k))[1])
+    done = {r["consultation_id"]: r for r in consult.prepare_consultations(asked, docs, texts, facts, cited, max_documents=2).collect()}
+    assert {k: r["code"] for k, r in done.items()} == {
+        "ok": None, "bad": "SOURCE_UNAVAILABLE", "many": "CONTEXT_LIMIT", "none": "INSUFFICIENT_CONTEXT", "null": "INSUFFICIENT_CONTEXT"}
+    assert done["ok"]["content"].endswith("Medical date: 2024-01-02\nText 3, mail [EMAIL]\n\n---\n\nMedical date: 2024-01-02\nText 1, mail [EMAIL]\nUSER CONFIRMED iron low 2 mg")
+    assert [r["document_id"] for r in done["bad"]["source_refs"]] == [1, 2] and done["none"]["source_refs"] is None
+    assert seen == ["ok"]
+    cut = {r["consultation_id"]: r["warnings"] for r in consult.prepare_consultations(
+        asked, docs, texts, facts, cited, text_chars=4, budget=60).collect()}
+    assert cut["ok"] == ["DOCUMENT_TRUNCATED:3", "DOCUMENT_OMITTED:1"] and cut["none"] == []
