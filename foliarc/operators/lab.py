@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliarc import vocab
 from foliarc.functions.numbers import iso_date, lab_date, parse_result
-from foliarc.functions.text import (LINE_BREAK, SPACE, contains_command, fold_case, let, lines_keeping_breaks, non_blank,
+from foliarc.functions.text import (LINE_BREAK, SPACE, collapse, contains_command, fold_case, let, lines_keeping_breaks, non_blank,
                                     span_text, strip, strip_left, words)
 from foliarc.session import by_key
 
@@ -248,11 +248,10 @@ def reconcile_readers(reader_rows: DataFrame, origins: DataFrame) -> tuple[DataF
     counts = reader_rows.groupBy("document_id", "channel").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("document_id").agg(F.count(F.lit(1)).alias("channels"), F.min("n").alias("low"),
                                               F.max("n").alias("high"))
-    spread = reader_rows.select("document_id", "row", F.explode(F.map_from_entries(F.array(*[
-        F.struct(F.lit(f).alias("k"), F.array_join(words(F.col(f)), " ").alias("v")) for f in fields])))
-        .alias("field", "value"))
-    differing = spread.groupBy("document_id", "row", "field").agg(
-        (F.min("value") != F.max("value")).alias("differs")).filter("differs")
+    # The fields of a row are compared side by side; only those that differ become rows.
+    per_row = reader_rows.select("document_id", "row", *[collapse(F.col(f)).alias(f) for f in fields]).groupBy(
+        "document_id", "row").agg(F.array_compact(F.array(*[F.when(F.min(f) != F.max(f), F.lit(f)) for f in fields])).alias("differ"))
+    differing = per_row.filter(F.size("differ") > 0).select("document_id", "row", F.explode("differ").alias("field"))
     aligned = sizes.filter("low = high").select("document_id")
     issues = differing.join(aligned, "document_id", "left_semi").select(
         "document_id", F.col("row").cast("bigint").alias("row"), "field").unionByName(

@@ -118,14 +118,16 @@ def _readers(t: Tables):
         F.col("l_returnflag").alias("unit"), F.col("l_suppkey").cast("string").alias("reference"), "l_tax", "l_discount")
     from pyspark.sql import Window as W
     rows = rows.withColumn("row", F.row_number().over(W.partitionBy("document_id").orderBy("k")))
-    base = rows.select("document_id", "row", "test", "result", "unit", "reference")
-    text = base.withColumn("channel", F.lit("text_layer"))
-    ocr = rows.filter("l_tax < 0.08").select(
-        "document_id", "row", F.concat(F.lit("  "), "test").alias("test"), "result", "unit", "reference"
-    ).withColumn("channel", F.lit("ocr"))
-    vision = rows.select("document_id", "row", "test", F.when(F.col("l_discount") > 0.08, F.lit("?")).otherwise(
-        F.col("result")).alias("result"), "unit", "reference").withColumn("channel", F.lit("vision"))
-    return text.unionByName(ocr).unionByName(vision)
+    def channel(name: str, test, result):
+        return F.struct(F.lit(name).alias("channel"), test.alias("test"), result.alias("result"))
+
+    test, result = F.col("test"), F.col("result")
+    # All channels come from one numbered pass, and stay where their document is.
+    seen = F.array_compact(F.array(
+        channel("text_layer", test, result), F.when(F.col("l_tax") < 0.08, channel("ocr", F.concat(F.lit("  "), test), result)),
+        channel("vision", test, F.when(F.col("l_discount") > 0.08, F.lit("?")).otherwise(result))))
+    return rows.select("document_id", "row", "unit", "reference", F.explode(seen).alias("c")).select(
+        "document_id", "row", "c.test", "c.result", "unit", "reference", "c.channel")
 
 
 @query("reconcile_readers", """

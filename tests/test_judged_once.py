@@ -70,3 +70,19 @@ def test_refused_consultations_are_not_redacted(spark, monkeypatch):
     cut = {r["consultation_id"]: r["warnings"] for r in consult.prepare_consultations(
         asked, docs, texts, facts, cited, text_chars=4, budget=60).collect()}
     assert cut["ok"] == ["DOCUMENT_TRUNCATED:3", "DOCUMENT_OMITTED:1"] and cut["none"] == []
+
+
+def test_reader_fields_are_compared_without_a_row_per_field(spark):
+    from foliarc.operators import lab
+
+    rows = [("a", "x", 1, "Iron", "1", "mg", None), ("a", "y", 1, " Iron ", "2", "g", None), ("a", "z", 1, "Iron", "1", "mg", "0-5"),
+            ("b", "x", 1, "Zinc", "1", "mg", "0"), ("b", "x", 2, "Zinc", "1", "mg", "0"), ("b", "y", 1, "Salt", "1", "mg", "0"), ("c", "x", 1, "A  b", "1", "mg", "0")]
+    readers = spark.createDataFrame(rows, "document_id string, channel string, row int, test string, result string, unit string, reference string")
+    origins = spark.createDataFrame([("a", "NATIVE"), ("b", "NATIVE"), ("c", "NATIVE")], "document_id string, text_layer_origin string")
+    decisions, issues = lab.reconcile_readers(readers, origins)
+    assert sorted(tuple(r) for r in issues.filter("row IS NOT NULL").collect()) == [("a", 1, "result"), ("a", 1, "unit")]
+    assert [tuple(r) for r in issues.filter("row IS NULL").collect()] == [("b", None, "row_count")]
+    assert {r["document_id"]: (r["decision"], r["issues"]) for r in decisions.collect()} == {
+        "a": ("REVIEW_CONFLICT", 2), "b": ("REVIEW_ALIGNMENT", 1), "c": ("REVIEW_INSUFFICIENT", 0)}
+    # The list of readings is not unpivoted before it is compared.
+    assert "map_from_entries" not in issues._jdf.queryExecution().optimizedPlan().toString()
