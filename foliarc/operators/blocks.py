@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliarc import vocab
 from foliarc.functions.hashing import canonical_hash
-from foliarc.functions.text import CUT, SPACE, let, non_blank, span_text
+from foliarc.functions.text import CUT, SPACE, bytes_text, let, non_blank, span_text
 
 _BREAK = r"(\n[ \t]*\n)"
 # A maximal whitespace run other than one plain space.
@@ -25,42 +25,48 @@ def _span(page: Column, start: Column, end: Column) -> Column:
 def _mapping(raw: Column, page: Column, base: Column) -> Column:
     segments = F.filter(F.split(F.regexp_replace(raw, _MAPPED_RUN, CUT + "$1" + CUT), CUT, -1), lambda s: s != "")
 
-    def step(state: Column, segment: Column) -> Column:
-        blank = ~non_blank(segment) & (segment != " ")
-        size = F.octet_length(segment)
-        width = F.when(blank, F.lit(1)).otherwise(size)
-        entry = F.struct(
-            (state["n"] + width).alias("normalizedEndByte"), state["n"].alias("normalizedStartByte"),
-            F.when(blank, F.lit("WHITESPACE")).otherwise(F.lit("IDENTITY")).alias("operation"),
-            _span(page, state["at"], state["at"] + size).alias("source"))
-        return F.struct((state["at"] + size).alias("at"), (state["n"] + width).alias("n"),
-                        F.concat(state["out"], F.array(entry)).cast(_MAPPING).alias("out"))
+    def entries(parts: Column) -> Column:
+        def blank(segment: Column) -> Column:
+            return ~non_blank(segment) & (segment != " ")
 
-    start = F.struct(base.cast("int").alias("at"), F.lit(0).alias("n"), F.array().cast(_MAPPING).alias("out"))
-    return F.aggregate(segments, start, step, lambda s: s["out"])
+        def entry(segment: Column, at: Column, n: Column) -> Column:
+            size = F.octet_length(segment)
+            width = F.when(blank(segment), F.lit(1)).otherwise(size)
+            return F.struct(
+                (n + width).alias("normalizedEndByte"), n.alias("normalizedStartByte"),
+                F.when(blank(segment), F.lit("WHITESPACE")).otherwise(F.lit("IDENTITY")).alias("operation"),
+                _span(page, at, at + size).alias("source"))
+
+        widths = F.transform(parts, lambda s: F.when(blank(s), F.lit(1)).otherwise(F.octet_length(s)))
+        return let(_starts(F.transform(parts, F.octet_length), base.cast("int")), lambda at: let(
+            _starts(widths, F.lit(0)), lambda n: F.transform(parts, lambda s, i: entry(s, F.get(at, i), F.get(n, i)))))
+
+    return let(segments, entries).cast(_MAPPING)
+
+
+def _starts(sizes: Column, first: Column) -> Column:
+    """Where each part starts; only these numbers are carried along, not what is built from them."""
+    return F.aggregate(sizes, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), lambda state, size: F.struct(
+        (state["at"] + size).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out")), lambda state: state["out"])
 
 
 def page_blocks(text: Column, page_index: Column) -> Column:
     """Blocks of one page; concatenated they are the page, byte for byte."""
     pieces = F.split(F.regexp_replace(text, _BREAK, CUT + "$1" + CUT), CUT, -1)
-    numbered = F.transform(pieces, lambda piece, i: F.struct(i.alias("number"), piece.alias("raw")))
-
-    def step(state: Column, piece: Column) -> Column:
-        raw = piece["raw"]
-        size = F.octet_length(raw)
-        block = F.struct(
-            F.concat(F.lit("p"), page_index.cast("string"), F.lit(":b"), piece["number"].cast("string"))
-            .alias("blockId"),
+
+    def block(raw: Column, number: Column, at: Column) -> Column:
+        return F.struct(
+            F.concat(F.lit("p"), page_index.cast("string"), F.lit(":b"), number.cast("string")).alias("blockId"),
             F.when(non_blank(raw), F.lit("paragraph")).otherwise(F.lit("separator")).alias("kind"),
-            _mapping(raw, page_index, state["at"]).alias("mapping"),
+            _mapping(raw, page_index, at).alias("mapping"),
             F.regexp_replace(raw, f"{SPACE}+", " ").alias("normalizedText"),
-            _span(page_index, state["at"], state["at"] + size).alias("source"))
-        return F.struct((state["at"] + size).alias("at"),
-                        F.when(raw == "", state["out"]).otherwise(F.concat(state["out"], F.array(block)))
-                        .cast(f"array<{_BLOCK}>").alias("out"))
+            _span(page_index, at, at + F.octet_length(raw)).alias("source"))
+
+    def built(parts: Column) -> Column:
+        return let(_starts(F.transform(parts, F.octet_length), F.lit(0)), lambda at: F.filter(F.transform(
+            parts, lambda raw, i: F.when(raw != "", block(raw, i, F.get(at, i)))), lambda b: b.isNotNull()))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_BLOCK}>").alias("out"))
-    return F.aggregate(numbered, start, step, lambda s: s["out"])
+    return let(pieces, built).cast(f"array<{_BLOCK}>")
 
 
 def canonical_pages(pages: Column) -> Column:
@@ -106,7 +112,8 @@ def block_rows(ir: DataFrame) -> DataFrame:
 def verify_blocks(ir: DataFrame) -> DataFrame:
     """document_id and violation codes of stored blocks; an empty list is a valid document."""
     rebuilt = ir.select("*", F.flatten(F.transform("pages", lambda p, i: page_blocks(p["text"], i))).alias("_again"),
-                        F.sha2(_pages_json(F.col("pages")), 256).alias("_source"), _ir_hash().alias("_hash"))
+                        F.sha2(_pages_json(F.col("pages")), 256).alias("_source"), _ir_hash().alias("_hash"),
+                        F.transform("pages", lambda p: F.encode(p["text"], "UTF-8")).alias("_raw"))
     sizes = F.transform("pages", lambda p: F.octet_length(p["text"]))
 
     def contiguous(blocks: Column) -> Column:
@@ -127,12 +134,12 @@ def verify_blocks(ir: DataFrame) -> DataFrame:
     kinds = F.forall("blocks", lambda b: b["kind"].isin("paragraph", "separator") & (F.size(b["mapping"]) > 0))
 
     def mapped(block: Column) -> Column:
-        page = F.get(F.col("pages"), block["source"]["pageIndex"])["text"]
+        def text_of(m: Column) -> Column:
+            return bytes_text(F.get(F.col("_raw"), block["source"]["pageIndex"]), m["source"]["startByte"], m["source"]["endByte"])
+
         rendered = F.array_join(F.transform(block["mapping"], lambda m: F.when(
-            m["operation"] == "WHITESPACE", F.lit(" ")).otherwise(
-            span_text(page, m["source"]["startByte"], m["source"]["endByte"]))), "")
-        blank = F.forall(F.filter(block["mapping"], lambda m: m["operation"] == "WHITESPACE"),
-                         lambda m: ~non_blank(span_text(page, m["source"]["startByte"], m["source"]["endByte"])))
+            m["operation"] == "WHITESPACE", F.lit(" ")).otherwise(text_of(m))), "")
+        blank = F.forall(F.filter(block["mapping"], lambda m: m["operation"] == "WHITESPACE"), lambda m: ~non_blank(text_of(m)))
         gapless = F.aggregate(
             block["mapping"], F.struct(block["source"]["startByte"].alias("at"), F.lit(0).alias("n"),
                                        F.lit(True).alias("ok")),

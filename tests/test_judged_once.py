@@ -86,3 +86,20 @@ def test_reader_fields_are_compared_without_a_row_per_field(spark):
         "a": ("REVIEW_CONFLICT", 2), "b": ("REVIEW_ALIGNMENT", 1), "c": ("REVIEW_INSUFFICIENT", 0)}
     # The list of readings is not unpivoted before it is compared.
     assert "map_from_entries" not in issues._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spans_of_encoded_pages_are_those_of_the_page(spark):
+    from foliarc.operators import blocks
+
+    spans = spark.createDataFrame([("aä\tb", a, b) for a in range(-1, 7) for b in range(-1, 7)] + [(None, 0, 1)], "t string, a int, b int")
+    same = spans.filter(tx.bytes_text(F.encode("t", "UTF-8"), F.col("a"), F.col("b")).eqNullSafe(tx.span_text(F.col("t"), F.col("a"), F.col("b"))))
+    assert same.count() == spans.count()
+    text = "\n\n".join(f"Line {i} of  a\ttext with ä" for i in range(300))
+    docs = spark.createDataFrame([("d", "v", [(1, text), (2, "\n\n")]), ("e", "v", [(1, "")])],
+                                 "document_id string, parser_version string, pages array<struct<page_number:int,text:string>>")
+    ir = blocks.build_blocks(docs)
+    assert {r[0]: r[1] for r in blocks.verify_blocks(ir).collect()} == {"d": [], "e": []}
+    rows = blocks.block_rows(ir).filter("document_id = 'd' AND page_index = 0").orderBy("block_order").collect()
+    assert "".join(r["text"] for r in rows) == text and len(rows) == 599
+    moved = ir.withColumn("blocks", F.transform("blocks", lambda b: b.withField("normalizedText", F.concat(b["normalizedText"], F.lit("x")))))
+    assert {tuple(r[1]) for r in blocks.verify_blocks(moved).filter("document_id = 'd'").collect()} == {("IR_HASH", "REBUILD", "MAPPING")}
