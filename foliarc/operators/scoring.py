@@ -234,18 +234,25 @@ LAB_FIELDS = ["test", "kind", "comparator", "value", "unit", "reference", "dates
 STATEMENT_FIELDS = ["name", *vocab.SEMANTIC_FIELDS, "source"]
 
 
+def _same_norm(name: str) -> Column:
+    """Equal up to case and blanks; values that are equal as they stand need no folding."""
+    a, b = F.col(f"g.{name}"), F.col(f"p.{name}")
+    return F.when(a.eqNullSafe(b), F.lit(True)).otherwise(norm(a) == norm(b))
+
+
 def _lab_checks() -> dict[str, Column]:
+    """Checks of a candidate, whose sides share the key already: the folded ``test``."""
     def same_number(a: str, b: str) -> Column:
         def number(c: str) -> Column:
             return F.translate(F.col(c), ", ", ".").try_cast("decimal(38,18)")
-        return number(a).eqNullSafe(number(b))
+        return F.when(F.translate(F.col(a), ", ", ".").eqNullSafe(F.translate(F.col(b), ", ", ".")), F.lit(True)).otherwise(number(a).eqNullSafe(number(b)))
 
     words = F.split(plain(F.col("g.test")), " ")
     quote = plain(F.col("p.source_text"))
     source = ((F.col("p.page") == F.col("g.page")) & F.contains(quote, plain(F.col("g.result")))
               & (F.get(words, F.lit(0)) != "") & F.contains(quote, F.get(words, F.lit(0))))
     checks = {name: F.col(f"g.{name}").eqNullSafe(F.col(f"p.{name}")) for name in ("kind", "comparator", "dates", "subject")}
-    checks |= {name: norm(F.col(f"g.{name}")) == norm(F.col(f"p.{name}")) for name in ("test", "unit", "reference")}
+    checks |= {"test": F.lit(True)} | {name: _same_norm(name) for name in ("unit", "reference")}
     return checks | {"value": same_number("g.value", "p.value"), "source": F.coalesce(source, F.lit(False))}
 
 
@@ -254,7 +261,7 @@ def _statement_checks() -> dict[str, Column]:
     source = (F.col("p.page") == F.col("g.page")) & (quote != "") & (
         (quote == sentence) | (F.contains(sentence, quote) & F.contains(quote, norm(F.col("g.name")))))
     checks = {name: F.col(f"g.{name}").eqNullSafe(F.col(f"p.{name}")) for name in vocab.SEMANTIC_FIELDS}
-    return checks | {"name": norm(F.col("g.name")) == norm(F.col("p.name")), "source": F.coalesce(source, F.lit(False))}
+    return checks | {"name": F.lit(True), "source": F.coalesce(source, F.lit(False))}  # the folded name is the key
 
 
 def _score(gold: DataFrame, predicted: DataFrame, name: str, checks: dict[str, Column], extra: Column,
@@ -265,9 +272,12 @@ def _score(gold: DataFrame, predicted: DataFrame, name: str, checks: dict[str, C
                          F.struct(*predicted.columns).alias("p"))
     shared = [c for c in gold.columns if c in predicted.columns and c not in ("case", "idx")]
     alone = F.count(F.lit(1)).over(W.partitionBy("case", "_key")) == 1
-    # Every candidate is judged once; what follows reads flags, not texts.
-    edges = durable(g.join(p, ["case", "_key"]).select(
-        "case", "_key", "gold_idx", "pred_idx", shared_fields(shared).alias("score"), extra.alias("alike"), critical.alias("critical"),
+    # Every candidate is judged once; what follows reads flags, not texts. The sides meet as plain columns, not
+    # structs, so only what a check reads is exchanged and what is constant is not exchanged at all.
+    left, right = (df.withColumn("_key", norm(F.col(name))).alias(side) for df, side in ((gold, "g"), (predicted, "p")))
+    met = left.join(right, (F.col("g.case") == F.col("p.case")) & (F.col("g._key") == F.col("p._key")))
+    edges = durable(met.select(
+        F.col("g.case").alias("case"), F.col("g._key").alias("_key"), F.col("g.idx").alias("gold_idx"), F.col("p.idx").alias("pred_idx"), shared_fields(shared).alias("score"), extra.alias("alike"), critical.alias("critical"),
         F.array(*[F.coalesce(ok, F.lit(False)) for ok in checks.values()]).alias("oks")).withColumn("alone", alone), "edges")
 
     def chosen(rows: DataFrame) -> DataFrame:

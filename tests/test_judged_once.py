@@ -103,3 +103,18 @@ def test_spans_of_encoded_pages_are_those_of_the_page(spark):
     assert "".join(r["text"] for r in rows) == text and len(rows) == 599
     moved = ir.withColumn("blocks", F.transform("blocks", lambda b: b.withField("normalizedText", F.concat(b["normalizedText"], F.lit("x")))))
     assert {tuple(r[1]) for r in blocks.verify_blocks(moved).filter("document_id = 'd'").collect()} == {("IR_HASH", "REBUILD", "MAPPING")}
+
+
+def test_scored_sides_meet_without_what_no_check_reads(spark, monkeypatch):
+    rows = [("a", "1", "Iron", None, "mg"), ("a", "2", "Zinc", "1,0", " MG"), ("b", "1", "Salt", "x", None)]
+    base = spark.createDataFrame(rows, "case string, idx string, test string, value string, unit string").selectExpr(
+        "*", "'NUMERIC' AS kind", "'=' AS comparator", "'0-5' AS reference", "'' AS dates", "'UNKNOWN' AS subject", "1 AS page", "'never read' AS note")
+    g = base.withColumn("result", F.lit("1"))
+    p = base.withColumn("source_text", F.concat("test", F.lit(" 1"))).withColumn("value", F.translate("value", ",", ".")).withColumn(
+        "unit", F.when(F.col("unit") == " MG", "mg").otherwise(F.col("unit")))
+    plans, kept = [], scoring.durable
+    monkeypatch.setattr(scoring, "durable", lambda df, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df, *a))[1])
+    totals = scoring.score_lab(g, p)["totals"]
+    # NULL numbers and units agree, as do values in another form.
+    assert {tuple(r) for r in totals.select("case", "tp", "fp", "fn", "critical").collect()} == {("a", 2, 0, 0, 0), ("b", 1, 0, 0, 0)}
+    assert "struct" not in plans[0] and "0-5" not in plans[0].split("Join", 1)[1]
