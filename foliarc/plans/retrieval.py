@@ -162,14 +162,15 @@ def strategies(t: Tables):
 
 def indexed_chunks(t: Tables):
     """Chunks of two revisions of every document; the second is active, and none where the id ends in 9."""
-    d = spread(t.documents, "doc_id")
+    d = t.documents
     revisions = d.select(F.col("doc_id").alias("document_id"), F.col("source").alias("title"), F.explode(F.array(
         F.struct(F.lit("r1").alias("id"), F.lit(1).alias("version"), F.concat(F.lit("Superseded. "), "text").alias("text")),
         F.struct(F.lit("r2").alias("id"), F.lit(2).alias("version"), F.col("text").alias("text")))).alias("r")).select(
         "document_id", "title", F.col("r.version").alias("version"), F.col("r.id").alias("revision_id"), F.col("r.text").alias("text"),
         F.array().cast("array<struct<page_number:int,text:string>>").alias("pages"))
     active = t.documents.filter("doc_id % 10 <> 9").select(F.col("doc_id").alias("document_id"), F.lit("r2").alias("active_revision_id"))
-    return retrieve.visible_chunks(ch.document_chunks(revisions, revision=True), active)
+    # A chunk is visible if its revision is, whatever its text: superseded revisions are not split at all.
+    return ch.document_chunks(spread(retrieve.visible_chunks(revisions, active), "document_id"), revision=True)
 
 
 @query("index_and_retrieve")
