@@ -54,6 +54,14 @@ def test_complete_excerpt_takes_whole_line(spark):
     assert got == ["АЛТ: 48 Ед/л; выше", "мета b"]
 
 
+def test_a_quote_equal_to_its_source_verifies(spark):
+    source = "Licensed under CC BY-NC 4.0.\n71.175 a. Dose 1, 5"
+    rows = spark.createDataFrame([(source, source), (f" {source}\n", source), ("4.0. 71.175 a", source), ("dose 1, 5", source), ("1. 5", "1. 5 or 1.5"), ("1. 6", "1.5")], "q string, s string")
+    got = rows.select(text.verified_excerpt(F.col("q"), F.col("s")).alias("v"), text.complete_excerpt(F.col("q"), F.col("s")).alias("c")).collect()
+    assert [r.v for r in got] == [source, source, "4.0.\n71.175 a", None, "1.5", None]
+    assert [r.c for r in got] == [source, source, source, source.split("\n")[1], "1. 5 or 1.5", None]
+
+
 def test_occurrences_and_spans(spark):
     rows = spark.createDataFrame([("aaaa", "aa"), ("Яab ab", "ab"), ("x", "y"), ("a.b.a", "."), ("a\\Eb", "\\E")], "t string, q string")
     got = [[tuple(o) for o in r.o] for r in rows.select(text.occurrences(F.col("t"), F.col("q")).alias("o")).collect()]
