@@ -6,8 +6,13 @@ against the chunk it cites before it can appear in an answer.
 
 from __future__ import annotations
 
+import hashlib
+import io
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -305,7 +310,10 @@ def retry_batches(selection: dict[str, DataFrame], failed: DataFrame) -> DataFra
 
 
 def archive_answers(selection: dict[str, DataFrame], quotes: DataFrame, errors: DataFrame) -> dict[str, DataFrame]:
-    """answers and sources of an archive scan.
+    """answers and sources of an archive scan; verdicts are answers without their text, paragraphs the pieces of it.
+
+    An answer cites a part of the archive and grows with it: who needs only its digest or its pieces reads
+    ``paragraphs`` (question_id, place, paragraph), see ``answer_digests``.
 
     ``quotes``: question_id, retry, batch, ord, number, quote; ``errors``: question_id, retry, batch of
     unreadable model output. A failed batch is read once more chunk by chunk (retry 1), see ``retry_batches``.
@@ -334,31 +342,75 @@ def archive_answers(selection: dict[str, DataFrame], quotes: DataFrame, errors:
     numbers = firsts.withColumn("citation", F.row_number().over(W.partitionBy("question_id").orderBy("first_place")))
     cited = placed.join(numbers.select("question_id", "chunk_id", "citation"), ["question_id", "chunk_id"]).join(excerpts, "excerpt")
     date = F.when(F.col("_date") == "9999", F.lit(vocab.NO_DATE)).otherwise(F.col("_date"))
-    paragraph = F.concat(date, F.when(F.col("corrected"), F.lit(vocab.CORRECTION_NOTE)).otherwise(F.lit("")), F.lit(": "),
-                         F.col("words"), F.lit(" ["), F.col("citation").cast("string"), F.lit("]"))
-    texts = cited.select("question_id", "place", paragraph.alias("p")).groupBy("question_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "p"))), lambda r: r["p"]), "\n\n").alias("body"))
+    paragraphs = cited.select("question_id", "place", F.concat(
+        date, F.when(F.col("corrected"), F.lit(vocab.CORRECTION_NOTE)).otherwise(F.lit("")), F.lit(": "),
+        F.col("words"), F.lit(" ["), F.col("citation").cast("string"), F.lit("]")).alias("paragraph"))
+    found = placed.groupBy("question_id").agg(F.lit(True).alias("found"))
     failures = lost.groupBy("question_id").agg(F.count(F.lit(1)).alias("failed_batches"))
-    joined = selection["coverage"].join(texts, "question_id", "left").join(failures, "question_id", "left").na.fill(
+    joined = selection["coverage"].join(found, "question_id", "left").join(failures, "question_id", "left").na.fill(
         0, ["failed_batches"])
     joined = joined.withColumn("complete", F.col("complete") & (F.col("failed_batches") == 0))
-    reason = (F.when(F.col("body").isNotNull(), F.lit("EVIDENCE_FOUND"))
+    reason = (F.when(F.col("found"), F.lit("EVIDENCE_FOUND"))
               .when(F.col("failed_batches") > 0, F.lit("EVIDENCE_VALIDATION_FAILED"))
               .when(F.col("eligible_documents") == 0, F.lit("NO_DOCUMENTS_IN_PERIOD")).otherwise(F.lit("NO_CONFIRMED_EVIDENCE")))
     fixed = F.create_map(*[F.lit(v) for pair in vocab.REASON_TEXT.items() for v in pair])
-    answers = joined.withColumn("reason", reason).select(
-        "question_id", "reason", F.col("body").isNull().alias("insufficient"),
-        F.when(F.col("body").isNotNull(), F.concat(F.lit(vocab.ARCHIVE_INTRO + "\n\n"), F.col("body"))).otherwise(
-            F.try_element_at(fixed, F.col("reason"))).alias("answer"),
+    verdicts = joined.withColumn("reason", reason).select(
+        "question_id", "reason", F.col("found").isNull().alias("insufficient"),
         "eligible_documents", "scanned_documents", "eligible_chunks", "scanned_chunks",
         F.col("undated").alias("undated_documents"), "missing_indexed", "failed_batches", "complete",
         F.array_compact(F.array(
             F.when(~F.col("complete"), F.lit(vocab.WARN_PARTIAL)), F.when(F.col("missing_indexed") > 0, F.lit(vocab.WARN_MISSING)),
             F.when((F.col("undated") > 0) & (F.col("date_from").isNotNull() | F.col("date_to").isNotNull()),
                    F.lit(vocab.WARN_UNDATED)))).alias("warnings"))
+    whole = verdicts.join(_folded(paragraphs, "answer", _whole), "question_id", "left").withColumn(
+        "answer", F.coalesce("answer", F.try_element_at(fixed, F.col("reason"))))
+    answers = whole.select("question_id", "reason", "insufficient", "answer", *verdicts.columns[3:])
     sources = numbers.select("question_id", "citation", "chunk_id", F.col("s.document_id").alias("document_id"),
                              F.col("s.source").alias("source"), F.nullif(F.col("s._date"), F.lit("9999")).alias("document_date"))
-    return {"answers": answers, "sources": sources}
+    return {"answers": answers, "sources": sources, "verdicts": verdicts, "paragraphs": paragraphs}
+
+
+def _whole() -> tuple[Callable, Callable]:
+    held = io.BytesIO()
+    return held.write, lambda: held.getvalue().decode()
+
+
+def _digest_of_pieces() -> tuple[Callable, Callable]:
+    digest = hashlib.md5()
+    return digest.update, digest.hexdigest
+
+
+def _folded(paragraphs: DataFrame, name: str, begin: Callable[[], tuple[Callable, Callable]]) -> DataFrame:
+    """question_id and ``name``: what ``begin``'s pair (add, result) makes of a question's answer, given piece by piece.
+
+    Spark sorts the paragraphs; a task holds a batch of them and what ``add`` keeps of one question.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([result()])], names=["question_id", name])
+
+        now = add = result = kind = None
+        for batch in batches:
+            kind = batch["question_id"].type
+            for question, words in zip(batch["question_id"].to_pylist(), batch["paragraph"]):
+                if add is None or question != now:
+                    if add is not None:
+                        yield out()
+                    now, (add, result) = question, begin()
+                    add(vocab.ARCHIVE_INTRO.encode())
+                add(b"\n\n")
+                add(words.as_buffer())
+        if add is not None:
+            yield out()
+
+    rows = by_key(paragraphs, "question_id").sortWithinPartitions("question_id", "place").select("question_id", "paragraph")
+    return rows.mapInArrow(run, f"question_id {rows.schema['question_id'].dataType.simpleString()}, {name} string")
+
+
+def answer_digests(paragraphs: DataFrame) -> DataFrame:
+    """question_id, answer_md5 of the answers that cite evidence, without putting one together."""
+    return _folded(paragraphs, "answer_md5", _digest_of_pieces)
 
 
 # ---- public boundary ---------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Archive evidence, ranking inside periods, linear packing."""
 
 import datetime
+import hashlib
 import math
 import random
 import re
@@ -224,3 +225,27 @@ def test_durable_computes_its_rows_once(spark):
 
     kept = durable(spark.range(100).mapInPandas(counting, "id long"))
     assert kept.count() == 100 and seen.value == 100
+
+
+def test_answers_are_put_together_from_sorted_pieces(spark):
+    """No aggregate gathers paragraphs: a question's text passes in batches, and its digest holds none of it."""
+    documents = [(f"d{i:03d}", DAY(2026, 1, 1) + datetime.timedelta(days=i), f"Наблюдение {i}. " + "é" * (1 + i % 7)) for i in range(60)]
+    asked = [(n, "overview", DAY(2026, 1, 20) if n == 3 else None, None) for n in range(1, 5)]
+    chosen = evidence.select_evidence(*archive(spark, documents, asked), today=F.lit(TODAY).cast("date"))
+    pairs = chosen["readings"].join(chosen["selected"], "reading").join(chosen["chunks"].select("chunk_id", "text"), "chunk_id")
+    quotes = pairs.filter("question_id < 4").select("question_id", F.lit(0).alias("retry"), "batch", F.col("number").alias("ord"), "number", F.col("text").alias("quote"))
+    with_small_batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = evidence.archive_answers(chosen, quotes, spark.createDataFrame([], "question_id int, retry int, batch int"))
+        answers = {r.question_id: r for r in out["answers"].collect()}
+        digests = {r.question_id: r.answer_md5 for r in evidence.answer_digests(out["paragraphs"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_small_batches)
+    for n in (1, 2, 3):
+        mine = [d for d in documents if n != 3 or d[1] >= DAY(2026, 1, 20)]
+        want = "По записям архива (даты документов):\n\n" + "\n\n".join(f"{day}: {text.strip()} [{i}]" for i, (_, day, text) in enumerate(mine, 1))
+        assert answers[n].answer == want and digests[n] == hashlib.md5(want.encode()).hexdigest()
+    assert set(digests) == {1, 2, 3} and answers[4].reason == "NO_CONFIRMED_EVIDENCE" and answers[4].insufficient
+    plan = evidence.answer_digests(out["paragraphs"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
