@@ -130,8 +130,8 @@ def lab_rows(lines: DataFrame, *keep: str) -> DataFrame:
         F.when(F.col("patient"), F.lit("PATIENT")).otherwise(F.lit("UNKNOWN")).alias("subject"), *keep)
 
 
-def dated_rows(lines: DataFrame) -> DataFrame:
-    """``lab_rows`` with the event_date of ``event_dates``, decided inside the order the lines already have."""
+def dated(lines: DataFrame) -> DataFrame:
+    """The lines with the event_date of ``event_dates``, decided inside the order they already have."""
     whole = W.partitionBy("document_id")
 
     def of(role: str) -> Column:
@@ -143,8 +143,13 @@ def dated_rows(lines: DataFrame) -> DataFrame:
     roles = sorted(set(vocab.DATE_LABELS.values()))
     conflict = reduce(lambda a, b: a | b, [F.coalesce(F.min(of(r)).over(whole) != F.max(of(r)).over(whole), F.lit(False)) for r in roles])
     bad = F.coalesce(F.max(F.col("kind") == "INVALID_DATE").over(whole), F.lit(False)) | conflict
-    date = F.when(~bad, F.when(F.max(of("RESULT")).over(whole).isNotNull(), only("RESULT")).otherwise(only("STUDY")))
-    return lab_rows(lines.withColumn("event_date", date), "event_date")
+    return lines.withColumn("event_date", F.when(
+        ~bad, F.when(F.max(of("RESULT")).over(whole).isNotNull(), only("RESULT")).otherwise(only("STUDY"))))
+
+
+def dated_rows(lines: DataFrame) -> DataFrame:
+    """``lab_rows`` with their event_date."""
+    return lab_rows(dated(lines), "event_date")
 
 
 def lab_issues(lines: DataFrame) -> DataFrame:
@@ -198,21 +203,32 @@ def _fact_fields() -> dict[str, Column]:
 def validate_lab(rows: DataFrame, dates: DataFrame, subjects: DataFrame, issues: DataFrame, facts: DataFrame,
                  docs: DataFrame, row_limit: int | None = None) -> DataFrame:
     """document_id, row_index, code for every broken rule of a stored laboratory artifact."""
-    pages = docs.select("document_id", "pages")
-    at_page = F.get("pages", F.col("page_index"))["text"]
-    located = rows.join(pages, "document_id").withColumn(
-        "found", span_text(at_page, F.col("start_byte"), F.col("end_byte")))
+    fact = ["type", "name", "value_text", "value_number", "unit", "event_date", "assertion_status", "page", "source_text"]
+    row = [c for c in rows.columns if c not in ("document_id", "row_index", "event_date")]
+    parts = {"row": rows.select("document_id", "row_index", F.struct(*row).alias("row")),
+             "fact": facts.select("document_id", "row_index", F.struct(*fact).alias("fact")),
+             "day": dates.select("document_id", F.lit(None).cast("int").alias("row_index"), F.struct(*dates.columns[1:]).alias("day"))}
+    # Rows, facts and dates travel once, to their document: everything below keeps to that layout.
+    mixed = by_key(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts.values()), "document_id")
+    pair = W.partitionBy("document_id", "row_index")
+    known = F.col("document_id").isNotNull() & F.col("row_index").isNotNull()
+    met = mixed.withColumn("stored", F.when(known, F.collect_list("fact").over(pair))).withColumn(
+        "extra", F.col("fact").isNotNull() & ~(known & (F.count("row").over(pair) > 0)))
+    met = met.filter(F.col("fact").isNull() | F.col("extra")).drop("fact").withColumn(
+        "stored", F.explode_outer(F.when(F.col("row").isNotNull(), F.col("stored"))))
+    place = {c: F.coalesce(F.col("row")[c], F.col("day")[c]) for c in ("page_index", "start_byte", "end_byte")}
+    same_span = W.partitionBy("document_id", *place.values())
+    met = met.withColumn("copies", F.count("row").over(same_span))
+    pages = docs.select("document_id", "pages", F.lit(True).alias("has_pages"))
     owned = subjects.select("document_id").distinct().withColumn("has_subject", F.lit(True))
-    located = located.join(owned, "document_id", "left")
+    located = met.join(pages, "document_id", "left").join(owned, "document_id", "left").join(
+        event_dates(dates, issues), "document_id", "left").withColumn(
+        "found", span_text(F.get("pages", place["page_index"])["text"], place["start_byte"], place["end_byte"]))
+    located = located.select("document_id", "row_index", "extra", "stored", "copies", "has_pages", "has_subject", "event_date", "found", "row", "day")
+    own = located.select("*", *[F.col("row")[c].alias(c) for c in row])
     again = parse_result(F.col("raw"))
-    fact = ["type", "name", "value_text", "value_number", "unit", "event_date", "assertion_status", "page", "source_text"]
-    stored = facts.select("document_id", "row_index", F.struct(*fact).alias("stored"))
     # What a row should be stored as is written beside it: only its date comes from elsewhere.
     expected = F.struct(*[c.alias(name) for name, c in _fact_fields().items() if name in fact])
-    located = located.drop("event_date").join(event_dates(dates, issues), "document_id", "left").withColumn("expected", expected).join(
-        stored, ["document_id", "row_index"], "left")
-    same_span = W.partitionBy("document_id", "page_index", "start_byte", "end_byte")
-    located = located.withColumn("copies", F.count(F.lit(1)).over(same_span))
     text = F.col("source_text")
     rules = [
         ("SPAN", F.col("found") == text), ("NAME", F.contains(text, F.col("name")) & (F.col("name") != "")),
@@ -222,20 +238,18 @@ def validate_lab(rows: DataFrame, dates: DataFrame, subjects: DataFrame, issues:
          & again["numeric_value"].cast("double").eqNullSafe(F.col("numeric_value").cast("double"))),
         ("SUBJECT", F.col("subject").isin("PATIENT", "UNKNOWN")
          & ((F.col("subject") != "PATIENT") | F.coalesce("has_subject", F.lit(False)))),
-        ("DUPLICATE_SPAN", F.col("copies") == 1), ("PROJECTION", F.col("stored") == F.col("expected")),
+        ("DUPLICATE_SPAN", F.col("copies") == 1), ("PROJECTION", F.col("stored") == expected),
         ("ROW_LIMIT", F.lit(True) if row_limit is None else F.col("row_index") <= row_limit)]
-    codes = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(code)) for code, ok in rules]))
-    row_codes = located.select("document_id", "row_index", F.explode(codes).alias("code"))
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(code)) for code, ok in rules]))
+    day = F.col("day")
     role = date_role(fold_case(F.substring_index(strip(F.col("found")), ":", 1)))
-    dated = dates.join(pages, "document_id").withColumn(
-        "found", span_text(at_page, F.col("start_byte"), F.col("end_byte")))
-    good_date = (role == F.col("role")) & F.contains("found", F.col("raw")) & (
-        lab_date(F.col("raw"))["iso"] == F.col("iso")) & iso_date(F.col("iso")).isNotNull()
-    date_codes = dated.filter(~F.coalesce(good_date, F.lit(False))).select(
-        "document_id", F.lit(None).cast("int").alias("row_index"), F.lit("DATE_ROLE").alias("code"))
-    unmatched = facts.join(rows, ["document_id", "row_index"], "left_anti").select(
-        "document_id", "row_index", F.lit("EXTRA_FACT").alias("code"))
-    return row_codes.unionByName(date_codes).unionByName(unmatched)
+    good_date = (role == day["role"]) & F.contains("found", day["raw"]) & (
+        lab_date(day["raw"])["iso"] == day["iso"]) & iso_date(day["iso"]).isNotNull()
+    # A row or a date of a document that is not there has nothing to be held against.
+    codes = (F.when(F.col("extra"), F.array(F.lit("EXTRA_FACT"))).when(F.col("has_pages").isNull(), F.array().cast("array<string>"))
+             .when(F.col("row").isNotNull(), broken)
+             .when(~F.coalesce(good_date, F.lit(False)), F.array(F.lit("DATE_ROLE"))))
+    return own.select("document_id", "row_index", F.explode(codes).alias("code"))
 
 
 def reconcile_readers(reader_rows: DataFrame, origins: DataFrame) -> tuple[DataFrame, DataFrame]:

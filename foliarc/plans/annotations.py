@@ -103,9 +103,9 @@ UNION ALL SELECT document_id, row_index, 'PROJECTION' FROM lab WHERE reference =
 def validate_lab(t: Tables):
     """Stored rows of supplier 7 carry a wrong name, which the stored facts do not share."""
     docs = durable(reports(t))
-    lines = durable(lab.annotated_lines(docs))
-    rows, dates, issues = lab.lab_rows(lines), lab.lab_dates(lines), lab.lab_issues(lines)
-    facts = lab.project_lab_facts(rows, dates, issues)
+    lines = durable(lab.dated(lab.annotated_lines(docs)))
+    rows, dates, issues = lab.lab_rows(lines, "event_date"), lab.lab_dates(lines), lab.lab_issues(lines)
+    facts = lab.project_lab_facts(rows)
     wrong = rows.withColumn("name", F.when(F.col("reference") == "0-7", F.lit("Other test")).otherwise(F.col("name")))
     return lab.validate_lab(wrong, dates, lab.lab_subjects(lines), issues, facts, docs).select(
         "document_id", F.col("row_index").cast(BIG).alias("row_index"), "code")

@@ -61,3 +61,30 @@ def test_result_is_matched_once(spark):
     plan = spark.range(1).select(parse_result(F.concat(F.col("id").cast("string"), F.lit(",50")))  .alias("r"))
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("[eE][+-]") <= 3
     assert plan.first()["r"].asDict() == {"raw": "0,50", "kind": "NUMERIC", "comparator": "=", "numeric_value": "0.50"}
+
+
+def test_rows_facts_and_dates_are_exchanged_once_by_document(spark):
+    docs, lines = lines_of(spark)
+    frames = [f.localCheckpoint() for f in (lab.lab_rows(lines), lab.lab_dates(lines), lab.lab_subjects(lines), lab.lab_issues(lines))]
+    facts = lab.project_lab_facts(frames[0], frames[1], frames[3]).localCheckpoint()
+    plan = lab.validate_lab(*frames, facts, docs.localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+    keys = [line.split("hashpartitioning(")[1].split("),")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert not any("row_index" in k or "start_byte" in k for k in keys)
+    assert sum("REPARTITION_BY_NUM" in line for line in plan.splitlines()) == 1
+    assert plan.count("Exchange hashpartitioning") <= 6  # the mixed rows, pages, subjects, dates by document; conflicts and their documents
+
+
+def test_odd_keys_of_rows_and_facts(spark):
+    docs, lines = lines_of(spark)
+    rows, dates, subjects, issues = lab.lab_rows(lines), lab.lab_dates(lines), lab.lab_subjects(lines), lab.lab_issues(lines)
+    facts = lab.project_lab_facts(rows, dates, issues)
+    nameless = lambda frame: frame.withColumn("row_index", F.when(F.col("document_id") != "plain", F.col("row_index")))
+    twice = facts.unionByName(facts.filter("document_id = 'study'"))
+    known = docs.filter("document_id <> 'conflict'")
+
+    def codes(*given):
+        return sorted((r["document_id"], r["row_index"], r["code"]) for r in lab.validate_lab(*given).collect())
+
+    assert codes(nameless(rows), dates, subjects, issues, nameless(facts), docs) == [("plain", None, "EXTRA_FACT"), ("plain", None, "PROJECTION")]
+    assert codes(rows, dates, subjects, issues, twice, known) == [("study", 1, "DUPLICATE_SPAN")] * 2
+    assert codes(rows.filter("document_id <> 'conflict'"), dates, subjects, issues, facts, known) == [("conflict", 1, "EXTRA_FACT")]
