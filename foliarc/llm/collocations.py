@@ -33,6 +33,7 @@ DENSE_TILES = 64
 BUFFER = 1 << 19
 HELD_WORDS = 200_000
 SLICE = 1 << 22
+FETCH = 1 << 19
 CHARS_AT_ONCE = 1 << 20
 GAP = -1
 
@@ -109,12 +110,32 @@ def halves(lang: str, word: bytes) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-def slices(table: DataFrame, columns: list[str], rows: int) -> Iterator:
-    """The table of ids as broadcast arrays sorted by their first column, at most ``SLICE`` ids each."""
+def slices(table: DataFrame, columns: list[str], rows: int) -> Iterator[tuple]:
+    """(broadcast, first, last) for each slice: the table of ids as arrays sorted by their first column, at most ``SLICE`` ids each.
+
+    The driver holds one slice, fetched as Arrow columns of at most ``FETCH`` rows; a broadcast is given up when the
+    next is asked for, so a pass over it must have ended by then.
+    """
     for low in range(0, max(rows, 1), SLICE):
-        part = table.filter(F.col("id").between(low, low + SLICE - 1)).select(*columns, "id").toPandas()
-        part = part.sort_values(columns[0], kind="stable")
-        yield table.sparkSession.sparkContext.broadcast(tuple(part[c].to_numpy(np.int64) for c in [*columns, "id"]))
+        high = min(low + SLICE, rows)
+        held = [np.empty(high - low, np.int64) for _ in range(len(columns) + 1)]
+        filled = 0
+        for at in range(low, high, FETCH):
+            part = table.filter(F.col("id").between(at, min(at + FETCH, high) - 1)).select(*columns, "id").toArrow()
+            for array, column in zip(held, part.columns):
+                array[filled:filled + len(part)] = column.to_numpy()
+            filled += len(part)
+            del part, column
+        if filled != high - low:
+            raise RuntimeError(f"{filled} ids of {high - low} from {low}")
+        order = np.argsort(held[0], kind="stable")
+        for place in range(len(held)):
+            held[place] = held[place][order]
+        shared = table.sparkSession.sparkContext.broadcast(tuple(held))
+        del held, order
+        release_memory()
+        yield shared, low == 0, high == rows
+        shared.destroy()
 
 
 def found(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,11 +180,10 @@ def code_words(docs: DataFrame, words: DataFrame, rows: int) -> DataFrame:
 
         return run
 
-    tables = list(slices(words.withColumn("__d", digests("lang", "word")).select("__d.hi", "__d.lo", "id"), ["hi", "lo"], rows))
     out = docs
-    for at, table in enumerate(tables):
-        last = at == len(tables) - 1
-        out = staged(out.mapInPandas(coding(table, at == 0, last), "seq array<long>" if last else "lang string, text string, seq array<long>"), "coded")
+    keyed = words.withColumn("__d", digests("lang", "word")).select("__d.hi", "__d.lo", "id")
+    for table, first, last in slices(keyed, ["hi", "lo"], rows):
+        out = staged(out.mapInPandas(coding(table, first, last), "seq array<long>" if last else "lang string, text string, seq array<long>"), "coded")
     return out
 
 
@@ -189,11 +209,9 @@ def code_pairs(seqs: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
         return run
 
     key = F.shiftleft("p", ID_BITS).bitwiseOR(F.col("s"))
-    tables = list(slices(pairs.select(key.alias("key"), "id"), ["key"], rows))
     out = seqs
-    for at, table in enumerate(tables):
-        last = at == len(tables) - 1
-        out = staged(out.mapInPandas(coding(table, at == 0, last), "seq array<long>" if last else "seq array<long>, next array<long>"), "coded")
+    for table, first, last in slices(pairs.select(key.alias("key"), "id"), ["key"], rows):
+        out = staged(out.mapInPandas(coding(table, first, last), "seq array<long>" if last else "seq array<long>, next array<long>"), "coded")
     return out
 
 

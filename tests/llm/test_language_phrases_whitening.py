@@ -1,6 +1,7 @@
 """Operators 11 to 13 against brute force, held-out accuracy and the awkward rows."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliarc.llm import collocations, language_id, whitening
 from tests.llm.frames import documents, rows
@@ -96,6 +98,26 @@ def test_collocations_of_awkward_rows(spark):
     assert collocations.collocations(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("many", [0, 7, 20])
+def test_tables_reach_the_tasks_one_slice_at_a_time(spark, monkeypatch, many):
+    """Without the Arrow setting toPandas makes a Python row of every id on the driver."""
+    monkeypatch.setattr(collocations, "SLICE", 7)
+    monkeypatch.setattr(collocations, "FETCH", 3)
+    frame = spark.range(many).select(((F.col("id") * 13) % 20).alias("key"), "id")
+    monkeypatch.setattr(type(frame), "toPandas", lambda self: pytest.fail("rows of Python objects"))
+    seen, edges, before = [], [], None
+    for shared, first, last in collocations.slices(frame, ["key"], many):
+        assert before is None or not os.path.exists(before._path)
+        key, ids = shared.value
+        assert len(key) <= 7 and list(key) == sorted(key)
+        seen += zip(ids.tolist(), key.tolist())
+        edges.append((first, last))
+        before = shared
+    assert not os.path.exists(before._path)
+    assert sorted(seen) == [(i, i * 13 % 20) for i in range(many)]
+    assert edges == [(at == 0, at == max(-(-many // 7), 1) - 1) for at in range(max(-(-many // 7), 1))]
+
+
 def test_tiles_count_as_a_counter_does(monkeypatch):
     monkeypatch.setattr(collocations, "DENSE_FROM", 40)
     monkeypatch.setattr(collocations, "DENSE_TILES", 2)
