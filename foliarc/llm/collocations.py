@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ BUFFER = 1 << 19
 HELD_WORDS = 200_000
 SLICE = 1 << 22
 FETCH = 1 << 19
+IDS_AT_ONCE = 1 << 17
 CHARS_AT_ONCE = 1 << 20
 GAP = -1
 
@@ -151,6 +153,17 @@ def closed(ids: np.ndarray) -> np.ndarray:
     return ids[(ids != GAP) | np.append(True, ids[:-1] != GAP)] if len(ids) else ids
 
 
+def sequences(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column as views of its values."""
+    values, at = column.values.to_numpy(), column.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in zip(at, at[1:])]
+
+
+def listed(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(a) for a in arrays], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).astype(np.int64, copy=False)))
+
+
 def code_words(docs: DataFrame, words: DataFrame, rows: int) -> DataFrame:
     """``seq``: ids of the frequent words of each text in order, one gap for whatever parts them."""
 
@@ -191,19 +204,24 @@ def code_pairs(seqs: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
     """``seq`` of the next level: the id of each frequent pair of neighbours."""
 
     def coding(table, first: bool, last: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, ids = table.value
             for batch in batches:
-                made = []
-                for row, seq in enumerate(batch["seq"]):
-                    left, right = seq[:-1], seq[1:]
-                    at, hit = found((left << ID_BITS) | right, names)
-                    now = np.where(hit & (left != GAP) & (right != GAP), ids[at], GAP) if len(ids) else np.full(len(at), GAP)
-                    made.append(now if first else np.maximum(now, batch["next"].iloc[row]))
-                if last:
-                    yield pd.DataFrame({"seq": [closed(m) for m in made]})
-                else:
-                    yield pd.DataFrame({"seq": batch["seq"], "next": made})
+                given = sequences(batch["seq"])
+                before = None if first else sequences(batch["next"])
+                for part in few([len(seq) for seq in given], IDS_AT_ONCE):
+                    made = []
+                    for row in range(part.start, part.stop):
+                        left, right = given[row][:-1], given[row][1:]
+                        at, hit = found((left << ID_BITS) | right, names)
+                        now = np.where(hit & (left != GAP) & (right != GAP), ids[at], GAP) if len(ids) else np.full(len(at), GAP)
+                        now = now if first else np.maximum(now, before[row])
+                        made.append(closed(now) if last else now)
+                    if last:
+                        yield pa.RecordBatch.from_arrays([listed(made)], names=["seq"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([listed(given[part]), listed(made)], names=["seq", "next"])
+                del given, before
             release_memory()
 
         return run
@@ -211,7 +229,7 @@ def code_pairs(seqs: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
     key = F.shiftleft("p", ID_BITS).bitwiseOR(F.col("s"))
     out = seqs
     for table, first, last in slices(pairs.select(key.alias("key"), "id"), ["key"], rows):
-        out = staged(out.mapInPandas(coding(table, first, last), "seq array<long>" if last else "seq array<long>, next array<long>"), "coded")
+        out = staged(out.mapInArrow(coding(table, first, last), "seq array<long>" if last else "seq array<long>, next array<long>"), "coded")
     return out
 
 
@@ -288,10 +306,14 @@ class Tiles:
 def count_pairs(seqs: DataFrame, least: int) -> DataFrame:
     """(p, s, n) of the neighbouring ids that stand together ``least`` times or more."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames(batches):
+            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         tiles, waiting, held = Tiles(), [], 0
         for batch in batches:
-            for seq in batch["seq"]:
+            for seq in sequences(batch["seq"]):
                 left, right = seq[:-1], seq[1:]
                 both = (left != GAP) & (right != GAP)
                 waiting.append(packed(left[both], right[both]))
@@ -305,7 +327,7 @@ def count_pairs(seqs: DataFrame, least: int) -> DataFrame:
         yield from tiles.rest()
         release_memory()
 
-    counted = seqs.mapInPandas(run, "p long, s long, n long").groupBy("p", "s").agg(F.sum("n").alias("n"))
+    counted = seqs.mapInArrow(run, "p long, s long, n long").groupBy("p", "s").agg(F.sum("n").alias("n"))
     return counted.filter(F.col("n") >= least)
 
 
